@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Saved, text_steps
+from .shared import Saved, small_side, text_steps
 from .words import hashes_of, lowered, mixed, shingles_of, texts_of, words_of
 
 BINS = 128
@@ -32,8 +32,6 @@ SHINGLE_WORDS = 5
 GROW, SECOND = 8, 24
 #: Pairs whose signatures agree in a smaller share of bins are not compared; over five standard errors below 0.85.
 LEAST_ESTIMATE = 0.66
-#: Identifier lists up to this length are broadcast (16 bytes each); longer ones are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 
 _TRIES = np.random.Generator(np.random.PCG64(77)).integers(0, BINS, (4096, BINS))
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
@@ -107,13 +105,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([step.column("doc_id").cast(pa.int64()), lists], names=["doc_id", "shingles"])
 
 
-def only_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids`` (or, with left_anti, is not): by broadcast only if few."""
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", how)
-
-
 def _agreement(a: str, b: str) -> Column:
     equal = F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0))
     return F.aggregate(equal, F.lit(0), lambda n, x: n + x)
@@ -148,7 +139,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     shared = buckets.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = Saved(buckets.join(shared, ["band", "bucket"]), "members")
     company = Saved(members.df.groupBy("doc_id").agg(F.sum("size").alias("company")), "company")
-    texts = only_ids(docs.select("doc_id", "text"), company.df.select("doc_id"))
+    texts = docs.select("doc_id", "text").join(small_side(company.df.select("doc_id")), "doc_id", "left_semi")
     sets = Saved(texts.mapInArrow(_sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
 
     ranked = members.df.join(company.df, "doc_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .neardup import near_duplicates
+from .quality import quality_verdicts
 from .shared import read_table
 
 
@@ -12,8 +13,14 @@ def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = read_table(spark, sf_dir, "labels").where("quality = 1")
+    return quality_verdicts(read_table(spark, sf_dir, "documents"), trusted)
+
+
 QUERIES = {
     "op2_minhash_neardup": op2_minhash_neardup,
+    "op8_ngram_llr_quality": op8_ngram_llr_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -12,9 +12,12 @@ from functools import lru_cache
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at; a single longer text is a step of its own.
 STEP_BYTES = 2 << 20
+#: Tables of identifiers up to this many rows are broadcast (16 bytes each); longer ones are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 @lru_cache(maxsize=1)
@@ -71,3 +74,8 @@ def text_steps(batch: pa.RecordBatch, column: str = "text", most: int = STEP_BYT
         stop = max(row + 1, int(np.searchsorted(total, before + most, "right")))
         yield batch.slice(row, stop - row)
         row = stop
+
+
+def small_side(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """``ids``, marked for a broadcast only if a count shows that it has few rows."""
+    return F.broadcast(ids) if ids.count() <= most else ids
