@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .neardup import near_duplicates
 from .quality import quality_verdicts
 from .shared import read_table
+from .toxicity import toxicity, toxicity_model
 
 
 def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +19,14 @@ def op8_ngram_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read_table(spark, sf_dir, "documents"), trusted)
 
 
+def op6_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity(docs, toxicity_model(docs, read_table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op2_minhash_neardup": op2_minhash_neardup,
+    "op6_nnpu_toxicity": op6_nnpu_toxicity,
     "op8_ngram_llr_quality": op8_ngram_llr_quality,
 }
 
