@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .neardup import near_duplicates
 from .quality import quality_verdicts
 from .shared import read_table
+from .sstable import read_shards, write_shards
+from .tokens import LIMIT, prefix_counts
 from .toxicity import toxicity, toxicity_model
 
 
@@ -14,11 +17,20 @@ def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_sstable_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_shards(write_shards(read_table(spark, sf_dir, "documents")).df)
+
+
 def op8_ngram_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = read_table(spark, sf_dir, "labels").where("quality = 1")
     return quality_verdicts(read_table(spark, sf_dir, "documents"), trusted)
 
 
+def op3_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = prefix_counts(read_table(spark, sf_dir, "documents"), keep=False)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
+
+
 def op6_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity(docs, toxicity_model(docs, read_table(spark, sf_dir, "labels")))
@@ -26,7 +38,9 @@ def op6_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_minhash_neardup": op2_minhash_neardup,
+    "op3_prefix_token_counts": op3_prefix_token_counts,
     "op6_nnpu_toxicity": op6_nnpu_toxicity,
+    "op7_sstable_token_shards": op7_sstable_token_shards,
     "op8_ngram_llr_quality": op8_ngram_llr_quality,
 }
 
