@@ -6,9 +6,10 @@
    optimal densification. Bands of the signature are bucket keys.
 3. In each bucket only a star is compared: its centre, the member with most company over all its buckets, against
    every other member. Pairs pass a length bound and a signature estimate, then the exact sets decide.
-4. Buckets whose members are not all connected yet get more centres, ``GROW`` times as many each round, until each
-   is connected or all its members have been centres. So no candidate of a bucket stays undecided, and a large group
-   of copies, which one star connects, costs pairs in proportion to its size.
+4. What the stars leave open is settled exactly without all pairs. Under a centre with at most ``FEW`` members outside
+   its component, each of those is compared with all of the centre's members. Under others, two sets that reach the
+   limit share a shingle that few of the members have, or else both lie almost whole in the common shingles, which
+   their sizes show: only such pairs are compared. So a large group of copies costs pairs in proportion to its size.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ from .components import connected_components
 from .shared import Saved, small_side, text_steps
 from .words import hashes_of, lowered, mixed, shingles_of, texts_of, words_of
 
-BINS = 128
-ROWS_PER_BAND = 5
-BANDS = 25
+BINS = 512
+ROWS_PER_BAND = 9
+BANDS = 56
 SHINGLE_WORDS = 5
-#: Factor by which the centres of an unresolved bucket grow each round, and centres in the second round.
-GROW, SECOND = 8, 24
-#: Pairs whose signatures agree in a smaller share of bins are not compared; over five standard errors below 0.85.
-LEAST_ESTIMATE = 0.66
+#: Up to so many open members of a centre are compared with all of its members; a shingle is rare up to so many members.
+FEW, RARE = 16, 16
+#: Pairs whose signatures agree in a share of bins so far below the limit are not compared: five standard errors.
+MARGIN = 0.08
 
 _TRIES = np.random.Generator(np.random.PCG64(77)).integers(0, BINS, (4096, BINS))
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
@@ -115,13 +116,40 @@ def _confirmed(pairs: DataFrame, signed: DataFrame, sets: DataFrame, percent: in
     side = lambda c: signed.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
     near = near.where(100 * F.least("na", "nb").cast("long") >= percent * F.greatest("na", "nb").cast("long"))
-    near = near.where(_agreement("sa", "sb") >= int(LEAST_ESTIMATE * BINS)).select("a", "b", "na", "nb")
+    near = near.where(_agreement("sa", "sb") >= int((percent / 100 - MARGIN) * BINS)).select("a", "b", "na", "nb")
     near = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a")
     near = near.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
     both = F.size(F.array_intersect("xa", "xb")).cast("long")
     return near.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
+def _open_pairs(stars: DataFrame, grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, among the members (x) of each centre (c)."""
+    own = lambda c: grouped.select(F.col("doc_id").alias(c), F.col("component_id").alias(f"k{c}"))
+    rows = stars.join(own("x"), "x", "left").join(own("c"), "c", "left")
+    rows = rows.select("c", "x", F.coalesce("kx", "x").alias("k"), (F.coalesce("kx", "x") != F.coalesce("kc", "c")).alias("open"))
+    sizes = rows.groupBy("c").agg(F.count_if("open").alias("n_open"), F.count("*").alias("n"))
+    rows = Saved(rows.join(sizes.where("n_open > 0 AND n > 2"), "c"), "open").df
+    pair = lambda df: df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    other = lambda df: df.select("c", F.col("x").alias("y"), F.col("k").alias("ky"))
+
+    few = rows.where(F.col("n_open") <= FEW)
+    by_few = few.where("open AND x <> c").select("c", "x", "k").join(other(few.where("x <> c")), "c").where("k <> ky")
+
+    many = rows.where(F.col("n_open") > FEW).join(sets.select(F.col("doc_id").alias("x"), "shingles"), "x")
+    each = many.select("c", "x", "k", "open", F.explode("shingles").alias("h"))
+    each = Saved(each.join(each.groupBy("c", "h").agg(F.count("*").alias("df"), F.min("k").alias("lo"), F.max("k").alias("hi")), ["c", "h"]), "shingles").df
+    rare = each.where((F.col("df") <= RARE) & (F.col("lo") < F.col("hi")))
+    by_rare = rare.where("open").select("c", "h", "x", "k").join(rare.select("c", "h", F.col("x").alias("y"), F.col("k").alias("ky")), ["c", "h"]).where("k <> ky")
+    # without a rare shingle in common, both must have percent / (100 + percent) of the two sizes in common shingles
+    held = Saved(each.groupBy("c", "x", "k", "open").agg(F.count("*").alias("n"), F.count_if(F.col("df") > RARE).alias("i")), "held").df
+    held = held.withColumn("reach", F.floor(F.col("i") * (100 + percent) / F.lit(percent)) - F.col("n"))
+    others = held.select("c", F.col("x").alias("y"), F.col("k").alias("ky"), F.col("n").alias("ny"), F.col("reach").alias("to_y"))
+    least = held.groupBy("c").agg(F.min("n").alias("shortest"))
+    by_size = held.where("open").join(least, "c").where("reach >= shortest").join(others, "c").where("k <> ky AND ny <= reach AND n <= to_y")
+    return pair(by_few).unionByName(pair(by_rare)).unionByName(pair(by_size)).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text; further columns are ignored).
 
@@ -144,41 +172,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     ranked = members.df.join(company.df, "doc_id")
     centres = ranked.groupBy("band", "bucket").agg(F.max(F.struct("company", -F.col("doc_id"))).alias("top"))
-    pairs = members.df.join(centres.select("band", "bucket", (-F.col("top.col2")).alias("a")), ["band", "bucket"]).where("doc_id <> a")
-    pairs = pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
+    stars = members.df.join(centres.select("band", "bucket", (-F.col("top.col2")).alias("c")), ["band", "bucket"])
+    stars = Saved(stars.select("c", F.col("doc_id").alias("x")).distinct(), "stars")
+    pairs = stars.df.where("c <> x").select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b")).distinct()
     links = Saved(_confirmed(pairs, reps.df, sets.df, percent), "links")
     grouped = connected_components(links.df)
-    at_once = SECOND
-    while True:
-        labelled = members.df.join(grouped.df, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-        split = labelled.groupBy("band", "bucket").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi")
-        # after a round in which a bucket had all its members as centres, it has no pair left to compare
-        open_ = Saved(labelled.join(split.select("band", "bucket"), ["band", "bucket"]).where(F.lit(at_once == SECOND) | (F.col("size") > at_once // GROW)), "open")
-        if open_.df.isEmpty():
-            open_.drop()
-            break
-        drawn = F.pmod(F.xxhash64("doc_id", "band"), F.col("size")) < at_once
-        centre = open_.df.where(drawn).select("band", "bucket", F.col("doc_id").alias("a"), F.col("component_id").alias("ca"))
-        pairs = open_.df.join(centre, ["band", "bucket"]).where("component_id <> ca")
-        pairs = pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-        found = Saved(_confirmed(pairs, reps.df, sets.df, percent), "links")
-        more = not found.df.isEmpty()
-        if more:
-            links_now = Saved(links.df.unionByName(found.df), "links")
-            links.drop()
-            links = links_now
-            again = connected_components(links.df)
-            grouped.drop()
-            grouped = again
-        found.drop()
-        open_.drop()
-        at_once *= GROW
+    more = Saved(_confirmed(_open_pairs(stars.df, grouped.df, sets.df, percent), reps.df, sets.df, percent), "links")
+    if not more.df.isEmpty():
+        again = connected_components(links.df.unionByName(more.df))
+        grouped.drop()
+        grouped = again
 
     merged = classes.withColumnRenamed("doc_id", "rep").join(grouped.df.withColumnRenamed("doc_id", "rep"), "rep", "left")
     merged = merged.select("fp1", "fp2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     out = every.df.select("doc_id", "n_shingles", "fp1", "fp2").join(merged, ["fp1", "fp2", "n_shingles"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull() | F.col("component_id").isNull()
     out = out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    for table in (members, company, sets, links, reps):
+    for table in (members, company, sets, stars, links, more, reps):
         table.drop()
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

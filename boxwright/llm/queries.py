@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .html_text import extract_main_text
 from .neardup import near_duplicates
 from .quality import quality_verdicts
 from .shared import read_table
@@ -13,6 +14,10 @@ from .tokens import LIMIT, prefix_counts
 from .toxicity import toxicity, toxicity_model
 
 
+def op1_tree_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,7 @@ def op6_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_tree_html_text": op1_tree_html_text,
     "op2_minhash_neardup": op2_minhash_neardup,
     "op3_prefix_token_counts": op3_prefix_token_counts,
     "op6_nnpu_toxicity": op6_nnpu_toxicity,
