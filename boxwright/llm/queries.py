@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .compaction import compacted
 from .html_text import extract_main_text
 from .neardup import near_duplicates
+from .pseudonyms import EXAMPLE_KEY, pseudonymise
 from .quality import quality_verdicts
 from .shared import read_table
 from .sstable import read_shards, write_shards
@@ -41,6 +43,14 @@ def op6_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, toxicity_model(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(read_table(spark, sf_dir, "documents"), EXAMPLE_KEY)
+
+
+def op10_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compacted(read_table(spark, sf_dir, "documents")).located()
+
+
 QUERIES = {
     "op1_tree_html_text": op1_tree_html_text,
     "op2_minhash_neardup": op2_minhash_neardup,
@@ -48,6 +58,8 @@ QUERIES = {
     "op6_nnpu_toxicity": op6_nnpu_toxicity,
     "op7_sstable_token_shards": op7_sstable_token_shards,
     "op8_ngram_llr_quality": op8_ngram_llr_quality,
+    "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
+    "op10_tiered_compaction": op10_tiered_compaction,
 }
 
 ORACLE_SQL: dict[str, str] = {}
