@@ -111,19 +111,24 @@ def _agreement(a: str, b: str) -> Column:
     return F.aggregate(equal, F.lit(0), lambda n, x: n + x)
 
 
+def _alike(na: str, nb: str, sa: str, sb: str, percent: int) -> Column:
+    """Whether sizes and signatures leave it possible that two sets reach the limit."""
+    sizes = 100 * F.least(na, nb).cast("long") >= percent * F.greatest(na, nb).cast("long")
+    return sizes & (_agreement(sa, sb) >= int((percent / 100 - MARGIN) * BINS))
+
+
 def _confirmed(pairs: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of candidate pairs (a, b), those whose exact sets have 100 * intersection >= percent * union."""
     side = lambda c: signed.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = near.where(100 * F.least("na", "nb").cast("long") >= percent * F.greatest("na", "nb").cast("long"))
-    near = near.where(_agreement("sa", "sb") >= int((percent / 100 - MARGIN) * BINS)).select("a", "b", "na", "nb")
+    near = near.where(_alike("na", "nb", "sa", "sb", percent)).select("a", "b", "na", "nb")
     near = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a")
     near = near.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
     both = F.size(F.array_intersect("xa", "xb")).cast("long")
     return near.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
-def _open_pairs(stars: DataFrame, grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(stars: DataFrame, grouped: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that may be linked, among the members (x) of each centre (c)."""
     own = lambda c: grouped.select(F.col("doc_id").alias(c), F.col("component_id").alias(f"k{c}"))
     rows = stars.join(own("x"), "x", "left").join(own("c"), "c", "left")
@@ -138,9 +143,13 @@ def _open_pairs(stars: DataFrame, grouped: DataFrame, sets: DataFrame, percent:
 
     many = rows.where(F.col("n_open") > FEW).join(sets.select(F.col("doc_id").alias("x"), "shingles"), "x")
     each = many.select("c", "x", "k", "open", F.explode("shingles").alias("h"))
-    each = Saved(each.join(each.groupBy("c", "h").agg(F.count("*").alias("df"), F.min("k").alias("lo"), F.max("k").alias("hi")), ["c", "h"]), "shingles").df
+    each = Saved(each.join(each.groupBy("c", "h").agg(F.count("*").alias("df"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.bit_xor(F.xxhash64("x")).alias("who")), ["c", "h"]), "shingles").df
     rare = each.where((F.col("df") <= RARE) & (F.col("lo") < F.col("hi")))
-    by_rare = rare.where("open").select("c", "h", "x", "k").join(rare.select("c", "h", F.col("x").alias("y"), F.col("k").alias("ky")), ["c", "h"]).where("k <> ky")
+    # shingles of the same members give the same pairs, so one of them stands for all
+    rare = rare.join(rare.groupBy("c", "who", "df").agg(F.min("h").alias("h")).select("c", "h"), ["c", "h"]).select("c", "h", "x", "k", "open")
+    rare = Saved(rare.join(signed.select(F.col("doc_id").alias("x"), "n_shingles", "sig"), "x"), "rare").df
+    theirs = rare.select("c", "h", F.col("x").alias("y"), F.col("k").alias("ky"), F.col("n_shingles").alias("ny"), F.col("sig").alias("sy"))
+    by_rare = rare.where("open").join(theirs, ["c", "h"]).where("k <> ky").where(_alike("n_shingles", "ny", "sig", "sy", percent))
     # without a rare shingle in common, both must have percent / (100 + percent) of the two sizes in common shingles
     held = Saved(each.groupBy("c", "x", "k", "open").agg(F.count("*").alias("n"), F.count_if(F.col("df") > RARE).alias("i")), "held").df
     held = held.withColumn("reach", F.floor(F.col("i") * (100 + percent) / F.lit(percent)) - F.col("n"))
@@ -177,7 +186,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     pairs = stars.df.where("c <> x").select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b")).distinct()
     links = Saved(_confirmed(pairs, reps.df, sets.df, percent), "links")
     grouped = connected_components(links.df)
-    more = Saved(_confirmed(_open_pairs(stars.df, grouped.df, sets.df, percent), reps.df, sets.df, percent), "links")
+    more = Saved(_confirmed(_open_pairs(stars.df, grouped.df, reps.df, sets.df, percent), reps.df, sets.df, percent), "links")
     if not more.df.isEmpty():
         again = connected_components(links.df.unionByName(more.df))
         grouped.drop()

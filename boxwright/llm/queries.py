@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .compaction import compacted
+from .decontamination import contaminated
 from .html_text import extract_main_text
+from .mixing import fit_mixture, labelled_documents, mixing_rates
 from .neardup import near_duplicates
 from .pseudonyms import EXAMPLE_KEY, pseudonymise
 from .quality import quality_verdicts
@@ -38,6 +40,15 @@ def op3_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
 
 
+def op4_gradient_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return mixing_rates(fit_mixture(docs, labelled_documents(docs, read_table(spark, sf_dir, "labels"))))
+
+
+def op5_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity(docs, toxicity_model(docs, read_table(spark, sf_dir, "labels")))
@@ -55,6 +66,8 @@ QUERIES = {
     "op1_tree_html_text": op1_tree_html_text,
     "op2_minhash_neardup": op2_minhash_neardup,
     "op3_prefix_token_counts": op3_prefix_token_counts,
+    "op4_gradient_mixing": op4_gradient_mixing,
+    "op5_cgk_decontamination": op5_cgk_decontamination,
     "op6_nnpu_toxicity": op6_nnpu_toxicity,
     "op7_sstable_token_shards": op7_sstable_token_shards,
     "op8_ngram_llr_quality": op8_ngram_llr_quality,
