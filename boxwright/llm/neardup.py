@@ -7,9 +7,10 @@
 3. In each bucket only a star is compared: its centre, the member with most company over all its buckets, against
    every other member. Pairs pass a length bound and a signature estimate, then the exact sets decide.
 4. What the stars leave open is settled exactly without all pairs. Under a centre with at most ``FEW`` members outside
-   its component, each of those is compared with all of the centre's members. Under others, two sets that reach the
-   limit share a shingle that few of the members have, or else both lie almost whole in the common shingles, which
-   their sizes show: only such pairs are compared. So a large group of copies costs pairs in proportion to its size.
+   its component, each of those is compared with all of the centre's members. Other centres form families by shared
+   members. Two sets of a family that reach the limit share a shingle that few of the family have and its middle lacks,
+   or else both lie almost whole in the other shingles, which their sizes show: only such pairs are compared. So a
+   large group of copies costs pairs in proportion to its size.
 """
 
 from __future__ import annotations
@@ -141,21 +142,31 @@ def _open_pairs(stars: DataFrame, grouped: DataFrame, signed: DataFrame, sets: D
     few = rows.where(F.col("n_open") <= FEW)
     by_few = few.where("open AND x <> c").select("c", "x", "k").join(other(few.where("x <> c")), "c").where("k <> ky")
 
-    many = rows.where(F.col("n_open") > FEW).join(sets.select(F.col("doc_id").alias("x"), "shingles"), "x")
-    each = many.select("c", "x", "k", "open", F.explode("shingles").alias("h"))
-    each = Saved(each.join(each.groupBy("c", "h").agg(F.count("*").alias("df"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.bit_xor(F.xxhash64("x")).alias("who")), ["c", "h"]), "shingles").df
+    # centres that share members make one family, so that each member's shingles are looked at once
+    many = rows.where(F.col("n_open") > FEW)
+    family = connected_components(many.where("c <> x"), "c", "x")
+    own_family = lambda c: family.df.select(F.col("doc_id").alias(c), F.col("component_id").alias("f"))
+    middle = many.select("c", "n").distinct().join(own_family("c"), "c").groupBy("f").agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("m"))
+    members = many.select("x", "k").distinct().join(own_family("x"), "x")
+    settled = middle.join(members.select(F.col("x").alias("m"), F.col("k").alias("km")), "m").join(sets.select(F.col("doc_id").alias("m"), F.col("shingles").alias("usual")), "m").select("f", "km", "usual")
+    members = members.join(settled, "f").join(sets.select(F.col("doc_id").alias("x"), "shingles"), "x")
+    members = members.select("f", "x", "k", (F.col("k") != F.col("km")).alias("open"), F.size("shingles").alias("n"), F.array_except("shingles", "usual").alias("unusual"))
+    members = Saved(members, "members").df
+    each = members.select("f", "x", "k", "open", F.explode("unusual").alias("h"))
+    each = Saved(each.join(each.groupBy("f", "h").agg(F.count("*").alias("df"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.bit_xor(F.xxhash64("x")).alias("who")), ["f", "h"]), "shingles").df
     rare = each.where((F.col("df") <= RARE) & (F.col("lo") < F.col("hi")))
     # shingles of the same members give the same pairs, so one of them stands for all
-    rare = rare.join(rare.groupBy("c", "who", "df").agg(F.min("h").alias("h")).select("c", "h"), ["c", "h"]).select("c", "h", "x", "k", "open")
+    rare = rare.join(rare.groupBy("f", "who", "df").agg(F.min("h").alias("h")).select("f", "h"), ["f", "h"]).select("f", "h", "x", "k", "open")
     rare = Saved(rare.join(signed.select(F.col("doc_id").alias("x"), "n_shingles", "sig"), "x"), "rare").df
-    theirs = rare.select("c", "h", F.col("x").alias("y"), F.col("k").alias("ky"), F.col("n_shingles").alias("ny"), F.col("sig").alias("sy"))
-    by_rare = rare.where("open").join(theirs, ["c", "h"]).where("k <> ky").where(_alike("n_shingles", "ny", "sig", "sy", percent))
-    # without a rare shingle in common, both must have percent / (100 + percent) of the two sizes in common shingles
-    held = Saved(each.groupBy("c", "x", "k", "open").agg(F.count("*").alias("n"), F.count_if(F.col("df") > RARE).alias("i")), "held").df
-    held = held.withColumn("reach", F.floor(F.col("i") * (100 + percent) / F.lit(percent)) - F.col("n"))
-    others = held.select("c", F.col("x").alias("y"), F.col("k").alias("ky"), F.col("n").alias("ny"), F.col("reach").alias("to_y"))
-    least = held.groupBy("c").agg(F.min("n").alias("shortest"))
-    by_size = held.where("open").join(least, "c").where("reach >= shortest").join(others, "c").where("k <> ky AND ny <= reach AND n <= to_y")
+    theirs = rare.select("f", "h", F.col("x").alias("y"), F.col("k").alias("ky"), F.col("n_shingles").alias("ny"), F.col("sig").alias("sy"))
+    by_rare = rare.where("open").join(theirs, ["f", "h"]).where("k <> ky").where(_alike("n_shingles", "ny", "sig", "sy", percent))
+    # without a rare shingle in common, both must have percent / (100 + percent) of the two sizes in other shingles
+    scarce = each.where(F.col("df") <= RARE).groupBy("f", "x").agg(F.count("*").alias("r"))
+    held = members.select("f", "x", "k", "open", "n").join(scarce, ["f", "x"], "left").withColumn("i", F.col("n") - F.coalesce("r", F.lit(0)))
+    held = Saved(held.withColumn("reach", F.floor(F.col("i") * (100 + percent) / F.lit(percent)) - F.col("n")), "held").df
+    others = held.select("f", F.col("x").alias("y"), F.col("k").alias("ky"), F.col("n").alias("ny"), F.col("reach").alias("to_y"))
+    least = held.groupBy("f").agg(F.min("n").alias("shortest"))
+    by_size = held.where("open").join(least, "f").where("reach >= shortest").join(others, "f").where("k <> ky AND ny <= reach AND n <= to_y")
     return pair(by_few).unionByName(pair(by_rare)).unionByName(pair(by_size)).distinct()
 
 
