@@ -18,7 +18,7 @@ from .shared import small_side
 BUCKETS = 1 << 18
 #: In nats a gram: texts like the trusted ones have a mean about 0, texts of other kinds one well below.
 THRESHOLD = -0.25
-SMOOTHING = 1.0
+SMOOTHING = 8.0
 MIN_WORDS = 50
 #: Weights are whole multiples of this, so a text's sum does not depend on the order of its n-grams.
 STEP = 2.0**-20
@@ -52,8 +52,9 @@ def bucket_weights(docs: DataFrame, buckets: int = BUCKETS, smoothing: float = S
     """(bucket, weight) of every bin that occurs; ``docs`` has doc_id, target (true: trusted) and text."""
     counts = ngram_buckets(docs, buckets).groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("target").alias("trusted"))
     totals = counts.agg(F.sum("raw").alias("all_raw"), F.sum("trusted").alias("all_trusted"))
-    share = lambda n, total: (F.col(n) + smoothing) / (F.col(total) + smoothing * buckets)
-    ratio = F.log(share("trusted", "all_trusted") / share("raw", "all_raw"))
+    # the target's pseudo-counts have the raw proportions, so a bin that the target does not single out has weight 0 at any size
+    scale = F.col("all_trusted") / F.col("all_raw")
+    ratio = F.when(F.col("all_trusted") > 0, F.log((F.col("trusted") + smoothing * scale) / ((F.col("raw") + smoothing) * scale))).otherwise(0.0)
     return counts.join(F.broadcast(totals)).select("bucket", F.round(ratio / STEP).cast("long").alias("weight"))
 
 
