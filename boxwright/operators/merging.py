@@ -5,6 +5,8 @@ Each image (and class) is one small group that Spark shuffles; the kernels are n
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,6 +15,27 @@ from pyspark.sql import functions as F
 MERGED = "image_id long, code long, keep_idx long, n_merged long, x1 double, y1 double, x2 double, y2 double, conf double"
 
 
+def grouped_map(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
+    """``kernel`` over each group of neighbouring rows, many groups a batch; only the last group of a batch is carried over."""
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carried: pd.DataFrame | None = None
+        for batch in batches:
+            rows = batch if carried is None else pd.concat((carried, batch), ignore_index=True)
+            if not len(rows):
+                continue
+            values = rows[keys].to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], (values[1:] != values[:-1]).any(1))))
+            if len(starts) > 1:
+                yield pd.DataFrame([r for a, b in zip(starts[:-1], starts[1:], strict=True) for r in kernel(rows.iloc[a:b])], columns=names)
+            carried = rows.iloc[starts[-1] :]
+        if carried is not None:
+            yield pd.DataFrame(kernel(carried), columns=names)
+
+    return df.repartition(keys[0]).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 def _overlap(boxes: np.ndarray, mode: str) -> np.ndarray:
     b = boxes.astype(np.float32)
     side = np.maximum(0, np.minimum(b[:, None, 2:], b[None, :, 2:]) - np.maximum(b[:, None, :2], b[None, :, :2]))
@@ -57,19 +80,17 @@ def merge_detections(detections: DataFrame, threshold: float = 0.5, mode: str =
     ``keep_idx`` and ``conf`` are the keeper's; ``n_merged`` counts its members. Codes in ``apart`` pass as they are.
     """
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pred_idx")
-        boxes, conf = group[["x1", "y1", "x2", "y2"]].to_numpy(float), group["conf"].to_numpy(float)
-        if group["code"].iloc[0] in apart:
+    def merge(group: pd.DataFrame) -> list[tuple]:
+        boxes, conf, index = group[["x1", "y1", "x2", "y2"]].to_numpy(float), group["conf"].to_numpy(float), group["pred_idx"].to_numpy()
+        image, code = group["image_id"].iat[0], group["code"].iat[0]
+        if code in apart:
             groups = [[i] for i in range(len(group))]
         else:
             groups = greedy_groups(boxes, conf, threshold, mode, highest_first) if greedy else one_hop_groups(boxes, conf, threshold, mode)
-        index = group["pred_idx"].to_numpy()
-        rows = [(group["image_id"].iloc[0], group["code"].iloc[0], index[g[0]], len(g), *boxes[g, :2].min(0), *boxes[g, 2:].max(0), conf[g[0]]) for g in groups]
-        return pd.DataFrame(rows, columns=["image_id", "code", "keep_idx", "n_merged", "x1", "y1", "x2", "y2", "conf"])
+        return [(image, code, index[g[0]], len(g), *boxes[g, :2].min(0), *boxes[g, 2:].max(0), conf[g[0]]) for g in groups]
 
     keyed = detections.select("image_id", "pred_idx", F.coalesce("code", F.lit(-1)).cast("long").alias("code"), *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")), F.coalesce("conf", F.lit(0.4)).alias("conf"))
-    return keyed.groupBy("image_id", "code").applyInPandas(merge, MERGED)
+    return grouped_map(keyed, ["image_id", "code"], ["pred_idx"], merge, MERGED)
 
 
 def _kmeans(points: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
@@ -107,8 +128,7 @@ def fuse_windows(windows: list[list[float]], width: float, height: float, slack:
 def cluster_windows(boxes: DataFrame, images: DataFrame, window: int = 640, count: int = 3, padding: int = 20) -> DataFrame:
     """(image_id, x1, y1, x2, y2): up to ``count`` windows an image around clusters of box centres, fused and set to size."""
 
-    def windows_of(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["x1", "y1", "x2", "y2"])
+    def windows_of(group: pd.DataFrame) -> list[tuple]:
         b, w, h = group[["x1", "y1", "x2", "y2"]].to_numpy(float), float(group["width"].iloc[0]), float(group["height"].iloc[0])
         centres = (b[:, :2] + b[:, 2:]) / 2
         label = _kmeans(centres, min(count, len(np.unique(centres, axis=0))))
@@ -118,10 +138,10 @@ def cluster_windows(boxes: DataFrame, images: DataFrame, window: int = 640, coun
             half_w, half_h = max(window, x2 - x1) / 2, max(window, y2 - y1) / 2
             cx, cy = min(max((x1 + x2) / 2, half_w), max(w - half_w, half_w)), min(max((y1 + y2) / 2, half_h), max(h - half_h, half_h))
             rows.append((group["image_id"].iloc[0], max(0, int(cx - half_w)), max(0, int(cy - half_h)), min(int(w), int(cx + half_w)), min(int(h), int(cy + half_h))))
-        return pd.DataFrame(rows, columns=["image_id", "x1", "y1", "x2", "y2"]).drop_duplicates()
+        return [*dict.fromkeys(rows)]
 
     sized = boxes.select("image_id", "x1", "y1", "x2", "y2").join(images.select("image_id", "width", "height"), "image_id")
-    return sized.groupBy("image_id").applyInPandas(windows_of, "image_id long, x1 long, y1 long, x2 long, y2 long")
+    return grouped_map(sized, ["image_id"], ["x1", "y1", "x2", "y2"], windows_of, "image_id long, x1 long, y1 long, x2 long, y2 long")
 
 
 def greedy_crops(boxes: np.ndarray, width: int, height: int, padding: int = 20, ratio_pct: int = 85, threshold: float = 0.7) -> list[tuple[int, list[int]]]:
@@ -146,11 +166,10 @@ def greedy_crops(boxes: np.ndarray, width: int, height: int, padding: int = 20,
 def crop_plan(labels: DataFrame, images: DataFrame, padding: int = 20, ratio_pct: int = 85, threshold: float = 0.7) -> DataFrame:
     """(image_id, gt_idx, n_covered): the labels of each image that make a crop, in order, and how many labels it holds."""
 
-    def plan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("gt_idx")
+    def plan(group: pd.DataFrame) -> list[tuple]:
         crops = greedy_crops(group[["x1", "y1", "x2", "y2"]].to_numpy(float), int(group["width"].iloc[0]), int(group["height"].iloc[0]), padding, ratio_pct, threshold)
         index = group["gt_idx"].to_numpy()
-        return pd.DataFrame([(group["image_id"].iloc[0], index[i], len(held)) for i, held in crops], columns=["image_id", "gt_idx", "n_covered"])
+        return [(group["image_id"].iat[0], index[i], len(held)) for i, held in crops]
 
     sized = labels.select("image_id", "gt_idx", "x1", "y1", "x2", "y2").join(images.select("image_id", "width", "height"), "image_id")
-    return sized.groupBy("image_id").applyInPandas(plan, "image_id long, gt_idx long, n_covered long")
+    return grouped_map(sized, ["image_id"], ["gt_idx"], plan, "image_id long, gt_idx long, n_covered long")
