@@ -25,8 +25,8 @@ _COCO = "images array<struct<id:long,file_name:string,height:int,width:int>>, an
 
 def read_files(spark: SparkSession, pattern: str, recursive: bool = False) -> DataFrame:
     """(path, value) of whole text files."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive)
-    return reader.text(pattern).select(F.col("_metadata.file_path").alias("path"), "value")
+    reader = spark.read.option("recursiveFileLookup", recursive)
+    return reader.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def read_names(path: str) -> dict[int, str]:
