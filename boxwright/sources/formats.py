@@ -59,12 +59,15 @@ def from_labelme(files: DataFrame) -> DataFrame:
 
 
 def from_yolo(files: DataFrame, names: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``names`` has cls_id and label; ``sizes`` image_id, width and height. An id without a name is its own label."""
+    """``names`` has cls_id and label; ``sizes`` image_id, width and height, a row an image, with or without a label file.
+
+    An id without a name is its own label.
+    """
     lines = files.select(stem(F.col("path")).alias("image_id"), F.posexplode_outer(F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(F.translate(x, "\r\t", "  "))), lambda x: x != "")).alias("ann_idx", "line"))
     parts = lines.withColumn("v", F.split("line", r"\s+")).withColumn("n", F.transform(F.slice("v", 2, F.size("v")), lambda x: x.cast("double")))
     odd = F.size("n") % 2 == 1
     rows = parts.select("image_id", "ann_idx", F.col("v")[0].cast("long").alias("cls_id"), F.when(odd, F.slice("n", 1, F.size("n") - 1)).otherwise(F.col("n")).alias("n"), F.when(F.col("line").isNotNull(), F.when(odd, F.element_at("n", -1)).otherwise(1.0)).alias("score"))
-    rows = rows.join(sizes.select("image_id", "width", "height"), "image_id").join(F.broadcast(names), "cls_id", "left")
+    rows = sizes.select("image_id", "width", "height").join(rows, "image_id", "left").join(F.broadcast(names), "cls_id", "left")
     n, rectangle = F.col("n"), F.size("n") == 4
     flat = box_points(yolo_denormalize(n[0], n[1], n[2], n[3], F.col("width"), F.col("height")))
     polygon = F.transform(pairs_of(n), lambda p: F.array(p[0] * F.col("width"), p[1] * F.col("height")))
