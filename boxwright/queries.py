@@ -42,7 +42,11 @@ def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.join(p, "image_id")
 
 
-A, P = B.box("a_"), B.box("b_")
+
+def _sides() -> tuple[B.Box, B.Box]:
+    return B.box("a_"), B.box("b_")
+
+
 VIEWS = "WITH " + BOXES_SQL
 PAIRED = VIEWS + """, j AS (SELECT g.image_id, g.gt_idx, p.pred_idx, g.cls AS gcls, p.cls AS pcls, g.difficult, g.x1 AS ax1, g.y1 AS ay1, g.x2 AS ax2, g.y2 AS ay2, p.x1 AS bx1, p.y1 AS by1, p.x2 AS bx2, p.y2 AS by2,
   greatest(0, least(g.x2,p.x2)-greatest(g.x1,p.x1)) * greatest(0, least(g.y2,p.y2)-greatest(g.y1,p.y1)) AS inter,
@@ -67,23 +71,27 @@ def box_area_valid(spark, sf_dir):
 
 @query(PAIRED + " SELECT image_id, gt_idx, pred_idx, greatest(ax1,bx1) AS x1, greatest(ay1,by1) AS y1, least(ax2,bx2) AS x2, least(ay2,by2) AS y2, inter AS area FROM j WHERE inter > 0")
 def box_intersection(spark, sf_dir):
-    cut, area = B.inter_box(A, P)
+    a, p = _sides()
+    cut, area = B.inter_box(a, p)
     return _joined(spark, sf_dir).select("image_id", "gt_idx", "pred_idx", *cut.fields(), area.cast("long").alias("area")).where("area > 0")
 
 
 @query(PAIRED + " SELECT image_id, gt_idx, pred_idx, round(CAST(inter AS DOUBLE)/(ga+pa-inter), 6) AS iou FROM j WHERE inter > 0")
 def box_iou_pairs(spark, sf_dir):
-    return _joined(spark, sf_dir).where(B.inter_area(A, P) > 0).select("image_id", "gt_idx", "pred_idx", _r(B.iou(A, P)).alias("iou"))
+    a, p = _sides()
+    return _joined(spark, sf_dir).where(B.inter_area(a, p) > 0).select("image_id", "gt_idx", "pred_idx", _r(B.iou(a, p)).alias("iou"))
 
 
 @query(PAIRED + " SELECT image_id, gt_idx, pred_idx, round(CAST(inter AS DOUBLE)/(CAST(ga+pa-inter AS DOUBLE)+1e-7), 6) AS iou FROM j WHERE gcls = pcls")
 def box_iou_eps_pairs(spark, sf_dir):
-    return _joined(spark, sf_dir).where("gcls = pcls").select("image_id", "gt_idx", "pred_idx", _r(B.iou(A, P, 1e-7)).alias("iou"))
+    a, p = _sides()
+    return _joined(spark, sf_dir).where("gcls = pcls").select("image_id", "gt_idx", "pred_idx", _r(B.iou(a, p, 1e-7)).alias("iou"))
 
 
 @query(PAIRED + " SELECT image_id, gt_idx, pred_idx, round(CAST(inter AS DOUBLE)/ga, 6) AS ios_gt, round(CAST(inter AS DOUBLE)/pa, 6) AS ios_pred FROM j WHERE inter > 0")
 def box_ios_double(spark, sf_dir):
-    return _joined(spark, sf_dir).where(B.inter_area(A, P) > 0).select("image_id", "gt_idx", "pred_idx", _r(B.ios(A, P)).alias("ios_gt"), _r(B.ios(P, A)).alias("ios_pred"))
+    a, p = _sides()
+    return _joined(spark, sf_dir).where(B.inter_area(a, p) > 0).select("image_id", "gt_idx", "pred_idx", _r(B.ios(a, p)).alias("ios_gt"), _r(B.ios(p, a)).alias("ios_pred"))
 
 
 @query(VIEWS + """, c AS (SELECT image_id, gt_idx, (x1+x2)//2 AS x, (y1+y2)//2 AS y, x2-x1 AS w, y2-y1 AS h FROM gt)
@@ -97,10 +105,11 @@ def box_xywh_xyxy(spark, sf_dir):
 @query(PAIRED + """, r AS (SELECT *, least(greatest(ax1-bx1,0),bx2-bx1) AS r1, least(greatest(ay1-by1,0),by2-by1) AS r2, least(greatest(ax2-bx1,0),bx2-bx1) AS r3, least(greatest(ay2-by1,0),by2-by1) AS r4 FROM j WHERE inter > 0)
  SELECT image_id, gt_idx, pred_idx, r1 AS rel_x1, r2 AS rel_y1, r3 AS rel_x2, r4 AS rel_y2, bx1+r1 AS abs_x1, by1+r2 AS abs_y1, bx1+r3 AS abs_x2, by1+r4 AS abs_y2 FROM r""")
 def box_rel_abs(spark, sf_dir):
-    rel = B.rel_box(P, A)
-    back = B.abs_box(P, rel)
+    a, p = _sides()
+    rel = B.rel_box(p, a)
+    back = B.abs_box(p, rel)
     named = [c.alias(f"{k}_{n}") for k, b in (("rel", rel), ("abs", back)) for n, c in zip(B.Box._fields, b, strict=True)]
-    return _joined(spark, sf_dir).where(B.inter_area(A, P) > 0).select("image_id", "gt_idx", "pred_idx", *named)
+    return _joined(spark, sf_dir).where(B.inter_area(a, p) > 0).select("image_id", "gt_idx", "pred_idx", *named)
 
 
 _ROTATED = VIEWS + """, c AS (SELECT image_id, gt_idx, CAST(x1 AS DOUBLE) AS ax, CAST(y1 AS DOUBLE) AS ay, CAST(x2 AS DOUBLE) AS bx, CAST(y1 + gt_idx % 7 AS DOUBLE) AS by_, CAST(x2 - gt_idx % 7 AS DOUBLE) AS cx, CAST(y2 AS DOUBLE) AS cy FROM gt),
