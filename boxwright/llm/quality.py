@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_side
+from .shared import Saved, small_side
 
 BUCKETS = 1 << 18
 #: In nats a gram: texts like the trusted ones have a mean about 0, texts of other kinds one well below.
@@ -50,7 +50,7 @@ def ngram_buckets(docs: DataFrame, buckets: int) -> DataFrame:
 
 def bucket_weights(docs: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
     """(bucket, weight) of every bin that occurs; ``docs`` has doc_id, target (true: trusted) and text."""
-    counts = ngram_buckets(docs, buckets).groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("target").alias("trusted"))
+    counts = Saved(ngram_buckets(docs, buckets).groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("target").alias("trusted")), "counts").df
     totals = counts.agg(F.sum("raw").alias("all_raw"), F.sum("trusted").alias("all_trusted"))
     # the target's pseudo-counts have the raw proportions, so a bin that the target does not single out has weight 0 at any size
     scale = F.col("all_trusted") / F.col("all_raw")
