@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at; a single longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 #: Tables of identifiers up to this many rows are broadcast (16 bytes each); longer ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -29,7 +29,7 @@ def _local_folder() -> str:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or _local_folder()).rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or _local_folder()).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
@@ -74,6 +74,7 @@ def text_steps(batch: pa.RecordBatch, column: str = "text", most: int = STEP_BYT
         stop = max(row + 1, int(np.searchsorted(total, before + most, "right")))
         yield batch.slice(row, stop - row)
         row = stop
+    pa.default_memory_pool().release_unused()
 
 
 def small_side(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
