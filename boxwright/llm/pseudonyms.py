@@ -5,7 +5,9 @@ symbols run through a keyed Feistel network over their own domain, and the resul
 and letter case of the original; check digits are computed anew. The network is a permutation of the domain, so equal
 values get equal pseudonyms in every document, different ones stay different, and the key owner can invert it. Where a
 domain has invalid members, the network is walked until it meets a valid one, which is a permutation of the valid ones.
-Values that fail validation (a card number whose check digit is wrong, an octet over 255) are left alone.
+Values that fail validation (a card number whose check digit is wrong, an octet over 255) are left alone. Card numbers and
+IBANs have several lengths, so what follows one may look like more of it: each shorter stretch that ends between two
+groups is tried too, the longest first (an IBAN's own country's length before all).
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ _CANDIDATES = re.compile(
     r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))"
     r"|(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![\w+(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![\w-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]|\.[0-9]))"
+    r"|(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?!\w|-(?![0-9])|\.[0-9]))"
 )
+#: Lengths of IBANs by country.
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20".split()}
 
 
 class Feistel:
@@ -183,23 +187,36 @@ def _secret(f: Feistel, text: str) -> str | None:
 _KINDS = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "phone": _phone, "ssn": _ssn, "card": _card}
 
 
+def _stretches(kind: str, value: str) -> list[str]:
+    """What may be the value at a candidate's start: the candidate, and for cards and IBANs its whole first groups, longest first."""
+    if kind not in ("iban", "card"):
+        return [value]
+    found = [value, *(value[: m.start()] for m in reversed([*re.finditer("[ -]", value)]))]
+    if kind == "iban":
+        usual = IBAN_LENGTHS.get(value[:2])
+        found.sort(key=lambda x: len(x.replace(" ", "")) != usual)
+    return found
+
+
 def pseudonymised(f: Feistel, text: str) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and kind, start and end (in the original) of each replaced value."""
     if not _HINT.search(text):
         return text, []
     parts, spans, at, search = [], [], 0, 0
     while match := _CANDIDATES.search(text, search):
-        kind, value = match.lastgroup, match.group()
-        pseudonym = f.known.get((kind, value)) or _KINDS[kind](f, value)
-        if pseudonym is None:
-            search = match.start() + max(1, re.match(r"\w*", value).end())
+        kind = match.lastgroup
+        for value in _stretches(kind, match.group()):
+            if pseudonym := f.known.get((kind, value)) or _KINDS[kind](f, value):
+                break
+        else:
+            search = match.start() + max(1, re.match(r"\w*", match.group()).end())
             continue
         if len(f.known) > 200_000:
             f.known.clear()
         f.known[kind, value] = pseudonym
         parts += [text[at : match.start()], pseudonym]
-        spans.append((kind, match.start(), match.end()))
-        at = search = match.end()
+        at = search = match.start() + len(value)
+        spans.append((kind, match.start(), at))
     return "".join([*parts, text[at:]]), spans
 
 

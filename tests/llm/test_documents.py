@@ -256,6 +256,22 @@ def test_pseudonyms(docs, empty):
     assert pseudonyms.pseudonymise(docs, b"k").count() == len(ROWS) and pseudonyms.pseudonymise(empty, b"k").count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "value"),
+    [
+        ("4111 1111 1111 1111 12/27", "card", "4111 1111 1111 1111"),
+        ("4111111111111111 123", "card", "4111111111111111"),
+        ("4111-1111-1111-1111-1234", "card", "4111-1111-1111-1111"),
+        ("DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "iban", "DE89 3704 0044 0532 0130 00"),
+        ("GB29NWBK60161331926819 OR", "iban", "GB29NWBK60161331926819"),
+    ],
+)
+def test_pseudonyms_before_more(text, kind, value):
+    """A value followed by more digits or capitals."""
+    new, spans = pseudonyms.pseudonymised(pseudonyms.Feistel(b"k"), "pay " + text)
+    assert spans == [(kind, 4, 4 + len(value))] and value not in new and new.endswith(text[len(value) :]) and len(new) == 4 + len(text)
+
+
 def test_compaction(docs, empty):
     table = compaction.compacted(docs)
     assert Counter(map(tuple, table.read().select(*docs.columns).collect())) == Counter(map(tuple, docs.collect()))
