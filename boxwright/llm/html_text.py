@@ -25,18 +25,21 @@ from pyspark.sql import DataFrame
 from .boosting import Trees, fit_trees, log_odds
 from .shared import text_steps
 
-#: Fixed values of HTML: elements that break a line of text, that hold no text, that end no earlier than the page, and whose start ends an open one.
+#: Fixed values of HTML: elements that break a line of text, whose content is raw text, that hold no article text, that have no content, and whose start ends an open one.
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
-RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template svg math object canvas audio video select button head".split())
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+SKIPPED = frozenset("noscript template svg math object canvas audio video select button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "option": {"option"}}
 _SCOPES = frozenset("table ul ol dl td th tr div section article body".split())
 _ENDS_P = BLOCKS - {"html", "body", "tr", "td", "th", "tbody", "thead", "tfoot"}
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>", re.S)
+#: Quotes hold a '>' only where they begin a value; a tag that has no end that way ends at its first '>'.
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?>\"[^\"]*\"|'[^']*'|[^\s>]*))*+(?=>)|[^>]*)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _PART = re.compile(r"[a-z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
 _RAW_END = {name: re.compile(rf"</{name}\s*/?>|</{name}\s[^>]*>", re.I) for name in RAW}
+_SKIPPED_TAG = {name: re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I) for name in SKIPPED}
 TAGS = ("html", "body", "article", "main", "section", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "nav", "header", "footer", "aside", "form", "table", "td", "tr", "blockquote", "pre", "figure", "figcaption", "dl", "dd", "dt", "#text")
 _TAG_ID = {t: i for i, t in enumerate(TAGS)}
 
@@ -65,11 +68,24 @@ def _tokens(attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def _skipped_ends(page: str, tag: str) -> dict[int, int]:
+    """Start of each closed element of this name to its end."""
+    ends, starts = {}, []
+    for match in _SKIPPED_TAG[tag].finditer(page):
+        if not match[1]:
+            if not match[0].endswith("/>"):
+                starts.append(match.start())
+        elif starts:
+            ends[starts.pop()] = match.end()
+    return ends
+
+
 def parse(page: str) -> Node:
     """The tree of blocks. Unclosed, misnested and cut-off markup is closed as browsers mostly do."""
     root = Node("html", (), None)
     at, node, run, linked, anchors = 0, root, [], 0, 0
     open_tags: list[tuple[str, Node]] = []
+    skipped: dict[str, dict[int, int]] = {}
 
     def close_run() -> None:
         nonlocal linked
@@ -108,13 +124,15 @@ def parse(page: str) -> Node:
             tag = start.lower()
             if tag in RAW:
                 if not attributes.endswith("/") or tag in ("script", "style", "title", "textarea"):
-                    if tag == "head":
-                        stop = re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, at)
-                        at = size if not stop else stop.end() if stop.group()[1] == "/" else stop.start()
-                        continue
                     stop = _RAW_END[tag].search(page, at)
                     at = stop.end() if stop else size
                 run.append(" ")
+            elif tag in SKIPPED:  # one that is never closed is no reason to leave out what follows it
+                if not attributes.endswith("/"):
+                    if tag not in skipped:
+                        skipped[tag] = _skipped_ends(page, tag)
+                    at = max(at, skipped[tag].get(match.start(), at))
+                run.append(" ")
             elif tag == "br":
                 run.append(" ")
             elif tag == "a":

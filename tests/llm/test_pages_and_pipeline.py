@@ -4,10 +4,11 @@ import html
 import re
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
 from boxwright.llm.boosting import log_odds
-from boxwright.llm.html_text import extract_main_text, layouts, main_texts, model
+from boxwright.llm.html_text import Page, extract_main_text, layouts, main_texts, model, parse
 from boxwright.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -30,6 +31,24 @@ def test_markup():
     assert main_texts([page, None, "", "<nav><a href=x>m</a></nav>"], model()) == ["A & B\nOne bold text <here>.\nTwo words more words follow here.", "", "", ""]
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<html><head><title>T</title><meta charset=utf-8><p>One</p><p>Two</p>", ["One", "Two"]),
+        ("<head><style>p {}</style></head><body><p>One</p><p>Two</p>", ["One", "Two"]),
+        ("<p data-note=it's>Text one</p><p>We don't stop.</p>", ["Text one", "We don't stop."]),
+        ('<div class="a""><p>Article</p><p>"more"</p></div>', ["Article", '"more"']),
+        ('<p title="a > b" lang=\'x>y\'>One</p><p title="never closed>Two</p>', ["One", "Two"]),
+        ("<!--><p>One</p><!-- <p>no</p> --><p>Two</p>", ["One", "Two"]),
+        *((f"<p>One</p><{tag}><p>Two</p><{tag}>no</{tag}><p>Three</p>", ["One", "Two", "Three"]) for tag in ("button", "select", "svg", "object", "canvas", "video", "audio", "math", "template", "noscript")),
+        ("<p>One</p><svg><svg>no</svg>no</svg><p>Two</p><script>no", ["One", "Two"]),
+    ],
+)
+def test_markup_keeps_text(page, texts):
+    """Optional tags left out, stray quotes, and elements that are never closed."""
+    assert [n.text for n in Page(parse(page)).nodes if n.text] == texts
+
+
 def test_given_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     texts = {r.page_id: r for r in QUERIES["op1_tree_html_text"](spark, SF).collect()}
