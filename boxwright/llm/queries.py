@@ -12,7 +12,7 @@ from .mixing import fit_mixture, labelled_documents, mixing_rates
 from .neardup import near_duplicates
 from .pseudonyms import EXAMPLE_KEY, pseudonymise
 from .quality import quality_verdicts
-from .shared import read_table
+from .shared import Saved, read_table
 from .sstable import read_shards, write_shards
 from .tokens import LIMIT, prefix_counts
 from .toxicity import toxicity, toxicity_model
@@ -36,8 +36,9 @@ def op8_ngram_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = prefix_counts(read_table(spark, sf_dir, "documents"), keep=False)
-    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
+    stored = Saved(prefix_counts(read_table(spark, sf_dir, "documents"), packed=True).drop("n_tokens"), "prefixes").df
+    n_tokens = F.aggregate("counts", F.lit(0), lambda a, b: a + b).cast("long")  # the last count: the sum of the differences
+    return stored.select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > LIMIT).alias("over_limit"))
 
 
 def op4_gradient_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Token counts by prefix dynamic programming, and cached whole-text encoding, with public tokenizers.
 
 A text is cut where no token can cross, so that the tokens of a text are those of its pieces and each distinct piece
-is encoded once in a batch. ``prefix_counts`` keeps, for every prefix of a text that ends at a cut, the exact number of
-tokens; ``PieceTable`` extends that to every prefix inside a piece. Truncation and budget questions are then look-ups.
+is encoded once in a batch, with each of its own prefixes. ``prefix_counts`` keeps the exact number of tokens of every
+prefix of a text, as the lengths at which it changes. Truncation and budget questions are then look-ups.
 """
 
 from __future__ import annotations
@@ -24,6 +24,9 @@ IDS_MODEL = "word_bpe_49k.json"
 LIMIT = 4096
 #: Distinct pieces that a worker remembers before it starts afresh, and words in each of the two generations that it keeps.
 CACHE, GENERATION = 1_000_000, 300_000
+#: Characters of the remembered pieces, at most; length from which a piece's prefixes are counted by one pass over it;
+#: length up to which prefixes are remembered by themselves, and how many of them and of pairs of tokens.
+CACHE_CHARS, LONG, SHORT, MEMORY = 12_000_000, 48, 4, 200_000
 _UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words of these characters only are cut by _UNIT as the tokenizer cuts them: composed, cased one to one, no spaces.
 _PLAIN = re.compile("[!-;=-~¡-įı-ɏ]+")
@@ -44,7 +47,8 @@ class PieceTable:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.size = {"": 1}
+        self._forget()
+        self.short: dict[str, int] = {}
         self.vocabulary = {self.model.id_to_piece(i): i for i in range(self.model.get_piece_size()) if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i))}
         self.longest = max(map(len, self.vocabulary))
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -60,24 +64,75 @@ class PieceTable:
             return [run[1:] for run in _RUNS.findall(" " + text)]
         return text.split(" ")
 
+    def _forget(self) -> None:
+        """Known pieces: place, and by place the characters, first entry and entries (characters and tokens where the tokens change)."""
+        self.place: dict[str, int] = {}
+        self.chars, self.first, self.offset, self.count = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
     def learn(self, pieces: set[str]) -> None:
-        if len(self.size) > CACHE:
-            self.size = {"": 1}
-        fresh = [p for p in pieces if p not in self.size]
+        if len(self.place) > CACHE or self.chars.sum() > CACHE_CHARS:
+            self._forget()
+        fresh = [p for p in pieces if p not in self.place]
         for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            self.size.update(zip(part, map(len, self.model.encode(part, num_threads=1)), strict=True))
+            self._add(fresh[at : at + 20_000])
+
+    def _add(self, fresh: list[str]) -> None:
+        if len(self.short) > MEMORY:
+            self.short.clear()
+        wanted = {p[:n] for p in fresh if len(p) <= LONG for n in range(1, len(p) + 1)}.difference(self.short)
+        wanted = list(wanted)
+        sizes = dict(zip(wanted, map(len, self.model.encode(wanted, num_threads=1)), strict=True)) if wanted else {}
+        self.short.update((p, n) for p, n in sizes.items() if len(p) <= SHORT)
+        sizes.update(self.short)
+        chars = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        stops = np.cumsum(chars + 1)
+        starts = stops - chars - 1
+        # every piece has 1 token at length 0, its space mark
+        plain = (n for p in fresh for n in ((1, *(sizes[p[:k]] for k in range(1, len(p) + 1))) if len(p) <= LONG else self.inside(p).tolist()))
+        counts = np.fromiter(plain, np.int32, int(stops[-1]))
+        change = np.ones(len(counts), bool)
+        change[1:] = counts[1:] != counts[:-1]
+        change[starts] = True
+        at = np.flatnonzero(change)
+        owner = np.searchsorted(stops, at, "right")
+        self.place.update(zip(fresh, range(len(self.chars), len(self.chars) + len(fresh)), strict=True))
+        self.chars = np.concatenate((self.chars, chars))
+        self.first = np.concatenate((self.first, self.first[-1] + np.searchsorted(at, stops)))
+        self.offset = np.concatenate((self.offset, (at - starts[owner]).astype(np.int32)))
+        self.count = np.concatenate((self.count, counts[at]))
+
+    def tables(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bounds by text, and within them, ascending, the lengths of prefixes at which the tokens change and the tokens from there on."""
+        split = [self.pieces(t) for t in texts]
+        self.learn({p for pieces in split for p in pieces})
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        piece = np.fromiter((self.place[p] for pieces in split for p in pieces), np.int64, int(size.sum()))
+        low, high = self.first[piece], self.first[piece + 1]
+        n, chars, total = high - low, np.cumsum(self.chars[piece] + 1), np.cumsum(self.count[high - 1], dtype=np.int64)
+        chars, total = np.concatenate(([0], chars)), np.concatenate(([0], total))
+        head = np.cumsum(size) - size
+        begin, base = chars[:-1] - np.repeat(chars[head], size), total[:-1] - np.repeat(total[head], size)
+        entry = np.concatenate(([0], np.cumsum(n)))
+        source = np.repeat(low - entry[:-1], n) + np.arange(entry[-1])
+        ends, counts = np.repeat(begin, n) + self.offset[source], np.repeat(base, n) + self.count[source]
+        # a text has no token at length 0: its first piece's mark comes with its first character
+        mark = entry[head[size > 0]]
+        double = mark[(n[head[size > 0]] > 1) & (np.append(ends, 0)[mark + 1] == 1)]
+        ends[mark] = 1
+        bounds = np.concatenate((entry[head], entry[-1:]))
+        kept = np.ones(len(ends), bool)
+        kept[double] = False
+        return bounds - np.searchsorted(double, bounds), ends[kept], counts[kept]
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Characters and tokens of each prefix of ``text`` that ends at a cut, ascending."""
-        pieces = self.pieces(text)
-        self.learn({*pieces})
-        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1) - 1
-        return ends, np.cumsum(np.fromiter(map(self.size.__getitem__, pieces), np.int64, len(pieces)))
+        """Lengths of the prefixes of ``text`` at which their tokens change, ascending, and the tokens from there on."""
+        return self.tables([text])[1:]
 
     def _together(self, a: str, b: str) -> bool:
         """Whether the tokens a and b stay two when they meet, b standing after a."""
         if (a, b) not in self.pairs:
+            if len(self.pairs) > MEMORY:
+                self.pairs.clear()
             self.pairs[a, b] = self._encoded(a + b) == [a, b]
         return self.pairs[a, b]
 
@@ -111,23 +166,15 @@ class PieceTable:
     def at(self, text: str, length: int) -> int:
         """Tokens of the first ``length`` characters of ``text``, from the stored counts of its prefixes."""
         ends, counts = self.counts(text)
-        if length <= 0 or not len(ends):
-            return 0
-        k = int(np.searchsorted(ends, min(length, int(ends[-1])), "left"))
-        begin = int(ends[k - 1]) + 1 if k else 0
-        before = int(counts[k - 1]) if k else 0
-        if length >= ends[k]:
-            return int(counts[k])
-        if length < begin:
-            return before
-        # a space that ends the prefix has begun this piece
-        return before + int(self.inside(self.pieces(text)[k])[length - begin])
+        k = int(np.searchsorted(ends, length, "right"))
+        return int(counts[k - 1]) if k else 0
 
     def fitting(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix that ends at a cut and has at most ``budget`` tokens."""
+        """Characters of the longest prefix that has at most ``budget`` tokens; longer ones can have fewer than shorter ones."""
         ends, counts = self.counts(text)
-        k = int(np.searchsorted(counts, budget, "right"))
-        return int(ends[k - 1]) if k else 0
+        fits = np.flatnonzero(counts <= budget)
+        after = int(fits[-1]) + 1 if len(fits) else 0
+        return int(ends[after]) - 1 if after < len(ends) else len(text)
 
 
 _TABLES: dict[str, PieceTable] = {}
@@ -139,36 +186,63 @@ def piece_table(path: str) -> PieceTable:
     return _TABLES[path]
 
 
-def _counting(path: str, keep: bool):
+def _differences(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Each value less the one before it in its text; the first of a text stays."""
+    out = np.diff(values, prepend=0)
+    first = bounds[:-1][bounds[1:] > bounds[:-1]]
+    out[first] = values[first]
+    return out
+
+
+def _counting(path: str, keep: bool, packed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(path)
         for batch in batches:
             for step in text_steps(batch):
                 texts = pc.fill_null(step.column("text"), "").to_pylist()
-                table.learn({p for text in texts for p in table.pieces(text)})
-                found = [table.counts(text) for text in texts]
-                columns = [step.column("doc_id").cast(pa.int64()), pa.array([int(c[-1]) if len(c) else 0 for _, c in found], pa.int64())]
+                bounds, ends, counts = table.tables(texts)
+                n_tokens = np.append(0, counts)[bounds[1:]] * (bounds[1:] > bounds[:-1])
+                columns = [step.column("doc_id").cast(pa.int64()), pa.array(n_tokens, pa.int64())]
+                if packed:
+                    ends, counts = (_differences(part, bounds) for part in (ends, counts))
                 if keep:
-                    columns += [pa.array([part[k] for part in found], pa.list_(pa.int64())) for k in (0, 1)]
+                    columns += [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(part, pa.int32())) for part in (ends, counts)]
                 yield pa.record_batch([*columns, pc.cast(pc.binary_length(pc.fill_null(step.column("text"), "")), pa.int64())], names=["doc_id", "n_tokens", "ends", "counts", "n_bytes"] if keep else ["doc_id", "n_tokens", "n_bytes"])
 
     return run
 
 
-def prefix_counts(docs: DataFrame, model: str = COUNT_MODEL, keep: bool = True) -> DataFrame:
+def prefix_counts(docs: DataFrame, model: str = COUNT_MODEL, keep: bool = True, packed: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ends, counts, n_bytes) of each row of ``docs`` (doc_id, text; further columns are ignored).
 
-    ``ends`` and ``counts`` are the lengths in characters and the exact token counts of all prefixes that end at a
-    cut; ``n_tokens`` is the last count. Without ``keep`` the two arrays are left out. Null and empty texts have no
+    ``ends`` and ``counts`` hold the exact token counts of all prefixes: the lengths in characters at which the count
+    changes, and the count from each up to the next; ``n_tokens`` is the last count. With ``packed``
+    each entry of both is its difference from the one before, for tables on disk; ``unpacked`` undoes that. Without ``keep`` the two arrays are left out. Null and empty texts have no
     prefix and 0 tokens; each row is counted on its own, whatever its doc_id; an empty table gives an empty result.
     """
     path = public_path(model)
-    arrays = ", ends array<long>, counts array<long>" if keep else ""
-    return docs.select("doc_id", "text").mapInArrow(_counting(path, keep), f"doc_id long, n_tokens long{arrays}, n_bytes long")
+    arrays = ", ends array<int>, counts array<int>" if keep else ""
+    return docs.select("doc_id", "text").mapInArrow(_counting(path, keep, packed), f"doc_id long, n_tokens long{arrays}, n_bytes long")
+
+
+def unpacked(table: DataFrame) -> DataFrame:
+    """A packed table with the lengths and counts themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in ("ends", "counts"):
+                at, lists = batch.schema.get_field_index(name), batch.column(name)
+                bounds, values = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy(zero_copy_only=False)
+                total = np.cumsum(values, dtype=np.int64)
+                before = np.repeat(np.append(0, total)[bounds[:-1]], np.diff(bounds))
+                batch = batch.set_column(at, batch.schema.field(at), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(total - before, pa.int32())).cast(batch.schema.field(at).type))
+            yield batch
+
+    return table.mapInArrow(run, table.schema)
 
 
 def tokens_within(counts: Column | str, ends: Column | str, length: Column | int) -> Column:
-    """Tokens of the longest stored prefix of at most ``length`` characters: a look-up in a kept table."""
+    """Tokens of the first ``length`` characters: a look-up in a kept table."""
     k = F.size(F.filter(F.col(ends) if isinstance(ends, str) else ends, lambda e: e <= length))
     return F.when(k > 0, F.element_at(counts, k)).otherwise(0)
 

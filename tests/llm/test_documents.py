@@ -84,6 +84,25 @@ def test_token_counts(docs, empty):
     assert within == len(model.encode(BASE[:cut]))
 
 
+def test_token_counts_inside_pieces(spark):
+    """Every length of texts whose pieces are long, against the model."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokens.public_path(tokens.COUNT_MODEL))
+    rng = np.random.default_rng(8)
+    texts = ["这是一个没有空格的句子" * 9, "aGVsbG8gd29ybGQ" * 5 + " and  more ", "if(x){return'y'}" * 6, "", " a", "  ", "the\nend \n", *("".join(rng.choice(list("abething é漢\n "), 30)) for _ in range(40))]
+    table = tokens.piece_table(tokens.public_path(tokens.COUNT_MODEL))
+    rows = tokens.prefix_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    packed = tokens.unpacked(tokens.prefix_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), packed=True))
+    assert sorted(packed.collect()) == sorted(rows.collect())
+    within = rows.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(140)), lambda n: tokens.tokens_within("counts", "ends", n)))).collect()
+    for i, text in enumerate(texts):
+        brute = [len(model.encode(text[:n])) for n in range(len(text) + 1)]
+        assert [r.col for r in within if r.doc_id == i][: len(text) + 1] == brute == [table.at(text, n) for n in range(len(text) + 1)]
+        for budget in (0, 1, 5, 20, 999):
+            assert table.fitting(text, budget) == max(n for n, c in enumerate(brute) if c <= budget)
+
+
 def test_shards(spark, docs, empty):
     from tokenizers import Tokenizer
 
