@@ -56,8 +56,10 @@ class PieceTable:
     def pieces(self, text: str) -> list[str]:
         """Runs of spaces with what follows, each without one space, which the model itself puts before a piece.
 
-        No token holds a space after another character, so none crosses a cut. A lone space at the end is ''.
+        No token holds a space after another character, so none crosses a cut. A lone space at the end is ''. The
+        character U+2581 counts as a space: the model has one symbol for both.
         """
+        text = text.replace("▁", " ")
         if text == "":
             return []
         if "  " in text or text[0] == " " or text[-1] == " ":

@@ -90,7 +90,7 @@ def test_token_counts_inside_pieces(spark):
 
     model = sentencepiece.SentencePieceProcessor(model_file=tokens.public_path(tokens.COUNT_MODEL))
     rng = np.random.default_rng(8)
-    texts = ["这是一个没有空格的句子" * 9, "aGVsbG8gd29ybGQ" * 5 + " and  more ", "if(x){return'y'}" * 6, "", " a", "  ", "the\nend \n", *("".join(rng.choice(list("abething é漢\n "), 30)) for _ in range(40))]
+    texts = ["这是一个没有空格的句子" * 9, "aGVsbG8gd29ybGQ" * 5 + " and  more ", "if(x){return'y'}" * 6, "", " a", "  ", "the\nend \n", *("".join(rng.choice(list("abething é漢\n "), 30)) for _ in range(40)), "b▁ ", "▁▁ ▁", *("".join(rng.choice(list("ab ▁"), 9)) for _ in range(40))]
     table = tokens.piece_table(tokens.public_path(tokens.COUNT_MODEL))
     rows = tokens.prefix_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     packed = tokens.unpacked(tokens.prefix_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), packed=True))
