@@ -38,6 +38,8 @@ ITEMS = 20_000
 NEAR = 12
 #: A word that more than this share of the items have (and more than three) is common; pairs of two such say nothing.
 COMMON = 0.05
+#: Bytes a word beyond which an item is placed by runs of GRAM bytes, and the least bytes of such an item: less is no evidence.
+SPARSE, GRAM, LEAST = 12, 5, 24
 _MASK = (1 << 22) - 1
 _FAR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,6 +107,32 @@ def edit_distance(item: bytes, window: bytes, most: int) -> tuple[int, int, int]
     return (int(cost[end]), int(start[end]), end) if cost[end] <= most else None
 
 
+def sparse(n_bytes: int, n_words: int) -> bool:
+    return n_bytes >= LEAST and n_words * SPARSE < n_bytes
+
+
+def gram_keys(data: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from each byte on."""
+    n = max(0, len(data) - GRAM + 1)
+    key = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        key = key << np.uint64(8) | data[k : k + n]
+    return mixed(key)
+
+
+class Places:
+    """Keys of items by place: which item has a key, and where."""
+
+    def __init__(self, found: list[tuple[np.ndarray, int]]):
+        keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in found)])
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.items = np.concatenate([np.zeros(0, np.int64), *(np.full(len(k), i) for k, i in found)])[order]
+        self.offsets = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(k)) for k, _ in found)])[order]
+        self.maybe = np.zeros(_MASK + 1 if found else 0, bool)
+        self.maybe[(self.keys & np.uint64(_MASK)).astype(np.int64)] = True
+
+
 class Index:
     """Word pairs and walk hashes of the items."""
 
@@ -116,7 +144,11 @@ class Index:
         known, n_items = np.unique(np.concatenate([np.unique(h) for h in hashes]), return_counts=True)
         common = known[n_items > max(3, COMMON * len(ids))]
         pairs, items, offsets, needs = [np.zeros(0, np.uint64)], [], [], []
+        self.grams = Places([(gram_keys(np.frombuffer(t, np.uint8)), i) for i, t in enumerate(self.texts) if sparse(len(t), len(hashes[i]))])
         for i, h in enumerate(hashes):
+            if sparse(length := len(self.texts[i]), len(h)):
+                needs.append(max(1, length + 1 - GRAM - GRAM * self.most[i]))  # an edit changes GRAM runs at most
+                continue
             plain = np.isin(h, common)
             keep_all = len(h) - plain.sum() < 4
             taken = 0
@@ -160,6 +192,18 @@ def leaks_of(column: pa.Array, index: Index) -> list[tuple[int, int, int, int, i
         rows.append(row)
         items.append(index.items[entry])
         starts.append(words.starts[word] - index.offsets[entry])
+    if len(index.grams.keys):
+        keys = gram_keys(texts.data)
+        hit = np.flatnonzero(index.grams.maybe[(keys & np.uint64(_MASK)).astype(np.int64)])
+        row = np.searchsorted(texts.bounds, hit, "right") - 1
+        inside = hit + GRAM <= np.asarray(texts.bounds)[row + 1]
+        hit, row = hit[inside], row[inside]
+        lo, hi = np.searchsorted(index.grams.keys, keys[hit], "left"), np.searchsorted(index.grams.keys, keys[hit], "right")
+        n = hi - lo
+        entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        rows.append(np.repeat(row, n))
+        items.append(index.grams.items[entry])
+        starts.append(np.repeat(hit, n) - index.grams.offsets[entry])
     row, item, start = map(np.concatenate, (rows, items, starts))
     order = np.lexsort((start, item, row))
     row, item, start = row[order], item[order], start[order]
@@ -234,11 +278,11 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, max_distance: float = MAX
 
     ``items`` has item_id and text. A passage is a stretch of a text, A-Z lower-cased, within ``max_distance`` of an
     item's length in bytes; start and end are code points of the text. Null texts hold nothing; null, empty and
-    one-word items are found nowhere, as a single word is no evidence. Rows that repeat a doc_id or item_id each count.
+    items of one word below LEAST bytes are found nowhere, as a single word is no evidence. Rows that repeat a doc_id or item_id each count.
     An empty table on either side gives an empty result. Items are sent to the tasks in blocks of ``ITEMS``.
     """
     spark, kind = docs.sparkSession, "doc_id long, item_id long, distance long, start long, end long"
-    usable = Saved(items.where("text IS NOT NULL AND text RLIKE '[^ \\t\\n\\x0B\\f\\r][ \\t\\n\\x0B\\f\\r]+[^ \\t\\n\\x0B\\f\\r]'").select(F.col("item_id").cast("long").alias("item_id"), "text", (F.row_number().over(_by_item()) - 1).alias("place")), "items")
+    usable = Saved(items.where("text IS NOT NULL AND text RLIKE '[^ \\t\\n\\x0B\\f\\r][ \\t\\n\\x0B\\f\\r]+[^ \\t\\n\\x0B\\f\\r]' OR " f"octet_length(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]', '')) >= {LEAST}").select(F.col("item_id").cast("long").alias("item_id"), "text", (F.row_number().over(_by_item()) - 1).alias("place")), "items")
     found = spark.createDataFrame([], kind)
     for block in range(-(-usable.df.count() // ITEMS)):
         rows = usable.df.where((F.col("place") >= block * ITEMS) & (F.col("place") < (block + 1) * ITEMS)).orderBy("place").collect()

@@ -207,6 +207,20 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.benchmark_leaks(empty, table).count() == 0 and decontamination.benchmark_leaks(docs, table.where("false")).count() == 0
 
 
+def test_decontamination_without_spaces(spark):
+    """Unspaced items, exact and edited evenly, and one whose few long words are all edited."""
+    rng = np.random.default_rng(9)
+    han = "".join(chr(int(c)) for c in rng.integers(0x4E00, 0x9000, 60))
+    code = "".join(rng.choice(list("abcdefgh(){};=."), 120))
+    long = " ".join("".join(rng.choice(list("abcdefgh"), 50)) for _ in range(4))
+    near = lambda t, every: "".join("X" if k % every == every - 1 else c for k, c in enumerate(t))
+    items = spark.createDataFrame([(0, han), (1, code), (2, long), (3, "internationalization")], "item_id long, text string")
+    rows = [(1, "前" + han + "后"), (2, "x" + near(han, 12) + "y"), (3, "say:" + code), (4, near(code, 9)), (5, near(long, 12)), (6, "internationalization"), (7, han[:30]), (8, None)]
+    leaks = decontamination.benchmark_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted({(r.doc_id, r.item_id) for r in leaks}) == [(1, 0), (2, 0), (3, 1), (4, 1), (5, 2)]
+    assert next((r.distance, r.start, r.end) for r in leaks if r.doc_id == 1) == (0, 1, 61)
+
+
 def test_edit_distance():
     def brute(a, b):
         row = [0] * (len(b) + 1)
