@@ -15,12 +15,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
-from hashlib import blake2b
+from hashlib import blake2b, shake_256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import text_steps
+from .shared import map_batches, text_steps
 
 #: For tests and the registered query; a deployment passes its own secret.
 EXAMPLE_KEY = b"example key, not a secret"
@@ -31,34 +31,38 @@ _CANDIDATES = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?P<secret>(?<=\")[0-9a-fA-F]{32,}(?=\")|(?<![0-9A-Za-z])(?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{40,}(?![0-9A-Za-z]))"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]){11,30}(?![0-9A-Za-z]))"
-    r"|(?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-]|\.[0-9]))"
-    r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))"
+    r"|(?P<date>(?<![\w/-])(?<![0-9]\.)(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-]|\.[0-9]))"
+    r"|(?P<ip>(?<!\w)(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))"
     r"|(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![\w+(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![\w-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?!\w|-(?![0-9])|\.[0-9]))"
+    r"|(?P<card>(?<!\w)(?<!\w-)(?<![0-9]\.)[0-9](?:[ -]?[0-9]){12,18}(?!\w|-(?![0-9])|\.[0-9]))"
 )
 #: Lengths of IBANs by country.
 IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20".split()}
 
 
 class Feistel:
-    """Keyed permutations of ranges and symbol strings."""
+    """Keyed permutations of ranges and symbol strings; with ``back``, their inverses.
 
-    def __init__(self, key: bytes):
-        self.key = blake2b(key, digest_size=32).digest()
+    Round functions are as wide as the half that they change, so no part of a value of any length stays as it was.
+    """
+
+    def __init__(self, key: bytes, back: bool = False):
+        self.key, self.back = blake2b(key, digest_size=32).digest(), back
+        self.order, self.sign = (range(ROUNDS - 1, -1, -1), -1) if back else (range(ROUNDS), 1)
         self.known: dict[tuple[str, str], str] = {}
 
     def _round(self, tweak: bytes, i: int, value: int) -> int:
-        return int.from_bytes(blake2b(tweak + bytes([i]) + value.to_bytes(64, "big"), key=self.key, digest_size=16).digest(), "big")
+        return int.from_bytes(blake2b(tweak + bytes([i]) + value.to_bytes(8, "big"), key=self.key, digest_size=16).digest(), "big")
 
     def _split(self, value: int, left: int, right: int, tweak: bytes) -> int:
-        """One permutation of range(left * right): halves add keyed functions of each other."""
+        """One permutation of range(left * right), up to 2**64: halves add keyed functions of each other."""
         a, b = divmod(value, right)
-        for i in range(ROUNDS):
+        for i in self.order:
             if i % 2:
-                b = (b + self._round(tweak, i, a)) % right
+                b = (b + self.sign * self._round(tweak, i, a)) % right
             else:
-                a = (a + self._round(tweak, i, b)) % left
+                a = (a + self.sign * self._round(tweak, i, b)) % left
         return a * right + b
 
     def number(self, value: int, size: int, tweak: bytes, valid: Callable[[int], bool] = lambda _: True) -> int:
@@ -73,19 +77,21 @@ class Feistel:
                 return value
 
     def symbols(self, text: str, alphabet: str, tweak: bytes) -> str:
-        """A permutation of the strings of this length over ``alphabet``."""
+        """A permutation of the strings of this length over ``alphabet``: halves add keyed streams of each other, symbol by symbol."""
         base, n = len(alphabet), len(text)
         if not n:
             return ""
-        value = 0
-        for c in text:
-            value = value * base + alphabet.index(c)
-        value = self._split(value, base ** (n // 2), base ** (n - n // 2), tweak + bytes([base, n % 256])) if n > 1 else self.number(value, base, tweak + bytes([base, 1]))
-        out = []
-        for _ in range(n):
-            value, digit = divmod(value, base)
-            out.append(alphabet[digit])
-        return "".join(reversed(out))
+        place = {c: i for i, c in enumerate(alphabet)}
+        if n == 1:
+            return alphabet[self.number(place[text], base, tweak + bytes([base, 1]))]
+        values = [place[c] for c in text]
+        halves = [values[: n // 2], values[n // 2 :]]
+        head = self.key + tweak + bytes([base]) + n.to_bytes(8, "big")
+        for i in self.order:
+            changed, read = i % 2, 1 - i % 2
+            stream = shake_256(head + bytes([i, *halves[read]])).digest(4 * len(halves[changed]))
+            halves[changed] = [(x + self.sign * y) % base for x, y in zip(halves[changed], memoryview(stream).cast("I"), strict=True)]
+        return "".join([alphabet[x] for half in halves for x in half])
 
 
 _DIGITS, _HEX, _LETTERS = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
@@ -174,10 +180,10 @@ def _email(f: Feistel, text: str) -> str | None:
     letters, digits = "".join(c for c in lower if c in _LETTERS), "".join(c for c in lower if c in _DIGITS)
     if not letters and not digits:
         return None
-    # letters and digits are permuted together where each is too short to change by itself
-    mixed = f.symbols(letters, _LETTERS, b"email" + digits.encode())
-    local = _refill(local, mixed, lambda c: c.lower() in _LETTERS)
-    return _refill(local, f.symbols(digits, _DIGITS, b"email"), lambda c: c in _DIGITS) + "@" + domain
+    # the letters' permutation depends on the original digits: names that differ in digits alone share no letters
+    numbers = f.symbols(digits, _DIGITS, b"email")
+    mixed = f.symbols(letters, _LETTERS, b"email" + (numbers if f.back else digits).encode())
+    return _refill(_refill(local, mixed, lambda c: c.lower() in _LETTERS), numbers, lambda c: c in _DIGITS) + "@" + domain
 
 
 def _secret(f: Feistel, text: str) -> str | None:
@@ -213,16 +219,17 @@ def pseudonymised(f: Feistel, text: str) -> tuple[str, list[tuple[str, int, int]
             continue
         if len(f.known) > 200_000:
             f.known.clear()
-        f.known[kind, value] = pseudonym
+        if len(value) < 100:
+            f.known[kind, value] = pseudonym
         parts += [text[at : match.start()], pseudonym]
         at = search = match.start() + len(value)
         spans.append((kind, match.start(), at))
     return "".join([*parts, text[at:]]), spans
 
 
-def _replacing(key: bytes):
+def _replacing(key: bytes, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Feistel(key)
+        f = Feistel(key, back)
         for batch in batches:
             for step in text_steps(batch):
                 done = [(None, []) if t is None else pseudonymised(f, t) for t in step.column("text").to_pylist()]
@@ -239,11 +246,12 @@ def _replacing(key: bytes):
     return run
 
 
-def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     """(doc_id, text, n_replaced, spans) of each row of ``docs`` (doc_id, text; further columns are ignored).
 
     ``spans`` lists kind, start and end (code points of the original) of the replaced values, in order. A null text stays
     null with no spans; texts without valid values come back as they are. Each row is treated on its own, whatever its
-    doc_id; an empty table gives an empty result.
+    doc_id; an empty table gives an empty result. Values may have any length. With ``back`` the key owner turns
+    pseudonyms into the originals: they are of the same formats, so the same places are found.
     """
-    return docs.select("doc_id", "text").mapInArrow(_replacing(key), "doc_id long, text string, n_replaced long, spans array<struct<kind string, start long, end long>>")
+    return map_batches(docs.select("doc_id", "text"), _replacing(key, back), "doc_id long, text string, n_replaced long, spans array<struct<kind string, start long, end long>>")
