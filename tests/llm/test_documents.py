@@ -221,6 +221,50 @@ def test_decontamination_without_spaces(spark):
     assert next((r.distance, r.start, r.end) for r in leaks if r.doc_id == 1) == (0, 1, 61)
 
 
+@pytest.mark.parametrize("edit", ["substitutions", "any", "third words", "fourth words"])
+def test_decontamination_recall(edit):
+    """Edited items inside other text: at least nine of ten of those that a brute force over all alignments finds."""
+    rng = np.random.default_rng(12)
+    letters = "etaoinshrdlu"
+    word = lambda: "".join(rng.choice(list(letters), int(rng.integers(2, 10))))
+    vocabulary = [word() for _ in range(1500)]
+    items = [" ".join(rng.choice(vocabulary, int(rng.integers(20, 45)))) for _ in range(50)]
+
+    def edited(text):
+        c, n = list(text), int(0.14 * len(text))
+        if edit == "substitutions":
+            for p in rng.choice(len(c), n, replace=False):
+                c[p] = "q"
+        elif edit == "any":
+            for _ in range(n):
+                p, kind = int(rng.integers(0, len(c))), int(rng.integers(0, 3))
+                c[p : p + (kind > 0)] = ["z"] * (kind < 2)
+        else:
+            w = text.split(" ")
+            for i in range(len(w)):
+                if i % (3 if edit == "third words" else 4):
+                    at = int(rng.integers(0, len(w[i])))
+                    w[i] = w[i][:at] + "x" + w[i][at + 1 :]
+            return " ".join(w)
+        return "".join(c)
+
+    index = decontamination.Index(list(range(len(items))), items, decontamination.MAX_DISTANCE)
+    texts = [" ".join(rng.choice(vocabulary, 60)) + " " + edited(t) + " " + " ".join(rng.choice(vocabulary, 60)) for t in items]
+    near = {i for i, t in enumerate(texts) if decontamination.edit_distance(items[i].encode(), t.encode(), index.most[i])}
+    leaks = decontamination.leaks_of(pa.array(texts), index)
+    assert len(near) > 25 and len({r for r, i, *_ in leaks if r == i} & near) >= 0.9 * len(near)
+    assert all(decontamination.edit_distance(items[i].encode(), texts[r].encode(), index.most[i])[0] == d for r, i, d, *_ in leaks)
+
+
+def test_decontamination_long_items():
+    """Items of 5,600 bytes, and one item among texts of any length."""
+    rng = np.random.default_rng(13)
+    long = " ".join("".join(rng.choice(list("abcdefgh"), 7)) for _ in range(700))
+    index = decontamination.Index([0, 1], [long, "an item of only a few words"], 0.15)
+    texts = pa.array(["x " + long.replace("abc", "abd"), "here is an item of only a few words again", long[:2500], None, ""])
+    assert {(r, i) for r, i, *_ in decontamination.leaks_of(texts, index)} == {(0, 0), (1, 1)}
+
+
 def test_edit_distance():
     def brute(a, b):
         row = [0] * (len(b) + 1)
@@ -240,7 +284,7 @@ def test_edit_distance():
 def test_cgk_recall():
     """Windows within the distance share a hash with their item."""
     rng, caught = np.random.default_rng(6), 0
-    walk = decontamination.walks(200)
+    walk = decontamination.walks()
     for _ in range(100):
         item = bytearray(rng.integers(97, 122, 180).astype(np.uint8))
         other = bytearray(item)
