@@ -2,9 +2,10 @@
 
 Only confirmed toxic texts carry a label. With the class prior p, the risk of calling unlabelled text clean is
 ``mean over unlabelled - p * mean over positives``, which the empirical form can drive below zero; non-negative
-PU learning turns the gradient round while it is negative. Training sees a bounded sample (POSITIVES, UNLABELLED), the
-features are chosen from it by counts that Spark aggregates, and every whole text is scored in one pass without a
-shuffle.
+PU learning turns the gradient round while it is negative. Training sees a bounded sample of the rows of the label table
+(at most POSITIVES toxic ones, and at most UNLABELLED of all of them, whose labels are then not looked at, so that the
+prior is the toxic share of just these), the features are chosen from it by counts that Spark aggregates, and every
+whole text is scored in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Saved, text_steps
+from .shared import Saved, map_batches, text_steps
 from .words import hashes_of, mixed, texts_of, words_of
 
 #: Bounds of the training sample (documents), of the counted features, and of the features that the model keeps.
-POSITIVES, UNLABELLED, CANDIDATES, FEATURES = 4_000, 8_000, 20_000, 1_024
+POSITIVES, UNLABELLED, CANDIDATES, FEATURES = 4_000, 12_000, 20_000, 1_024
 #: How many times likelier a feature must be among positives than among negatives.
 LEAST_RATIO = 4
 PREFIXES = range(3, 10)
@@ -142,17 +143,17 @@ def train(docs: DataFrame, positives: DataFrame, unlabelled: DataFrame, prior: f
     if not n_pos or not n_unl:
         sample.drop()
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
-    counts = sample.df.where("positive").mapInArrow(_document_frequency, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    counts = map_batches(sample.df.where("positive"), _document_frequency, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= max(2, n_pos // 200)).orderBy(F.desc("n"), "feature").limit(CANDIDATES).toPandas()
     keys = top["feature"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     keys, in_pos = keys[order], top["n"].to_numpy()[order]
-    seen = sample.df.where("unlabelled").mapInArrow(_presence(keys), "positive boolean, unlabelled boolean, features array<int>")
+    seen = map_batches(sample.df.where("unlabelled"), _presence(keys), "positive boolean, unlabelled boolean, features array<int>")
     seen = seen.select(F.explode("features").alias("i")).groupBy("i").count().toPandas()
     in_unl = np.zeros(len(keys))
     in_unl[seen["i"].to_numpy(np.int64)] = seen["count"].to_numpy()
     keys = choose_features(keys, in_pos, in_unl, n_pos, n_unl, prior, FEATURES)
-    rows = sample.df.mapInArrow(_presence(keys), "positive boolean, unlabelled boolean, features array<int>").toPandas()
+    rows = map_batches(sample.df, _presence(keys), "positive boolean, unlabelled boolean, features array<int>").toPandas()
     sample.drop()
     x = np.zeros((len(rows), len(keys)), np.float32)
     sizes = np.array([len(f) for f in rows["features"]], np.int64)
@@ -188,7 +189,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> Model:
     """
     seen = labels.where(~held_out("doc_id") & F.col("toxic").isNotNull()).select("doc_id", "toxic")
     prior = seen.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    return train(docs, seen.where("toxic = 1"), docs.where(~held_out("doc_id")), 0.1 if prior is None else prior)
+    return train(docs, seen.where("toxic = 1"), seen, 0.1 if prior is None else prior)
 
 
 def toxicity(docs: DataFrame, model: Model, cut: float = PREDICTED_FROM) -> DataFrame:
@@ -197,7 +198,7 @@ def toxicity(docs: DataFrame, model: Model, cut: float = PREDICTED_FROM) -> Data
     Null, empty and blank texts get the score of a text without features. Equal texts get equal scores. An empty
     table gives an empty result.
     """
-    scored = docs.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(_scores(model), "doc_id long, held_out boolean, score double")
+    scored = map_batches(docs.select("doc_id", held_out("doc_id").alias("held_out"), "text"), _scores(model), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
@@ -214,4 +215,4 @@ def _accepting(model: Model, cut: float):
 
 def accepted(docs: DataFrame, model: Model, cut: float = PREDICTED_FROM) -> DataFrame:
     """The rows of ``docs`` whose score is below the cut, with all their columns, in one pass."""
-    return docs.mapInArrow(_accepting(model, cut), docs.schema)
+    return map_batches(docs, _accepting(model, cut), docs.schema)
