@@ -27,12 +27,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Saved, fresh_path, text_steps
+from .shared import Saved, fresh_path, map_batches, text_steps
 from .tokens import IDS_MODEL, id_cache, public_path
 from .words import mixed
 
 END_ID = 1
 BLOCK_BYTES = 128 << 10
+#: Bytes of ids after which a task begins another shard, so that shards, and the keys that a writer holds, have a size that no table changes.
+SHARD_BYTES = 256 << 20
 BITS_PER_KEY, PROBES = 10, 7
 MAGIC = b"TOKSST01"
 _FOOTER = struct.Struct("<QQQQQQQQIIII8s8x")
@@ -80,7 +82,7 @@ class Writer:
     def __init__(self, sink, width: int, end_id: int):
         self.sink, self.width, self.end_id = sink, width, end_id
         self.block, self.last, self.index, self.keys = bytearray(), b"", [], []
-        self.offset = self.tokens = 0
+        self.offset = self.tokens = self.raw = 0
 
     def add(self, key: bytes, value: bytes) -> None:
         if len(self.block) >= BLOCK_BYTES:
@@ -94,6 +96,7 @@ class Writer:
         self.last = key
         self.keys.append(key)
         self.tokens += len(value) // self.width
+        self.raw += len(value) + 24
 
     def flush(self) -> None:
         if self.block:
@@ -170,15 +173,27 @@ class Shard:
         self.file.close()
 
 
-def _writing(folder: str, model: str, end_id: int):
+_ROWS = "uri string, first_id long, last_id long, n_docs long, n_tokens long"
+_KINDS = pa.schema([("uri", pa.string()), *((c, pa.int64()) for c in ("first_id", "last_id", "n_docs", "n_tokens"))])
+
+
+def _writing(folder: str, model: str, end_id: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, writer, first, last = id_cache(public_path(model)), None, None, None
+        cache, writer, uri, first, last = id_cache(public_path(model)), None, "", None, None
         width = 2 if len(cache.closes) <= 1 << 16 and end_id < 1 << 16 else 4
         end = np.array([end_id], f"<u{width}").tobytes()
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            return pa.RecordBatch.from_pylist([{"uri": uri, "first_id": first, "last_id": last, "n_docs": len(writer.keys), "n_tokens": writer.tokens}], schema=_KINDS)
+
         for batch in batches:
             for step in text_steps(batch):
                 ids = step.column("doc_id").to_pylist()
                 for doc_id, value in zip(ids, cache.encode(pc.fill_null(step.column("text"), "").to_pylist()), strict=True):
+                    if writer is not None and writer.raw >= most:
+                        yield closed()
+                        writer = None
                     if writer is None:
                         uri = f"{folder}/{uuid.uuid4().hex}.sst"  # a task that runs again writes another file; the manifest names one
                         files, path = fs.FileSystem.from_uri(uri)
@@ -189,24 +204,22 @@ def _writing(folder: str, model: str, end_id: int):
                     writer.add(key_of(doc_id), value + end)
                     last = doc_id
         if writer is not None:
-            writer.close()
-            row = {"uri": [uri], "first_id": [first], "last_id": [last], "n_docs": [len(writer.keys)], "n_tokens": [writer.tokens]}
-            yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("uri", pa.string()), *((c, pa.int64()) for c in list(row)[1:])]))
+            yield closed()
 
     return run
 
 
-def write_shards(docs: DataFrame, model: str = IDS_MODEL, end_id: int = END_ID) -> Saved:
+def write_shards(docs: DataFrame, model: str = IDS_MODEL, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> Saved:
     """Write ``docs`` (doc_id, text; further columns are ignored) as shards in the shared folder; returns the manifest.
 
     The manifest has a row a shard: uri, first_id, last_id, n_docs, n_tokens, shard (its place in key order). Null
     texts count as empty and hold the end id only. Rows that repeat a doc_id are all kept, in order of their texts;
-    rows without one come first. An empty table gives no shard.
+    rows without one come first. An empty table gives no shard. A shard ends after ``shard_bytes``, so a task may write many.
     """
     folder = fresh_path(docs.sparkSession, "sst")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = keyed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    written = Saved(ordered.mapInArrow(_writing(folder, model, end_id), "uri string, first_id long, last_id long, n_docs long, n_tokens long"), "shards")
+    written = Saved(map_batches(ordered, _writing(folder, model, end_id, shard_bytes), _ROWS), "shards")
     # one row a shard: a key range of neighbours may repeat a doc_id over its edge, so the file name settles ties
     by_key = Window.orderBy(F.col("first_id").asc_nulls_first(), F.col("last_id").asc_nulls_first(), "uri")
     manifest = Saved(written.df.withColumn("shard", F.row_number().over(by_key) - 1).withColumn("start", F.coalesce(F.sum("n_tokens").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "manifest")
@@ -238,12 +251,23 @@ def _part(rows: list[tuple], start: int, names: list[str], kind: pa.DataType) ->
 def read_shards(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document of the shards; start counts all ids before it."""
     files = manifest.select("uri", "start").repartition(max(1, manifest.count()), "uri")
-    return files.mapInArrow(_reading, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_batches(files, _reading, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def look_up(spark: SparkSession, manifest: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, tokens) of each wanted doc_id: ids meet the shards whose key range holds them, then each shard is searched."""
-    ranged = ids.select("doc_id").join(F.broadcast(manifest.select("uri", "first_id", "last_id")), F.col("doc_id").between(F.coalesce("first_id", F.lit(-_SIGN)), F.coalesce("last_id", F.lit(-_SIGN))))
+    """(doc_id, tokens) of each wanted doc_id: ids meet the shards whose key range holds them, then each shard is searched.
+
+    Key ranges are cut into as many equal strips as there are shards, so a shard and an id meet by the number of a strip.
+    Ranges follow one another, so all of them together touch at most twice as many strips as there are shards.
+    """
+    low, high = F.coalesce("first_id", F.lit(-_SIGN)), F.coalesce("last_id", F.lit(-_SIGN))
+    known = manifest.agg(F.min("first_id"), F.max("last_id"), F.count("*")).first()
+    strip = max(1, ((known[1] or 0) - (known[0] or 0)) // max(1, known[2]) + 1)
+    at = lambda c: F.greatest(F.floor((c - F.lit(known[0] or 0)) / F.lit(strip)), F.lit(-1)).cast("long")
+    number = lambda c: at(F.greatest(c, F.lit((known[0] or 0) - 1)))
+    shards = manifest.select("uri", low.alias("low"), high.alias("high"), F.explode(F.sequence(number(low), number(high))).alias("strip"))
+    wanted = ids.select("doc_id").where("doc_id IS NOT NULL").withColumn("strip", number(F.least(F.col("doc_id"), F.lit((known[1] or 0) + 1))))
+    ranged = wanted.join(shards, "strip").where(F.col("doc_id").between(F.col("low"), F.col("high"))).select("doc_id", "uri")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: tuple[str, Shard] | None = None
@@ -257,4 +281,4 @@ def look_up(spark: SparkSession, manifest: DataFrame, ids: DataFrame) -> DataFra
                     out[1].append(tokens.astype(np.int64))
             yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64()))], names=["doc_id", "tokens"])
 
-    return ranged.repartition("uri").sortWithinPartitions("uri", "doc_id").mapInArrow(search, "doc_id long, tokens array<long>")
+    return map_batches(ranged.repartition("uri").sortWithinPartitions("uri", "doc_id"), search, "doc_id long, tokens array<long>")
