@@ -4,26 +4,32 @@ A table is a folder. ``append`` writes arrivals as small Parquet shards, each ta
 ``compact`` puts shards into size classes (each ``FAN_IN`` times the one before), cuts each class into groups of up to
 the target size, and merges the groups that are worth it, a task a group, streaming batch by batch. Readers see only what
 a manifest lists. A manifest is a Parquet table of shards; it takes effect by the atomic creation of one small file that
-carries the next version number, so of two writers one fails and nothing is half seen. Tasks that run again write other
-file names; ``vacuum`` removes files that the last manifest does not list.
+carries the next version number, so of two writers one fails and nothing is half seen. ``vacuum`` drops old versions and
+the shards that only they list; a shard that no version has listed yet may belong to an arrival that is about to commit,
+so ``sweep``, for what failed tasks left, asks for a grace period.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .shared import fresh_path, remove
+from .shared import Saved, fresh_path, map_batches, remove
 
 SMALL_BYTES, TARGET_BYTES, FAN_IN = 4 << 20, 64 << 20, 4
+#: Versions that stay readable after a merge, and seconds for which an unlisted file may still be committed.
+LIVE, GRACE = 2, 24 * 3600
 _ROWS = "uri string, arrival string, seq long, n_rows long, n_bytes long"
 _KINDS = pa.schema([("uri", pa.string()), ("arrival", pa.string()), ("seq", pa.int64()), ("n_rows", pa.int64()), ("n_bytes", pa.int64())])
 
@@ -107,14 +113,20 @@ class ShardTable:
         if not known:
             return self.spark.createDataFrame([], _ROWS)
         name = f"v{known[-1] if version is None else version:08d}"
-        line = self.spark.read.text(f"{self.folder}/versions/{name}").first()[0]
-        return self.spark.read.schema(_ROWS).parquet(f"{self.folder}/{json.loads(line)['manifest']}")
+        return self.spark.read.schema(_ROWS).parquet(f"{self.folder}/{self._body(name)['manifest']}")
 
-    def commit(self, shards: DataFrame, base: int | None) -> int:
-        """Make ``shards`` the version after ``base`` (None: the first); raises if someone else has made it."""
+    def _body(self, name: str) -> dict:
+        return json.loads(self.spark.read.text(f"{self.folder}/versions/{name}").first()[0])
+
+    def commit(self, shards: DataFrame, base: int | None, schema: StructType | None = None) -> int:
+        """Make ``shards`` the version after ``base`` (None: the first); raises if someone else has made it.
+
+        ``schema`` is that of the rows, by default that of the version before.
+        """
         version, name = 0 if base is None else base + 1, f"manifests/{uuid.uuid4().hex}"
         shards.select("uri", "arrival", "seq", "n_rows", "n_bytes").write.parquet(f"{self.folder}/{name}")
-        body = json.dumps({"version": version, "manifest": name}).encode()
+        rows = schema.jsonValue() if schema else self._body(f"v{base:08d}")["schema"]
+        body = json.dumps({"version": version, "manifest": name, "schema": rows}).encode()
         files, draft = self._fs(f"{self.folder}/drafts/{uuid.uuid4().hex}")
         out = files.create(draft)
         out.write(body)
@@ -135,13 +147,13 @@ class ShardTable:
         """Add an arrival as shards of about ``small`` bytes and commit; returns the version."""
         base, arrival = self._last(), uuid.uuid4().hex
         fresh = fresh_path(self.spark, "appended")
-        rows.mapInArrow(_appending(f"{self.folder}/data", f"{(-1 if base is None else base) + 1:08d}-{arrival}", small), _ROWS).write.parquet(fresh)
-        version = self.commit(self.manifest(base).unionByName(self.spark.read.schema(_ROWS).parquet(fresh)), base)
+        map_batches(rows, _appending(f"{self.folder}/data", f"{(-1 if base is None else base) + 1:08d}-{arrival}", small), _ROWS).write.parquet(fresh)
+        version = self.commit(self.manifest(base).unionByName(self.spark.read.schema(_ROWS).parquet(fresh)), base, rows.schema)
         remove(self.spark, fresh)
         return version
 
-    def compact(self, target: int = TARGET_BYTES, small: int = SMALL_BYTES, fan_in: int = FAN_IN) -> int | None:
-        """Merge until no size class has a group worth merging; each round is one job and one commit."""
+    def compact(self, target: int = TARGET_BYTES, small: int = SMALL_BYTES, fan_in: int = FAN_IN, live: int = LIVE) -> int | None:
+        """Merge until no size class has a group worth merging; each round is one job and one commit, after which ``live`` versions stay."""
         while True:
             base = self._last()
             if base is None:
@@ -161,40 +173,73 @@ class ShardTable:
             if not n:
                 remove(self.spark, plan_path)
                 return base
-            plan.coalesce(1).repartition(n).mapInArrow(_merging(f"{self.folder}/data"), _ROWS).write.parquet(merged_path)
+            map_batches(plan.coalesce(1).repartition(n), _merging(f"{self.folder}/data"), _ROWS).write.parquet(merged_path)
             gone = plan.select(F.explode("uris").alias("uri"))
             self.commit(shards.join(gone, "uri", "left_anti").unionByName(self.spark.read.schema(_ROWS).parquet(merged_path)), base)
             for path in (plan_path, merged_path):
                 remove(self.spark, path)
-            self.vacuum()
+            self.vacuum(live)
+
+    def vacuum(self, live: int = LIVE) -> int:
+        """Forget all but the last ``live`` versions and delete, on the executors, the shards that only forgotten ones list; returns how many.
 
-    def vacuum(self) -> int:
-        """Delete data files that the last manifest does not list, on the executors; no reader of an older version may be left."""
+        A shard that no version lists is left alone: it may belong to an arrival that has not committed yet.
+        """
+        known = self.versions()
+        old, left = known[: -max(1, live)], known[-max(1, live) :]
+        if not old:
+            return 0
+        listed = lambda versions: reduce(DataFrame.unionByName, [self.manifest(v).select("uri") for v in versions]).distinct()
+        gone = Saved(listed(old).join(listed(left), "uri", "left_anti"), "gone")
+        for version in old:  # first no reader finds the version, then its shards go
+            remove(self.spark, f"{self.folder}/versions/v{version:08d}")
+        return self._delete(gone)
+
+    def sweep(self, grace: float = GRACE) -> int:
+        """Delete shards that no version lists and that are older than ``grace`` seconds, longer than any append takes; returns how many."""
         files, target = self._fs(f"{self.folder}/data")
-        if not files.exists(target):
+        if not files.exists(target) or not self.versions():
             return 0
-        listed = self.spark.read.format("binaryFile").load(f"{self.folder}/data").select(F.regexp_extract("path", "[^/]+$", 0).alias("name"))
-        kept = self.manifest().select(F.regexp_extract("uri", "[^/]+$", 0).alias("name"))
-        folder = f"{self.folder}/data"
-
+        name = lambda c: F.regexp_extract(c, "[^/]+$", 0)
+        old = F.col("modificationTime") < F.timestamp_seconds(F.lit(time.time() - grace))
+        found = self.spark.read.format("binaryFile").load(f"{self.folder}/data").where(old).select(name("path").alias("name"))
+        known = reduce(DataFrame.unionByName, [self.manifest(v).select(name("uri").alias("name")) for v in self.versions()])
+        return self._delete(Saved(found.join(known, "name", "left_anti").select(F.concat(F.lit(f"{self.folder}/data/"), "name").alias("uri")), "orphans"))
+
+    @staticmethod
+    def _delete(gone: Saved) -> int:
         def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for name in batch.column("name").to_pylist():
-                    where, path = fs.FileSystem.from_uri(f"{folder}/{name}")
+                for uri in batch.column("uri").to_pylist():
+                    where, path = fs.FileSystem.from_uri(uri)
                     if where.get_file_info(path).type != fs.FileType.NotFound:
                         where.delete_file(path)
                 yield batch
 
-        return listed.join(kept, "name", "left_anti").mapInArrow(delete, "name string").count()
+        n = map_batches(gone.df, delete, "uri string").count()
+        gone.drop()
+        return n
 
     def located(self) -> DataFrame:
         """(doc_id, shard, row, text_crc32) of every row of the last version, read from its shards, which are numbered in order."""
         numbered = self.manifest().select("uri", (F.row_number().over(Window.orderBy("arrival", "seq", "uri")) - 1).cast("long").alias("shard"))
-        return numbered.repartition(max(1, self.manifest().count())).mapInArrow(_locating, "doc_id long, shard long, row long, text_crc32 long")
+        return map_batches(numbered.repartition(max(1, self.manifest().count())), _locating, "doc_id long, shard long, row long, text_crc32 long")
 
-    def read(self) -> DataFrame:
-        """The rows of the last version."""
-        return self.spark.read.parquet(*[r.uri for r in self.manifest().select("uri").toLocalIterator()])
+    def schema(self, version: int | None = None) -> StructType:
+        known = self.versions()
+        return StructType.fromJson(self._body(f"v{known[-1] if version is None else version:08d}")["schema"]) if known else StructType()
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The rows of a version, the last one unless told, read by a task a shard; the driver lists no shard."""
+        shards = self.manifest(version)
+        return map_batches(shards.select("uri").repartition(max(1, shards.count())), _reading, self.schema(version))
+
+
+def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for uri in (u for batch in batches for u in batch.column("uri").to_pylist()):
+        files, path = fs.FileSystem.from_uri(uri)
+        with files.open_input_file(path) as source:
+            yield from pq.ParquetFile(source).iter_batches(1024)
 
 
 def _locating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,13 +255,13 @@ def _locating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compacted(rows: DataFrame, arrivals: int = 1) -> ShardTable:
-    """A new table in the shared folder with ``rows`` appended and compacted.
+    """A new table in the shared folder to which ``rows`` (doc_id and more) come in so many arrivals, dealt by a hash of doc_id, compacted after each.
 
     Every row and column is kept as it is: nulls, repeated rows, empty and long texts. Of an empty table there is a
     version without shards. A single row larger than the target makes a shard of its own.
     """
     table = ShardTable(rows.sparkSession, fresh_path(rows.sparkSession, "compacted"))
-    for part in rows.randomSplit([1.0] * arrivals, 7) if arrivals > 1 else [rows]:
-        table.append(part)
-    table.compact()
+    for k in range(arrivals):
+        table.append(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)) == k) if arrivals > 1 else rows)
+        table.compact()
     return table

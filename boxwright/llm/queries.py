@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .compaction import compacted
 from .decontamination import contaminated
 from .html_text import extract_main_text
-from .mixing import fit_mixture, labelled_documents, mixing_rates
+from .mixing import fit_mixture, labelled_documents, mixing_rates, with_totals
 from .neardup import near_duplicates
 from .pseudonyms import EXAMPLE_KEY, pseudonymise
 from .quality import quality_verdicts
@@ -43,7 +43,8 @@ def op3_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_gradient_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return mixing_rates(fit_mixture(docs, labelled_documents(docs, read_table(spark, sf_dir, "labels"))))
+    mixture = fit_mixture(docs, labelled_documents(docs, read_table(spark, sf_dir, "labels")))
+    return with_totals(mixing_rates(mixture), mixture)
 
 
 def op5_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compacted(read_table(spark, sf_dir, "documents")).located()
+    return compacted(read_table(spark, sf_dir, "documents"), arrivals=3).located()
 
 
 QUERIES = {
