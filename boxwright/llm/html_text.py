@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .boosting import Trees, fit_trees, log_odds
-from .shared import text_steps
+from .shared import map_batches, text_steps
 
 #: Fixed values of HTML: elements that break a line of text, whose content is raw text, that hold no article text, that have no content, and whose start ends an open one.
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -403,4 +403,4 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     Null and empty html, and pages without article text, give '' and 0. Text outside any element counts as a block of
     the page. Rows that repeat a page_id are extracted each on its own; an empty table gives an empty result.
     """
-    return pages.select("page_id", "url", "html").mapInArrow(_extracting(model()), "page_id long, url string, text string, n_chars long")
+    return map_batches(pages.select("page_id", "url", "html"), _extracting(model()), "page_id long, url string, text string, n_chars long")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Saved, small_side, text_steps
+from .shared import Saved, map_batches, small_side, text_steps
 from .words import hashes_of, lowered, mixed, shingles_of, texts_of, words_of
 
 BINS = 512
@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     if percent < 80:
         raise ValueError("links need a similarity of 0.8 or more")
-    every = Saved(docs.select("doc_id", "text").mapInArrow(_sign, _SIGNED), "signed")
+    every = Saved(map_batches(docs.select("doc_id", "text"), _sign, _SIGNED), "signed")
     classes = every.df.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
     reps = Saved(every.df.join(classes.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands", "sig"), "classes")
     buckets = reps.df.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     members = Saved(buckets.join(shared, ["band", "bucket"]), "members")
     company = Saved(members.df.groupBy("doc_id").agg(F.sum("size").alias("company")), "company")
     texts = docs.select("doc_id", "text").join(small_side(company.df.select("doc_id")), "doc_id", "left_semi")
-    sets = Saved(texts.mapInArrow(_sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+    sets = Saved(map_batches(texts, _sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
 
     ranked = members.df.join(company.df, "doc_id")
     centres = ranked.groupBy("band", "bucket").agg(F.max(F.struct("company", -F.col("doc_id"))).alias("top"))

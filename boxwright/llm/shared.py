@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import pyarrow as pa
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at; a single longer text is a step of its own.
 STEP_BYTES = 1 << 20
+#: Bytes of an Arrow batch on its way to a Python worker, at most (and one row). Spark's own bound is 64 MB, and its
+#: buffers double as they grow, so a task could hold several times that outside the heap.
+ARROW_BYTES = 4 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Tables of identifiers up to this many rows are broadcast (16 bytes each); longer ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -28,12 +33,42 @@ def _local_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _local_folder()).rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset and all tasks run in the driver's process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (folder or _local_folder()).rstrip("/")
+
+
+#: Paths made within each open ``scratch``.
+_SCRATCH: list[list[str]] = []
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/boxwright-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/boxwright-{tag}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, what was written to fresh paths within it, but for what ``kept`` takes out."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            remove(spark, path)
+
+
+def kept(saved: Saved) -> Saved:
+    """A table that outlives the innermost ``scratch`` that it was written in; an outer one still has it."""
+    if _SCRATCH and saved.path in _SCRATCH[-1]:
+        _SCRATCH[-1].remove(saved.path)
+        for outer in _SCRATCH[-2:-1]:
+            outer.append(saved.path)
+    return saved
 
 
 class Saved:
@@ -49,6 +84,17 @@ class Saved:
         remove(self.spark, self.path)
 
 
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with batches of ARROW_BYTES at most.
+
+    A plan takes the bound from the session when it runs, which may be after this call, so the session keeps it.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_ARROW, None) or 1 << 40) > ARROW_BYTES:
+        conf.set(_ARROW, str(ARROW_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path by Spark's own file system client, so any store works."""
     jvm = spark.sparkContext._jvm

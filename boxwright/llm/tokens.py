@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_steps
+from .shared import map_batches, text_steps
 
 COUNT_MODEL = "piece_bpe_32k.model"
 IDS_MODEL = "word_bpe_49k.json"
@@ -224,7 +224,7 @@ def prefix_counts(docs: DataFrame, model: str = COUNT_MODEL, keep: bool = True,
     """
     path = public_path(model)
     arrays = ", ends array<int>, counts array<int>" if keep else ""
-    return docs.select("doc_id", "text").mapInArrow(_counting(path, keep, packed), f"doc_id long, n_tokens long{arrays}, n_bytes long")
+    return map_batches(docs.select("doc_id", "text"), _counting(path, keep, packed), f"doc_id long, n_tokens long{arrays}, n_bytes long")
 
 
 def unpacked(table: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def unpacked(table: DataFrame) -> DataFrame:
                 batch = batch.set_column(at, batch.schema.field(at), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(total - before, pa.int32())).cast(batch.schema.field(at).type))
             yield batch
 
-    return table.mapInArrow(run, table.schema)
+    return map_batches(table, run, table.schema)
 
 
 def tokens_within(counts: Column | str, ends: Column | str, length: Column | int) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxwright.llm.decontamination import contaminated
-from boxwright.llm.mixing import fit_mixture, labelled_documents, mixed_documents
+from boxwright.llm.mixing import fit_mixture, forget, labelled_documents, mixed_documents
 from boxwright.llm.neardup import near_duplicates
-from boxwright.llm.shared import Saved, read_table, small_side
+from boxwright.llm.shared import Saved, kept, read_table, scratch, small_side
 from boxwright.llm.sstable import read_shards, write_shards
 from boxwright.llm.toxicity import PREDICTED_FROM, accepted, toxicity_model
 
@@ -34,7 +34,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its fitted rate says, so that domains have their share of tokens."""
-    return mixed_documents(docs, fit_mixture(docs, labelled_documents(docs, read_table(spark, sf_dir, "labels"))))
+    mixture = fit_mixture(docs, labelled_documents(docs, read_table(spark, sf_dir, "labels")))
+    forget(mixture)
+    return mixed_documents(docs, mixture)
 
 
 def write_token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +58,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each result written as Parquet and read again as the next one's documents."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, last = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = Saved(stage(spark, docs, sf_dir), f"stage-{name}").df
+        with scratch(spark):  # what a stage writes for itself goes with it
+            out = kept(Saved(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if last:
+            last.drop()
+        docs, last = out.df, out
     return docs
