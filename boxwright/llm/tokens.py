@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,9 @@ IDS_MODEL = "word_bpe_49k.json"
 LIMIT = 4096
 #: Distinct pieces that a worker remembers before it starts afresh, and words in each of the two generations that it keeps.
 CACHE, GENERATION = 1_000_000, 300_000
-#: Characters of the remembered pieces, at most; length from which a piece's prefixes are counted by one pass over it;
-#: length up to which prefixes are remembered by themselves, and how many of them and of pairs of tokens.
-CACHE_CHARS, LONG, SHORT, MEMORY = 12_000_000, 48, 4, 200_000
+#: Characters of the remembered pieces, at most; length beyond which a piece's prefixes are counted by one pass over it;
+#: how many pairs of tokens are remembered.
+CACHE_CHARS, LONG, MEMORY = 12_000_000, 48, 200_000
 _UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words of these characters only are cut by _UNIT as the tokenizer cuts them: composed, cased one to one, no spaces.
 _PLAIN = re.compile("[!-;=-~¡-įı-ɏ]+")
@@ -48,7 +49,6 @@ class PieceTable:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self._forget()
-        self.short: dict[str, int] = {}
         self.vocabulary = {self.model.id_to_piece(i): i for i in range(self.model.get_piece_size()) if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i))}
         self.longest = max(map(len, self.vocabulary))
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -79,19 +79,32 @@ class PieceTable:
             self._add(fresh[at : at + 20_000])
 
     def _add(self, fresh: list[str]) -> None:
-        if len(self.short) > MEMORY:
-            self.short.clear()
-        wanted = {p[:n] for p in fresh if len(p) <= LONG for n in range(1, len(p) + 1)}.difference(self.short)
-        wanted = list(wanted)
-        sizes = dict(zip(wanted, map(len, self.model.encode(wanted, num_threads=1)), strict=True)) if wanted else {}
-        self.short.update((p, n) for p, n in sizes.items() if len(p) <= SHORT)
-        sizes.update(self.short)
+        """Counts of all prefixes of new pieces. In sorted order a piece shares its first prefixes with the one before it, so each is encoded once."""
+        fresh.sort()
         chars = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        brief = np.flatnonzero(chars <= LONG)
+        pieces, sizes = [fresh[k] for k in brief.tolist()], chars[brief]
+        letters = np.array([p.encode("utf-32-le").ljust(4 * LONG, b"\0") for p in pieces], f"S{4 * LONG}").view(np.uint32).reshape(len(pieces), LONG)
+        shared = np.zeros(len(pieces), np.int64)
+        if len(pieces):
+            differs = np.concatenate((letters[1:] != letters[:-1], np.ones((len(pieces) - 1, 1), bool)), 1)
+            shared[1:] = np.minimum(differs.argmax(1), sizes[:-1])
+        plan = list(zip(pieces, shared.tolist(), sizes.tolist(), strict=True))
+        wanted = [p[:k] for p, low, n in plan for k in range(low + 1, n + 1)]
+        # every piece has 1 token at length 0, its space mark
+        found = np.fromiter(chain((1,), map(len, self.model.encode(wanted, num_threads=1)) if wanted else ()), np.int32, len(wanted) + 1)
+        places, row, after = [], [0], 1
+        for _, low, n in plan:
+            row = [*row[: low + 1], *range(after, after + n - low)]
+            after += n - low
+            places += row
         stops = np.cumsum(chars + 1)
         starts = stops - chars - 1
-        # every piece has 1 token at length 0, its space mark
-        plain = (n for p in fresh for n in ((1, *(sizes[p[:k]] for k in range(1, len(p) + 1))) if len(p) <= LONG else self.inside(p).tolist()))
-        counts = np.fromiter(plain, np.int32, int(stops[-1]))
+        counts = np.empty(int(stops[-1]), np.int32)
+        known = np.ones(len(counts), bool)
+        for k in np.flatnonzero(chars > LONG).tolist():
+            counts[starts[k] : stops[k]], known[starts[k] : stops[k]] = self.inside(fresh[k]), False
+        counts[known] = found[places]
         change = np.ones(len(counts), bool)
         change[1:] = counts[1:] != counts[:-1]
         change[starts] = True
@@ -106,9 +119,9 @@ class PieceTable:
     def tables(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bounds by text, and within them, ascending, the lengths of prefixes at which the tokens change and the tokens from there on."""
         split = [self.pieces(t) for t in texts]
-        self.learn({p for pieces in split for p in pieces})
+        self.learn(set(chain.from_iterable(split)))
         size = np.fromiter(map(len, split), np.int64, len(split))
-        piece = np.fromiter((self.place[p] for pieces in split for p in pieces), np.int64, int(size.sum()))
+        piece = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
         low, high = self.first[piece], self.first[piece + 1]
         n, chars, total = high - low, np.cumsum(self.chars[piece] + 1), np.cumsum(self.count[high - 1], dtype=np.int64)
         chars, total = np.concatenate(([0], chars)), np.concatenate(([0], total))
@@ -266,6 +279,7 @@ class IdCache:
         self.words: dict[str, bytes] = {}
         self.old_units: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
+        self.chars = 0
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -291,10 +305,12 @@ class IdCache:
         return [k for k in keys if k not in old]
 
     def learn(self, words: set[str]) -> None:
-        if len(self.words) > GENERATION:
+        if len(self.words) > GENERATION or self.chars > CACHE_CHARS:
+            self.chars = 0
             self.old_words, self.words = self.words, {}
             self.old_units, self.units = self.units, {}
         fresh = self._recalled([w for w in words if w not in self.words], self.words, self.old_words)
+        self.chars += sum(map(len, fresh))
         plain = [w for w in fresh if _PLAIN.fullmatch(w)]
         units = [_UNIT.findall(w.lower()) for w in plain]
         wanted = [u for u in {u for us in units for u in us} if u not in self.units]
