@@ -161,3 +161,9 @@ def direction(points: Column, mode: str = "semantic_refer") -> Rotated:
         use_first = a <= math.pi / 2
         return Rotated(cx, cy, F.when(use_first, w).otherwise(h), F.when(use_first, h).otherwise(w), F.when(use_first, a).otherwise(b))
     raise ValueError(f"unknown mode: {mode}")
+
+
+def cosine_similarity(a: Column, b: Column) -> Column:
+    """Of two arrays of numbers of equal length."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))

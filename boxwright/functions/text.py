@@ -23,7 +23,8 @@ def natural_key(name: Column) -> Column:
 
 
 def stem(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1)
+    """The last part of a path without its extension, if it has one."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]+$", "")
 
 
 def suffix(path: Column) -> Column:

@@ -43,6 +43,12 @@ def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def _by_box(pairs: DataFrame, *values: str) -> DataFrame:
+    """How many pairs each ground-truth box has, and the sums of their values."""
+    each = [(F.round(F.sum(v), 6) if kind == "double" else F.sum(v)).alias(v) for v, kind in ((v, dict(pairs.dtypes)[v]) for v in values)]
+    return pairs.groupBy("image_id", "gt_idx").agg(F.count("*").alias("n"), *each)
+
+
 def _sides() -> tuple[B.Box, B.Box]:
     return B.box("a_"), B.box("b_")
 
@@ -69,29 +75,29 @@ def box_area_valid(spark, sf_dir):
     return boxes(spark, sf_dir)[0].select("image_id", "gt_idx", B.area(b).alias("area"), B.box_valid(b).alias("valid"))
 
 
-@query(PAIRED + " SELECT image_id, gt_idx, pred_idx, greatest(ax1,bx1) AS x1, greatest(ay1,by1) AS y1, least(ax2,bx2) AS x2, least(ay2,by2) AS y2, inter AS area FROM j WHERE inter > 0")
+@query(PAIRED + " SELECT image_id, gt_idx, count(*) AS n, CAST(sum(greatest(ax1,bx1)) AS BIGINT) AS x1, CAST(sum(greatest(ay1,by1)) AS BIGINT) AS y1, CAST(sum(least(ax2,bx2)) AS BIGINT) AS x2, CAST(sum(least(ay2,by2)) AS BIGINT) AS y2, CAST(sum(inter) AS BIGINT) AS area FROM j WHERE inter > 0 GROUP BY image_id, gt_idx")
 def box_intersection(spark, sf_dir):
     a, p = _sides()
     cut, area = B.inter_box(a, p)
-    return _joined(spark, sf_dir).select("image_id", "gt_idx", "pred_idx", *cut.fields(), area.cast("long").alias("area")).where("area > 0")
+    return _by_box(_joined(spark, sf_dir).select("image_id", "gt_idx", *cut.fields(), area.cast("long").alias("area")).where("area > 0"), "x1", "y1", "x2", "y2", "area")
 
 
-@query(PAIRED + " SELECT image_id, gt_idx, pred_idx, round(CAST(inter AS DOUBLE)/(ga+pa-inter), 6) AS iou FROM j WHERE inter > 0")
+@query(PAIRED + " SELECT image_id, gt_idx, count(*) AS n, round(sum(round(CAST(inter AS DOUBLE)/(ga+pa-inter), 6)), 6) AS iou FROM j WHERE inter > 0 GROUP BY image_id, gt_idx")
 def box_iou_pairs(spark, sf_dir):
     a, p = _sides()
-    return _joined(spark, sf_dir).where(B.inter_area(a, p) > 0).select("image_id", "gt_idx", "pred_idx", _r(B.iou(a, p)).alias("iou"))
+    return _by_box(_joined(spark, sf_dir).where(B.inter_area(a, p) > 0).select("image_id", "gt_idx", _r(B.iou(a, p)).alias("iou")), "iou")
 
 
-@query(PAIRED + " SELECT image_id, gt_idx, pred_idx, round(CAST(inter AS DOUBLE)/(CAST(ga+pa-inter AS DOUBLE)+1e-7), 6) AS iou FROM j WHERE gcls = pcls")
+@query(PAIRED + " SELECT image_id, gt_idx, count(*) AS n, round(sum(round(CAST(inter AS DOUBLE)/(CAST(ga+pa-inter AS DOUBLE)+1e-7), 6)), 6) AS iou FROM j WHERE gcls = pcls GROUP BY image_id, gt_idx")
 def box_iou_eps_pairs(spark, sf_dir):
     a, p = _sides()
-    return _joined(spark, sf_dir).where("gcls = pcls").select("image_id", "gt_idx", "pred_idx", _r(B.iou(a, p, 1e-7)).alias("iou"))
+    return _by_box(_joined(spark, sf_dir).where("gcls = pcls").select("image_id", "gt_idx", _r(B.iou(a, p, 1e-7)).alias("iou")), "iou")
 
 
-@query(PAIRED + " SELECT image_id, gt_idx, pred_idx, round(CAST(inter AS DOUBLE)/ga, 6) AS ios_gt, round(CAST(inter AS DOUBLE)/pa, 6) AS ios_pred FROM j WHERE inter > 0")
+@query(PAIRED + " SELECT image_id, gt_idx, count(*) AS n, round(sum(round(CAST(inter AS DOUBLE)/ga, 6)), 6) AS ios_gt, round(sum(round(CAST(inter AS DOUBLE)/pa, 6)), 6) AS ios_pred FROM j WHERE inter > 0 GROUP BY image_id, gt_idx")
 def box_ios_double(spark, sf_dir):
     a, p = _sides()
-    return _joined(spark, sf_dir).where(B.inter_area(a, p) > 0).select("image_id", "gt_idx", "pred_idx", _r(B.ios(a, p)).alias("ios_gt"), _r(B.ios(p, a)).alias("ios_pred"))
+    return _by_box(_joined(spark, sf_dir).where(B.inter_area(a, p) > 0).select("image_id", "gt_idx", _r(B.ios(a, p)).alias("ios_gt"), _r(B.ios(p, a)).alias("ios_pred")), "ios_gt", "ios_pred")
 
 
 @query(VIEWS + """, c AS (SELECT image_id, gt_idx, (x1+x2)//2 AS x, (y1+y2)//2 AS y, x2-x1 AS w, y2-y1 AS h FROM gt)
@@ -103,13 +109,14 @@ def box_xywh_xyxy(spark, sf_dir):
 
 
 @query(PAIRED + """, r AS (SELECT *, least(greatest(ax1-bx1,0),bx2-bx1) AS r1, least(greatest(ay1-by1,0),by2-by1) AS r2, least(greatest(ax2-bx1,0),bx2-bx1) AS r3, least(greatest(ay2-by1,0),by2-by1) AS r4 FROM j WHERE inter > 0)
- SELECT image_id, gt_idx, pred_idx, r1 AS rel_x1, r2 AS rel_y1, r3 AS rel_x2, r4 AS rel_y2, bx1+r1 AS abs_x1, by1+r2 AS abs_y1, bx1+r3 AS abs_x2, by1+r4 AS abs_y2 FROM r""")
+ SELECT image_id, gt_idx, count(*) AS n, CAST(sum(r1) AS BIGINT) AS rel_x1, CAST(sum(r2) AS BIGINT) AS rel_y1, CAST(sum(r3) AS BIGINT) AS rel_x2, CAST(sum(r4) AS BIGINT) AS rel_y2, CAST(sum(bx1+r1) AS BIGINT) AS abs_x1, CAST(sum(by1+r2) AS BIGINT) AS abs_y1, CAST(sum(bx1+r3) AS BIGINT) AS abs_x2, CAST(sum(by1+r4) AS BIGINT) AS abs_y2 FROM r GROUP BY image_id, gt_idx""")
 def box_rel_abs(spark, sf_dir):
     a, p = _sides()
     rel = B.rel_box(p, a)
     back = B.abs_box(p, rel)
     named = [c.alias(f"{k}_{n}") for k, b in (("rel", rel), ("abs", back)) for n, c in zip(B.Box._fields, b, strict=True)]
-    return _joined(spark, sf_dir).where(B.inter_area(a, p) > 0).select("image_id", "gt_idx", "pred_idx", *named)
+    rows = _joined(spark, sf_dir).where(B.inter_area(a, p) > 0).select("image_id", "gt_idx", *named)
+    return _by_box(rows, *rows.columns[2:])
 
 
 _ROTATED = VIEWS + """, c AS (SELECT image_id, gt_idx, CAST(x1 AS DOUBLE) AS ax, CAST(y1 AS DOUBLE) AS ay, CAST(x2 AS DOUBLE) AS bx, CAST(y1 + gt_idx % 7 AS DOUBLE) AS by_, CAST(x2 - gt_idx % 7 AS DOUBLE) AS cx, CAST(y2 AS DOUBLE) AS cy FROM gt),
@@ -157,8 +164,7 @@ def polygon_bbox_area(spark, sf_dir):
 def cosine_similarity(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     w = v.select(F.col("vec_id").alias("other_id"), F.col("e").alias("o"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return v.join(w, F.col("other_id") == F.col("vec_id") + 1).select("vec_id", "other_id", _r(dot("e", "o") / F.sqrt(dot("e", "e") * dot("o", "o"))).alias("similarity"))
+    return v.join(w, F.col("other_id") == F.col("vec_id") + 1).select("vec_id", "other_id", _r(B.cosine_similarity(F.col("e"), F.col("o"))).alias("similarity"))
 
 
 # --- filters and dataset operators -----------------------------------------------------------------------------------
@@ -232,12 +238,12 @@ def match_status_ios(spark, sf_dir):
     return matching.match_status(*boxes(spark, sf_dir), use_ios=True)
 
 
-@query(MATCHED + " SELECT p.image_id, p.pred_idx FROM pr p WHERE NOT EXISTS (SELECT 1 FROM pairs x WHERE x.image_id=p.image_id AND x.pred_idx=p.pred_idx AND x.gcls=x.pcls)")
+@query(MATCHED + " SELECT p.image_id, p.pred_idx FROM pr p LEFT JOIN (SELECT DISTINCT image_id, pred_idx FROM pairs WHERE gcls=pcls) h ON h.image_id=p.image_id AND h.pred_idx=p.pred_idx WHERE h.pred_idx IS NULL")
 def fp_antijoin(spark, sf_dir):
     return matching.false_positives(*boxes(spark, sf_dir)).select("image_id", "pred_idx")
 
 
-@query(MATCHED + " SELECT p.image_id, p.pred_idx FROM pr p WHERE EXISTS (SELECT 1 FROM pairs x WHERE x.image_id=p.image_id AND x.pred_idx=p.pred_idx AND x.gcls=x.pcls)")
+@query(MATCHED + " SELECT DISTINCT image_id, pred_idx FROM pairs WHERE gcls=pcls")
 def tp_semijoin(spark, sf_dir):
     return matching.true_positives(*boxes(spark, sf_dir)).select("image_id", "pred_idx")
 
@@ -326,9 +332,10 @@ def _hits(spark, sf_dir):
     return gt, matching.prediction_hits(gt, pr)
 
 
-@query(_AP + " SELECT image_id, pred_idx, k, CAST(tp AS BIGINT) AS tp FROM tp WHERE tp = 1")
+@query(_AP.split("nl AS (")[0].rstrip().rstrip(",") + " SELECT image_id, k, cls, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(tp*pred_idx) AS BIGINT) AS preds FROM tp GROUP BY image_id, k, cls")
 def ap_tp_assignment(spark, sf_dir):
-    return matching.assignments(*boxes(spark, sf_dir)).select("image_id", "pred_idx", "k", F.lit(1).cast("long").alias("tp"))
+    gt, hits = _hits(spark, sf_dir)
+    return hits.groupBy("image_id", "k", "cls").agg(F.sum(F.col("tp").cast("long")).alias("tp"), F.sum(F.col("tp") * F.col("pred_idx")).alias("preds"))
 
 
 @query(_AP + " SELECT cls, k, i, conf, round(rec,6) AS rec, round(prec,6) AS prec FROM pts")
@@ -584,7 +591,7 @@ def version_check(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.check_version(version, ">=20.10.0,<40.0.0").alias("ok"))
 
 
-@query(PAIRED + " SELECT image_id, gt_idx, pred_idx, round(CAST(inter AS DOUBLE)/ga, 6) AS ios FROM j WHERE CAST(inter AS DOUBLE)/ga > 0.5")
+@query(PAIRED + " SELECT image_id, gt_idx, count(*) AS n, round(sum(round(CAST(inter AS DOUBLE)/ga, 6)), 6) AS ios FROM j WHERE CAST(inter AS DOUBLE)/ga > 0.5 GROUP BY image_id, gt_idx")
 def pipeline_ios(spark, sf_dir):
     plan = Pipeline({"overlap": "IosOperator", "near": "FilterOperator"}, {"near": {"column": "ios", "threshold": 0.5}})
-    return plan.run(_joined(spark, sf_dir)).select("image_id", "gt_idx", "pred_idx", _r(F.col("ios")).alias("ios"))
+    return _by_box(plan.run(_joined(spark, sf_dir)).select("image_id", "gt_idx", _r(F.col("ios")).alias("ios")), "ios")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.boxes import Box, box_points, clip_box, pairs_of, polygon_area, polygon_bbox, yolo_denormalize, yolo_normalize
 from ..functions.text import stem
+from ..operators.dataset import class_histogram
 
 ANNOTATION = ("image_id", "width", "height", "ann_idx", "label", "shape_type", "points", "score", "flags")
 IMAGE_SUFFIXES = ("bmp", "jpeg", "jpg", "png", "tif", "tiff", "webp")
@@ -40,6 +41,12 @@ def read_names(path: str) -> dict[int, str]:
     return dict(enumerate(line.strip() for line in text.splitlines() if line.strip()))
 
 
+def coco_names(files: DataFrame) -> dict[int, str]:
+    """Class names of COCO documents from 0 on, in order of their category ids; a row a class reaches the driver."""
+    found = files.select(F.explode(F.from_json("value", _COCO)["categories"]).alias("c")).groupBy("c.name").agg(F.min("c.id").alias("id"))
+    return dict(enumerate(r["name"] for r in found.orderBy("id", "name").collect()))
+
+
 def names_table(spark: SparkSession, names: dict[int, str]) -> DataFrame:
     return spark.createDataFrame(sorted(names.items()), "cls_id long, label string")
 
@@ -64,9 +71,12 @@ def from_yolo(files: DataFrame, names: DataFrame, sizes: DataFrame) -> DataFrame
     An id without a name is its own label.
     """
     lines = files.select(stem(F.col("path")).alias("image_id"), F.posexplode_outer(F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(F.translate(x, "\r\t", "  "))), lambda x: x != "")).alias("ann_idx", "line"))
-    parts = lines.withColumn("v", F.split("line", r"\s+")).withColumn("n", F.transform(F.slice("v", 2, F.size("v")), lambda x: x.cast("double")))
-    odd = F.size("n") % 2 == 1
-    rows = parts.select("image_id", "ann_idx", F.col("v")[0].cast("long").alias("cls_id"), F.when(odd, F.slice("n", 1, F.size("n") - 1)).otherwise(F.col("n")).alias("n"), F.when(F.col("line").isNotNull(), F.when(odd, F.element_at("n", -1)).otherwise(1.0)).alias("score"))
+    # generators keep the parsed numbers as columns, else each later use would split and cast the line anew
+    numbers = F.transform(F.split("line", r"\s+"), lambda x: x.cast("double"))
+    parts = lines.select("image_id", "ann_idx", F.inline_outer(F.array(F.struct(numbers.alias("v")))))
+    odd = F.size("v") % 2 == 0
+    kept = F.struct(F.col("v")[0].cast("long").alias("cls_id"), F.slice("v", 2, F.size("v") - F.when(odd, 2).otherwise(1)).alias("n"), F.when(odd, F.element_at("v", -1)).otherwise(1.0).alias("score"))
+    rows = parts.select("image_id", "ann_idx", F.inline_outer(F.array(F.when(F.col("v").isNotNull(), kept))))
     rows = sizes.select("image_id", "width", "height").join(rows, "image_id", "left").join(F.broadcast(names), "cls_id", "left")
     n, rectangle = F.col("n"), F.size("n") == 4
     flat = box_points(yolo_denormalize(n[0], n[1], n[2], n[3], F.col("width"), F.col("height")))
@@ -114,7 +124,8 @@ def match_records(annotations: DataFrame, width: str = "width", height: str = "h
     """(image_id, idx, label, conf, x1, y1, x2, y2, difficult) of valid enclosing boxes, points cut towards zero."""
     rows = annotations.where("ann_idx IS NOT NULL")
     whole = F.transform("points", lambda p: F.array(p[0].cast("int"), p[1].cast("int")))
-    b = polygon_bbox(whole)
+    rows = rows.select("image_id", "ann_idx", "label", "score", "flags", F.inline_outer(F.array(F.struct(whole.alias("points")))))
+    b = polygon_bbox(F.col("points"))
     rows = rows.select("image_id", F.col("ann_idx").cast("long").alias("idx"), "label", F.least(F.col("score"), F.lit(1.0)).alias("conf"), *b.fields(), F.coalesce(F.try_element_at("flags", F.lit("difficult")), F.lit(False)).alias("difficult"))
     return rows.where("x1 < x2 AND y1 < y2")
 
@@ -134,11 +145,17 @@ def _shapes(annotations: DataFrame, value: Column, name: str) -> DataFrame:
     return annotations.groupBy("image_id", "width", "height").agg(F.transform(listed, lambda x: x["v"]).alias(name))
 
 
+def _json_text(text: Column) -> Column:
+    """A text as a JSON string."""
+    listed = F.to_json(F.array(text))
+    return listed.substr(F.lit(2), F.length(listed) - 2)
+
+
 def to_labelme(annotations: DataFrame, suffix: str = ".jpg") -> DataFrame:
     """(image_id, value): a LabelMe document an image."""
     shape = F.to_json(F.struct("label", "points", F.lit(None).cast("string").alias("group_id"), "shape_type", "score", "flags"), {"ignoreNullFields": "false"})
     rows = _shapes(annotations, shape, "shapes")
-    head = F.concat(F.lit('{"version":"4.5.6","flags":{},"shapes":['), F.array_join("shapes", ","), F.lit('],"imagePath":'), F.to_json(F.array(F.concat("image_id", F.lit(suffix)))).substr(F.lit(2), F.length("image_id") + len(suffix) + 2))
+    head = F.concat(F.lit('{"version":"4.5.6","flags":{},"shapes":['), F.array_join("shapes", ","), F.lit('],"imagePath":'), _json_text(F.concat("image_id", F.lit(suffix))))
     return rows.select("image_id", F.concat(head, F.lit(',"imageData":null,"imageHeight":'), F.coalesce(F.col("height").cast("string"), F.lit("null")), F.lit(',"imageWidth":'), F.coalesce(F.col("width").cast("string"), F.lit("null")), F.lit("}")).alias("value"))
 
 
@@ -169,17 +186,31 @@ def to_voc(annotations: DataFrame, folder: str = "images", suffix: str = ".jpg")
     return rows.select("image_id", tag("annotation", F.concat(head, F.array_join("objects", ""))).alias("value"))
 
 
+def numbered(rows: DataFrame, keys: list[str], name: str, start: int) -> DataFrame:
+    """``rows`` with consecutive numbers from ``start`` in order of ``keys``, which begin with image_id.
+
+    Images are put in order by their counts, a row each, so the rows themselves are numbered within their image only.
+    Counts are summed by hash-free ranges: each range of images adds the sum of the ranges before it.
+    """
+    counts = rows.groupBy("image_id").agg(F.count("*").alias("n")).repartitionByRange("image_id").select("image_id", "n", F.spark_partition_id().alias("part"))
+    sums = counts.groupBy("part").agg(F.sum("n").alias("all"))
+    before = sums.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))  # a row a partition
+    inside = Window.partitionBy("part").orderBy("image_id")
+    offsets = counts.select("image_id", "part", (F.sum("n").over(inside) - F.col("n")).alias("inside")).join(F.broadcast(before), "part").select("image_id", (F.col("before") + F.col("inside")).alias("offset"))
+    own = Window.partitionBy("image_id").orderBy(*keys)
+    return rows.withColumn("own", F.row_number().over(own)).join(offsets, "image_id").withColumn(name, (F.col("offset") + F.col("own") - 1 + start).cast("long")).drop("own", "offset")
+
+
 def coco_tables(annotations: DataFrame, names: DataFrame, start: int = 1, suffix: str = ".jpg") -> tuple[DataFrame, DataFrame, DataFrame]:
     """COCO images, annotations and categories. Ids count from ``start`` in order of image_id and shape; boxes are cut to the image."""
     images = annotations.groupBy("image_id").agg(F.max("width").alias("width"), F.max("height").alias("height"))
-    images = images.withColumn("id", (F.row_number().over(Window.orderBy("image_id")) - 1 + start).cast("long"))
+    images = numbered(images, ["image_id"], "id", start)
     b = polygon_bbox(F.col("points"))
     rows = annotations.where("ann_idx IS NOT NULL").select("image_id", "ann_idx", "label", *b.fields())
     rows = rows.join(images, "image_id").join(F.broadcast(names), "label")
     cut = clip_box(Box(*(F.col(c) for c in Box._fields)), F.col("width"), F.col("height"))
     rows = rows.select("image_id", "ann_idx", F.col("id").alias("coco_image"), (F.col("cls_id") + start).alias("category_id"), *cut.fields())
-    order = Window.orderBy("image_id", "ann_idx")
-    notes = rows.select((F.row_number().over(order) - 1 + start).cast("long").alias("id"), F.col("coco_image").alias("image_id"), "category_id", F.array("x1", "y1", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("bbox"), ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"), F.lit(0).alias("iscrowd"), F.array().cast("array<array<double>>").alias("segmentation"))
+    notes = numbered(rows, ["image_id", "ann_idx"], "note", start).select(F.col("note").alias("id"), F.col("coco_image").alias("image_id"), "category_id", F.array("x1", "y1", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("bbox"), ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"), F.lit(0).alias("iscrowd"), F.array().cast("array<array<double>>").alias("segmentation"))
     return images.select("id", F.concat("image_id", F.lit(suffix)).alias("file_name"), "height", "width"), notes, names.select((F.col("cls_id") + start).alias("id"), F.col("label").alias("name"), F.lit("").alias("supercategory"))
 
 
@@ -215,12 +246,22 @@ def write_texts(texts: DataFrame, folder: str, suffix: str) -> int:
 
 
 def convert(spark: SparkSession, source: str, target: str, pattern: str, out: str, names: dict[int, str] | None = None, sizes: DataFrame | None = None, start: int = 0) -> None:
-    """Convert label files between labelme, yolo, voc and coco as one plan from reader to writer."""
+    """Convert label files between labelme, yolo, voc and coco as one plan from reader to writer.
+
+    Without ``names`` classes are those of the COCO categories, or else all labels in natural order; labels that given
+    names lack raise an error where the target needs ids.
+    """
     files = read_files(spark, pattern)
+    if names is None and source == "coco":
+        names = coco_names(files)
     table = names_table(spark, names or {})
     if source == "yolo" and sizes is None:
         raise ValueError("yolo labels are relative: sizes of the images are needed")
     notes = {"labelme": lambda: from_labelme(files), "voc": lambda: from_voc(files), "coco": lambda: from_coco(files), "yolo": lambda: from_yolo(files, table, sizes)}[source]()
+    if names is None and target in ("coco", "yolo"):  # as many rows as there are classes
+        table = names_table(spark, dict(enumerate(r.label for r in class_histogram(notes.where("ann_idx IS NOT NULL")).orderBy("natural_rank").collect())))
+    if target in ("coco", "yolo") and (unknown := notes.where("label IS NOT NULL").select("label").distinct().join(table, "label", "left_anti").limit(5).collect()):
+        raise ValueError(f"labels without a class id: {', '.join(r.label for r in unknown)}")
     if target == "coco":
         write_coco(notes, table, out, start)
     elif target == "labelme":
