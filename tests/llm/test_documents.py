@@ -307,14 +307,44 @@ def test_mixing(spark, docs, empty):
     rows = [(i, " ".join(rng.choice(kinds["good" if i % 3 else "poor"], int(rng.integers(30, 90)))), "good" if i % 3 else "poor") for i in range(300)]
     table = spark.createDataFrame(rows, "doc_id long, text string, domain string")
     got = mixing.fit_mixture(table, table.where("doc_id < 150"), {"good": 0.9, "poor": 0.1})
-    total = sum(len(t.split()) for _, t, _ in rows)
-    assert all(abs(got.reached[d] - got.wanted[d]) <= 0.006 * total for d in got.wanted)
+    assert got.moved <= mixing.MOVED and all(abs(got.reached[d] - got.wanted[d]) <= 0.01 * got.wanted[d] for d in got.wanted)
     rates = mixing.mixing_rates(got).collect()
     assert len(rates) == 300 and all(r.rate >= 0 for r in rates) and abs(sum(r.copies for r in rates) - sum(r.rate for r in rates)) < 30
-    copies = Counter(r.doc_id for r in mixing.mixed_documents(table, got).collect())
-    assert copies == {r.doc_id: r.copies for r in rates if r.copies}
+    # every column stays as it is, whatever its name
+    clashing = table.withColumn("mixing_rate", F.col("doc_id") * 2).withColumn("copies", F.lit("x"))
+    mixed = mixing.mixed_documents(clashing, got)
+    assert mixed.columns == clashing.columns and Counter(r.doc_id for r in mixed.collect()) == {r.doc_id: r.copies for r in rates if r.copies}
     assert len(mixing.mixing_rates(mixing.fit_mixture(docs, docs.select("doc_id", "text", F.lit("good").alias("domain")), {"good": 1.0})).collect()) == len(ROWS)
-    assert mixing.mixing_rates(mixing.fit_mixture(empty, empty.withColumn("domain", F.lit("good")), {"good": 1.0})).count() == 0
+    none = mixing.fit_mixture(empty, empty.withColumn("domain", F.lit("good")), {"good": 1.0})
+    assert mixing.mixing_rates(none).count() == 0 and mixing.mixed_documents(empty, none).count() == 0
+    tokens_ = mixing.fit_mixture(table, table, {"good": 0.5, "poor": 0.5}, tokenizer=tokens.IDS_MODEL)
+    assert sum(tokens_.wanted.values()) > sum(got.wanted.values())
+
+
+def test_mixing_optimum(spark):
+    """Rates against non-negative least squares by coordinate descent over all documents."""
+    rng = np.random.default_rng(11)
+    t = rng.integers(20, 200, 120).astype(float)
+    parts = mixing.grid_parts(rng.dirichlet([0.4, 0.3, 0.2], 120))
+    p, targets = parts / mixing.GRID, np.array([0.8, 0.2, 0.0])
+    wanted, start = targets * t.sum(), t @ p
+    # least squares of (sum of t*p*r - wanted) / sqrt(start) and sqrt(ridge*t) * (r - 1)
+    a = np.concatenate(((t[:, None] * p / np.sqrt(start)).T, np.diag(np.sqrt(mixing.RIDGE * t))))
+    y, r = np.concatenate((wanted / np.sqrt(start), np.sqrt(mixing.RIDGE * t))), np.ones(120)
+    rest = y - a @ r
+    for _ in range(4000):
+        for j in range(120):
+            new = max(0.0, r[j] + a[:, j] @ rest / (a[:, j] @ a[:, j]))
+            rest, r[j] = rest + a[:, j] * (r[j] - new), new
+    gaps: list[np.ndarray] = []
+    while True:
+        rate, look, moved = mixing.replay(p, gaps)
+        if gaps and t @ moved / t.sum() <= mixing.MOVED:
+            break
+        gaps.append(np.round(((t * look) @ p - wanted) / start, 9))
+    assert len(gaps) < mixing.MOST_STEPS and np.abs((t * rate) @ p - (t * r) @ p).max() < 0.002 * t.sum() and t @ np.abs(rate - r) / t.sum() < 0.02
+    objective = lambda x: ((y - a @ x) ** 2).sum()
+    assert objective(rate) <= objective(r) * 1.02 + 1e-6
 
 
 def test_pseudonyms(docs, empty):
@@ -349,7 +379,22 @@ def test_pseudonyms_before_more(text, kind, value):
     assert spans == [(kind, 4, 4 + len(value))] and value not in new and new.endswith(text[len(value) :]) and len(new) == 4 + len(text)
 
 
-def test_compaction(docs, empty):
+def test_pseudonyms_of_any_length():
+    """Nothing of a long value stays, nothing crashes, and the key owner gets it back."""
+    rng = np.random.default_rng(21)
+    f, back = pseudonyms.Feistel(b"k"), pseudonyms.Feistel(b"k", back=True)
+    for n in (40, 128, 257, 10_000):
+        secret = "".join(rng.choice(list("0123456789abcdef"), n))
+        new, spans = pseudonyms.pseudonymised(f, f'key "{secret}" end')
+        assert len(spans) == 1 and sum(x == y for x, y in zip(new[5 : 5 + n], secret, strict=True)) < n / 8 + 8
+        assert pseudonyms.pseudonymised(back, new)[0] == f'key "{secret}" end'
+    text = "mail " + "ab7" * 200 + "@ex.com, no.4111111111111111, card 4111 1111 1111 1111 12/27, 2011-03-12, 10.1.2.3, 123-45-6789, GB82 WEST 1234 5698 7654 32 NOW"
+    new, spans = pseudonyms.pseudonymised(f, text)
+    assert [k for k, _, _ in spans] == ["email", "card", "card", "date", "ip", "ssn", "iban"] and "4111" not in new and "ab7ab7" not in new
+    assert pseudonyms.pseudonymised(back, new)[0] == text
+
+
+def test_compaction(spark, docs, empty):
     table = compaction.compacted(docs)
     assert Counter(map(tuple, table.read().select(*docs.columns).collect())) == Counter(map(tuple, docs.collect()))
     for _ in range(5):
@@ -359,7 +404,34 @@ def test_compaction(docs, empty):
     assert table.manifest().count() < before and table.located().count() == 6 * len(ROWS)
     with pytest.raises(Exception, match="[Ee]xists"):
         table.commit(table.manifest(), table.versions()[-2])
-    assert compaction.compacted(empty).located().count() == 0
+    assert len(table.versions()) == compaction.LIVE and table.read(table.versions()[0]).count() == 6 * len(ROWS)
+    nothing = compaction.compacted(empty)
+    assert nothing.located().count() == 0 and nothing.read().count() == 0 and nothing.read().columns == docs.columns
+    several = compaction.compacted(docs, arrivals=3)
+    assert Counter(map(tuple, several.read().select(*docs.columns).collect())) == Counter(map(tuple, docs.collect()))
+
+
+def test_vacuum_spares_uncommitted_arrivals(spark, docs):
+    """A vacuum between the writing of an arrival and its commit loses nothing; a sweep removes what stays uncommitted."""
+    table = compaction.compacted(docs)
+    table.append(docs)
+    base = table.versions()[-1]
+    rows = docs.mapInArrow(compaction._appending(f"{table.folder}/data", "zz", compaction.SMALL_BYTES), compaction._ROWS).cache()
+    written = rows.count()
+    table.vacuum(live=1)
+    assert table.sweep() == 0
+    table.commit(table.manifest().unionByName(rows), base)
+    assert table.read().count() == 3 * len(ROWS) and written > 0
+    docs.mapInArrow(compaction._appending(f"{table.folder}/data", "yy", compaction.SMALL_BYTES), compaction._ROWS).count()
+    assert table.sweep(grace=-60) > 0 and table.read().count() == 3 * len(ROWS)
+
+
+def test_shards_roll(spark, docs):
+    """Many shards of bounded size hold what one holds."""
+    one, many = sstable.write_shards(docs.coalesce(1)), sstable.write_shards(docs, shard_bytes=400)
+    assert many.df.count() > 4 and sorted(map(str, sstable.read_shards(many.df).collect())) == sorted(map(str, sstable.read_shards(one.df).collect()))
+    wanted = spark.createDataFrame([(1,), (9,), (12,), (-3,), (10**15,), (None,)], "doc_id long")
+    assert Counter(r.doc_id for r in sstable.look_up(spark, many.df, wanted).collect()) == {1: 1, 9: 2, 12: 1}
 
 
 def test_steps_cover_batches():
