@@ -92,3 +92,15 @@ def test_stream(spark, tmp_path):
     run.awaitTermination(120)
     expected = sorted(map(tuple, confusion_counts(*split_sides(rows), background=5).collect()))
     assert sorted(map(tuple, totals(spark, str(tmp_path / "out")).collect())) == expected
+
+
+def test_names_that_json_escapes_and_missing_names(spark, tmp_path):
+    odd = spark.createDataFrame([('a"b\\c', 10, 10, 0, 'q"r', "rectangle", [[1.0, 1.0], [5.0, 5.0]], 1.0, {"difficult": False})], SCHEMA)
+    body = json.loads(formats.to_labelme(odd).first()["value"])
+    assert body["imagePath"] == 'a"b\\c.jpg' and body["shapes"][0]["label"] == 'q"r'
+    source = spark.createDataFrame(ROWS, SCHEMA)
+    formats.write_texts(formats.to_labelme(source), f"file://{tmp_path}/in", ".json")
+    formats.convert(spark, "labelme", "yolo", f"file://{tmp_path}/in/*.json", f"file://{tmp_path}/yolo")
+    assert sum(len(p.read_text().splitlines()) for p in (tmp_path / "yolo").glob("*.txt")) == 2
+    with pytest.raises(ValueError, match="without a class id"):
+        formats.convert(spark, "labelme", "yolo", f"file://{tmp_path}/in/*.json", f"file://{tmp_path}/other", {0: "car"})

@@ -1,9 +1,13 @@
 """Every registered query of the library's own against its SQL on the smallest tables."""
 
+import math
+
+import numpy as np
 import oracle
 import pytest
 
 from boxwright.queries import ORACLE_SQL, QUERIES
+from boxwright.sources.derived import boxes
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,3 +24,53 @@ def test_query(spark, db, name):
         oracle.compare(df, db, ORACLE_SQL[name])
     else:
         assert df.count() > 0
+
+
+def overlap(a, b, smaller):
+    inter = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    area = lambda x: (x[2] - x[0]) * (x[3] - x[1])
+    return inter / (min(area(a), area(b)) if smaller else area(a))
+
+
+def by_image(df, key, *columns):
+    found = {}
+    for r in df.orderBy(key).collect():
+        found.setdefault(r["image_id"], []).append(tuple(r[c] for c in columns))
+    return found
+
+
+def test_nmm_greedy_against_a_loop(spark):
+    """Merges of every image, one candidate at a time."""
+    expected = set()
+    for image, rows in by_image(boxes(spark, SF)[1], "pred_idx", "pred_idx", "cls", "conf", "x1", "y1", "x2", "y2").items():
+        for cls in {r[1] for r in rows}:
+            left = sorted((r for r in rows if r[1] == cls), key=lambda r: (r[2], r[0]))
+            first = True
+            while left:
+                seed = left.pop(0 if first else -1)
+                first = False
+                near = [r for r in left if np.float32(overlap(seed[3:], r[3:], True)) >= np.float32(0.5)]
+                left = [r for r in left if r not in near]
+                group = [seed, *near]
+                expected.add((image, cls, seed[0], len(group), min(r[3] for r in group), min(r[4] for r in group), max(r[5] for r in group), max(r[6] for r in group), round(seed[2], 6)))
+    got = {(r.image_id, r.code, r.keep_idx, r.n_merged, r.x1, r.y1, r.x2, r.y2, round(r.conf, 6)) for r in QUERIES["nmm_greedy"](spark, SF).collect()}
+    assert len(got ^ expected) <= 0.001 * len(expected)
+
+
+def test_crop_plan_against_a_loop(spark):
+    """Each label that no crop holds yet makes one; a crop holds what lies in it by over 70 %."""
+    expected = set()
+    for image, rows in by_image(boxes(spark, SF)[0], "gt_idx", "gt_idx", "x1", "y1", "x2", "y2").items():
+        held_so_far = set()
+        for idx, *b in rows:
+            if idx in held_so_far:
+                continue
+            w, h = b[2] - b[0] + 40, b[3] - b[1] + 40
+            least = max(w, h) * 85 // 100
+            w, h = max(w, least), max(h, least)
+            x, y = math.floor((b[0] + b[2]) / 2 - w / 2), math.floor((b[1] + b[3]) / 2 - h / 2)
+            crop = (max(x, 0), max(y, 0), min(x + w, 1300), min(y + h, 700))
+            held = {idx} | {k for k, *o in rows if overlap(o, crop, False) > 0.7}
+            held_so_far |= held
+            expected.add((image, idx, len(held)))
+    assert {tuple(r) for r in QUERIES["crop_plan"](spark, SF).collect()} == expected
