@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -85,6 +86,7 @@ def parse(page: str) -> Node:
     root = Node("html", (), None)
     at, node, run, linked, anchors = 0, root, [], 0, 0
     open_tags: list[tuple[str, Node]] = []
+    opened: Counter[str] = Counter()
     skipped: dict[str, dict[int, int]] = {}
 
     def close_run() -> None:
@@ -99,19 +101,23 @@ def parse(page: str) -> Node:
 
     def close(tag: str, scopes: frozenset[str] = frozenset()) -> None:
         nonlocal node
+        if not opened[tag]:
+            return
         for k in range(len(open_tags) - 1, -1, -1):
             if open_tags[k][0] == tag:
                 close_run()
                 node = open_tags[k][1].parent or root
+                opened.subtract(name for name, _ in open_tags[k:])
                 del open_tags[k:]
                 return
             if open_tags[k][0] in scopes:
                 return
 
-    size = len(page)
+    size, last = len(page), page.rfind(">")
     while at < size:
-        match = _TOKEN.search(page, at)
-        piece = page[at : match.start() if match else size]
+        # beyond the last '>' no tag ends, so there is text only, up to a comment that stays open
+        match = _TOKEN.search(page, at) if at <= last else None
+        piece = page[at : match.start() if match else size if at <= last or (cut := page.find("<!--", at)) < 0 else cut]
         if piece:
             run.append(piece)
             if anchors:
@@ -147,6 +153,7 @@ def parse(page: str) -> Node:
                 if tag not in VOID:
                     node = Node(tag, _tokens(attributes), node)
                     open_tags.append((tag, node))
+                    opened[tag] += 1
             elif tag in ("img", "input"):
                 run.append(" ")
         elif end:

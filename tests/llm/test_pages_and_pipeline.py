@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import corpus_pipeline
 import pytest
@@ -49,6 +50,13 @@ def test_markup_keeps_text(page, texts):
     assert [n.text for n in Page(parse(page)).nodes if n.text] == texts
 
 
+@pytest.mark.parametrize("page", ["<p>Text</p>" + "<a x=\"1' " * 60_000, "<div>" * 20_000 + "<p>Text" + "</b></p></i>" * 20_000, "<p>Text" + "</p>" * 100_000, "<p>Text</p>" + "<!-- " * 50_000])
+def test_long_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    assert parse(page) is not None and "Text" in [n.text for n in Page(parse(page)).nodes][-1] + [n.text for n in Page(parse(page)).nodes if n.text][0]
+    assert time.process_time() - began < 20
+
+
 def test_given_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     texts = {r.page_id: r for r in QUERIES["op1_tree_html_text"](spark, SF).collect()}
