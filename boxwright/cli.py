@@ -1,4 +1,4 @@
-"""Command line: conversions between label formats and class histograms."""
+"""Command line: conversions between label formats, class histograms and class subsets."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .operators.dataset import class_histogram
-from .sources.formats import READERS, convert, read_files, read_names
+from .sources.formats import READERS, convert, exclude_classes, read_files, read_names
 
 FORMATS = ("labelme", "yolo", "voc", "coco")
 
@@ -24,18 +24,29 @@ def main(argv: list[str] | None = None) -> None:
                 one.add_argument("out")
                 one.add_argument("--names", help="class names, one a line or YAML")
                 one.add_argument("--sizes", help="Parquet table of image_id, width, height (from yolo)")
+                one.add_argument("--images", help="path or pattern of the image files, whose headers have the sizes (from yolo)")
+                one.add_argument("--splits", action="store_true", help="keep sub-folders of labels and images apart")
                 one.add_argument("--start", type=int, default=0, help="first id (to coco)")
     names = commands.add_parser("genNames")
     names.add_argument("labels")
     names.add_argument("suffix", choices=sorted(READERS))
+    less = commands.add_parser("yoloLabelExclude")
+    less.add_argument("root", help="URI of the folder of <subset>/labels and <subset>/images")
+    less.add_argument("keep", help="class ids that stay, separated by commas")
+    less.add_argument("--names", required=True)
+    less.add_argument("--title", default="subset")
+    less.add_argument("--out")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("boxwright").getOrCreate()
     if args.command == "genNames":
         for row in class_histogram(READERS[args.suffix](read_files(spark, args.labels)).where("ann_idx IS NOT NULL")).orderBy("natural_rank").toLocalIterator():
             print(row.label, row.n)
         return
+    if args.command == "yoloLabelExclude":
+        exclude_classes(spark, args.root, [int(k) for k in args.keep.split(",")], read_names(args.names), args.title, args.out)
+        return
     sizes = spark.read.parquet(args.sizes) if args.sizes else None
-    convert(spark, args.source, args.target, args.labels, args.out, read_names(args.names) if args.names else None, sizes, args.start)
+    convert(spark, args.source, args.target, args.labels, args.out, read_names(args.names) if args.names else None, sizes, args.start, args.images, args.splits)
 
 
 if __name__ == "__main__":

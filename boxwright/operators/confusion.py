@@ -54,3 +54,33 @@ def error_images(gt: DataFrame, pr: DataFrame, threshold: float = 0.5) -> DataFr
     status = match_status(gt, pr, threshold)
     count = lambda s, name: F.count_if(F.col("status") == s).alias(name)
     return status.groupBy("image_id").agg(count("tpg", "n_tp"), count("fp", "n_fp"), count("fn", "n_fn"), count("fnDiff", "n_fn_diff")).where("n_fp + n_fn > 0")
+
+
+def error_shapes(gt: DataFrame, pr: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(image_id, label, status, x1, y1, x2, y2, have_tp, have_fp, have_fn): the shapes of images with an error.
+
+    Shapes are found ground truth, false positives (label -fp) and missed ground truth (-fn, difficult ones too), by
+    class; shape_type and points are carried where both sides have them. The last three columns say what the whole image
+    has; difficult misses alone are no error.
+    """
+    status = match_status(gt, pr, threshold).where("status <> 'tpp'")
+    corners = ["x1", "y1", "x2", "y2", *(c for c in ("shape_type", "points") if c in gt.columns and c in pr.columns)]
+    every = gt.select("image_id", F.lit("gt").alias("side"), F.col("gt_idx").alias("idx"), *corners).unionByName(pr.select("image_id", F.lit("pred").alias("side"), F.col("pred_idx").alias("idx"), *corners))
+    rows = status.join(every, ["image_id", "side", "idx"])
+    image = Window.partitionBy("image_id")
+    has = lambda *s: F.max(F.col("status").isin(*s)).over(image)
+    mark = F.when(F.col("status") == "fp", "-fp").when(F.col("status") == "tpg", "").otherwise("-fn")
+    rows = rows.select("image_id", F.concat(F.col("cls").cast("string"), mark).alias("label"), "status", *corners, has("tpg").alias("have_tp"), has("fp").alias("have_fp"), has("fn").alias("have_fn"))
+    return rows.where("have_fp OR have_fn")
+
+
+def error_annotations(shapes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``error_shapes`` as annotations that ``to_labelme`` writes; a shape's status is a flag of it, have_* are the image's."""
+    order = Window.partitionBy("image_id").orderBy("status", "label", "x1", "y1", "x2", "y2")
+    points = F.array(F.array(F.col("x1").cast("double"), F.col("y1").cast("double")), F.array(F.col("x2").cast("double"), F.col("y2").cast("double")))
+    kind, points = ((F.col("shape_type"), F.col("points")) if "points" in shapes.columns else (F.lit("rectangle"), points))
+    image = F.create_map(*(x for name in ("tp", "fp", "fn") for x in (F.lit(f"have{name.title()}"), F.col(f"have_{name}"))))
+    kinds = (("TPG", ("tpg",)), ("FP", ("fp",)), ("FN", ("fn", "fnDiff")))
+    flags = F.create_map(*(x for name, own in kinds for x in (F.lit(name), F.col("status").isin(*own))), F.lit("difficult"), F.col("status") == "fnDiff")
+    rows = shapes.select("image_id", (F.row_number().over(order) - 1).alias("ann_idx"), "label", kind.alias("shape_type"), points.alias("points"), F.lit(1.0).alias("score"), flags.alias("flags"), image.alias("image_flags"))
+    return rows.join(sizes.select("image_id", "width", "height"), "image_id", "left")

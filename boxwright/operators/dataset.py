@@ -45,3 +45,35 @@ def class_subset(annotations: DataFrame, images: DataFrame, keep: list[int], key
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def shared_subsets(parts: list[DataFrame], keep: list[str], label: str = "label") -> list[str]:
+    """The labels of ``keep``, in its order, that any of the splits holds: the class list of the reduced data set."""
+    found = {r[0] for r in union_all([p.select(label) for p in parts]).where(F.col(label).isin(*keep)).distinct().collect()}
+    return [name for name in keep if name in found]
+
+
+def with_background(names: list[str] | dict[int, str]) -> list[str]:
+    """Class names in order of their ids, the background last."""
+    ordered = [names[k] for k in sorted(names)] if isinstance(names, dict) else list(names)
+    return ordered if ordered[-1:] == ["background"] else [*ordered, "background"]
+
+
+def window_detections(detections: DataFrame, limits: DataFrame) -> DataFrame:
+    """Detections that reach their class's threshold, moved from their window (wx, wy) to the image's own coordinates."""
+    kept = at_least(detections, limits, F.col("conf"))
+    moved = {c: F.col(c) + F.col("wx" if c[0] == "x" else "wy") for c in ("x1", "y1", "x2", "y2")}
+    return kept.withColumns(moved).drop("wx", "wy")
+
+
+def detection_annotations(detections: DataFrame, names: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Detections (image_id, pred_idx, cls, conf, corners and perhaps segment, an array of points) as annotations.
+
+    A detection with a segment is a polygon, else a rectangle. ``names`` has cls and label, a row a class. Every image
+    of ``sizes`` stays; one without detections has null annotations.
+    """
+    corners = F.array(F.array(F.col("x1").cast("double"), F.col("y1").cast("double")), F.array(F.col("x2").cast("double"), F.col("y2").cast("double")))
+    segment = F.col("segment") if "segment" in detections.columns else F.lit(None).cast("array<array<double>>")
+    polygon = F.coalesce(F.size(segment) > 2, F.lit(False))
+    rows = detections.join(F.broadcast(names), "cls", "left").select("image_id", F.col("pred_idx").alias("ann_idx"), F.coalesce("label", F.col("cls").cast("string")).alias("label"), F.when(polygon, "polygon").otherwise("rectangle").alias("shape_type"), F.when(polygon, segment).otherwise(corners).alias("points"), F.col("conf").alias("score"), F.create_map(F.lit("difficult"), F.lit(False)).alias("flags"))
+    return sizes.select("image_id", "width", "height").join(rows, "image_id", "left")

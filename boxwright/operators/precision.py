@@ -92,3 +92,38 @@ def summary(ap: DataFrame, point: DataFrame) -> DataFrame:
     """One row: mp, mr, map50, map75, map, fitness."""
     maps = ap.agg(F.avg(F.when(F.col("k") == 0, F.col("ap"))).alias("map50"), F.avg(F.when(F.col("k") == 5, F.col("ap"))).alias("map75"), F.avg("ap").alias("map"))
     return point.agg(F.avg("p").alias("mp"), F.avg("r").alias("mr")).join(maps).withColumn("fitness", 0.1 * F.col("map50") + 0.9 * F.col("map"))
+
+
+def class_results(ap: DataFrame, point: DataFrame, gt: DataFrame) -> DataFrame:
+    """(cls, n, n_images, p, r, ap50, ap75, map) a class; classes without predictions have zeros."""
+    at = lambda k: F.max(F.when(F.col("k") == k, F.col("ap")))
+    each = ap.groupBy("cls").agg(at(0).alias("ap50"), at(5).alias("ap75"), F.avg("ap").alias("map"))
+    return class_counts(gt).join(each, "cls", "left").join(point.select("cls", "p", "r"), "cls", "left").na.fill(0.0).select("cls", "n", "n_images", "p", "r", "ap50", "ap75", "map")
+
+
+def class_maps(results: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, map) of all classes; one without ground truth has the mean of the others."""
+    mean = results.agg(F.avg("map").alias("mean"))
+    return classes.select("cls").join(results.select("cls", "map"), "cls", "left").join(F.broadcast(mean)).select("cls", F.coalesce("map", "mean").alias("map"))
+
+
+def metric_values(results: DataFrame) -> DataFrame:
+    """(key, value): mean precision, recall, mAP50 and mAP50-95 under their customary keys, and the fitness."""
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    values = [("metrics/precision(B)", mean("p")), ("metrics/recall(B)", mean("r")), ("metrics/mAP50(B)", mean("ap50")), ("metrics/mAP50-95(B)", mean("map")), ("fitness", 0.1 * mean("ap50") + 0.9 * mean("map"))]
+    return results.agg(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values)).alias("m")).select(F.inline("m"))
+
+
+def results_table(results: DataFrame, names: DataFrame, images: DataFrame, verbose: bool = True) -> DataFrame:
+    """(name, n_images, n, p, r, ap50, map): a row of all classes, ``all``, and, if verbose and there are several, one each."""
+    values = ("p", "r", "ap50", "map")
+    total = results.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *(F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in values), F.count("*").alias("classes"))
+    whole = total.join(images.agg(F.countDistinct("image_id").alias("n_images")))
+    first = whole.select(F.lit("all").alias("name"), "n_images", "n", *values)
+    each = results.join(F.broadcast(names), "cls").join(F.broadcast(whole.select("classes")))
+    return first.unionByName(each.where(F.col("classes") > 1).select("name", "n_images", "n", *values)) if verbose else first
+
+
+def printed(table: DataFrame) -> DataFrame:
+    """(line) of each row of ``results_table`` in fixed columns."""
+    return table.select(F.format_string("%22s%11d%11d%11.4g%11.4g%11.4g%11.4g", "name", "n_images", "n", "p", "r", "ap50", "map").alias("line"))

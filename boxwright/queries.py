@@ -11,7 +11,7 @@ from .functions import boxes as B
 from .functions import text as X
 from .operators import confusion, dataset, matching, merging, precision, tiling
 from .plans.pipeline import Pipeline
-from .sources import formats
+from .sources import formats, images
 from .sources.derived import BOXES_SQL, boxes, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -302,6 +302,14 @@ def fpfn_subset(spark, sf_dir):
     return confusion.error_images(*boxes(spark, sf_dir))
 
 
+@query(STATUS + """, e AS (SELECT st.image_id, cls || CASE status WHEN 'fp' THEN '-fp' WHEN 'tpg' THEN '' ELSE '-fn' END AS label, status, side, idx FROM st WHERE status <> 'tpp'),
+ b AS (SELECT image_id, 'gt' AS side, gt_idx AS idx, x1, y1, x2, y2 FROM gt UNION ALL SELECT image_id, 'pred', pred_idx, x1, y1, x2, y2 FROM pr),
+ f AS (SELECT image_id, label, status, x1, y1, x2, y2, bool_or(status='tpg') OVER w AS have_tp, bool_or(status='fp') OVER w AS have_fp, bool_or(status='fn') OVER w AS have_fn FROM e JOIN b USING (image_id, side, idx) WINDOW w AS (PARTITION BY image_id))
+ SELECT * FROM f WHERE have_fp OR have_fn""")
+def error_shapes(spark, sf_dir):
+    return confusion.error_shapes(*boxes(spark, sf_dir))
+
+
 # --- average precision -----------------------------------------------------------------------------------------------
 
 _AP = PAIRED + """, thr AS (SELECT k, 0.5 + k*0.05 AS t FROM (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9)) v(k)),
@@ -390,6 +398,50 @@ def map_summary(spark, sf_dir):
     return precision.summary(precision.average_precision(points, gt), point).select(*(_r(F.col(c)).alias(c) for c in ("map50", "map75", "map", "fitness")))
 
 
+def _class_results(spark, sf_dir):
+    gt, hits = _hits(spark, sf_dir)
+    points = precision.pr_points(hits, gt)
+    point = precision.operating_point(precision.curves(points.where("k = 0"), gt), gt)
+    return precision.class_results(precision.average_precision(points, gt), point, gt), gt
+
+
+_RESULTS = _APS + _POINT.removeprefix(_AP) + """, res AS (SELECT n.cls, n.n, n.n_images, coalesce(op.p,0) AS p, coalesce(op.r,0) AS r, max(ap) FILTER (WHERE k=0) AS ap50, max(ap) FILTER (WHERE k=5) AS ap75, avg(ap) AS map
+ FROM (SELECT cls, count(*) AS n, count(DISTINCT image_id) AS n_images FROM gt GROUP BY cls) n JOIN ap USING (cls) LEFT JOIN op ON op.cls = n.cls GROUP BY ALL)"""
+
+
+@query(_RESULTS + " SELECT cls, n, n_images, round(p,6) AS p, round(r,6) AS r, round(ap50,6) AS ap50, round(ap75,6) AS ap75, round(map,6) AS map FROM res")
+def class_results(spark, sf_dir):
+    return _class_results(spark, sf_dir)[0].select("cls", "n", "n_images", *(_r(F.col(c)).alias(c) for c in ("p", "r", "ap50", "ap75", "map")))
+
+
+@query(_RESULTS + " SELECT c.range AS cls, round(coalesce(map, (SELECT avg(map) FROM res)), 6) AS map FROM range(7) c LEFT JOIN res ON res.cls = c.range")
+def class_maps(spark, sf_dir):
+    return precision.class_maps(_class_results(spark, sf_dir)[0], spark.range(7).withColumnRenamed("id", "cls")).select("cls", _r(F.col("map")).alias("map"))
+
+
+@query(_RESULTS + """, m AS (SELECT avg(p) AS p, avg(r) AS r, avg(ap50) AS a, avg(map) AS m FROM res)
+ SELECT 'metrics/precision(B)' AS key, round(p,6) AS value FROM m UNION ALL SELECT 'metrics/recall(B)', round(r,6) FROM m UNION ALL SELECT 'metrics/mAP50(B)', round(a,6) FROM m UNION ALL SELECT 'metrics/mAP50-95(B)', round(m,6) FROM m UNION ALL SELECT 'fitness', round(0.1*a+0.9*m,6) FROM m""")
+def metric_values(spark, sf_dir):
+    return precision.metric_values(_class_results(spark, sf_dir)[0]).select("key", _r(F.col("value")).alias("value"))
+
+
+@query(_RESULTS + """ SELECT 'all' AS name, (SELECT count(DISTINCT image_id) FROM gt) AS n_images, CAST(sum(n) AS BIGINT) AS n, round(avg(p),6) AS p, round(avg(r),6) AS r, round(avg(ap50),6) AS ap50, round(avg(map),6) AS map FROM res
+ UNION ALL SELECT ['car','person','bike','bus','dog'][cls+1], n_images, n, round(p,6), round(r,6), round(ap50,6), round(map,6) FROM res""")
+def results_table(spark, sf_dir):
+    results, gt = _class_results(spark, sf_dir)
+    names = spark.createDataFrame(sorted(_CLASS_NAMES.items()), "cls long, name string")
+    return precision.results_table(results, names, gt).select("name", "n_images", "n", *(_r(F.col(c)).alias(c) for c in ("p", "r", "ap50", "map")))
+
+
+@query(VIEWS + """ SELECT image_id, pred_idx, cls, x1 + 640*(pred_idx%3) AS x1, y1 + 480*(pred_idx%2) AS y1, x2 + 640*(pred_idx%3) AS x2, y2 + 480*(pred_idx%2) AS y2
+ FROM pr WHERE conf >= [0.1,0.3,0.5,0.7,0.9][cls+1]""")
+def window_detections(spark, sf_dir):
+    _, pr = boxes(spark, sf_dir)
+    limits = dataset.thresholds(spark, [0.1, 0.3, 0.5, 0.7, 0.9], list(range(5)))
+    placed = pr.withColumns({"wx": F.col("pred_idx") % 3 * 640, "wy": F.col("pred_idx") % 2 * 480})
+    return dataset.window_detections(placed, limits).select("image_id", "pred_idx", "cls", "x1", "y1", "x2", "y2")
+
+
 # --- tiling and merging ----------------------------------------------------------------------------------------------
 
 
@@ -564,6 +616,56 @@ def coco_categories(spark, sf_dir):
     return formats.coco_tables(_annotations(spark, sf_dir), _names(spark), 1)[2]
 
 
+@query(VIEWS + """, cl AS (SELECT * FROM (VALUES (0,'car'),(1,'person'),(2,'bike'),(3,'bus'),(4,'dog')) v(cls,label))
+ SELECT 'p' || image_id AS image_id, label, count(*) AS n, CAST(sum(x1+y1+x2+y2) AS BIGINT) AS edges, round(sum(conf),5) AS conf FROM pr JOIN cl USING (cls) WHERE x2 > x1 AND y2 > y1 GROUP BY ALL""")
+def detection_labelme(spark, sf_dir):
+    """Detections written as LabelMe documents and read again."""
+    _, pr = boxes(spark, sf_dir)
+    pr = pr.withColumn("image_id", F.concat(F.lit("p"), "image_id"))
+    sizes = pr.select("image_id", F.lit(W).alias("width"), F.lit(H).alias("height")).distinct()
+    files = formats.to_labelme(dataset.detection_annotations(pr, _names(spark).withColumnRenamed("cls_id", "cls"), sizes))
+    rows = formats.match_records(formats.from_labelme(files.select(F.concat(F.lit("/l/"), "image_id", F.lit(".json")).alias("path"), "value")))
+    return rows.groupBy("image_id", "label").agg(F.count("*").alias("n"), F.sum((F.col("x1") + F.col("y1") + F.col("x2") + F.col("y2")).cast("long")).alias("edges"), F.round(F.sum("conf"), 5).alias("conf"))
+
+
+@query(_CANON + """ SELECT '/d/' || CASE WHEN right(image_id, 1) < '5' THEN 'train' ELSE 'val' END || '/labels/' || image_id || '.txt' AS path, count(*) FILTER (WHERE cls IN (3,1)) AS n, coalesce(CAST(sum(CASE cls WHEN 1 THEN 1 WHEN 3 THEN 0 END) AS BIGINT), 0) AS sum_cls
+ FROM an WHERE right(image_id, 1) <> '7' GROUP BY image_id""")
+def yolo_subset(spark, sf_dir):
+    """Two classes of label files in two subsets; images whose number ends in 7 are missing."""
+    labels = formats.to_yolo(_annotations(spark, sf_dir), _names(spark))
+    place = lambda folder, end: F.concat(F.lit("/d/"), F.when(F.substr("image_id", F.lit(-1)) < "5", "train").otherwise("val"), F.lit(f"/{folder}/"), "image_id", F.lit(end))
+    files = labels.select(place("labels", ".txt").alias("path"), "value")
+    pictures = labels.where("image_id NOT LIKE '%7'").select(place("images", ".png").alias("path"))
+    rows = formats.yolo_subset(files, [3, 1], pictures)
+    lines = F.filter(F.split("value", "\n"), lambda x: x != "")
+    return rows.select("path", F.size(lines).cast("long").alias("n"), F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.get(F.split(x, " "), F.lit(0)).cast("long")).alias("sum_cls"))
+
+
+_FILES = """WITH p AS (SELECT o_orderkey % 4 AS d, 'o' || (o_orderkey % 5000) AS stem, '/p/' || (o_orderkey % 4) || '/' || o_orderpriority || '/o' || (o_orderkey % 5000) || '.json' AS path FROM orders),
+ g AS (SELECT c_custkey % 3 AS d, 'o' || c_custkey AS stem, '/g/' || (c_custkey % 3) || '/' || c_mktsegment || '/o' || c_custkey || '.xml' AS path FROM customer)"""
+
+
+def _files(spark, sf_dir):
+    p = table(spark, sf_dir, "orders").select(F.concat(F.lit("/p/"), F.col("o_orderkey") % 4, F.lit("/"), "o_orderpriority", F.lit("/o"), F.col("o_orderkey") % 5000, F.lit(".json")).alias("path"))
+    g = table(spark, sf_dir, "customer").select(F.concat(F.lit("/g/"), F.col("c_custkey") % 3, F.lit("/"), "c_mktsegment", F.lit("/o"), "c_custkey", F.lit(".xml")).alias("path"))
+    return images.located(p.distinct(), [f"/p/{i}" for i in range(4)]), images.located(g.distinct(), [f"/g/{i}" for i in range(3)])
+
+
+@query(_FILES + " SELECT CAST(p.d AS BIGINT) AS ds, p.stem, p.path, min(g.path) AS partner FROM (SELECT DISTINCT * FROM p) p LEFT JOIN g ON g.d = p.d AND g.stem = p.stem GROUP BY p.d, p.stem, p.path")
+def paired_files(spark, sf_dir):
+    return images.paired_files(*_files(spark, sf_dir)).withColumn("ds", F.col("ds").cast("long"))
+
+
+@query(_FILES + " SELECT CAST(p.d AS BIGINT) AS ds, p.stem, p.path, min(g.path) AS partner FROM (SELECT DISTINCT * FROM p) p LEFT JOIN g ON g.d = p.d AND g.stem = p.stem WHERE p.d < 3 GROUP BY p.d, p.stem, p.path")
+def paired_files_of_shared_sets(spark, sf_dir):
+    return images.paired_files(*_files(spark, sf_dir), shared_sets=True).withColumn("ds", F.col("ds").cast("long"))
+
+
+@query("WITH f AS (SELECT '/d/images/' || c_mktsegment || '/' || c_custkey || '.jpg' AS path, c_mktsegment AS split FROM customer) SELECT split, count(*) AS n, min(path) AS first, max(path) AS last FROM f GROUP BY split")
+def files_by_split(spark, sf_dir):
+    return images.gathered(table(spark, sf_dir, "customer").select(F.concat(F.lit("/d/images/"), "c_mktsegment", F.lit("/"), "c_custkey", F.lit(".jpg")).alias("path")))
+
+
 # --- text functions and pipelines ------------------------------------------------------------------------------------
 
 

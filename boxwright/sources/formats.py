@@ -8,6 +8,7 @@ shapes gives one row with a null ann_idx, so that it is not lost. Everything is
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 from ..functions.boxes import Box, box_points, clip_box, pairs_of, polygon_area, polygon_bbox, yolo_denormalize, yolo_normalize
 from ..functions.text import stem
 from ..operators.dataset import class_histogram
+from .images import is_hidden, is_image, list_files, sizes_of, split_key
 
 ANNOTATION = ("image_id", "width", "height", "ann_idx", "label", "shape_type", "points", "score", "flags")
-IMAGE_SUFFIXES = ("bmp", "jpeg", "jpg", "png", "tif", "tiff", "webp")
 _LABELME = "imagePath string, imageHeight int, imageWidth int, shapes array<struct<label:string,points:array<array<double>>,shape_type:string,score:double,conf:double,difficult:boolean,flags:map<string,boolean>>>"
 _VOC = "filename string, size struct<width:string,height:string,depth:string>, object array<struct<name:string,pose:string,truncated:string,difficult:string,conf:string,bndbox:struct<xmin:string,ymin:string,xmax:string,ymax:string>>>"
 _COCO = "images array<struct<id:long,file_name:string,height:int,width:int>>, annotations array<struct<id:long,image_id:long,category_id:long,bbox:array<double>,area:double,iscrowd:int,segmentation:string>>, categories array<struct<id:long,name:string>>"
@@ -56,21 +57,23 @@ def _whole(text: Column) -> Column:
     return F.trim(text).try_cast("double").cast("int")
 
 
-def from_labelme(files: DataFrame) -> DataFrame:
+def from_labelme(files: DataFrame, key: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The image is named by imagePath, or by ``key`` of the file's own path."""
     doc = files.select("path", F.from_json("value", _LABELME).alias("d")).where("d.shapes IS NOT NULL OR d.imagePath IS NOT NULL")
-    rows = doc.select(stem(F.coalesce("d.imagePath", "path")).alias("image_id"), F.col("d.imageWidth").alias("width"), F.col("d.imageHeight").alias("height"), F.posexplode_outer("d.shapes").alias("ann_idx", "s"))
+    name = key(F.col("path")) if key else stem(F.coalesce("d.imagePath", "path"))
+    rows = doc.select(name.alias("image_id"), F.col("d.imageWidth").alias("width"), F.col("d.imageHeight").alias("height"), F.posexplode_outer("d.shapes").alias("ann_idx", "s"))
     score = F.when(F.col("s").isNotNull(), F.coalesce("s.score", "s.conf", F.lit(1.0)))
     difficult = F.coalesce("s.difficult", F.lit(False)) | F.coalesce(F.try_element_at("s.flags", F.lit("difficult")), F.lit(False))
     flags = F.when(F.col("s").isNotNull(), F.map_concat(F.map_filter(F.coalesce("s.flags", F.create_map().cast("map<string,boolean>")), lambda k, _: k != "difficult"), F.create_map(F.lit("difficult"), difficult)))
     return rows.select("image_id", "width", "height", "ann_idx", F.col("s.label").alias("label"), F.coalesce("s.shape_type", F.when(F.col("s").isNotNull(), "polygon")).alias("shape_type"), F.col("s.points").alias("points"), score.alias("score"), flags.alias("flags"))
 
 
-def from_yolo(files: DataFrame, names: DataFrame, sizes: DataFrame) -> DataFrame:
+def from_yolo(files: DataFrame, names: DataFrame, sizes: DataFrame, key: Callable[[Column], Column] = stem) -> DataFrame:
     """``names`` has cls_id and label; ``sizes`` image_id, width and height, a row an image, with or without a label file.
 
     An id without a name is its own label.
     """
-    lines = files.select(stem(F.col("path")).alias("image_id"), F.posexplode_outer(F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(F.translate(x, "\r\t", "  "))), lambda x: x != "")).alias("ann_idx", "line"))
+    lines = files.select(key(F.col("path")).alias("image_id"), F.posexplode_outer(F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(F.translate(x, "\r\t", "  "))), lambda x: x != "")).alias("ann_idx", "line"))
     # generators keep the parsed numbers as columns, else each later use would split and cast the line anew
     numbers = F.transform(F.split("line", r"\s+"), lambda x: x.cast("double"))
     parts = lines.select("image_id", "ann_idx", F.inline_outer(F.array(F.struct(numbers.alias("v")))))
@@ -85,9 +88,9 @@ def from_yolo(files: DataFrame, names: DataFrame, sizes: DataFrame) -> DataFrame
     return rows.select("image_id", "width", "height", "ann_idx", F.coalesce("label", F.col("cls_id").cast("string")).alias("label"), F.when(F.col("ann_idx").isNotNull(), F.when(rectangle, "rectangle").otherwise("polygon")).alias("shape_type"), F.when(rectangle, corners).otherwise(polygon).alias("points"), "score", F.when(F.col("ann_idx").isNotNull(), F.create_map(F.lit("difficult"), F.lit(False))).alias("flags"))
 
 
-def from_voc(files: DataFrame) -> DataFrame:
+def from_voc(files: DataFrame, key: Callable[[Column], Column] = stem) -> DataFrame:
     doc = files.select("path", F.from_xml("value", _VOC, {"rowTag": "annotation"}).alias("d")).where("d IS NOT NULL")
-    size = doc.select(F.coalesce(stem(F.col("path")), stem(F.col("d.filename"))).alias("image_id"), F.coalesce(_whole(F.col("d.size.width")), F.lit(0)).alias("width"), F.coalesce(_whole(F.col("d.size.height")), F.lit(0)).alias("height"), F.posexplode_outer("d.object").alias("ann_idx", "o"))
+    size = doc.select(F.coalesce(key(F.col("path")), stem(F.col("d.filename"))).alias("image_id"), F.coalesce(_whole(F.col("d.size.width")), F.lit(0)).alias("width"), F.coalesce(_whole(F.col("d.size.height")), F.lit(0)).alias("height"), F.posexplode_outer("d.object").alias("ann_idx", "o"))
     raw = Box(*(F.coalesce(_whole(F.col(f"o.bndbox.{c}")), F.lit(0)) for c in ("xmin", "ymin", "xmax", "ymax")))
     b = clip_box(raw, F.when(F.col("width") > 0, F.col("width")).otherwise(1 << 30), F.when(F.col("height") > 0, F.col("height")).otherwise(1 << 30))
     there = F.col("ann_idx").isNotNull()
@@ -104,10 +107,13 @@ def _segmentation(text: Column) -> Column:
     return F.get(ranked, F.lit(0))["points"]
 
 
-def from_coco(files: DataFrame) -> DataFrame:
-    """Images joined with their annotations and categories; the segmentation's largest polygon, else the box."""
+def from_coco(files: DataFrame, splits: bool = False) -> DataFrame:
+    """Images joined with their annotations and categories; the segmentation's largest polygon, else the box.
+
+    With ``splits`` an image is named <split>/<stem>, its split being its document's name without ``instances_``.
+    """
     doc = files.select("path", F.from_json("value", _COCO).alias("d"))
-    images = doc.select("path", F.explode("d.images").alias("i")).select("path", F.col("i.id").alias("id"), stem(F.col("i.file_name")).alias("image_id"), F.col("i.width").alias("width"), F.col("i.height").alias("height"))
+    images = doc.select("path", F.explode("d.images").alias("i")).select("path", F.col("i.id").alias("id"), (F.concat(F.regexp_replace(stem(F.col("path")), "^instances_", ""), F.lit("/"), stem(F.col("i.file_name"))) if splits else stem(F.col("i.file_name"))).alias("image_id"), F.col("i.width").alias("width"), F.col("i.height").alias("height"))
     notes = doc.select("path", F.posexplode("d.annotations").alias("pos", "a")).select("path", "pos", F.col("a.image_id").alias("id"), F.col("a.category_id").alias("category"), F.col("a.bbox").alias("bbox"), _segmentation(F.col("a.segmentation")).alias("polygon"))
     categories = doc.select("path", F.explode("d.categories").alias("c")).select("path", F.col("c.id").alias("category"), F.col("c.name").alias("label"))
     rows = images.join(notes, ["path", "id"], "left").join(categories, ["path", "category"], "left")
@@ -142,7 +148,7 @@ def image_sizes(*sources: DataFrame) -> DataFrame:
 def _shapes(annotations: DataFrame, value: Column, name: str) -> DataFrame:
     """(image_id, width, height, <name>): values of an image's annotations in order."""
     listed = F.array_sort(F.collect_list(F.when(F.col("ann_idx").isNotNull(), F.struct("ann_idx", value.alias("v")))))
-    return annotations.groupBy("image_id", "width", "height").agg(F.transform(listed, lambda x: x["v"]).alias(name))
+    return annotations.groupBy("image_id", "width", "height").agg(F.transform(listed, lambda x: x["v"]).alias(name), *(F.first(c).alias(c) for c in ("image_flags",) if c in annotations.columns))
 
 
 def _json_text(text: Column) -> Column:
@@ -152,10 +158,11 @@ def _json_text(text: Column) -> Column:
 
 
 def to_labelme(annotations: DataFrame, suffix: str = ".jpg") -> DataFrame:
-    """(image_id, value): a LabelMe document an image."""
+    """(image_id, value): a LabelMe document an image; its own flags from image_flags, if the annotations have that map."""
     shape = F.to_json(F.struct("label", "points", F.lit(None).cast("string").alias("group_id"), "shape_type", "score", "flags"), {"ignoreNullFields": "false"})
     rows = _shapes(annotations, shape, "shapes")
-    head = F.concat(F.lit('{"version":"4.5.6","flags":{},"shapes":['), F.array_join("shapes", ","), F.lit('],"imagePath":'), _json_text(F.concat("image_id", F.lit(suffix))))
+    own = F.coalesce(F.to_json("image_flags"), F.lit("{}")) if "image_flags" in rows.columns else F.lit("{}")
+    head = F.concat(F.lit('{"version":"4.5.6","flags":'), own, F.lit(',"shapes":['), F.array_join("shapes", ","), F.lit('],"imagePath":'), _json_text(F.concat("image_id", F.lit(suffix))))
     return rows.select("image_id", F.concat(head, F.lit(',"imageData":null,"imageHeight":'), F.coalesce(F.col("height").cast("string"), F.lit("null")), F.lit(',"imageWidth":'), F.coalesce(F.col("width").cast("string"), F.lit("null")), F.lit("}")).alias("value"))
 
 
@@ -228,16 +235,20 @@ def write_coco(annotations: DataFrame, names: DataFrame, path: str, start: int =
 
 
 def write_texts(texts: DataFrame, folder: str, suffix: str) -> int:
-    """Write ``value`` of each row to <folder>/<image_id><suffix> from the tasks; returns how many."""
+    """Write ``value`` of each row to <folder>/<image_id><suffix> from the tasks; returns how many. Split names are folders."""
     from pyarrow import fs
 
     def write(batches):
         import pyarrow as pa
 
         files, root = fs.FileSystem.from_uri(folder)
-        files.create_dir(root, recursive=True)
+        made = set()
         for batch in batches:
             for name, value in zip(batch.column("image_id").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                parent = f"{root}/{name}".rpartition("/")[0]
+                if parent not in made:
+                    files.create_dir(parent, recursive=True)
+                    made.add(parent)
                 with files.open_output_stream(f"{root}/{name}{suffix}") as out:
                     out.write(value.encode())
             yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
@@ -245,25 +256,41 @@ def write_texts(texts: DataFrame, folder: str, suffix: str) -> int:
     return texts.select("image_id", "value").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def convert(spark: SparkSession, source: str, target: str, pattern: str, out: str, names: dict[int, str] | None = None, sizes: DataFrame | None = None, start: int = 0) -> None:
+def write_split_coco(annotations: DataFrame, names: DataFrame, folder: str, start: int = 1) -> list[str]:
+    """<folder>/instances_<split>.json of each split of ``image_id`` (<split>/<stem>; ``all`` without one)."""
+    split, name = F.regexp_extract("image_id", "^(.*)/", 1), F.regexp_extract("image_id", "([^/]*)$", 1)
+    rows = annotations.withColumn("split", F.when(split == "", "all").otherwise(F.replace(split, F.lit("/"), F.lit("_"))))
+    found = sorted(r.split for r in rows.select("split").distinct().collect())  # a handful
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    for one in found:
+        write_coco(rows.where(F.col("split") == one).drop("split").withColumn("image_id", name), names, f"{folder}/instances_{one}.json", start)
+    return found
+
+
+def convert(spark: SparkSession, source: str, target: str, pattern: str, out: str, names: dict[int, str] | None = None, sizes: DataFrame | None = None, start: int = 0, images: str | None = None, splits: bool = False) -> None:
     """Convert label files between labelme, yolo, voc and coco as one plan from reader to writer.
 
     Without ``names`` classes are those of the COCO categories, or else all labels in natural order; labels that given
-    names lack raise an error where the target needs ids.
+    names lack raise an error where the target needs ids. Labels of yolo need ``sizes`` or ``images``, a path of image
+    files whose headers have them. With ``splits`` images are <split>/<stem> and targets have a folder, or to coco a
+    document, for each split.
     """
-    files = read_files(spark, pattern)
+    files = read_files(spark, pattern, splits)
+    key = split_key if splits else stem
     if names is None and source == "coco":
         names = coco_names(files)
     table = names_table(spark, names or {})
     if source == "yolo" and sizes is None:
-        raise ValueError("yolo labels are relative: sizes of the images are needed")
-    notes = {"labelme": lambda: from_labelme(files), "voc": lambda: from_voc(files), "coco": lambda: from_coco(files), "yolo": lambda: from_yolo(files, table, sizes)}[source]()
+        if images is None:
+            raise ValueError("yolo labels are relative: sizes of the images are needed")
+        sizes = sizes_of(list_files(spark, images), key)
+    notes = {"labelme": lambda: from_labelme(files, key if splits else None), "voc": lambda: from_voc(files, key), "coco": lambda: from_coco(files, splits), "yolo": lambda: from_yolo(files, table, sizes, key)}[source]()
     if names is None and target in ("coco", "yolo"):  # as many rows as there are classes
         table = names_table(spark, dict(enumerate(r.label for r in class_histogram(notes.where("ann_idx IS NOT NULL")).orderBy("natural_rank").collect())))
     if target in ("coco", "yolo") and (unknown := notes.where("label IS NOT NULL").select("label").distinct().join(table, "label", "left_anti").limit(5).collect()):
         raise ValueError(f"labels without a class id: {', '.join(r.label for r in unknown)}")
     if target == "coco":
-        write_coco(notes, table, out, start)
+        (write_split_coco if splits else write_coco)(notes, table, out, start)
     elif target == "labelme":
         write_texts(to_labelme(notes), out, ".json")
     elif target == "voc":
@@ -272,3 +299,47 @@ def convert(spark: SparkSession, source: str, target: str, pattern: str, out: st
         write_texts(to_yolo(notes, table), out, ".txt")
     else:
         raise ValueError(f"unknown format: {target}")
+
+
+def to_names(names: dict[int, str], splits: tuple[str, ...] = ("train", "val", "test")) -> tuple[str, str]:
+    """A class list, a name a line, and a YAML data set with its split folders and names."""
+    import yaml
+
+    ordered = [names[k] for k in sorted(names)]
+    body = {split: f"images/{split}" for split in splits} | {"nc": len(ordered), "names": dict(enumerate(ordered))}
+    return "\n".join(ordered) + "\n", yaml.safe_dump(body, sort_keys=False, allow_unicode=True)
+
+
+def yolo_subset(labels: DataFrame, keep: list[int], images: DataFrame | None = None) -> DataFrame:
+    """(path, value): label files with the classes in ``keep`` alone, renumbered by their place in it.
+
+    A file none of whose lines stay becomes empty. Hidden files and class lists go, as do those without an image of the
+    same data set (the path up to /labels/ or /images/) and stem where ``images`` (path) is given.
+    """
+    place = F.create_map(*(x for i, c in enumerate(keep) for x in (F.lit(str(c)), F.lit(str(i)))))
+    lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    cut = F.transform(lines, lambda x: F.struct(F.get(F.split(x, r"\s+", 2), F.lit(0)).alias("c"), F.get(F.split(x, r"\s+", 2), F.lit(1)).alias("rest")))
+    kept = F.filter(cut, lambda x: x["c"].isin(*(str(c) for c in keep)))
+    rows = labels.where(~is_hidden(F.col("path")) & (stem(F.col("path")) != "classes"))
+    if images is not None:
+        same = lambda folder: (F.regexp_replace("path", f"/{folder}/[^/]*$", "").alias("set"), stem(F.col("path")).alias("stem"))
+        rows = rows.select("path", "value", *same("labels")).join(images.where(is_image(F.col("path"))).select(*same("images")).distinct(), ["set", "stem"], "left_semi")
+    return rows.select("path", F.array_join(F.transform(kept, lambda x: F.concat_ws(" ", F.element_at(place, x["c"]), x["rest"])), "\n").alias("value"))
+
+
+def exclude_classes(spark: SparkSession, root: str, keep: list[int], names: dict[int, str], title: str = "subset", out: str | None = None) -> int:
+    """Reduce <root>/<subset>/labels/*.txt to ``keep``: to labels_<title> beside them, or to the same folders of ``out``.
+
+    Writes classes.txt and data.yaml of the kept names into the target folder; returns how many label files it wrote.
+    """
+    base = root.rstrip("/")
+    pattern = f"{base}/*/labels/*.txt"
+    rows = yolo_subset(read_files(spark, pattern), keep, list_files(spark, f"{base}/*/images/*", False))
+    relative = F.regexp_extract("path", r"([^/]+/labels/[^/]*)\.txt$", 1)
+    target = base if out is None else out.rstrip("/")
+    name = relative if out else F.regexp_replace(relative, "/labels/", f"/labels_{title}/")
+    n = write_texts(rows.select(name.alias("image_id"), "value"), target, ".txt")
+    listed, body = to_names({i: names[c] for i, c in enumerate(keep)})
+    for file, text in (("classes.txt", listed), ("data.yaml", body)):
+        write_texts(spark.createDataFrame([(file, text)], "image_id string, value string"), target if out else f"{target}/{title}", "")
+    return n
