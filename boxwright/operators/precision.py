@@ -1,15 +1,18 @@
 """Precision-recall curves, average precision and the operating point, as windows and joins over long tables.
 
-Predictions are ordered by descending confidence, ties by image and index. The running maximum from the right is taken
-over the reversed order, which Spark evaluates in one pass.
+Predictions are ordered by descending confidence, ties by image and index. Running sums and maxima go in two levels, so
+that a frequent class is not one task: within strips of confidence or blocks of places, and over a row a strip or block.
+Both levels read the same shuffle. The running maximum from the right is taken over the reversed order, in one pass.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-16
+#: Strips of confidence between 0 and 1, and places in a block of a curve.
+STRIPS, BLOCK = 1000, 100_000
 
 
 def class_counts(gt: DataFrame) -> DataFrame:
@@ -17,24 +20,51 @@ def class_counts(gt: DataFrame) -> DataFrame:
     return gt.groupBy("cls").agg(F.count("*").alias("n"), F.countDistinct("image_id").alias("n_images"))
 
 
+def _block() -> Column:
+    return F.floor(F.col("i") / BLOCK)
+
+
+def _following(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``rows`` with next, the columns of the row at the next i, null at the end of the keys' rows."""
+    rows = rows.withColumn("block", _block())
+    own = Window.partitionBy(*keys, "block").orderBy("i")
+    heads = rows.groupBy(*keys, "block").agg(F.min_by(F.struct(*columns), "i").alias("head"))
+    heads = heads.select(*keys, "block", F.lead("head").over(Window.partitionBy(*keys).orderBy("block")).alias("head"))
+    return rows.withColumn("next", F.lead(F.struct(*columns)).over(own)).join(heads, [*keys, "block"]).withColumn("next", F.coalesce("next", "head")).drop("block", "head")
+
+
 def pr_points(hits: DataFrame, gt: DataFrame) -> DataFrame:
     """(cls, k, i, conf, rec, prec) after each prediction; ``hits`` as prediction_hits gives them."""
-    order = Window.partitionBy("cls", "k").orderBy(F.desc("conf"), "image_id", "pred_idx").rowsBetween(Window.unboundedPreceding, 0)
-    cum = hits.select("cls", "k", "conf", F.row_number().over(Window.partitionBy("cls", "k").orderBy(F.desc("conf"), "image_id", "pred_idx")).cast("long").alias("i"), F.sum("tp").over(order).alias("tpc"))
+    keys = ["cls", "k", "strip"]
+    order = Window.partitionBy(*keys).orderBy(F.desc("conf"), "image_id", "pred_idx")
+    rows = hits.select("cls", "k", F.floor(F.col("conf") * STRIPS).alias("strip"), "conf", "image_id", "pred_idx", "tp")
+    rows = rows.select(*keys, "conf", F.row_number().over(order).cast("long").alias("own_i"), F.sum("tp").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("own_tp"))
+    strips = rows.groupBy(*keys).agg(F.max("own_i").alias("n"), F.max("own_tp").alias("tp"))
+    higher = Window.partitionBy("cls", "k").orderBy(F.desc("strip"))
+    before = strips.select(*keys, (F.sum("n").over(higher) - F.col("n")).alias("i0"), (F.sum("tp").over(higher) - F.col("tp")).alias("tp0"))
+    cum = rows.join(before, keys).select("cls", "k", "conf", (F.col("own_i") + F.col("i0")).alias("i"), (F.col("own_tp") + F.col("tp0")).alias("tpc"))
     return cum.join(F.broadcast(class_counts(gt)), "cls").select("cls", "k", "i", "conf", (F.col("tpc") / F.col("n")).alias("rec"), (F.col("tpc") / F.col("i")).alias("prec"))
 
 
 def envelope(points: DataFrame) -> DataFrame:
     """(cls, k, i, rec, env) with the sentinels (0, 1) before and (1, 0) after each curve."""
-    ends = points.select("cls", "k").distinct().select("cls", "k", F.inline(F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(r).alias("rec"), F.lit(p).alias("prec")) for i, r, p in ((0, 0.0, 1.0), (1_000_000_000_000, 1.0, 0.0))))))
-    back = Window.partitionBy("cls", "k").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
-    return points.select("cls", "k", "i", "rec", "prec").unionByName(ends).select("cls", "k", "i", "rec", F.max("prec").over(back).alias("env"))
+    place = lambda i, rec, prec: F.struct(i.cast("long").alias("i"), rec.alias("rec"), prec.alias("prec"))
+    own = place(F.col("i"), F.col("rec"), F.col("prec"))
+    # a curve's first row brings both sentinels, so the curves are made once
+    ends = F.array(own, place(F.lit(0), F.lit(0.0), F.lit(1.0)), place(F.lit(1_000_000_000_000), F.lit(1.0), F.lit(0.0)))
+    rows = points.select("cls", "k", F.inline(F.when(F.col("i") == 1, ends).otherwise(F.array(own))))
+    keys = ["cls", "k", "block"]
+    back = Window.partitionBy(*keys).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("block", _block())
+    rows = rows.select(*keys, "i", "rec", F.max("prec").over(back).alias("own"))
+    later = Window.partitionBy("cls", "k").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    after = rows.groupBy(*keys).agg(F.max("own").alias("most")).select(*keys, F.max("most").over(later).alias("after"))
+    return rows.join(after, keys).select("cls", "k", "i", "rec", F.greatest("own", "after").alias("env"))
 
 
 def average_precision(points: DataFrame, gt: DataFrame, levels: int = 10) -> DataFrame:
     """(cls, k, ap) by 101-point interpolation of the envelope; 0 for classes without predictions."""
-    along = Window.partitionBy("cls", "k").orderBy("i")
-    seg = envelope(points).select("cls", "k", F.col("rec").alias("r0"), F.col("env").alias("e0"), F.lead("rec").over(along).alias("r1"), F.lead("env").over(along).alias("e1"))
+    seg = _following(envelope(points), ["cls", "k"], ["rec", "env"]).select("cls", "k", F.col("rec").alias("r0"), F.col("env").alias("e0"), F.col("next.rec").alias("r1"), F.col("next.env").alias("e1"))
     seg = seg.where("r1 IS NULL OR r1 > r0")
     grid = F.sequence(F.greatest(F.lit(0), F.ceil(F.col("r0") * 100).cast("int") - 1), F.least(F.lit(100), F.ceil(F.coalesce("r1", F.lit(1.0)) * 100).cast("int")))
     y = seg.withColumn("g", F.explode(grid)).withColumn("x", F.col("g") / 100.0).where("r0 <= x AND (r1 IS NULL OR x < r1)")
@@ -50,10 +80,8 @@ def curves(points: DataFrame, gt: DataFrame) -> DataFrame:
     Above the highest confidence recall is 0 and precision 1; below the lowest the last values hold; a class without
     predictions has zeros.
     """
-    along = Window.partitionBy("cls").orderBy("i")
     rows = points.where("k = 0").select("cls", "i", (-F.col("conf")).alias("x0"), "rec", "prec")
-    lead = lambda c: F.lead(c).over(along)
-    seg = rows.select("cls", "x0", F.col("rec").alias("r0"), F.col("prec").alias("p0"), lead("x0").alias("x1"), lead("rec").alias("r1"), lead("prec").alias("p1")).where("x1 IS NULL OR x1 > x0")
+    seg = _following(rows, ["cls"], ["x0", "rec", "prec"]).select("cls", "x0", F.col("rec").alias("r0"), F.col("prec").alias("p0"), F.col("next.x0").alias("x1"), F.col("next.rec").alias("r1"), F.col("next.prec").alias("p1")).where("x1 IS NULL OR x1 > x0")
     low = F.when(F.col("x1").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), F.floor(-F.col("x1") * 999).cast("int")))
     grid = F.sequence(low, F.least(F.lit(999), F.greatest(low, F.ceil(-F.col("x0") * 999).cast("int") + 1)))
     at = seg.withColumn("g", F.explode(grid)).withColumn("x", -F.col("g") / 999.0).where("x0 <= x AND (x1 IS NULL OR x < x1)")
