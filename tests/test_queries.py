@@ -74,3 +74,22 @@ def test_crop_plan_against_a_loop(spark):
             held_so_far |= held
             expected.add((image, idx, len(held)))
     assert {tuple(r) for r in QUERIES["crop_plan"](spark, SF).collect()} == expected
+
+
+def test_curves_over_many_blocks(spark, monkeypatch):
+    """Block ends inside a curve, at ties and at single rows change nothing."""
+    from boxwright.operators import precision
+
+    rng = np.random.default_rng(5)
+    hits = spark.createDataFrame([(n // 5, n % 5, n % 2, float(rng.integers(0, 12)) / 12, k, int(rng.random() < 0.5)) for n in range(60) for k in (0, 1)], "image_id long, pred_idx long, cls long, conf double, k int, tp int")
+    gt = spark.createDataFrame([(n, n % 2) for n in range(40)], "image_id long, cls long")
+
+    def found():
+        points = precision.pr_points(hits, gt)
+        return [sorted(map(tuple, df.collect())) for df in (points, precision.envelope(points), precision.curves(points, gt).where("g % 50 = 0"))]
+
+    whole = found()
+    monkeypatch.setattr(precision, "BLOCK", 4)
+    assert found() == whole
+    monkeypatch.setattr(precision, "STRIPS", 1)
+    assert found() == whole
