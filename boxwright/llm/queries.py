@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import aligned
 from .compaction import compacted
 from .decontamination import contaminated
 from .html_text import extract_main_text
 from .mixing import fit_mixture, labelled_documents, mixing_rates, with_totals
+from .merkle import lowered_every_fifth, merkle_proofs
 from .neardup import near_duplicates
+from .packing import packed
 from .pseudonyms import EXAMPLE_KEY, pseudonymise
 from .quality import quality_verdicts
 from .shared import Saved, read_table
@@ -64,6 +67,18 @@ def op10_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compacted(read_table(spark, sf_dir, "documents"), arrivals=3).located()
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_proofs(read_table(spark, sf_dir, "documents"), lowered_every_fifth())
+
+
+def op12_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(read_table(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_tree_html_text": op1_tree_html_text,
     "op2_minhash_neardup": op2_minhash_neardup,
@@ -75,6 +90,9 @@ QUERIES = {
     "op8_ngram_llr_quality": op8_ngram_llr_quality,
     "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
     "op10_tiered_compaction": op10_tiered_compaction,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_best_two_fit_packing": op12_best_two_fit_packing,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {}
