@@ -1,15 +1,17 @@
 """Matching predictions to ground truth: status lists, confusion pairs, and one-to-one assignment by threshold.
 
 Ground truth has image_id, gt_idx, cls, x1, y1, x2, y2, difficult; predictions image_id, pred_idx, cls, x1, y1, x2, y2, conf.
-Pairs exist only within an image, so all plans join and group on image_id and sort within it.
+Pairs exist only within an image and only between boxes that share a cell of its grid, so joins go by both.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.boxes import Box, box, iou, ios
+from ..functions.boxes import Box, box, box_valid, ios, iou
 
 THRESHOLDS = tuple(0.5 + k * 0.05 for k in range(10))
 
@@ -19,11 +21,71 @@ def _sides(gt: DataFrame, pr: DataFrame) -> tuple[DataFrame, DataFrame, Box, Box
     return named(gt, "g_", ("gt_idx", "difficult")), named(pr, "p_", ("pred_idx", "conf")), box("g_"), box("p_")
 
 
+#: Side of the smallest cells in pixels; each further level has cells FACTOR times as wide. A box lies at the first level
+#: where it is at most FACTOR cells wide and high, so it covers at most (FACTOR + 1) squared of them.
+CELL, FACTOR, DEEPEST = 256.0, 8, 6
+
+
+def _level(side: Column) -> Column:
+    """The level of boxes with this longer side."""
+    return F.when(side <= CELL * FACTOR, 0).otherwise(F.least(F.lit(DEEPEST), F.ceil(F.log(side / (CELL * FACTOR)) / math.log(FACTOR)).cast("int")))
+
+
+def _covered(b: Box, level: Column) -> Column:
+    """The cells of a level that a box has a part in."""
+    width = F.pow(F.lit(float(FACTOR)), level) * CELL
+    along = lambda low, high: F.sequence(F.floor(low / width), F.greatest(F.floor(low / width), F.ceil(high / width) - 1))
+    return F.flatten(F.transform(along(b.x1, b.x2), lambda x: F.transform(along(b.y1, b.y2), lambda y: F.struct(level.alias("level"), x.alias("x"), y.alias("y")))))
+
+
+def _centre(b: Box, level: Column) -> Column:
+    """The cell of a level that holds the centre of a box."""
+    width = F.pow(F.lit(float(FACTOR)), level) * CELL
+    at = lambda low, high: F.floor((low + high) / 2 / width)
+    return F.struct(level.alias("level"), at(b.x1, b.x2).alias("x"), at(b.y1, b.y2).alias("y"))
+
+
+def _levels(low: Column, high: Column) -> Column:
+    return F.sequence(low.cast("int"), high.cast("int"))
+
+
+def near_pairs(left: DataFrame, right: DataFrame, g: Box, p: Box, threshold: float, use_ios: bool, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """Pairs of valid boxes that can overlap by more than ``threshold``, each once, by the cells of a grid of levels.
+
+    From a half on, the common part holds the middle of the box that it is measured by: with the smaller box in one cell
+    and the other in those that it covers, a pair meets once. Under a half both lie in all cells that they cover, and a
+    pair counts where its common part begins. Boxes of very unlike size can't have a high IoU, so few levels are tried.
+    An image of many boxes is thus many small joins, and not one.
+    """
+    side = lambda b: F.greatest(b.x2 - b.x1, b.y2 - b.y1)
+    halves = threshold >= 0.5
+    least = max(float(threshold), 1e-9)
+    if use_ios:  # the ground truth meets predictions of any size
+        mine, others = F.lit(0), F.lit(DEEPEST)
+        spread = F.explode(F.transform(_levels(mine, others), lambda k: _centre(g, k))) if halves else F.explode(F.flatten(F.transform(_levels(mine, others), lambda k: _covered(g, k))))
+        many, one = right.where(box_valid(p)).withColumn("cell", F.explode(_covered(p, _level(side(p))))), left.where(box_valid(g)).withColumn("cell", spread)
+        low = p
+    else:
+        mine, others = _level(side(p) * least), _level(side(p) / least)
+        spread = F.explode(F.transform(_levels(mine, others), lambda k: _centre(p, k))) if halves else F.explode(F.flatten(F.transform(_levels(mine, others), lambda k: _covered(p, k))))
+        many, one = left.where(box_valid(g)).withColumn("cell", F.explode(_covered(g, _level(side(g))))), right.where(box_valid(p)).withColumn("cell", spread)
+        low = g
+    met = many.join(one, [*keys, "cell"])
+    if halves:
+        return met.drop("cell")
+    width = F.pow(F.lit(float(FACTOR)), _level(side(low))) * CELL
+    first = (F.floor(F.greatest(g.x1, p.x1) / width) == F.col("cell.x")) & (F.floor(F.greatest(g.y1, p.y1) / width) == F.col("cell.y"))
+    return met.where(first).drop("cell")
+
+
 def overlaps(gt: DataFrame, pr: DataFrame, threshold: float = 0.5, use_ios: bool = False) -> DataFrame:
-    """All pairs of an image whose IoU (or intersection over ground-truth area) is strictly over the threshold, in single precision."""
+    """All pairs of an image whose IoU (or intersection over ground-truth area) is strictly over the threshold, in single precision.
+
+    Boxes without an area overlap nothing.
+    """
     left, right, g, p = _sides(gt, pr)
     score = (ios(g, p) if use_ios else iou(g, p)).cast("float")
-    pairs = left.join(right, "image_id").where(score > F.lit(threshold).cast("float"))
+    pairs = near_pairs(left, right, g, p, threshold, use_ios).where(score > F.lit(threshold).cast("float"))
     return pairs.select("image_id", "gt_idx", "pred_idx", F.col("g_cls").alias("gcls"), F.col("p_cls").alias("pcls"), "difficult", "conf")
 
 
@@ -64,24 +126,25 @@ def confusion_pairs(gt: DataFrame, pr: DataFrame, background: int, threshold: fl
     return recall.unionByName(precision)
 
 
-def assignments(gt: DataFrame, pr: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
-    """(image_id, pred_idx, k): predictions assigned to ground truth of their class at threshold k.
+def prediction_levels(gt: DataFrame, pr: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    """(image_id, pred_idx, cls, conf, levels) of each prediction: bit k is set if it is assigned at threshold k.
 
-    Each prediction keeps its best ground truth (the higher index on ties), then each ground truth its lowest prediction.
+    Each prediction keeps its best ground truth of its class (the higher index on ties), then each ground truth its
+    lowest prediction. So of a ground truth's predictions in order, one has the thresholds that it passes and none before it did.
     """
     left, right, g, p = _sides(gt, pr)
-    pairs = left.join(right, "image_id").where("g_cls = p_cls").select("image_id", "gt_idx", "pred_idx", iou(g, p, 1e-7).alias("iou"))
-    best_gt = Window.partitionBy("image_id", "pred_idx").orderBy(F.desc("iou"), F.desc("gt_idx"))
-    # the best ground truth of a prediction is the same at every threshold that it passes
-    best = pairs.where(F.col("iou") > thresholds[0]).withColumn("rn", F.row_number().over(best_gt)).where("rn = 1")
-    levels = F.explode(F.filter(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in enumerate(thresholds))), lambda s: s["t"] < F.col("iou")))
-    each = best.select("image_id", "gt_idx", "pred_idx", levels.alias("level")).select("image_id", "gt_idx", "pred_idx", F.col("level.k").alias("k"))
-    return each.groupBy("image_id", "gt_idx", "k").agg(F.min("pred_idx").alias("pred_idx")).select("image_id", "pred_idx", "k")
-
-
-def prediction_hits(gt: DataFrame, pr: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
+    keyed = near_pairs(left.withColumnRenamed("g_cls", "cls"), right.withColumnRenamed("p_cls", "cls"), g, p, thresholds[0], False, ("image_id", "cls"))
+    pairs = keyed.select("image_id", "gt_idx", "pred_idx", iou(g, p, 1e-7).alias("iou")).where(F.col("iou") > thresholds[0])
+    best = pairs.groupBy("image_id", "pred_idx").agg(F.max(F.struct("iou", "gt_idx")).alias("best"))
+    passed = sum((F.when(F.col("best.iou") > t, 1).otherwise(0) for t in thresholds[1:]), F.lit(1))
+    best = best.select("image_id", "pred_idx", F.col("best.gt_idx").alias("gt_idx"), passed.alias("passed"))
+    earlier = Window.partitionBy("image_id", "gt_idx").orderBy("pred_idx").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.max("passed").over(earlier), F.lit(0))
+    bits = best.select("image_id", "pred_idx", "passed", before.alias("before")).where("passed > before").select("image_id", "pred_idx", F.expr("shiftleft(1, passed) - shiftleft(1, before)").alias("levels"))
+    return pr.select("image_id", "pred_idx", "cls", "conf").join(bits, ["image_id", "pred_idx"], "left").withColumn("levels", F.coalesce("levels", F.lit(0)))
+
+
+def prediction_hits(levels: DataFrame, n: int = len(THRESHOLDS)) -> DataFrame:
     """(image_id, pred_idx, cls, conf, k, tp) of each prediction and threshold."""
-    hits = assignments(gt, pr, thresholds).groupBy("image_id", "pred_idx").agg(F.collect_set("k").alias("hits"))
-    wide = pr.select("image_id", "pred_idx", "cls", "conf").join(hits, ["image_id", "pred_idx"], "left")
-    each = wide.withColumn("k", F.explode(F.array(*(F.lit(k) for k in range(len(thresholds))))))
-    return each.select("image_id", "pred_idx", "cls", "conf", "k", F.coalesce(F.array_contains("hits", F.col("k")), F.lit(False)).cast("int").alias("tp"))
+    each = levels.withColumn("k", F.explode(F.array(*(F.lit(k) for k in range(n)))))
+    return each.select("image_id", "pred_idx", "cls", "conf", "k", F.expr("shiftright(levels, k) & 1").alias("tp"))

@@ -1,6 +1,7 @@
 """Merging of overlapping detections, window clusters and crops: order-dependent work, done per image in tasks.
 
-Each image (and class) is one small group that Spark shuffles; the kernels are numpy over the group's boxes.
+Each image (and class) is a group that Spark shuffles; the kernels are numpy over the group's columns. Which boxes match is
+found by a sweep over their left edges, so memory goes with the matches, not with the square of the boxes.
 """
 
 from __future__ import annotations
@@ -8,93 +9,167 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MERGED = "image_id long, code long, keep_idx long, n_merged long, x1 double, y1 double, x2 double, y2 double, conf double"
+from ..functions.boxes import box
+from .tiling import padded_crop
+
+CORNERS = ("x1", "y1", "x2", "y2")
+#: Candidate pairs that the sweep looks at together.
+SWEPT = 1 << 20
+Group = dict[str, np.ndarray]
 
 
-def grouped_map(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
-    """``kernel`` over each group of neighbouring rows, many groups a batch; only the last group of a batch is carried over."""
-    names = [part.split()[0] for part in schema.split(", ")]
+def grouped_map(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[Group], list[tuple]], schema: str) -> DataFrame:
+    """``kernel`` over the columns of each group of neighbouring rows, many groups a batch; only the last group of a batch is carried over."""
+    parts = [part.split() for part in schema.split(", ")]
+    kinds = {"long": pa.int64(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+    target = pa.schema([(name, kinds[kind]) for name, kind in parts])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carried: pd.DataFrame | None = None
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)] if rows else [pa.array([], f.type) for f in target], schema=target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried: list[Group] = []  # parts of the open group
         for batch in batches:
-            rows = batch if carried is None else pd.concat((carried, batch), ignore_index=True)
-            if not len(rows):
+            if not batch.num_rows:
                 continue
-            values = rows[keys].to_numpy()
-            starts = np.flatnonzero(np.concatenate(([True], (values[1:] != values[:-1]).any(1))))
-            if len(starts) > 1:
-                yield pd.DataFrame([r for a, b in zip(starts[:-1], starts[1:], strict=True) for r in kernel(rows.iloc[a:b])], columns=names)
-            carried = rows.iloc[starts[-1] :]
-        if carried is not None:
-            yield pd.DataFrame(kernel(carried), columns=names)
+            columns = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names}
+            change = np.zeros(batch.num_rows - 1, bool)
+            for key in keys:
+                change |= columns[key][1:] != columns[key][:-1]
+            starts = np.concatenate(([0], np.flatnonzero(change) + 1, [batch.num_rows]))
+            out = []
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                group = {name: values[a:b] for name, values in columns.items()}
+                if carried and any(carried[0][k][0] != group[k][0] for k in keys):
+                    out += kernel(_whole(carried))
+                    carried = []
+                carried.append(group)
+            if out:
+                yield made(out)
+        if carried:
+            yield made(kernel(_whole(carried)))
+
+    return df.repartition(keys[0]).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def _whole(parts: list[Group]) -> Group:
+    return parts[0] if len(parts) == 1 else {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
+
+
+def _score(a: np.ndarray, b: np.ndarray, mode: str) -> np.ndarray:
+    """IoU, or common part over the smaller area, of boxes in rows, in single precision."""
+    side = np.maximum(0, np.minimum(a[..., 2:], b[..., 2:]) - np.maximum(a[..., :2], b[..., :2]))
+    inter = side[..., 0] * side[..., 1]
+    area_a, area_b = ((x[..., 2] - x[..., 0]) * (x[..., 3] - x[..., 1]) for x in (a, b))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return inter / (np.minimum(area_a, area_b) if mode == "ios" else area_a + area_b - inter)
 
-    return df.repartition(keys[0]).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
+def matches(boxes: np.ndarray, threshold: float, mode: str = "ios") -> tuple[np.ndarray, np.ndarray]:
+    """For each box the others that match it, ascending: bounds by box, and their indexes.
 
-def _overlap(boxes: np.ndarray, mode: str) -> np.ndarray:
-    b = boxes.astype(np.float32)
-    side = np.maximum(0, np.minimum(b[:, None, 2:], b[None, :, 2:]) - np.maximum(b[:, None, :2], b[None, :, :2]))
-    inter, area = side[..., 0] * side[..., 1], (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return inter / (np.minimum(area[:, None], area[None]) if mode == "ios" else area[:, None] + area[None] - inter)
+    Boxes match unless their score is under the threshold. A box with no area may have no score, which counts as a
+    match, so such boxes are compared with all; so are all if the threshold is 0.
+    """
+    b, limit, n = boxes.astype(np.float32), np.float32(threshold), len(boxes)
+    plain = (b[:, 2] > b[:, 0]) & (b[:, 3] > b[:, 1]) if limit > 0 else np.zeros(n, bool)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in np.flatnonzero(~plain).tolist():
+        met = np.flatnonzero(~(_score(b[i], b, mode) < limit))
+        met = met[met != i]
+        left += [np.full(len(met), i), met[plain[met]]]  # among themselves both rows are made
+        right += [met, np.full(int(plain[met].sum()), i)]
+    order = np.flatnonzero(plain)
+    order = order[np.argsort(b[order, 0], kind="stable")]
+    # those after a box in the sweep that begin before it ends
+    upto = np.searchsorted(b[order, 0], b[order, 2], "left")
+    wide = np.maximum(0, upto - np.arange(len(order)) - 1)
+    total = np.concatenate(([0], np.cumsum(wide)))
+    low = 0
+    while low < len(order):
+        high = max(low + 1, int(np.searchsorted(total, total[low] + SWEPT, "right")) - 1)
+        here = np.repeat(np.arange(low, high), wide[low:high])
+        there = here + 1 + np.arange(len(here)) - np.repeat(total[low:high] - total[low], wide[low:high])
+        i, j = order[here], order[there]
+        meet = (b[i, 1] < b[j, 3]) & (b[j, 1] < b[i, 3])
+        i, j = i[meet], j[meet]
+        hit = ~(_score(b[i], b[j], mode) < limit)
+        left += [i[hit], j[hit]]
+        right += [j[hit], i[hit]]
+        low = high
+    a, c = np.concatenate(left), np.concatenate(right)
+    at = np.lexsort((c, a))
+    return np.searchsorted(a[at], np.arange(n + 1)), c[at]
 
 
 def greedy_groups(boxes: np.ndarray, conf: np.ndarray, threshold: float, mode: str = "ios", highest_first: bool = False) -> list[list[int]]:
     """Keeper and members of each merge. The first seed is the lowest score, unless asked; later ones the highest left."""
-    match = ~(_overlap(boxes, mode) < np.float32(threshold))
-    left, groups = list(np.lexsort((np.arange(len(conf)), conf))), []
-    seed = -1 if highest_first else 0
-    while left:
-        keeper = left.pop(seed)
-        seed = -1
-        members = [j for j in left if match[keeper, j]]
-        groups.append([keeper, *members])
-        left = [j for j in left if not match[keeper, j]]
+    bounds, others = matches(boxes, threshold, mode)
+    order = np.lexsort((np.arange(len(conf)), conf)).tolist()
+    left, groups = np.ones(len(conf), bool), []
+    if order and not highest_first:
+        order.append(order[0])
+    while order:
+        keeper = order.pop()
+        if left[keeper]:
+            left[keeper] = False
+            near = others[bounds[keeper] : bounds[keeper + 1]]
+            members = near[left[near]]
+            left[members] = False
+            groups.append([keeper, *members.tolist()])
     return groups
 
 
 def one_hop_groups(boxes: np.ndarray, conf: np.ndarray, threshold: float, mode: str = "ios") -> list[list[int]]:
     """In index order: an unclaimed box keeps and claims its unclaimed overlaps; a claimed one passes its own to its keeper."""
-    match = ~(_overlap(boxes, mode) < np.float32(threshold))
+    bounds, others = matches(boxes, threshold, mode)
     owner: dict[int, int] = {}
     groups: dict[int, list[int]] = {}
     for i in range(len(conf)):
         keeper = owner.get(i, i)
         if keeper == i:
             groups[i] = [i]
-        for j in np.flatnonzero(match[i]).tolist():
-            if j != i and j not in owner and j not in groups:
+        for j in others[bounds[i] : bounds[i + 1]].tolist():
+            if j not in owner and j not in groups:
                 owner[j] = keeper
                 groups[keeper].append(j)
     return list(groups.values())
 
 
+MERGED = "image_id long, code long, keep_idx long, n_merged long, x1 double, y1 double, x2 double, y2 double, conf double"
+
+
 def merge_detections(detections: DataFrame, threshold: float = 0.5, mode: str = "ios", greedy: bool = True, highest_first: bool = False, apart: tuple[int, ...] = ()) -> DataFrame:
     """Union boxes of merged ``detections`` (image_id, pred_idx, code, x1, y1, x2, y2, conf), by image and code.
 
-    ``keep_idx`` and ``conf`` are the keeper's; ``n_merged`` counts its members. Codes in ``apart`` pass as they are.
+    ``keep_idx`` and ``conf`` are the keeper's; ``n_merged`` counts its members. Codes in ``apart`` pass as they are. If
+    detections have a name, it is the keeper's; if they have a segment, a detection that stays alone keeps its own.
     """
 
-    def merge(group: pd.DataFrame) -> list[tuple]:
-        boxes, conf, index = group[["x1", "y1", "x2", "y2"]].to_numpy(float), group["conf"].to_numpy(float), group["pred_idx"].to_numpy()
-        image, code = group["image_id"].iat[0], group["code"].iat[0]
+    def merge(group: Group) -> list[tuple]:
+        boxes, conf, index = np.stack([group[c] for c in CORNERS], 1), group["conf"], group["pred_idx"]
+        image, code = int(group["image_id"][0]), int(group["code"][0])
         if code in apart:
-            groups = [[i] for i in range(len(group))]
+            groups = [[i] for i in range(len(index))]
         else:
             groups = greedy_groups(boxes, conf, threshold, mode, highest_first) if greedy else one_hop_groups(boxes, conf, threshold, mode)
-        return [(image, code, index[g[0]], len(g), *boxes[g, :2].min(0), *boxes[g, 2:].max(0), conf[g[0]]) for g in groups]
+        return [(image, code, int(index[g[0]]), len(g), *boxes[g, :2].min(0).tolist(), *boxes[g, 2:].max(0).tolist(), float(conf[g[0]])) for g in groups]
 
-    keyed = detections.select("image_id", "pred_idx", F.coalesce("code", F.lit(-1)).cast("long").alias("code"), *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")), F.coalesce("conf", F.lit(0.4)).alias("conf"))
-    return grouped_map(keyed, ["image_id", "code"], ["pred_idx"], merge, MERGED)
+    keyed = detections.select("image_id", "pred_idx", F.coalesce("code", F.lit(-1)).cast("long").alias("code"), *(F.col(c).cast("double").alias(c) for c in CORNERS), F.coalesce("conf", F.lit(0.4)).cast("double").alias("conf"))
+    merged = grouped_map(keyed, ["image_id", "code"], ["pred_idx"], merge, MERGED)
+    more = [c for c in ("name", "segment") if c in detections.columns]
+    if not more:
+        return merged
+    kept = merged.join(detections.select("image_id", F.col("pred_idx").alias("keep_idx"), *more), ["image_id", "keep_idx"])
+    return kept.withColumn("segment", F.when(F.col("n_merged") == 1, F.col("segment"))) if "segment" in more else kept
 
 
-def _kmeans(points: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
-    """Lloyd's method from spread-out first centres; deterministic."""
+def kmeans(points: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
+    """Labels by Lloyd's method from spread-out first centres; deterministic."""
     centers = points[:1]
     while len(centers) < k:
         gap = ((points[:, None] - centers[None]) ** 2).sum(2).min(1)
@@ -108,6 +183,37 @@ def _kmeans(points: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
     return label
 
 
+def agglomerative(points: np.ndarray, k: int) -> np.ndarray:
+    """Labels of ``k`` clusters by least growth of variance, numbered by their first points.
+
+    Chains of nearest neighbours find all merges with a row of distances at a time; the cheapest are then carried out.
+    """
+    n = len(points)
+    centre, size, alive = points.astype(float).copy(), np.ones(n), np.ones(n, bool)
+    joins, chain = [], []
+    for _ in range(n - 1):
+        while True:
+            if not chain:
+                chain.append(int(np.flatnonzero(alive)[0]))
+            top = chain[-1]
+            cost = np.where(alive, size * size[top] / (size + size[top]) * ((centre - centre[top]) ** 2).sum(1), np.inf)
+            cost[top] = np.inf
+            near = int(cost.argmin())
+            if len(chain) > 1 and cost[chain[-2]] <= cost[near]:
+                break
+            chain.append(near)
+        a, b = chain.pop(), chain.pop()
+        low, high = min(a, b), max(a, b)
+        joins.append((float(cost[b]), len(joins), low, high))
+        centre[low] = (centre[low] * size[low] + centre[high] * size[high]) / (size[low] + size[high])
+        size[low] += size[high]
+        alive[high] = False
+    owner = np.arange(n)
+    for _, _, low, high in sorted(joins)[: n - k]:
+        owner[owner == owner[high]] = owner[low]
+    return np.unique(owner, return_inverse=True)[1] if n else owner
+
+
 def fuse_windows(windows: list[list[float]], width: float, height: float, slack: float = 1.2) -> list[list[float]]:
     """Each window in turn joins every later one with which it still fits ``slack`` times the window size, and goes."""
     out = [list(w) for w in windows]
@@ -125,51 +231,84 @@ def fuse_windows(windows: list[list[float]], width: float, height: float, slack:
     return out
 
 
-def cluster_windows(boxes: DataFrame, images: DataFrame, window: int = 640, count: int = 3, padding: int = 20) -> DataFrame:
-    """(image_id, x1, y1, x2, y2): up to ``count`` windows an image around clusters of box centres, fused and set to size."""
+def cluster_windows(boxes: DataFrame, images: DataFrame, window: tuple[int, int] = (640, 640), count: int = 3, padding: float = 0.0, method: str = "kmeans", same_ratio: bool = False, keep_size: bool = False) -> DataFrame:
+    """(image_id, place, x1, y1, x2, y2): up to ``count`` windows an image around clusters of box centres.
+
+    A cluster's window is what its boxes cover, widened by ``padding`` (a share from 0 to 1) of its widest and highest
+    box and cut to the image. Near windows are fused. Then each gets the size of ``window``, a longer side its own (both
+    sides in proportion with ``same_ratio``), around its middle and cut to the image; ``keep_size`` leaves them as fused.
+    """
+    cluster = {"kmeans": kmeans, "agglomerative": agglomerative}[method]
+    share, (base_w, base_h) = min(max(0.0, padding), 1.0), window
 
-    def windows_of(group: pd.DataFrame) -> list[tuple]:
-        b, w, h = group[["x1", "y1", "x2", "y2"]].to_numpy(float), float(group["width"].iloc[0]), float(group["height"].iloc[0])
+    def windows_of(group: Group) -> list[tuple]:
+        b, w, h = np.stack([group[c] for c in CORNERS], 1), int(group["width"][0]), int(group["height"][0])
         centres = (b[:, :2] + b[:, 2:]) / 2
-        label = _kmeans(centres, min(count, len(np.unique(centres, axis=0))))
-        found = [[*(b[label == c, :2].min(0) - padding), *(b[label == c, 2:].max(0) + padding)] for c in np.unique(label)]
+        k = min(count, len(np.unique(centres, axis=0)))
+        label = cluster(centres, k) if k > 1 else np.zeros(len(b), int)
+        found = []
+        for c in np.unique(label):
+            own = b[label == c]
+            pad_w, pad_h = (int((own[:, i + 2] - own[:, i]).max() * share) for i in (0, 1))
+            found.append([int(max(0, own[:, 0].min() - pad_w)), int(max(0, own[:, 1].min() - pad_h)), int(min(w, own[:, 2].max() + pad_w)), int(min(h, own[:, 3].max() + pad_h))])
         rows = []
-        for x1, y1, x2, y2 in fuse_windows(found, window, window):
-            half_w, half_h = max(window, x2 - x1) / 2, max(window, y2 - y1) / 2
-            cx, cy = min(max((x1 + x2) / 2, half_w), max(w - half_w, half_w)), min(max((y1 + y2) / 2, half_h), max(h - half_h, half_h))
-            rows.append((group["image_id"].iloc[0], max(0, int(cx - half_w)), max(0, int(cy - half_h)), min(int(w), int(cx + half_w)), min(int(h), int(cy + half_h))))
-        return [*dict.fromkeys(rows)]
-
-    sized = boxes.select("image_id", "x1", "y1", "x2", "y2").join(images.select("image_id", "width", "height"), "image_id")
-    return grouped_map(sized, ["image_id"], ["x1", "y1", "x2", "y2"], windows_of, "image_id long, x1 long, y1 long, x2 long, y2 long")
-
-
-def greedy_crops(boxes: np.ndarray, width: int, height: int, padding: int = 20, ratio_pct: int = 85, threshold: float = 0.7) -> list[tuple[int, list[int]]]:
-    """Label that makes each crop and the labels it covers: each label that no crop covers yet makes one."""
-    covered, crops = np.zeros(len(boxes), bool), []
-    for i, (x1, y1, x2, y2) in enumerate(boxes):
-        if covered[i]:
-            continue
-        w, h = x2 - x1 + 2 * padding, y2 - y1 + 2 * padding
-        floor = np.floor(max(w, h) * ratio_pct / 100)
-        w, h = max(w, floor), max(h, floor)
-        x, y = np.floor((x1 + x2) / 2 - w / 2), np.floor((y1 + y2) / 2 - h / 2)
-        a, b, c, d = max(x, 0), max(y, 0), min(x + w, width), min(y + h, height)
-        inter = np.maximum(0, np.minimum(boxes[:, 2], c) - np.maximum(boxes[:, 0], a)) * np.maximum(0, np.minimum(boxes[:, 3], d) - np.maximum(boxes[:, 1], b))
-        held = inter / np.maximum(1e-9, (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])) > threshold
-        held[i] = True
-        covered |= held
-        crops.append((i, np.flatnonzero(held).tolist()))
-    return crops
-
-
-def crop_plan(labels: DataFrame, images: DataFrame, padding: int = 20, ratio_pct: int = 85, threshold: float = 0.7) -> DataFrame:
-    """(image_id, gt_idx, n_covered): the labels of each image that make a crop, in order, and how many labels it holds."""
-
-    def plan(group: pd.DataFrame) -> list[tuple]:
-        crops = greedy_crops(group[["x1", "y1", "x2", "y2"]].to_numpy(float), int(group["width"].iloc[0]), int(group["height"].iloc[0]), padding, ratio_pct, threshold)
-        index = group["gt_idx"].to_numpy()
-        return [(group["image_id"].iat[0], index[i], len(held)) for i, held in crops]
-
-    sized = labels.select("image_id", "gt_idx", "x1", "y1", "x2", "y2").join(images.select("image_id", "width", "height"), "image_id")
-    return grouped_map(sized, ["image_id"], ["gt_idx"], plan, "image_id long, gt_idx long, n_covered long")
+        for x1, y1, x2, y2 in fuse_windows(found, base_w, base_h):
+            if not keep_size:
+                grow_w, grow_h = max(1.0, (x2 - x1) / base_w), max(1.0, (y2 - y1) / base_h)
+                both = max(grow_w, grow_h)
+                new_w, new_h = (int(base_w * both), int(base_h * both)) if same_ratio else (int(base_w * grow_w), int(base_h * grow_h))
+                x1, y1 = max(0, int(x1 + (x2 - x1) / 2) - new_w // 2), max(0, int(y1 + (y2 - y1) / 2) - new_h // 2)
+                x2, y2 = min(w, x1 + new_w), min(h, y1 + new_h)
+            rows.append((int(group["image_id"][0]), len(rows), x1, y1, x2, y2))
+        return rows
+
+    sized = boxes.select("image_id", *(F.col(c).cast("double").alias(c) for c in CORNERS)).join(images.select("image_id", "width", "height"), "image_id")
+    return grouped_map(sized, ["image_id"], list(CORNERS), windows_of, "image_id long, place long, x1 long, y1 long, x2 long, y2 long")
+
+
+CROPS = "image_id long, gt_idx long, x1 long, y1 long, x2 long, y2 long, held array<long>, masked array<long>"
+
+
+def cover(boxes: np.ndarray, crops: np.ndarray, threshold: float = 0.7, mask: bool = False) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Labels whose crop is made, with the labels that it holds and those that are blacked out in it.
+
+    Each label in turn makes its crop unless one before holds it. A crop holds the labels of which more than
+    ``threshold`` lies in it; with ``mask`` those of which 0.95 and more does, the others that it cuts being blacked out.
+    """
+    taken, out = np.zeros(len(boxes), bool), []
+    area = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
+    for i in range(len(boxes)):
+        if not taken[i]:
+            side = np.maximum(0, np.minimum(boxes[:, 2:], crops[i, 2:]) - np.maximum(boxes[:, :2], crops[i, :2]))
+            part = side[:, 0] * side[:, 1] / area
+            held = part >= 0.95 if mask else part > threshold
+            taken |= held
+            out.append((i, np.flatnonzero(held), np.flatnonzero((part > 0) & ~held) if mask else np.zeros(0, int)))
+    return out
+
+
+def crop_plan(labels: DataFrame, images: DataFrame, target: int = 640, ratio_pct: int = 85, threshold: float = 0.7, mask: bool = False) -> DataFrame:
+    """(image_id, gt_idx, x1, y1, x2, y2, held, masked): the crops that cover all labels of each image (see ``cover``).
+
+    gt_idx is the label that makes the crop; held and masked list labels. Labels without an area make none and are in none.
+    """
+
+    def plan(group: Group) -> list[tuple]:
+        index = group["gt_idx"]
+        boxes, crops = (np.stack([group[p + c] for c in CORNERS], 1) for p in ("", "c_"))
+        return [(int(group["image_id"][0]), int(index[i]), *map(int, crops[i]), index[held].tolist(), index[masked].tolist()) for i, held, masked in cover(boxes, crops, threshold, mask)]
+
+    sized = labels.select("image_id", "gt_idx", *CORNERS).where("x1 < x2 AND y1 < y2").join(images.select("image_id", "width", "height"), "image_id")
+    crop = padded_crop(box(), F.col("width"), F.col("height"), target, ratio_pct)
+    sized = sized.select("image_id", "gt_idx", *(F.col(c).cast("double").alias(c) for c in CORNERS), *(c.cast("double").alias(f"c_{n}") for n, c in zip(CORNERS, crop, strict=True)))
+    return grouped_map(sized, ["image_id"], ["gt_idx"], plan, CROPS)
+
+
+def crop_labels(plan: DataFrame, labels: DataFrame, listed: str = "held") -> DataFrame:
+    """Labels of each crop in its own coordinates, cut to it: image_id, crop, the labels' columns; ``listed``: held or masked."""
+    inside = lambda c, low, size: F.least(F.greatest(F.col(c) - F.col(low), F.lit(0)), size).alias(c)
+    rows = plan.select("image_id", F.col("gt_idx").alias("crop"), *(F.col(c).alias(f"w_{c}") for c in CORNERS), F.explode(listed).alias("gt_idx"))
+    rest = [c for c in labels.columns if c not in ("image_id", "gt_idx", *CORNERS)]
+    wide, high = F.col("w_x2") - F.col("w_x1"), F.col("w_y2") - F.col("w_y1")
+    corners: list[Column] = [inside("x1", "w_x1", wide), inside("y1", "w_y1", high), inside("x2", "w_x1", wide), inside("y2", "w_y1", high)]
+    return rows.join(labels, ["image_id", "gt_idx"]).select("image_id", "crop", "gt_idx", *corners, wide.alias("width"), high.alias("height"), *rest)

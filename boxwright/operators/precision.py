@@ -1,8 +1,9 @@
-"""Precision-recall curves, average precision and the operating point, as windows and joins over long tables.
+"""Precision-recall curves, average precision and the operating point, as windows and joins.
 
-Predictions are ordered by descending confidence, ties by image and index. Running sums and maxima go in two levels, so
-that a frequent class is not one task: within strips of confidence or blocks of places, and over a row a strip or block.
-Both levels read the same shuffle. The running maximum from the right is taken over the reversed order, in one pass.
+Predictions are a row each, with a bit for each threshold. They are put in order once, by class, descending confidence,
+image and index, in ranges that Spark samples over that whole key, so neither a frequent class nor a frequent
+confidence is one task. Running sums and maxima go within a range and over a row a range. Interpolation reads
+only the rows where a curve crosses a grid point.
 """
 
 from __future__ import annotations
@@ -10,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .saved import checkpointed
+
 EPS = 1e-16
-#: Strips of confidence between 0 and 1, and places in a block of a curve.
-STRIPS, BLOCK = 1000, 100_000
+LEVELS = 10
 
 
 def class_counts(gt: DataFrame) -> DataFrame:
@@ -20,57 +22,82 @@ def class_counts(gt: DataFrame) -> DataFrame:
     return gt.groupBy("cls").agg(F.count("*").alias("n"), F.countDistinct("image_id").alias("n_images"))
 
 
-def _block() -> Column:
-    return F.floor(F.col("i") / BLOCK)
+def ranked(levels: DataFrame, gt: DataFrame) -> DataFrame:
+    """(run, cls, at, conf, levels, i, t0, t1, ..., n) of each prediction of classes with ground truth.
 
+    ``levels`` as prediction_levels gives them. i is the place in the class, t<k> the hits at threshold k so far, n the
+    ground truth. Ranges of the order (run) are fixed by a checkpoint, as two samples of it would differ.
+    """
+    order = ["cls", F.desc("conf"), "image_id", "pred_idx"]
+    rows = levels.select("cls", "conf", "image_id", "pred_idx", "levels").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = checkpointed(rows.select("cls", "conf", "levels", F.monotonically_increasing_id().alias("at"))).withColumn("run", F.shiftright("at", 33))
+    names = [f"t{k}" for k in range(LEVELS)]
+    hit = [F.shiftright("levels", k).bitwiseAND(1) for k in range(LEVELS)]
+    before = Window.partitionBy("cls").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sums = rows.groupBy("run", "cls").agg(F.count("*").alias("rows"), *(F.sum(h).alias(t) for h, t in zip(hit, names, strict=True)))
+    sums = sums.select("run", "cls", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("rows", *names)))
+    own = Window.partitionBy("run", "cls").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("run", "cls", "at", "conf", "levels", F.row_number().over(own).cast("long").alias("i"), *(F.sum(h).over(own).alias(t) for h, t in zip(hit, names, strict=True)))
+    joined = rows.join(sums, ["run", "cls"]).join(F.broadcast(class_counts(gt).select("cls", "n")), "cls")  # a row a class
+    return joined.select("run", "cls", "at", "conf", "levels", (F.col("i") + F.col("rows_before")).alias("i"), *((F.col(t) + F.col(f"{t}_before")).alias(t) for t in names), "n")
+
+
+def _each_level(rows: DataFrame, values: dict[str, list[Column]], *kept: str) -> DataFrame:
+    """A row for each level, with the level's column of each of ``values``."""
+    each = F.array(*(F.struct(F.lit(k).alias("k"), *(v[k].alias(name) for name, v in values.items())) for k in range(LEVELS)))
+    return rows.select(*kept, F.inline(each))
+
+
+def pr_points(points: DataFrame) -> DataFrame:
+    """(cls, i, conf, k, rec, prec) after each prediction, at each threshold; ``points`` as ranked gives them."""
+    t = [F.col(f"t{k}") for k in range(LEVELS)]
+    return _each_level(points, {"rec": [x / F.col("n") for x in t], "prec": [x / F.col("i") for x in t]}, "cls", "i", "conf")
+
+
+def _enveloped(points: DataFrame) -> DataFrame:
+    """``points`` with e0, e1, ...: at each threshold the highest precision from here on."""
+    names = [f"e{k}" for k in range(LEVELS)]
+    precision = [F.col(f"t{k}") / F.col("i") for k in range(LEVELS)]
+    back = Window.partitionBy("run", "cls").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy("cls").orderBy(F.desc("run")).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    most = points.groupBy("run", "cls").agg(*(F.max(p).alias(e) for p, e in zip(precision, names, strict=True)))
+    most = most.select("run", "cls", *(F.max(e).over(later).alias(f"{e}_later") for e in names))
+    rows = points.withColumns({e: F.max(p).over(back) for p, e in zip(precision, names, strict=True)}).join(most, ["run", "cls"])
+    return rows.select(*points.columns, *(F.greatest(e, f"{e}_later").alias(e) for e in names))
 
-def _following(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """``rows`` with next, the columns of the row at the next i, null at the end of the keys' rows."""
-    rows = rows.withColumn("block", _block())
-    own = Window.partitionBy(*keys, "block").orderBy("i")
-    heads = rows.groupBy(*keys, "block").agg(F.min_by(F.struct(*columns), "i").alias("head"))
-    heads = heads.select(*keys, "block", F.lead("head").over(Window.partitionBy(*keys).orderBy("block")).alias("head"))
-    return rows.withColumn("next", F.lead(F.struct(*columns)).over(own)).join(heads, [*keys, "block"]).withColumn("next", F.coalesce("next", "head")).drop("block", "head")
 
+def envelope(points: DataFrame) -> DataFrame:
+    """(cls, k, i, rec, env) with the sentinels (0, 1) before and (1, 0) after each curve."""
+    rows = _enveloped(points)
+    each = _each_level(rows, {"rec": [F.col(f"t{k}") / F.col("n") for k in range(LEVELS)], "env": [F.col(f"e{k}") for k in range(LEVELS)]}, "cls", "i")
+    ends = F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(k).alias("k"), F.lit(rec).alias("rec"), F.lit(env).alias("env")) for k in range(LEVELS) for i, rec, env in ((0, 0.0, 1.0), (1_000_000_000_000, 1.0, 0.0))))
+    return each.unionByName(points.select("cls").distinct().select("cls", F.inline(ends))).select("cls", "k", "i", "rec", "env")
 
-def pr_points(hits: DataFrame, gt: DataFrame) -> DataFrame:
-    """(cls, k, i, conf, rec, prec) after each prediction; ``hits`` as prediction_hits gives them."""
-    keys = ["cls", "k", "strip"]
-    order = Window.partitionBy(*keys).orderBy(F.desc("conf"), "image_id", "pred_idx")
-    rows = hits.select("cls", "k", F.floor(F.col("conf") * STRIPS).alias("strip"), "conf", "image_id", "pred_idx", "tp")
-    rows = rows.select(*keys, "conf", F.row_number().over(order).cast("long").alias("own_i"), F.sum("tp").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("own_tp"))
-    strips = rows.groupBy(*keys).agg(F.max("own_i").alias("n"), F.max("own_tp").alias("tp"))
-    higher = Window.partitionBy("cls", "k").orderBy(F.desc("strip"))
-    before = strips.select(*keys, (F.sum("n").over(higher) - F.col("n")).alias("i0"), (F.sum("tp").over(higher) - F.col("tp")).alias("tp0"))
-    cum = rows.join(before, keys).select("cls", "k", "conf", (F.col("own_i") + F.col("i0")).alias("i"), (F.col("own_tp") + F.col("tp0")).alias("tpc"))
-    return cum.join(F.broadcast(class_counts(gt)), "cls").select("cls", "k", "i", "conf", (F.col("tpc") / F.col("n")).alias("rec"), (F.col("tpc") / F.col("i")).alias("prec"))
 
+def average_precision(points: DataFrame, gt: DataFrame) -> DataFrame:
+    """(cls, k, ap) by 101-point interpolation of the envelope; 0 for classes without predictions.
 
-def envelope(points: DataFrame) -> DataFrame:
-    """(cls, k, i, rec, env) with the sentinels (0, 1) before and (1, 0) after each curve."""
-    place = lambda i, rec, prec: F.struct(i.cast("long").alias("i"), rec.alias("rec"), prec.alias("prec"))
-    own = place(F.col("i"), F.col("rec"), F.col("prec"))
-    # a curve's first row brings both sentinels, so the curves are made once
-    ends = F.array(own, place(F.lit(0), F.lit(0.0), F.lit(1.0)), place(F.lit(1_000_000_000_000), F.lit(1.0), F.lit(0.0)))
-    rows = points.select("cls", "k", F.inline(F.when(F.col("i") == 1, ends).otherwise(F.array(own))))
-    keys = ["cls", "k", "block"]
-    back = Window.partitionBy(*keys).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("block", _block())
-    rows = rows.select(*keys, "i", "rec", F.max("prec").over(back).alias("own"))
-    later = Window.partitionBy("cls", "k").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
-    after = rows.groupBy(*keys).agg(F.max("own").alias("most")).select(*keys, F.max("most").over(later).alias("after"))
-    return rows.join(after, keys).select("cls", "k", "i", "rec", F.greatest("own", "after").alias("env"))
-
-
-def average_precision(points: DataFrame, gt: DataFrame, levels: int = 10) -> DataFrame:
-    """(cls, k, ap) by 101-point interpolation of the envelope; 0 for classes without predictions."""
-    seg = _following(envelope(points), ["cls", "k"], ["rec", "env"]).select("cls", "k", F.col("rec").alias("r0"), F.col("env").alias("e0"), F.col("next.rec").alias("r1"), F.col("next.env").alias("e1"))
-    seg = seg.where("r1 IS NULL OR r1 > r0")
-    grid = F.sequence(F.greatest(F.lit(0), F.ceil(F.col("r0") * 100).cast("int") - 1), F.least(F.lit(100), F.ceil(F.coalesce("r1", F.lit(1.0)) * 100).cast("int")))
-    y = seg.withColumn("g", F.explode(grid)).withColumn("x", F.col("g") / 100.0).where("r0 <= x AND (r1 IS NULL OR x < r1)")
-    value = F.when(F.col("r1").isNull(), F.col("e0")).otherwise(F.col("e0") + (F.col("x") - F.col("r0")) * (F.col("e1") - F.col("e0")) / (F.col("r1") - F.col("r0")))
-    found = y.groupBy("cls", "k").agg(((F.sum(value) - 0.5 * F.sum(F.when(F.col("g").isin(0, 100), value).otherwise(0.0))) * 0.01).alias("ap"))
-    every = gt.select("cls").distinct().withColumn("k", F.explode(F.array(*(F.lit(k) for k in range(levels)))))
+    Recall rises by a step at a hit, so a grid point lies in the step of one hit, whose row has both ends: its own, and
+    the row before with one hit less. Beyond the last hit the curve falls to 0 at recall 1.
+    """
+    n, i, levels = F.col("n"), F.col("i"), range(LEVELS)
+    t = [F.col(f"t{k}") for k in levels]
+    low, high = [(x - 1) / n for x in t], [x / n for x in t]
+    hit = [(F.shiftright("levels", k).bitwiseAND(1) == 1) & (F.floor(high[k] * 100 + 1e-6) >= F.ceil(low[k] * 100 - 1e-6)) for k in levels]
+    rows = _enveloped(points)
+    any_hit = hit[0]
+    for h in hit[1:]:
+        any_hit = any_hit | h
+    before = [F.when(i == 1, 1.0).otherwise(F.greatest((t[k] - 1) / (i - 1), F.col(f"e{k}"))) for k in levels]
+    steps = _each_level(rows.where(any_hit), {"hit": hit, "r0": low, "r1": high, "e0": before, "e1": [F.col(f"e{k}") for k in levels]}, "cls").where("hit").drop("hit")
+    last = points.groupBy("cls").agg(F.max("i").alias("i"), F.max("n").alias("n"), *(F.max(f"t{k}").alias(f"t{k}") for k in levels))
+    tail = _each_level(last, {"r0": [x / n for x in t], "e0": [x / i for x in t]}, "cls").select("cls", "k", "r0", F.lit(1.0).alias("r1"), "e0", F.lit(0.0).alias("e1"))
+    seg = steps.select("cls", "k", "r0", "r1", "e0", "e1").unionByName(tail)
+    grid = F.sequence(F.greatest(F.lit(0), F.ceil(F.col("r0") * 100).cast("int") - 1), F.least(F.lit(100), F.ceil(F.col("r1") * 100).cast("int")))
+    y = seg.withColumn("g", F.explode(grid)).withColumn("x", F.col("g") / 100.0).where("r0 <= x AND x < r1")
+    value = F.col("e0") + (F.col("x") - F.col("r0")) * (F.col("e1") - F.col("e0")) / (F.col("r1") - F.col("r0"))
+    found = y.groupBy("cls", "k").agg(((F.sum(value) - 0.5 * F.sum(F.when(F.col("g") == 0, value).otherwise(0.0))) * 0.01).alias("ap"))
+    every = gt.select("cls").distinct().withColumn("k", F.explode(F.array(*(F.lit(k) for k in levels))))
     return every.join(found, ["cls", "k"], "left").select("cls", "k", F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
@@ -78,18 +105,20 @@ def curves(points: DataFrame, gt: DataFrame) -> DataFrame:
     """(cls, g, p, r, f1) at the first threshold over confidences g / 999, g from 0 to 999.
 
     Above the highest confidence recall is 0 and precision 1; below the lowest the last values hold; a class without
-    predictions has zeros.
+    predictions has zeros. Between two rows values change evenly, so of the rows between two grid points the first and last do.
     """
-    rows = points.where("k = 0").select("cls", "i", (-F.col("conf")).alias("x0"), "rec", "prec")
-    seg = _following(rows, ["cls"], ["x0", "rec", "prec"]).select("cls", "x0", F.col("rec").alias("r0"), F.col("prec").alias("p0"), F.col("next.x0").alias("x1"), F.col("next.rec").alias("r1"), F.col("next.prec").alias("p1")).where("x1 IS NULL OR x1 > x0")
-    low = F.when(F.col("x1").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), F.floor(-F.col("x1") * 999).cast("int")))
-    grid = F.sequence(low, F.least(F.lit(999), F.greatest(low, F.ceil(-F.col("x0") * 999).cast("int") + 1)))
-    at = seg.withColumn("g", F.explode(grid)).withColumn("x", -F.col("g") / 999.0).where("x0 <= x AND (x1 IS NULL OR x < x1)")
-    part = F.when(F.col("x1").isNull(), 0.0).otherwise((F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0")))
-    between = lambda a, b: F.when(F.col("x1").isNull(), F.col(a)).otherwise(F.col(a) + part * (F.col(b) - F.col(a)))
-    got = at.select("cls", "g", between("r0", "r1").alias("r"), between("p0", "p1").alias("p"))
-    every = gt.select("cls").distinct().join(rows.select("cls").distinct().withColumn("seen", F.lit(1.0)), "cls", "left").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(999))))
-    full = every.join(got, ["cls", "g"], "left").select("cls", "g", F.coalesce("p", "seen", F.lit(0.0)).alias("p"), F.coalesce("r", F.lit(0.0)).alias("r"))
+    g = F.floor(F.col("conf") * 999)
+    g = F.when(F.col("conf") < g / 999.0, g - 1).when(F.col("conf") >= (g + 1) / 999.0, g + 1).otherwise(g)
+    at = F.struct((-F.col("conf")).alias("x"), (F.col("t0") / F.col("n")).alias("r"), (F.col("t0") / F.col("i")).alias("p"))
+    ends = points.select("cls", "i", at.alias("at"), F.greatest(F.lit(-1), F.least(F.lit(999), g)).cast("int").alias("g")).groupBy("cls", "g").agg(F.min_by("at", "i").alias("first"), F.max_by("at", "i").alias("last"))
+    every = gt.select("cls").distinct().withColumn("g", F.explode(F.sequence(F.lit(-1), F.lit(999)))).join(ends, ["cls", "g"], "left")
+    own = Window.partitionBy("cls")  # 1,001 rows a class
+    left = F.last("last", True).over(own.orderBy(F.desc("g")).rowsBetween(Window.unboundedPreceding, 0))
+    right = F.last("first", True).over(own.orderBy("g").rowsBetween(Window.unboundedPreceding, -1))
+    full = every.select("cls", "g", left.alias("a"), right.alias("b"), (F.count("last").over(own) > 0).alias("seen"), (-F.col("g") / 999.0).alias("x")).where("g >= 0")
+    part = F.when(F.col("b").isNull(), 0.0).otherwise((F.col("x") - F.col("a.x")) / (F.col("b.x") - F.col("a.x")))
+    value = lambda c: F.when(F.col("b").isNull(), F.col(f"a.{c}")).otherwise(F.col(f"a.{c}") + part * (F.col(f"b.{c}") - F.col(f"a.{c}")))
+    full = full.select("cls", "g", F.coalesce(value("p"), F.when(F.col("seen"), 1.0).otherwise(0.0)).alias("p"), F.coalesce(value("r"), F.lit(0.0)).alias("r"))
     return full.withColumn("f1", 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r") + EPS))
 
 

@@ -45,8 +45,12 @@ def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _by_box(pairs: DataFrame, *values: str) -> DataFrame:
     """How many pairs each ground-truth box has, and the sums of their values."""
-    each = [(F.round(F.sum(v), 6) if kind == "double" else F.sum(v)).alias(v) for v, kind in ((v, dict(pairs.dtypes)[v]) for v in values)]
-    return pairs.groupBy("image_id", "gt_idx").agg(F.count("*").alias("n"), *each)
+    return pairs.groupBy("image_id", "gt_idx").agg(F.count("*").alias("n"), *(F.sum(v).alias(v) for v in values))
+
+
+def _millionths(c):
+    """Whole millionths, which engines agree on where they round ties differently."""
+    return F.floor(c * 1_000_000.0)
 
 
 def _sides() -> tuple[B.Box, B.Box]:
@@ -82,22 +86,22 @@ def box_intersection(spark, sf_dir):
     return _by_box(_joined(spark, sf_dir).select("image_id", "gt_idx", *cut.fields(), area.cast("long").alias("area")).where("area > 0"), "x1", "y1", "x2", "y2", "area")
 
 
-@query(PAIRED + " SELECT image_id, gt_idx, count(*) AS n, round(sum(round(CAST(inter AS DOUBLE)/(ga+pa-inter), 6)), 6) AS iou FROM j WHERE inter > 0 GROUP BY image_id, gt_idx")
+@query(PAIRED + " SELECT image_id, gt_idx, count(*) AS n, CAST(sum(floor(CAST(inter AS DOUBLE)/(ga+pa-inter)*1000000)) AS BIGINT) AS iou FROM j WHERE inter > 0 GROUP BY image_id, gt_idx")
 def box_iou_pairs(spark, sf_dir):
     a, p = _sides()
-    return _by_box(_joined(spark, sf_dir).where(B.inter_area(a, p) > 0).select("image_id", "gt_idx", _r(B.iou(a, p)).alias("iou")), "iou")
+    return _by_box(_joined(spark, sf_dir).where(B.inter_area(a, p) > 0).select("image_id", "gt_idx", _millionths(B.iou(a, p)).alias("iou")), "iou")
 
 
-@query(PAIRED + " SELECT image_id, gt_idx, count(*) AS n, round(sum(round(CAST(inter AS DOUBLE)/(CAST(ga+pa-inter AS DOUBLE)+1e-7), 6)), 6) AS iou FROM j WHERE gcls = pcls GROUP BY image_id, gt_idx")
+@query(PAIRED + " SELECT image_id, gt_idx, count(*) AS n, CAST(sum(floor(CAST(inter AS DOUBLE)/(CAST(ga+pa-inter AS DOUBLE)+1e-7)*1000000)) AS BIGINT) AS iou FROM j WHERE gcls = pcls GROUP BY image_id, gt_idx")
 def box_iou_eps_pairs(spark, sf_dir):
     a, p = _sides()
-    return _by_box(_joined(spark, sf_dir).where("gcls = pcls").select("image_id", "gt_idx", _r(B.iou(a, p, 1e-7)).alias("iou")), "iou")
+    return _by_box(_joined(spark, sf_dir).where("gcls = pcls").select("image_id", "gt_idx", _millionths(B.iou(a, p, 1e-7)).alias("iou")), "iou")
 
 
-@query(PAIRED + " SELECT image_id, gt_idx, count(*) AS n, round(sum(round(CAST(inter AS DOUBLE)/ga, 6)), 6) AS ios_gt, round(sum(round(CAST(inter AS DOUBLE)/pa, 6)), 6) AS ios_pred FROM j WHERE inter > 0 GROUP BY image_id, gt_idx")
+@query(PAIRED + " SELECT image_id, gt_idx, count(*) AS n, CAST(sum(floor(CAST(inter AS DOUBLE)/ga*1000000)) AS BIGINT) AS ios_gt, CAST(sum(floor(CAST(inter AS DOUBLE)/pa*1000000)) AS BIGINT) AS ios_pred FROM j WHERE inter > 0 GROUP BY image_id, gt_idx")
 def box_ios_double(spark, sf_dir):
     a, p = _sides()
-    return _by_box(_joined(spark, sf_dir).where(B.inter_area(a, p) > 0).select("image_id", "gt_idx", _r(B.ios(a, p)).alias("ios_gt"), _r(B.ios(p, a)).alias("ios_pred")), "ios_gt", "ios_pred")
+    return _by_box(_joined(spark, sf_dir).where(B.inter_area(a, p) > 0).select("image_id", "gt_idx", _millionths(B.ios(a, p)).alias("ios_gt"), _millionths(B.ios(p, a)).alias("ios_pred")), "ios_gt", "ios_pred")
 
 
 @query(VIEWS + """, c AS (SELECT image_id, gt_idx, (x1+x2)//2 AS x, (y1+y2)//2 AS y, x2-x1 AS w, y2-y1 AS h FROM gt)
@@ -238,9 +242,9 @@ def match_status_ios(spark, sf_dir):
     return matching.match_status(*boxes(spark, sf_dir), use_ios=True)
 
 
-@query(MATCHED + " SELECT p.image_id, p.pred_idx FROM pr p LEFT JOIN (SELECT DISTINCT image_id, pred_idx FROM pairs WHERE gcls=pcls) h ON h.image_id=p.image_id AND h.pred_idx=p.pred_idx WHERE h.pred_idx IS NULL")
+@query(MATCHED + ", f AS (SELECT image_id, pred_idx FROM pr EXCEPT SELECT image_id, pred_idx FROM pairs WHERE gcls=pcls) SELECT image_id, count(*) AS n, CAST(sum(pred_idx) AS BIGINT) AS preds FROM f GROUP BY image_id")
 def fp_antijoin(spark, sf_dir):
-    return matching.false_positives(*boxes(spark, sf_dir)).select("image_id", "pred_idx")
+    return matching.false_positives(*boxes(spark, sf_dir)).groupBy("image_id").agg(F.count("*").alias("n"), F.sum("pred_idx").alias("preds"))
 
 
 @query(MATCHED + " SELECT DISTINCT image_id, pred_idx FROM pairs WHERE gcls=pcls")
@@ -335,73 +339,70 @@ bp AS (SELECT g FROM sm ORDER BY round(v,9) DESC, g LIMIT 1),
 op AS (SELECT c.cls, c.g, p, r, f1, CAST(round_even(r*n,0) AS BIGINT) AS tp, CAST(round_even(round_even(r*n,0)/(p+1e-16)-round_even(r*n,0),0) AS BIGINT) AS fp FROM cf c JOIN bp USING (g) JOIN nl USING (cls))"""
 
 
-def _hits(spark, sf_dir):
+def _ranked(spark, sf_dir):
     gt, pr = boxes(spark, sf_dir)
-    return gt, matching.prediction_hits(gt, pr)
+    return gt, precision.ranked(matching.prediction_levels(gt, pr), gt)
 
 
 @query(_AP.split("nl AS (")[0].rstrip().rstrip(",") + " SELECT image_id, k, cls, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(tp*pred_idx) AS BIGINT) AS preds FROM tp GROUP BY image_id, k, cls")
 def ap_tp_assignment(spark, sf_dir):
-    gt, hits = _hits(spark, sf_dir)
+    hits = matching.prediction_hits(matching.prediction_levels(*boxes(spark, sf_dir)))
     return hits.groupBy("image_id", "k", "cls").agg(F.sum(F.col("tp").cast("long")).alias("tp"), F.sum(F.col("tp") * F.col("pred_idx")).alias("preds"))
 
 
 @query(_AP + " SELECT cls, k, i, conf, round(rec,6) AS rec, round(prec,6) AS prec FROM pts")
 def ap_pr_points(spark, sf_dir):
-    gt, hits = _hits(spark, sf_dir)
-    return precision.pr_points(hits, gt).select("cls", "k", "i", "conf", _r(F.col("rec")).alias("rec"), _r(F.col("prec")).alias("prec"))
+    _, points = _ranked(spark, sf_dir)
+    return precision.pr_points(points).select("cls", "k", "i", "conf", _r(F.col("rec")).alias("rec"), _r(F.col("prec")).alias("prec"))
 
 
 @query(_ENV + " SELECT cls, k, i, round(rec,6) AS rec, round(e,6) AS env FROM env")
 def ap_envelope(spark, sf_dir):
-    gt, hits = _hits(spark, sf_dir)
-    return precision.envelope(precision.pr_points(hits, gt)).select("cls", "k", "i", _r(F.col("rec")).alias("rec"), _r(F.col("env")).alias("env"))
+    _, points = _ranked(spark, sf_dir)
+    return precision.envelope(points).select("cls", "k", "i", _r(F.col("rec")).alias("rec"), _r(F.col("env")).alias("env"))
 
 
 @query(_APS + " SELECT cls, k, round(ap,6) AS ap FROM ap")
 def ap_per_class_iou(spark, sf_dir):
-    gt, hits = _hits(spark, sf_dir)
-    return precision.average_precision(precision.pr_points(hits, gt), gt).withColumn("ap", _r(F.col("ap")))
+    gt, points = _ranked(spark, sf_dir)
+    return precision.average_precision(points, gt).withColumn("ap", _r(F.col("ap")))
 
 
 @query(_CURVE + " SELECT cls, g, round(p,6) AS p, round(r,6) AS r, round(f1,6) AS f1 FROM cf")
 def pr_curves_grid(spark, sf_dir):
-    gt, hits = _hits(spark, sf_dir)
-    return precision.curves(precision.pr_points(hits.where("k = 0"), gt), gt).select("cls", F.col("g").cast("long").alias("g"), *(_r(F.col(c)).alias(c) for c in ("p", "r", "f1")))
+    gt, points = _ranked(spark, sf_dir)
+    return precision.curves(points, gt).select("cls", F.col("g").cast("long").alias("g"), *(_r(F.col(c)).alias(c) for c in ("p", "r", "f1")))
 
 
 @query(_POINT + " SELECT g, round(v,6) AS f1 FROM sm")
 def f1_smoothed(spark, sf_dir):
-    gt, hits = _hits(spark, sf_dir)
-    curve = precision.curves(precision.pr_points(hits.where("k = 0"), gt), gt)
-    return precision.smoothed(curve.groupBy("g").agg(F.avg("f1").alias("f1"))).select(F.col("g").cast("long").alias("g"), _r(F.col("f1")).alias("f1"))
+    gt, points = _ranked(spark, sf_dir)
+    return precision.smoothed(precision.curves(points, gt).groupBy("g").agg(F.avg("f1").alias("f1"))).select(F.col("g").cast("long").alias("g"), _r(F.col("f1")).alias("f1"))
 
 
 @query(_POINT + " SELECT cls, g, round(p,6) AS p, round(r,6) AS r, round(f1,6) AS f1, tp, fp FROM op")
 def per_class_operating_point(spark, sf_dir):
-    gt, hits = _hits(spark, sf_dir)
-    point = precision.operating_point(precision.curves(precision.pr_points(hits.where("k = 0"), gt), gt), gt)
+    gt, points = _ranked(spark, sf_dir)
+    point = precision.operating_point(precision.curves(points, gt), gt)
     return point.select("cls", F.col("g").cast("long").alias("g"), *(_r(F.col(c)).alias(c) for c in ("p", "r", "f1")), "tp", "fp")
 
 
 @query(_CURVE + ", b AS (SELECT cls, g, row_number() OVER (PARTITION BY cls ORDER BY f1 DESC, g) AS rn FROM cf) SELECT cls, round(g/999.0,6) AS conf FROM b WHERE rn=1")
 def best_f1_confidence(spark, sf_dir):
-    gt, hits = _hits(spark, sf_dir)
-    return precision.best_confidence(precision.curves(precision.pr_points(hits.where("k = 0"), gt), gt)).withColumn("conf", _r(F.col("conf")))
+    gt, points = _ranked(spark, sf_dir)
+    return precision.best_confidence(precision.curves(points, gt)).withColumn("conf", _r(F.col("conf")))
 
 
 @query(_APS + ", m AS (SELECT avg(ap) FILTER (WHERE k=0) AS map50, avg(ap) FILTER (WHERE k=5) AS map75, avg(ap) AS map FROM ap) SELECT round(map50,6) AS map50, round(map75,6) AS map75, round(map,6) AS map, round(0.1*map50+0.9*map,6) AS fitness FROM m")
 def map_summary(spark, sf_dir):
-    gt, hits = _hits(spark, sf_dir)
-    points = precision.pr_points(hits, gt)
-    point = precision.operating_point(precision.curves(points.where("k = 0"), gt), gt)
+    gt, points = _ranked(spark, sf_dir)
+    point = precision.operating_point(precision.curves(points, gt), gt)
     return precision.summary(precision.average_precision(points, gt), point).select(*(_r(F.col(c)).alias(c) for c in ("map50", "map75", "map", "fitness")))
 
 
 def _class_results(spark, sf_dir):
-    gt, hits = _hits(spark, sf_dir)
-    points = precision.pr_points(hits, gt)
-    point = precision.operating_point(precision.curves(points.where("k = 0"), gt), gt)
+    gt, points = _ranked(spark, sf_dir)
+    point = precision.operating_point(precision.curves(points, gt), gt)
     return precision.class_results(precision.average_precision(points, gt), point, gt), gt
 
 
@@ -532,13 +533,28 @@ def _canvas(gt):
 @query()
 def cluster_windows(spark, sf_dir):
     gt, _ = boxes(spark, sf_dir)
-    return merging.cluster_windows(gt, _canvas(gt))
+    return merging.cluster_windows(gt, _canvas(gt), padding=0.25)
+
+
+@query()
+def cluster_windows_agglomerative(spark, sf_dir):
+    gt, _ = boxes(spark, sf_dir)
+    return merging.cluster_windows(gt, _canvas(gt), (320, 320), 5, 0.25, "agglomerative", True)
 
 
 @query()
 def crop_plan(spark, sf_dir):
     gt, _ = boxes(spark, sf_dir)
-    return merging.crop_plan(gt, _canvas(gt))
+    return merging.crop_plan(gt, _canvas(gt), 160)
+
+
+@query()
+def crop_plan_masked(spark, sf_dir):
+    """Labels of the crops and, as masked, the parts of others that are blacked out in them."""
+    gt, _ = boxes(spark, sf_dir)
+    plan = merging.crop_plan(gt, _canvas(gt), 160, mask=True)
+    rows = gt.select("image_id", "gt_idx", "x1", "y1", "x2", "y2")
+    return merging.crop_labels(plan, rows).withColumn("masked", F.lit(False)).unionByName(merging.crop_labels(plan, rows, "masked").withColumn("masked", F.lit(True)))
 
 
 # --- formats ---------------------------------------------------------------------------------------------------------
@@ -693,7 +709,7 @@ def version_check(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.check_version(version, ">=20.10.0,<40.0.0").alias("ok"))
 
 
-@query(PAIRED + " SELECT image_id, gt_idx, count(*) AS n, round(sum(round(CAST(inter AS DOUBLE)/ga, 6)), 6) AS ios FROM j WHERE CAST(inter AS DOUBLE)/ga > 0.5 GROUP BY image_id, gt_idx")
+@query(PAIRED + " SELECT image_id, gt_idx, count(*) AS n, CAST(sum(floor(CAST(inter AS DOUBLE)/ga*1000000)) AS BIGINT) AS ios FROM j WHERE CAST(inter AS DOUBLE)/ga > 0.5 GROUP BY image_id, gt_idx")
 def pipeline_ios(spark, sf_dir):
     plan = Pipeline({"overlap": "IosOperator", "near": "FilterOperator"}, {"near": {"column": "ios", "threshold": 0.5}})
-    return _by_box(plan.run(_joined(spark, sf_dir)).select("image_id", "gt_idx", _r(F.col("ios")).alias("ios")), "ios")
+    return _by_box(plan.run(_joined(spark, sf_dir)).select("image_id", "gt_idx", _millionths(F.col("ios")).alias("ios")), "ios")
