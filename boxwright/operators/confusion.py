@@ -32,21 +32,27 @@ def report(counts: DataFrame, classes: DataFrame, background: int, hidden: tuple
 
     ``classes`` has cls and name. Hidden classes are left out of the rows; their misses still count in the background.
     """
-    r, p = counts.where("kind = 'R'"), counts.where("kind = 'P'")
-    by_gt = r.groupBy(F.col("gt").alias("cls")).agg(F.sum("n").alias("gt_num"), F.sum(F.when(F.col("pred") == F.col("gt"), F.col("n")).otherwise(0)).alias("r_diag"))
-    by_pred = p.groupBy(F.col("pred").alias("cls")).agg(F.sum("n").alias("pred_num"), F.sum(F.when(F.col("pred") == F.col("gt"), F.col("n")).otherwise(0)).alias("p_diag"))
-    shown = classes.where(~F.col("cls").isin(*hidden)) if hidden else classes
-    rows = shown.join(by_gt, "cls", "left").join(by_pred, "cls", "left").na.fill(0, ["gt_num", "pred_num", "r_diag", "p_diag"])
-    ratio = lambda a, b: F.bround(F.col(a) / (F.col(b) + 1e-16), 8)
-    per_class = rows.select("name", "gt_num", "pred_num", "r_diag", "p_diag", ratio("r_diag", "gt_num").alias("recall"), ratio("p_diag", "pred_num").alias("precision"))
-    whole = lambda a, b: (F.sum(a) + 1e-16) / (F.sum(b) + 1e-16)
-    total = per_class.agg(F.lit("Total").alias("name"), F.sum("gt_num").alias("gt_num"), F.sum("pred_num").alias("pred_num"), F.bround(whole("r_diag", "gt_num"), 8).alias("recall"), F.bround(whole("p_diag", "pred_num"), 8).alias("precision"))
-    mean = per_class.where("gt_num + pred_num > 0").agg(F.lit("Mean").alias("name"), F.sum("gt_num").alias("gt_num"), F.sum("pred_num").alias("pred_num"), F.bround(F.avg("recall"), 8).alias("recall"), F.bround(F.avg("precision"), 8).alias("precision"))
-    missed = r.where(F.col("pred") == background).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("gt_num"))
+    zero, n = F.lit(0).cast("long"), F.col("n")
     kept = ~F.col("pred").isin(*hidden) if hidden else F.lit(True)
-    ghosts = p.where((F.col("gt") == background) & kept).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pred_num"))
-    back = missed.join(ghosts).select(F.lit("background").alias("name"), "gt_num", "pred_num", F.lit(None).cast("double").alias("recall"), F.lit(None).cast("double").alias("precision"))
-    return per_class.drop("r_diag", "p_diag").unionByName(back).unionByName(total).unionByName(mean)
+    # each cell counts once for its class, and the background's cells once more for the background; then a row a class
+    cells = F.array(F.struct(F.when(F.col("kind") == "R", F.col("gt")).otherwise(F.col("pred")).alias("cls"), F.when(F.col("kind") == "R", n).otherwise(zero).alias("g"), F.when(F.col("kind") == "P", n).otherwise(zero).alias("p")), F.struct(F.lit(background).cast("long").alias("cls"), F.when((F.col("kind") == "R") & (F.col("pred") == background), n).otherwise(zero).alias("g"), F.when((F.col("kind") == "P") & (F.col("gt") == background) & kept, n).otherwise(zero).alias("p")))
+    own = counts.select("kind", (F.col("pred") == F.col("gt")).alias("right"), F.posexplode(cells).alias("again", "c")).select("kind", F.col("right") & (F.col("again") == 0), "again", "c.*").toDF("kind", "right", "again", "cls", "g", "p")
+    own = own.where((F.col("again") == 1) | (F.col("cls") != background))
+    sums = own.groupBy("cls").agg(F.sum("g").alias("gt_num"), F.sum("p").alias("pred_num"), F.sum(F.when(F.col("right"), F.col("g")).otherwise(zero)).alias("r_diag"), F.sum(F.when(F.col("right"), F.col("p")).otherwise(zero)).alias("p_diag"))
+    shown = (classes.where(~F.col("cls").isin(*hidden)) if hidden else classes).select("cls", "name")
+    every = shown.unionByName(classes.sparkSession.range(1).select(F.lit(background).cast("long").alias("cls"), F.lit("background").alias("name")))
+    rows = every.join(sums, "cls", "left").na.fill(0, ["gt_num", "pred_num", "r_diag", "p_diag"])
+    back = F.col("cls") == background
+    ratio = lambda a, b: F.when(~back, F.bround(F.col(a) / (F.col(b) + 1e-16), 8))
+    rows = rows.select("cls", "name", "gt_num", "pred_num", "r_diag", "p_diag", ratio("r_diag", "gt_num").alias("recall"), ratio("p_diag", "pred_num").alias("precision"))
+    # a row a class: those rows, all of them under Total, and those that occur under Mean
+    places = F.when(back, F.array(F.struct(F.col("name").alias("row")))).otherwise(F.filter(F.array(F.struct(F.col("name").alias("row")), F.struct(F.lit("Total").alias("row")), F.struct(F.when(F.col("gt_num") + F.col("pred_num") > 0, "Mean").alias("row"))), lambda x: x["row"].isNotNull()))
+    listed = rows.select("*", F.posexplode(places).alias("place", "at")).withColumn("row", F.col("at.row"))
+    whole = lambda a, b: F.bround((F.sum(a) + 1e-16) / (F.sum(b) + 1e-16), 8)
+    single = F.max("place") == 0
+    each = lambda c, a, b: F.when(single, F.max(c)).when(F.col("row") == "Total", whole(a, b)).otherwise(F.bround(F.avg(c), 8)).alias(c)
+    out = listed.groupBy("row", F.when(F.col("place") == 0, F.col("cls")).alias("own")).agg(F.sum("gt_num").alias("gt_num"), F.sum("pred_num").alias("pred_num"), each("recall", "r_diag", "gt_num"), each("precision", "p_diag", "pred_num"))
+    return out.select(F.col("row").alias("name"), "gt_num", "pred_num", "recall", "precision")
 
 
 def error_images(gt: DataFrame, pr: DataFrame, threshold: float = 0.5) -> DataFrame:

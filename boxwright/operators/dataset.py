@@ -16,6 +16,11 @@ def class_histogram(annotations: DataFrame, label: str = "label") -> DataFrame:
     return counts.withColumn("natural_rank", F.row_number().over(Window.orderBy(natural_key(F.col("label")), "label")).cast("long"))
 
 
+def file_histogram(annotations: DataFrame, label: str = "label", file: str = "image_id") -> DataFrame:
+    """(file, label, n) of each label file; one without labels has none."""
+    return annotations.where(F.col(label).isNotNull()).groupBy(F.col(file).alias("file"), F.col(label).alias("label")).agg(F.count("*").alias("n"))
+
+
 def equal_bins(values: DataFrame, value: str, bins: int) -> DataFrame:
     """(bin, n): counts in equal-width bins between least and greatest value, the last one closed; empty bins too."""
     ends = values.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))

@@ -23,9 +23,13 @@ Group = dict[str, np.ndarray]
 
 
 def grouped_map(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[Group], list[tuple]], schema: str) -> DataFrame:
-    """``kernel`` over the columns of each group of neighbouring rows, many groups a batch; only the last group of a batch is carried over."""
+    """``kernel`` over the columns of each group of neighbouring rows, many groups a batch; only the last group of a batch is carried over.
+
+    The kernel's rows begin with the image; ``schema`` has the columns after it.
+    """
+    schema = f"image_id {dict(df.dtypes)['image_id']}, {schema}"
     parts = [part.split() for part in schema.split(", ")]
-    kinds = {"long": pa.int64(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "long": pa.int64(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
     target = pa.schema([(name, kinds[kind]) for name, kind in parts])
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
@@ -140,7 +144,7 @@ def one_hop_groups(boxes: np.ndarray, conf: np.ndarray, threshold: float, mode:
     return list(groups.values())
 
 
-MERGED = "image_id long, code long, keep_idx long, n_merged long, x1 double, y1 double, x2 double, y2 double, conf double"
+MERGED = "code long, keep_idx long, n_merged long, x1 double, y1 double, x2 double, y2 double, conf double"
 
 
 def merge_detections(detections: DataFrame, threshold: float = 0.5, mode: str = "ios", greedy: bool = True, highest_first: bool = False, apart: tuple[int, ...] = ()) -> DataFrame:
@@ -152,7 +156,7 @@ def merge_detections(detections: DataFrame, threshold: float = 0.5, mode: str =
 
     def merge(group: Group) -> list[tuple]:
         boxes, conf, index = np.stack([group[c] for c in CORNERS], 1), group["conf"], group["pred_idx"]
-        image, code = int(group["image_id"][0]), int(group["code"][0])
+        image, code = group["image_id"][0], int(group["code"][0])
         if code in apart:
             groups = [[i] for i in range(len(index))]
         else:
@@ -259,14 +263,14 @@ def cluster_windows(boxes: DataFrame, images: DataFrame, window: tuple[int, int]
                 new_w, new_h = (int(base_w * both), int(base_h * both)) if same_ratio else (int(base_w * grow_w), int(base_h * grow_h))
                 x1, y1 = max(0, int(x1 + (x2 - x1) / 2) - new_w // 2), max(0, int(y1 + (y2 - y1) / 2) - new_h // 2)
                 x2, y2 = min(w, x1 + new_w), min(h, y1 + new_h)
-            rows.append((int(group["image_id"][0]), len(rows), x1, y1, x2, y2))
+            rows.append((group["image_id"][0], len(rows), x1, y1, x2, y2))
         return rows
 
     sized = boxes.select("image_id", *(F.col(c).cast("double").alias(c) for c in CORNERS)).join(images.select("image_id", "width", "height"), "image_id")
-    return grouped_map(sized, ["image_id"], list(CORNERS), windows_of, "image_id long, place long, x1 long, y1 long, x2 long, y2 long")
+    return grouped_map(sized, ["image_id"], list(CORNERS), windows_of, "place long, x1 long, y1 long, x2 long, y2 long")
 
 
-CROPS = "image_id long, gt_idx long, x1 long, y1 long, x2 long, y2 long, held array<long>, masked array<long>"
+CROPS = "gt_idx long, x1 long, y1 long, x2 long, y2 long, held array<long>, masked array<long>"
 
 
 def cover(boxes: np.ndarray, crops: np.ndarray, threshold: float = 0.7, mask: bool = False) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -296,7 +300,7 @@ def crop_plan(labels: DataFrame, images: DataFrame, target: int = 640, ratio_pct
     def plan(group: Group) -> list[tuple]:
         index = group["gt_idx"]
         boxes, crops = (np.stack([group[p + c] for c in CORNERS], 1) for p in ("", "c_"))
-        return [(int(group["image_id"][0]), int(index[i]), *map(int, crops[i]), index[held].tolist(), index[masked].tolist()) for i, held, masked in cover(boxes, crops, threshold, mask)]
+        return [(group["image_id"][0], int(index[i]), *map(int, crops[i]), index[held].tolist(), index[masked].tolist()) for i, held, masked in cover(boxes, crops, threshold, mask)]
 
     sized = labels.select("image_id", "gt_idx", *CORNERS).where("x1 < x2 AND y1 < y2").join(images.select("image_id", "width", "height"), "image_id")
     crop = padded_crop(box(), F.col("width"), F.col("height"), target, ratio_pct)

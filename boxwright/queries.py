@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import boxes as B
 from .functions import text as X
 from .operators import confusion, dataset, matching, merging, precision, tiling
+from .plans.detection import DETECTORS
 from .plans.pipeline import Pipeline
 from .sources import formats, images
 from .sources.derived import BOXES_SQL, boxes, table
@@ -713,3 +714,57 @@ def version_check(spark, sf_dir):
 def pipeline_ios(spark, sf_dir):
     plan = Pipeline({"overlap": "IosOperator", "near": "FilterOperator"}, {"near": {"column": "ios", "threshold": 0.5}})
     return _by_box(plan.run(_joined(spark, sf_dir)).select("image_id", "gt_idx", _millionths(F.col("ios")).alias("ios")), "ios")
+
+
+@DETECTORS.register("twice_a_window")
+def _twice_a_window(batches):
+    """Stands for a model: two equal boxes of unlike confidence in each window, by its place."""
+    import pandas as pd
+
+    for b in batches:
+        both = []
+        for k in (0, 1):
+            both.append(pd.DataFrame({"image_id": b.image_id, "wx": b.x1, "wy": b.y1, "cls": (b.x1 + b.y1 + b.image_id) % 3, "conf": ((b.image_id * 7 + b.x1 * 13 + b.y1 * 17 + b.x2 + k * 41) % 1000) / 1000.0, "x1": 5.0, "y1": 3.0, "x2": 5.0 + (b.x2 - b.x1), "y2": 3.0 + (b.y2 - b.y1)}))
+        yield pd.concat(both)
+
+
+_PLAN = {
+    "tasks": {"slice": "SliceOperator", "detect": "DetectOperator", "merge": "MergeOperator"},
+    "operators": {
+        "slice": {"slicers": ["sliding", "halves"], "settings": {"sliding": {"window": 640, "overlap": 0.2}}},
+        "detect": {"detector": "twice_a_window", "thresholds": [0.2, 0.1, 0.3], "classes": [0, 1, 2]},
+        "merge": {"mergers": ["greedy"], "settings": {"greedy": {"mode": "iou", "threshold": 1.0, "highest_first": True}}},
+    },
+}
+
+
+@query(_SLIDES + """, w AS (SELECT image_id, xs.a AS x1, ys.a AS y1, xs.b AS x2, ys.b AS y2 FROM xs JOIN ys USING (image_id)
+  UNION SELECT image_id, 0, 0, CASE WHEN width>=height THEN width//2 ELSE width END, CASE WHEN width>=height THEN height ELSE height//2 END FROM im
+  UNION SELECT image_id, CASE WHEN width>=height THEN width//2 ELSE 0 END, CASE WHEN width>=height THEN 0 ELSE height//2 END, width, height FROM im
+  UNION SELECT image_id, 0, 0, width, height FROM im),
+ d AS (SELECT image_id, (x1+y1+image_id)%3 AS cls, ((image_id*7+x1*13+y1*17+x2+k.range*41)%1000)/1000.0 AS conf, x1+5 AS x1, y1+3 AS y1, x2+5 AS x2, y2+3 AS y2 FROM w CROSS JOIN range(2) k),
+ f AS (SELECT * FROM d WHERE conf >= [0.2,0.1,0.3][cls+1])
+ SELECT image_id, cls, CAST(x1 AS BIGINT) AS x1, CAST(y1 AS BIGINT) AS y1, CAST(x2 AS BIGINT) AS x2, CAST(y2 AS BIGINT) AS y2, count(*) AS n_merged, CAST(round(max(conf)*1000) AS BIGINT) AS conf FROM f GROUP BY image_id, cls, x1, y1, x2, y2""")
+def slice_detect_merge(spark, sf_dir):
+    """One plan from images to merged objects."""
+    rows = Pipeline(_PLAN["tasks"], _PLAN["operators"]).run(_images(spark, sf_dir).where("width > 0 AND height > 0"))
+    return rows.select("image_id", "cls", *(F.col(c).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")), "n_merged", F.round(F.col("conf") * 1000).cast("long").alias("conf"))
+
+
+@query(VIEWS + " SELECT image_id, gt_idx, x1//8 AS x1, y1//8 AS y1, x2//8 AS x2, y2//8 AS y2, CAST(4 AS BIGINT) AS corners FROM gt")
+def coco_masks(spark, sf_dir):
+    """Boxes as run-length masks in images of an eighth, back to polygons: a filled rectangle has its four corner pixels."""
+    high = 700 // 8 + 1
+    eighth = {c: F.floor(F.col(c) / 8) for c in ("x1", "y1", "x2", "y2")}
+    rows = boxes(spark, sf_dir)[0].select("image_id", "gt_idx", *(v.alias(c) for c, v in eighth.items()))
+    inside = F.col("y2") - F.col("y1") + 1
+    runs = F.concat(F.array(F.col("x1") * high + F.col("y1"), inside), F.flatten(F.transform(F.sequence(F.col("x1") + 1, F.col("x2")), lambda _: F.array(high - inside, inside))))
+    text = F.to_json(F.struct(F.array(F.lit(high), F.lit(W)).alias("size"), runs.alias("counts")))
+    polygon = F.get(formats.segmentation_polygons(text), F.lit(0))
+    found = rows.select("image_id", "gt_idx", polygon.alias("p"))
+    return _longs(found.select("image_id", "gt_idx", *B.polygon_bbox(F.col("p")).fields(), F.size("p").alias("corners")))
+
+
+@query(_CANON + " SELECT image_id AS file, label, count(*) AS n FROM an GROUP BY image_id, label")
+def file_histogram(spark, sf_dir):
+    return dataset.file_histogram(_annotations(spark, sf_dir))

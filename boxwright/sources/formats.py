@@ -15,14 +15,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import Box, box_points, clip_box, pairs_of, polygon_area, polygon_bbox, yolo_denormalize, yolo_normalize
+from ..functions.masks import polygons_of_masks
 from ..functions.text import stem
 from ..operators.dataset import class_histogram
+from ..operators.saved import checkpointed
 from .images import is_hidden, is_image, list_files, sizes_of, split_key
+from .records import RANGE, members, write_joined
 
 ANNOTATION = ("image_id", "width", "height", "ann_idx", "label", "shape_type", "points", "score", "flags")
 _LABELME = "imagePath string, imageHeight int, imageWidth int, shapes array<struct<label:string,points:array<array<double>>,shape_type:string,score:double,conf:double,difficult:boolean,flags:map<string,boolean>>>"
-_VOC = "filename string, size struct<width:string,height:string,depth:string>, object array<struct<name:string,pose:string,truncated:string,difficult:string,conf:string,bndbox:struct<xmin:string,ymin:string,xmax:string,ymax:string>>>"
-_COCO = "images array<struct<id:long,file_name:string,height:int,width:int>>, annotations array<struct<id:long,image_id:long,category_id:long,bbox:array<double>,area:double,iscrowd:int,segmentation:string>>, categories array<struct<id:long,name:string>>"
+_VOC = "filename string, source struct<database:string>, size struct<width:string,height:string,depth:string>, object array<struct<name:string,difficult:string,conf:string,bndbox:struct<xmin:string,ymin:string,xmax:string,ymax:string>%s>>"
+SECTIONS = ("images", "annotations", "categories")
+_COCO = "id long, file_name string, height int, width int, image_id long, category_id long, bbox array<double>, segmentation string, name string"
 
 
 def read_files(spark: SparkSession, pattern: str, recursive: bool = False) -> DataFrame:
@@ -42,9 +46,30 @@ def read_names(path: str) -> dict[int, str]:
     return dict(enumerate(line.strip() for line in text.splitlines() if line.strip()))
 
 
+def read_coco(spark: SparkSession, pattern: str, recursive: bool = False, size: int = RANGE) -> DataFrame:
+    """(path, section, place, value): the images, annotations and categories of COCO documents, cut out by tasks of ``size`` bytes each.
+
+    With ``recursive`` the documents are those of folders named annotations.
+    """
+    files = list_files(spark, pattern, recursive)
+    if recursive:
+        files = files.where(F.col("path").rlike(r"/annotations/[^/]*\.json$"))
+    return members(spark, files, SECTIONS, size)
+
+
+def coco_records(files: DataFrame) -> DataFrame:
+    """(path, section, place, value) of whole documents (path, value), each in one row; for documents of moderate size."""
+    if "section" in files.columns:
+        return files
+    doc = files.select("path", F.from_json("value", ", ".join(f"{s} array<string>" for s in SECTIONS)).alias("d"))
+    none = F.array().cast("array<string>")
+    listed = lambda s: F.transform(F.coalesce(f"d.{s}", none), lambda x, i: F.struct(F.lit(s).alias("section"), i.cast("long").alias("place"), x.alias("value")))
+    return doc.select("path", F.inline(F.concat(*map(listed, SECTIONS))))
+
+
 def coco_names(files: DataFrame) -> dict[int, str]:
-    """Class names of COCO documents from 0 on, in order of their category ids; a row a class reaches the driver."""
-    found = files.select(F.explode(F.from_json("value", _COCO)["categories"]).alias("c")).groupBy("c.name").agg(F.min("c.id").alias("id"))
+    """Class names of COCO documents or records from 0 on, in order of their category ids; a row a class reaches the driver."""
+    found = coco_records(files).where("section = 'categories'").select(F.from_json("value", _COCO).alias("c")).groupBy("c.name").agg(F.min("c.id").alias("id"))
     return dict(enumerate(r["name"] for r in found.orderBy("id", "name").collect()))
 
 
@@ -88,48 +113,71 @@ def from_yolo(files: DataFrame, names: DataFrame, sizes: DataFrame, key: Callabl
     return rows.select("image_id", "width", "height", "ann_idx", F.coalesce("label", F.col("cls_id").cast("string")).alias("label"), F.when(F.col("ann_idx").isNotNull(), F.when(rectangle, "rectangle").otherwise("polygon")).alias("shape_type"), F.when(rectangle, corners).otherwise(polygon).alias("points"), "score", F.when(F.col("ann_idx").isNotNull(), F.create_map(F.lit("difficult"), F.lit(False))).alias("flags"))
 
 
-def from_voc(files: DataFrame, key: Callable[[Column], Column] = stem) -> DataFrame:
-    doc = files.select("path", F.from_xml("value", _VOC, {"rowTag": "annotation"}).alias("d")).where("d IS NOT NULL")
-    size = doc.select(F.coalesce(key(F.col("path")), stem(F.col("d.filename"))).alias("image_id"), F.coalesce(_whole(F.col("d.size.width")), F.lit(0)).alias("width"), F.coalesce(_whole(F.col("d.size.height")), F.lit(0)).alias("height"), F.posexplode_outer("d.object").alias("ann_idx", "o"))
+def from_voc(files: DataFrame, key: Callable[[Column], Column] = stem, extra_keys: tuple[str, ...] | None = None) -> DataFrame:
+    """With ``extra_keys`` also database, pose, truncated and those tags of each object, as text."""
+    extra = tuple(dict.fromkeys(("pose", "truncated", *(extra_keys or ()))))
+    doc = files.select("path", F.from_xml("value", _VOC % "".join(f",{k}:string" for k in extra if k not in ("name", "difficult", "conf")), {"rowTag": "annotation"}).alias("d")).where("d IS NOT NULL")
+    size = doc.select(F.coalesce(key(F.col("path")), stem(F.col("d.filename"))).alias("image_id"), F.coalesce(_whole(F.col("d.size.width")), F.lit(0)).alias("width"), F.coalesce(_whole(F.col("d.size.height")), F.lit(0)).alias("height"), F.coalesce(F.trim("d.source.database"), F.lit("Unknown")).alias("database"), F.posexplode_outer("d.object").alias("ann_idx", "o"))
     raw = Box(*(F.coalesce(_whole(F.col(f"o.bndbox.{c}")), F.lit(0)) for c in ("xmin", "ymin", "xmax", "ymax")))
     b = clip_box(raw, F.when(F.col("width") > 0, F.col("width")).otherwise(1 << 30), F.when(F.col("height") > 0, F.col("height")).otherwise(1 << 30))
     there = F.col("ann_idx").isNotNull()
     corners = F.array(F.array(b.x1.cast("double"), b.y1.cast("double")), F.array(b.x2.cast("double"), b.y2.cast("double")))
     difficult = F.coalesce(F.trim("o.difficult").try_cast("int"), F.lit(0)) != 0
-    return size.select("image_id", "width", "height", "ann_idx", F.when(there, F.coalesce(F.trim("o.name"), F.lit(""))).alias("label"), F.when(there, "rectangle").alias("shape_type"), F.when(there, corners).alias("points"), F.when(there, F.coalesce(F.trim("o.conf").try_cast("double"), F.lit(1.0))).alias("score"), F.when(there, F.create_map(F.lit("difficult"), difficult)).alias("flags"))
+    default = {"pose": "Unspecified", "truncated": "0"}
+    more = [] if extra_keys is None else ["database", *(F.when(there, F.coalesce(F.trim(f"o.{k}"), F.lit(default.get(k)))).alias(k) for k in extra)]
+    return size.select("image_id", "width", "height", "ann_idx", F.when(there, F.coalesce(F.trim("o.name"), F.lit(""))).alias("label"), F.when(there, "rectangle").alias("shape_type"), F.when(there, corners).alias("points"), F.when(there, F.coalesce(F.trim("o.conf").try_cast("double"), F.lit(1.0))).alias("score"), F.when(there, F.create_map(F.lit("difficult"), difficult)).alias("flags"), *more)
+
 
+def segmentation_polygons(text: Column, min_area: float = 0.0, masks: bool = True) -> Column:
+    """The polygons of a segmentation's JSON, as arrays of [x, y]: of a list of flat polygons those of 3 points and more, or the
+    borders of a run-length mask, outer ones before holes; without those under ``min_area``. Null without ``masks`` for a mask."""
+    flat = F.from_json(F.when(text.startswith("["), text), "array<array<double>>")
+    listed = F.transform(F.filter(flat, lambda p: F.size(p) >= 6), pairs_of)
+    if min_area > 0:
+        listed = F.filter(listed, lambda p: polygon_area(p) >= min_area)
+    return F.coalesce(listed, polygons_of_masks(F.when(text.startswith("{"), text), min_area)) if masks else listed
 
-def _segmentation(text: Column) -> Column:
-    """The largest polygon of a list of flat polygons; null for run-length masks, empty lists and polygons under 3 points."""
-    polygons = F.from_json(F.when(text.startswith("["), text), "array<array<double>>")
-    usable = F.filter(polygons, lambda p: F.size(p) >= 6)
-    ranked = F.array_sort(F.transform(usable, lambda p: F.struct((-polygon_area(pairs_of(p))).alias("a"), pairs_of(p).alias("points"))))
+
+def _largest(polygons: Column) -> Column:
+    ranked = F.array_sort(F.transform(polygons, lambda p: F.struct((-polygon_area(p)).alias("a"), p.alias("points"))))
     return F.get(ranked, F.lit(0))["points"]
 
 
-def from_coco(files: DataFrame, splits: bool = False) -> DataFrame:
-    """Images joined with their annotations and categories; the segmentation's largest polygon, else the box.
+def from_coco(files: DataFrame, splits: bool = False, min_area: float = 0.0, masks: bool = True) -> DataFrame:
+    """Images with their annotations and categories; the segmentation's largest polygon, else the box.
 
-    With ``splits`` an image is named <split>/<stem>, its split being its document's name without ``instances_``.
+    ``files`` has whole documents (path, value) or what ``read_coco`` gives. With ``splits`` an image is named <split>/<stem>,
+    its split being its document's name without ``instances_``. Annotations of unknown images are left out.
     """
-    doc = files.select("path", F.from_json("value", _COCO).alias("d"))
-    images = doc.select("path", F.explode("d.images").alias("i")).select("path", F.col("i.id").alias("id"), (F.concat(F.regexp_replace(stem(F.col("path")), "^instances_", ""), F.lit("/"), stem(F.col("i.file_name"))) if splits else stem(F.col("i.file_name"))).alias("image_id"), F.col("i.width").alias("width"), F.col("i.height").alias("height"))
-    notes = doc.select("path", F.posexplode("d.annotations").alias("pos", "a")).select("path", "pos", F.col("a.image_id").alias("id"), F.col("a.category_id").alias("category"), F.col("a.bbox").alias("bbox"), _segmentation(F.col("a.segmentation")).alias("polygon"))
-    categories = doc.select("path", F.explode("d.categories").alias("c")).select("path", F.col("c.id").alias("category"), F.col("c.name").alias("label"))
-    rows = images.join(notes, ["path", "id"], "left").join(categories, ["path", "category"], "left")
-    within = Window.partitionBy("path", "id").orderBy("pos")
-    b, there = F.col("bbox"), F.col("pos").isNotNull()
+    records = coco_records(files)
+    rows = records.select("path", "section", "place", F.from_json("value", _COCO).alias("d"))
+    rows = rows.where("section <> 'categories'").select("path", "section", "place", F.when(F.col("section") == "images", F.col("d.id")).otherwise(F.col("d.image_id")).alias("id"), "d").where("id IS NOT NULL")
+    own = Window.partitionBy("path", "id")  # an image and its annotations
+    image = F.max(F.when(F.col("section") == "images", F.struct("d.file_name", "d.width", "d.height"))).over(own)
+    notes = F.count(F.when(F.col("section") == "annotations", 1)).over(own)
+    number = F.row_number().over(own.orderBy("section", "place")) - 1
+    rows = rows.select("path", "section", image.alias("image"), notes.alias("notes"), number.alias("number"), F.col("d.category_id").alias("category"), F.col("d.bbox").alias("bbox"), F.col("d.segmentation").alias("segmentation"))
+    rows = rows.where("image IS NOT NULL AND (section = 'annotations' OR notes = 0)").withColumn("polygon", _largest(segmentation_polygons(F.col("segmentation"), min_area, masks)))
+    categories = records.where("section = 'categories'").select("path", F.from_json("value", _COCO).alias("c")).groupBy("path", F.col("c.id").alias("category")).agg(F.first("c.name").alias("label"))
+    rows = rows.join(categories, ["path", "category"], "left")
+    name = stem(F.col("image.file_name"))
+    if splits:
+        name = F.concat(F.regexp_replace(stem(F.col("path")), "^instances_", ""), F.lit("/"), name)
+    b, there = F.col("bbox"), F.col("section") == "annotations"
     corners = F.array(F.array(b[0], b[1]), F.array(b[0] + b[2], b[1] + b[3]))
-    return rows.select("image_id", "width", "height", F.when(there, F.row_number().over(within) - 1).alias("ann_idx"), F.when(there, F.coalesce("label", F.col("category").cast("string"))).alias("label"), F.when(there, F.when(F.col("polygon").isNotNull(), "polygon").otherwise("rectangle")).alias("shape_type"), F.when(there, F.coalesce("polygon", corners)).alias("points"), F.when(there, F.lit(1.0)).alias("score"), F.when(there, F.create_map(F.lit("difficult"), F.lit(False))).alias("flags"))
+    return rows.select(name.alias("image_id"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.when(there, F.col("number")).alias("ann_idx"), F.when(there, F.coalesce("label", F.col("category").cast("string"))).alias("label"), F.when(there, F.when(F.col("polygon").isNotNull(), "polygon").otherwise("rectangle")).alias("shape_type"), F.when(there, F.coalesce("polygon", corners)).alias("points"), F.when(there, F.lit(1.0)).alias("score"), F.when(there, F.create_map(F.lit("difficult"), F.lit(False))).alias("flags"))
 
 
 READERS = {".json": from_labelme, ".xml": from_voc}
+#: All readers by format; yolo also needs names and sizes.
+FORMATS = {"labelme": from_labelme, "voc": from_voc, "yolo": from_yolo, "coco": from_coco}
 
 
-def match_records(annotations: DataFrame, width: str = "width", height: str = "height") -> DataFrame:
-    """(image_id, idx, label, conf, x1, y1, x2, y2, difficult) of valid enclosing boxes, points cut towards zero."""
+def match_records(annotations: DataFrame, clip: bool = False) -> DataFrame:
+    """(image_id, idx, label, conf, x1, y1, x2, y2, difficult) of valid enclosing boxes, points cut towards zero; ``clip`` cuts them to the image."""
     rows = annotations.where("ann_idx IS NOT NULL")
-    whole = F.transform("points", lambda p: F.array(p[0].cast("int"), p[1].cast("int")))
+    inside = (lambda c, most: F.least(F.greatest(c, F.lit(0)), F.col(most))) if clip else (lambda c, most: c)
+    whole = F.transform("points", lambda p: F.array(inside(p[0].cast("int"), "width"), inside(p[1].cast("int"), "height")))
     rows = rows.select("image_id", "ann_idx", "label", "score", "flags", F.inline_outer(F.array(F.struct(whole.alias("points")))))
     b = polygon_bbox(F.col("points"))
     rows = rows.select("image_id", F.col("ann_idx").cast("long").alias("idx"), "label", F.least(F.col("score"), F.lit(1.0)).alias("conf"), *b.fields(), F.coalesce(F.try_element_at("flags", F.lit("difficult")), F.lit(False)).alias("difficult"))
@@ -193,45 +241,41 @@ def to_voc(annotations: DataFrame, folder: str = "images", suffix: str = ".jpg")
     return rows.select("image_id", tag("annotation", F.concat(head, F.array_join("objects", ""))).alias("value"))
 
 
-def numbered(rows: DataFrame, keys: list[str], name: str, start: int) -> DataFrame:
-    """``rows`` with consecutive numbers from ``start`` in order of ``keys``, which begin with image_id.
+def coco_tables(annotations: DataFrame, names: DataFrame, start: int = 1, suffix: str = ".jpg") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """COCO images, annotations and categories. Ids count from ``start`` in order of image_id and shape; boxes are cut to the image.
 
-    Images are put in order by their counts, a row each, so the rows themselves are numbered within their image only.
-    Counts are summed by hash-free ranges: each range of images adds the sum of the ranges before it.
+    Images are put in order once, in sampled ranges that a checkpoint fixes, with the number of their annotations. Sums
+    over the ranges, a row each, give every image its id and that of its first annotation; within an image places count.
     """
-    counts = rows.groupBy("image_id").agg(F.count("*").alias("n")).repartitionByRange("image_id").select("image_id", "n", F.spark_partition_id().alias("part"))
-    sums = counts.groupBy("part").agg(F.sum("n").alias("all"))
-    before = sums.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))  # a row a partition
-    inside = Window.partitionBy("part").orderBy("image_id")
-    offsets = counts.select("image_id", "part", (F.sum("n").over(inside) - F.col("n")).alias("inside")).join(F.broadcast(before), "part").select("image_id", (F.col("before") + F.col("inside")).alias("offset"))
-    own = Window.partitionBy("image_id").orderBy(*keys)
-    return rows.withColumn("own", F.row_number().over(own)).join(offsets, "image_id").withColumn(name, (F.col("offset") + F.col("own") - 1 + start).cast("long")).drop("own", "offset")
-
-
-def coco_tables(annotations: DataFrame, names: DataFrame, start: int = 1, suffix: str = ".jpg") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """COCO images, annotations and categories. Ids count from ``start`` in order of image_id and shape; boxes are cut to the image."""
-    images = annotations.groupBy("image_id").agg(F.max("width").alias("width"), F.max("height").alias("height"))
-    images = numbered(images, ["image_id"], "id", start)
+    named = annotations.join(F.broadcast(names), "label", "left")  # a row a class
+    counts = named.groupBy("image_id").agg(F.max("width").alias("width"), F.max("height").alias("height"), F.count(F.when(F.col("cls_id").isNotNull(), F.col("ann_idx"))).alias("n"))
+    counts = checkpointed(counts.repartitionByRange("image_id").sortWithinPartitions("image_id").select("*", F.monotonically_increasing_id().alias("at")))
+    counts = counts.withColumn("run", F.shiftright("at", 33))
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sums = counts.groupBy("run").agg(F.count("*").alias("images"), F.sum("n").alias("notes"))
+    sums = sums.select("run", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("images", "notes")))
+    inside = Window.partitionBy("run").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    images = counts.join(F.broadcast(sums), "run").select("image_id", "width", "height", (F.col("images") + F.col("at") - F.shiftleft("run", 33) + start).alias("id"), (F.col("notes") + F.coalesce(F.sum("n").over(inside), F.lit(0)) + start).alias("first"))
     b = polygon_bbox(F.col("points"))
-    rows = annotations.where("ann_idx IS NOT NULL").select("image_id", "ann_idx", "label", *b.fields())
-    rows = rows.join(images, "image_id").join(F.broadcast(names), "label")
+    rows = named.where("ann_idx IS NOT NULL AND cls_id IS NOT NULL").select("image_id", "ann_idx", "cls_id", *b.fields()).join(images, "image_id")
     cut = clip_box(Box(*(F.col(c) for c in Box._fields)), F.col("width"), F.col("height"))
-    rows = rows.select("image_id", "ann_idx", F.col("id").alias("coco_image"), (F.col("cls_id") + start).alias("category_id"), *cut.fields())
-    notes = numbered(rows, ["image_id", "ann_idx"], "note", start).select(F.col("note").alias("id"), F.col("coco_image").alias("image_id"), "category_id", F.array("x1", "y1", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("bbox"), ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"), F.lit(0).alias("iscrowd"), F.array().cast("array<array<double>>").alias("segmentation"))
+    own = Window.partitionBy("image_id").orderBy("ann_idx")
+    rows = rows.select((F.col("first") + F.row_number().over(own) - 1).alias("note"), F.col("id").alias("coco_image"), (F.col("cls_id") + start).alias("category_id"), *cut.fields())
+    notes = rows.select(F.col("note").alias("id"), F.col("coco_image").alias("image_id"), "category_id", F.array("x1", "y1", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("bbox"), ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"), F.lit(0).alias("iscrowd"), F.array().cast("array<array<double>>").alias("segmentation"))
     return images.select("id", F.concat("image_id", F.lit(suffix)).alias("file_name"), "height", "width"), notes, names.select((F.col("cls_id") + start).alias("id"), F.col("label").alias("name"), F.lit("").alias("supercategory"))
 
 
 def write_coco(annotations: DataFrame, names: DataFrame, path: str, start: int = 1) -> None:
-    """One COCO document. Rows stream to the driver a partition at a time; the format is a single file."""
-    tables = coco_tables(annotations, names, start)
-    with open(path, "w", encoding="utf-8") as out:
-        out.write("{")
-        for i, (key, df) in enumerate(zip(("images", "annotations", "categories"), tables, strict=True)):
-            out.write(f'{", " if i else ""}"{key}": [')
-            for j, row in enumerate(df.orderBy("id").toJSON().toLocalIterator()):
-                out.write(("," if j else "") + json.dumps(json.loads(row), ensure_ascii=False))
-            out.write("]")
-        out.write("}")
+    """One COCO document, which the tasks write side by side and which appears once it is whole."""
+    spark, tables = annotations.sparkSession, coco_tables(annotations, names, start)
+    least = names.agg(F.min("cls_id")).first()[0]
+    first = (start, start, start + (least or 0))
+    marks = [(k, -(1 << 62), ("{" if not k else "], ") + f'"{section}": [') for k, section in enumerate(SECTIONS)] + [(len(SECTIONS), 0, "]}")]
+    rows = spark.createDataFrame(marks, "section int, id long, text string")
+    for k, (df, low) in enumerate(zip(tables, first, strict=True)):
+        text = F.to_json(F.struct("*"))
+        rows = rows.unionByName(df.select(F.lit(k).alias("section"), F.col("id").cast("long").alias("id"), F.when(F.col("id") > low, F.concat(F.lit(", "), text)).otherwise(text).alias("text")))
+    write_joined(rows, path, "section", "id")
 
 
 def write_texts(texts: DataFrame, folder: str, suffix: str) -> int:
@@ -261,7 +305,6 @@ def write_split_coco(annotations: DataFrame, names: DataFrame, folder: str, star
     split, name = F.regexp_extract("image_id", "^(.*)/", 1), F.regexp_extract("image_id", "([^/]*)$", 1)
     rows = annotations.withColumn("split", F.when(split == "", "all").otherwise(F.replace(split, F.lit("/"), F.lit("_"))))
     found = sorted(r.split for r in rows.select("split").distinct().collect())  # a handful
-    Path(folder).mkdir(parents=True, exist_ok=True)
     for one in found:
         write_coco(rows.where(F.col("split") == one).drop("split").withColumn("image_id", name), names, f"{folder}/instances_{one}.json", start)
     return found
@@ -275,7 +318,7 @@ def convert(spark: SparkSession, source: str, target: str, pattern: str, out: st
     files whose headers have them. With ``splits`` images are <split>/<stem> and targets have a folder, or to coco a
     document, for each split.
     """
-    files = read_files(spark, pattern, splits)
+    files = read_coco(spark, pattern, splits) if source == "coco" else read_files(spark, pattern, splits)
     key = split_key if splits else stem
     if names is None and source == "coco":
         names = coco_names(files)
@@ -310,6 +353,17 @@ def to_names(names: dict[int, str], splits: tuple[str, ...] = ("train", "val", "
     return "\n".join(ordered) + "\n", yaml.safe_dump(body, sort_keys=False, allow_unicode=True)
 
 
+def gen_names(annotations: DataFrame, out: str | None = None) -> dict[str, int]:
+    """How often each label occurs, in natural order; with ``out`` also written there as classes.txt, a name a line, and classes.json."""
+    rows = class_histogram(annotations.where("ann_idx IS NOT NULL")).orderBy("natural_rank").collect()  # a row a class
+    counts = {r.label: r.n for r in rows}
+    if out:
+        spark = annotations.sparkSession
+        for file, text in (("classes.txt", "".join(f"{name}\n" for name in counts)), ("classes.json", json.dumps(counts, ensure_ascii=False, indent=4))):
+            write_texts(spark.createDataFrame([(file, text)], "image_id string, value string"), out, "")
+    return counts
+
+
 def yolo_subset(labels: DataFrame, keep: list[int], images: DataFrame | None = None) -> DataFrame:
     """(path, value): label files with the classes in ``keep`` alone, renumbered by their place in it.
 

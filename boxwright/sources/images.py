@@ -126,12 +126,12 @@ def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
         for path in batch.column("path").to_pylist():
-            files, name = fs.FileSystem.from_uri(path)
-            with files.open_input_file(name) as file:
-                try:
+            try:
+                files, name = fs.FileSystem.from_uri(path)
+                with files.open_input_file(name) as file:
                     found.append(header_size(file) or (None, None))
-                except error:  # cut short
-                    found.append((None, None))
+            except (error, OSError):  # cut short, gone since it was listed, or not to be read
+                found.append((None, None))
         sizes = [pa.array([pair[side] for pair in found], pa.int32()) for side in (0, 1)]
         yield pa.record_batch([batch.column("path"), *sizes], names=["path", "width", "height"])
 

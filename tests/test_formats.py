@@ -9,7 +9,7 @@ from boxwright import cli
 from boxwright.operators.confusion import confusion_counts
 from boxwright.sources import formats
 from boxwright.sources.derived import boxes
-from boxwright.streaming.confusion import PAIRED, confusion_stream, split_sides, totals
+from boxwright.streaming.confusion import PAIRED, confusion_changes, split_sides, totals
 
 NAMES = {0: "car", 1: "person & co"}
 SCHEMA = "image_id string, width int, height int, ann_idx int, label string, shape_type string, points array<array<double>>, score double, flags map<string,boolean>"
@@ -82,16 +82,30 @@ def test_names_and_cli(spark, notes, tmp_path):
 
 
 def test_stream(spark, tmp_path):
+    """Files of predictions and truth in any order, some late and some twice, against a batch over the rows."""
     gt, pr = boxes(spark, "/root/testdata/sf0.001")
     common = ["image_id", "cls", "x1", "y1", "x2", "y2"]
     rows = gt.select(*common, F.lit("gt").alias("side"), F.col("gt_idx").alias("idx"), "difficult", F.lit(None).cast("double").alias("conf")).unionByName(pr.select(*common, F.lit("pred").alias("side"), F.col("pred_idx").alias("idx"), F.lit(None).cast("boolean").alias("difficult"), "conf"))
-    order = [part.split()[0] for part in PAIRED.split(", ")]
-    rows.select(*order).withColumn("part", F.col("image_id") % 3).repartition(3, "part").drop("part").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(PAIRED).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run = confusion_stream(stream, 5, str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    run.awaitTermination(120)
+    rows = rows.where("image_id < 60").select(*(part.split()[0] for part in PAIRED.split(", "))).withColumn("at", F.timestamp_seconds(1_700_000_000 + F.col("image_id") % 7 * 60)).cache()
+    for n, part in enumerate(("side = 'pred' AND image_id % 3 = 0", "side = 'gt' AND idx % 2 = 0", "side = 'pred' AND image_id % 3 > 0", "side = 'gt' AND idx % 2 = 0", "side = 'gt' AND idx % 2 = 1")):
+        rows.where(part).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        run = confusion_changes(stream, 5, time="at").writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out"))
+        run.awaitTermination(240)
+        assert run.exception() is None
+        # far later a row of another image lets the watermark pass all others: their state goes, and what was counted stays
+        rows.where("image_id = 59").limit(1).withColumns({"image_id": F.lit(1000).cast("long"), "at": F.timestamp_seconds(F.lit(1_700_400_000))}).coalesce(1).write.parquet(f"{tmp_path}/in/5")
+        rows.where("image_id = 58").limit(1).withColumns({"image_id": F.lit(1001).cast("long"), "at": F.timestamp_seconds(F.lit(1_700_400_001))}).coalesce(1).write.parquet(f"{tmp_path}/in/6")
+        rows.limit(30).coalesce(1).write.parquet(f"{tmp_path}/in/7")  # too late by then
+        again = confusion_changes(stream, 5, time="at").writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out"))
+        again.awaitTermination(240)
+        assert again.exception() is None
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     expected = sorted(map(tuple, confusion_counts(*split_sides(rows), background=5).collect()))
-    assert sorted(map(tuple, totals(spark, str(tmp_path / "out")).collect())) == expected
+    assert sorted(map(tuple, totals(spark.read.parquet(str(tmp_path / "out")).where("image_id < 1000")).collect())) == expected
 
 
 def test_names_that_json_escapes_and_missing_names(spark, tmp_path):
