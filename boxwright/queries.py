@@ -612,7 +612,7 @@ def parse_coco(spark, sf_dir):
     docs = images.join(by_image, images["id"] == F.col("iid")).join(F.broadcast(listed))
     text = F.to_json(F.struct(F.array(F.struct("id", "file_name", "height", "width")).alias("images"), "annotations", "categories"))
     files = docs.select(F.concat(F.lit("/annotations/"), "file_name", F.lit(".json")).alias("path"), text.alias("value"))
-    return _records(formats.from_coco(files)).drop("difficult")
+    return _records(formats.from_coco(files, masks=False)).drop("difficult")
 
 
 @query(_CANON + " SELECT CAST(row_number() OVER (ORDER BY image_id) AS BIGINT) AS id, image_id || '.jpg' AS file_name, CAST(700 AS BIGINT) AS height, CAST(1300 AS BIGINT) AS width FROM (SELECT DISTINCT image_id FROM an) d")

@@ -58,18 +58,22 @@ def read_coco(spark: SparkSession, pattern: str, recursive: bool = False, size:
 
 
 def coco_records(files: DataFrame) -> DataFrame:
-    """(path, section, place, value) of whole documents (path, value), each in one row; for documents of moderate size."""
+    """(path, section, place, d): the images, annotations and categories of COCO documents, all as rows of one kind.
+
+    ``files`` has what ``read_coco`` gives, or whole documents (path, value), each in one row, of moderate size.
+    """
     if "section" in files.columns:
-        return files
-    doc = files.select("path", F.from_json("value", ", ".join(f"{s} array<string>" for s in SECTIONS)).alias("d"))
-    none = F.array().cast("array<string>")
-    listed = lambda s: F.transform(F.coalesce(f"d.{s}", none), lambda x, i: F.struct(F.lit(s).alias("section"), i.cast("long").alias("place"), x.alias("value")))
+        return files.select("path", "section", "place", F.from_json("value", _COCO).alias("d"))
+    row = ", ".join(f"{part.split()[0]}:{part.split()[1]}" for part in _COCO.split(", "))
+    # the generator keeps the parsed arrays as columns, else each use would parse the document anew
+    doc = files.select("path", F.inline_outer(F.array(F.from_json("value", ", ".join(f"{s} array<struct<{row.replace(' ', '')}>>" for s in SECTIONS)))))
+    listed = lambda s: F.transform(F.coalesce(s, F.array().cast(f"array<struct<{row.replace(' ', '')}>>")), lambda x, i: F.struct(F.lit(s).alias("section"), i.cast("long").alias("place"), x.alias("d")))
     return doc.select("path", F.inline(F.concat(*map(listed, SECTIONS))))
 
 
 def coco_names(files: DataFrame) -> dict[int, str]:
     """Class names of COCO documents or records from 0 on, in order of their category ids; a row a class reaches the driver."""
-    found = coco_records(files).where("section = 'categories'").select(F.from_json("value", _COCO).alias("c")).groupBy("c.name").agg(F.min("c.id").alias("id"))
+    found = coco_records(files).where("section = 'categories'").groupBy("d.name").agg(F.min("d.id").alias("id"))
     return dict(enumerate(r["name"] for r in found.orderBy("id", "name").collect()))
 
 
@@ -150,15 +154,14 @@ def from_coco(files: DataFrame, splits: bool = False, min_area: float = 0.0, mas
     its split being its document's name without ``instances_``. Annotations of unknown images are left out.
     """
     records = coco_records(files)
-    rows = records.select("path", "section", "place", F.from_json("value", _COCO).alias("d"))
-    rows = rows.where("section <> 'categories'").select("path", "section", "place", F.when(F.col("section") == "images", F.col("d.id")).otherwise(F.col("d.image_id")).alias("id"), "d").where("id IS NOT NULL")
+    rows = records.where("section <> 'categories'").select("path", "section", "place", F.when(F.col("section") == "images", F.col("d.id")).otherwise(F.col("d.image_id")).alias("id"), "d").where("id IS NOT NULL")
     own = Window.partitionBy("path", "id")  # an image and its annotations
     image = F.max(F.when(F.col("section") == "images", F.struct("d.file_name", "d.width", "d.height"))).over(own)
     notes = F.count(F.when(F.col("section") == "annotations", 1)).over(own)
     number = F.row_number().over(own.orderBy("section", "place")) - 1
     rows = rows.select("path", "section", image.alias("image"), notes.alias("notes"), number.alias("number"), F.col("d.category_id").alias("category"), F.col("d.bbox").alias("bbox"), F.col("d.segmentation").alias("segmentation"))
     rows = rows.where("image IS NOT NULL AND (section = 'annotations' OR notes = 0)").withColumn("polygon", _largest(segmentation_polygons(F.col("segmentation"), min_area, masks)))
-    categories = records.where("section = 'categories'").select("path", F.from_json("value", _COCO).alias("c")).groupBy("path", F.col("c.id").alias("category")).agg(F.first("c.name").alias("label"))
+    categories = records.where("section = 'categories'").groupBy("path", F.col("d.id").alias("category")).agg(F.first("d.name").alias("label"))
     rows = rows.join(categories, ["path", "category"], "left")
     name = stem(F.col("image.file_name"))
     if splits:
