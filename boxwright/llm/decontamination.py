@@ -9,7 +9,8 @@ without a shuffle of text. A walk over an item-sized window at every word of a c
 windows are chosen by samples of short walks first, which neighbouring windows share: ``SEEDS`` walks of ``SEED_STEPS``
 steps start at every word of SEED_WORD bytes and more, in the items and in the text. Where the sampled characters of one
 agree, the place in the item puts an item-sized window in the text. An edit that the samples miss, or that the walk has
-caught up with, does no harm, so no word has to be unedited. Windows that VOTES places of the text vote for (fewer, where
+caught up with, does no harm, so no word has to be unedited. Where blanks were changed or left out there are no such words:
+CLOSE_SEEDS more walks go over the letters and digits alone, from places that the letters there choose. Windows that VOTES places of the text vote for (fewer, where
 an item has few) are embedded whole, ``REPEATS`` times, but for those that cannot hold the item by a count of its runs of
 RUN bytes; those that share a sampled hash with their item are aligned exactly,
 ends free in the document, and reported within the distance.
@@ -34,6 +35,8 @@ MAX_DISTANCE = 0.15
 REPEATS, SAMPLES = 48, 2
 #: Short walks from a word, their steps and sampled places, and bytes of the words that they start from.
 SEEDS, SEED_STEPS, SEED_SAMPLES, SEED_WORD = 3, 32, 10, 4
+#: Walks over letters and digits alone, and how many places of such a text, chosen by a hash of CLOSE_BYTES bytes, one starts from.
+CLOSE_SEEDS, CLOSE_BYTES, CLOSE_ONE_IN = 2, 3, 8
 #: Places of the text that must vote for a window: VOTES, fewer for items with up to FEW_SEEDS times as many seeds, and one
 #: in MANY_SEEDS seeds of a long item, whose windows may drift so far that chance puts some votes anywhere.
 VOTES, FEW_SEEDS, MANY_SEEDS = 3, 6, 25
@@ -137,6 +140,20 @@ def seed_starts(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(ends - starts >= SEED_WORD)
 
 
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*b"0123456789abcdefghijklmnopqrstuvwxyz", *range(128, 256)]] = True
+
+
+def close_text(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The letters and digits of lower-cased bytes, where they stand, and which of them short walks start from."""
+    place = np.flatnonzero(_LETTERS[data])
+    letters = data[place]
+    code = np.zeros(max(0, len(letters) - CLOSE_BYTES + 1), np.uint32)
+    for k in range(CLOSE_BYTES):
+        code = code * np.uint32(0x01000193) + letters[k : k + len(code)]
+    return letters, place, np.flatnonzero((code * np.uint32(0x9E3779B1)) >> np.uint32(8) & np.uint32(CLOSE_ONE_IN - 1) == 0)
+
+
 def edit_distance(item: bytes, window: bytes, most: int) -> tuple[int, int, int] | None:
     """Least edits that turn ``item`` into a stretch of ``window``, and its start and end; None beyond ``most``."""
     n = len(window)
@@ -217,6 +234,7 @@ class Index:
         self.most = np.array([int(max_distance * len(t)) for t in self.texts], np.int64)
         self.needs = np.ones(len(ids), np.int64)
         seeds: list[list[tuple[np.ndarray, np.ndarray, int]]] = [[] for _ in range(SEEDS)]
+        close: list[list[tuple[np.ndarray, np.ndarray, int]]] = [[] for _ in range(CLOSE_SEEDS)]
         grams = []
         for i, t in enumerate(self.texts):
             data = np.frombuffer(t, np.uint8)
@@ -231,7 +249,11 @@ class Index:
             self.needs[i] = max(min(VOTES, 1 + len(starts) // (FEW_SEEDS + 1)), len(starts) // MANY_SEEDS)
             for walk in range(SEEDS):
                 seeds[walk].append((seed_keys(data, starts, np.full(len(starts), len(t)), walk), starts, i))
-        self.seeds, self.grams = [Places(_telling(found, len(ids))) for found in seeds], Places(grams)
+            letters, place, begins = close_text(data)
+            for walk in range(CLOSE_SEEDS):
+                close[walk].append((seed_keys(letters, begins, np.full(len(begins), len(letters)), walk), place[begins], i))
+        self.seeds, self.close = ([Places(_telling(found, len(ids))) for found in kind] for kind in (seeds, close))
+        self.grams = Places(grams)
         self.every_word = any(len(seed_starts(*_word_bounds(t))) == 0 for t in self.texts)
         self.codes = [run_codes(np.frombuffer(t, np.uint8)) for t in self.texts]
         self.walks = walks()
@@ -275,6 +297,16 @@ def leaks_of(column: pa.Array, index: Index) -> list[tuple[int, int, int, int, i
         items.append(seeds.items[entry])
         places.append(begins[at])
         starts.append(begins[at] - seeds.offsets[entry])
+    if any(len(seeds.keys) for seeds in index.close):
+        letters, where, begins = close_text(texts.data)
+        edges = np.searchsorted(where, bounds)
+        owner = np.searchsorted(edges, begins, "right") - 1
+        for walk, seeds in enumerate(index.close):
+            at, entry = seeds.hits(seed_keys(letters, begins, edges[owner + 1], walk))
+            rows.append(owner[at])
+            items.append(seeds.items[entry])
+            places.append(where[begins[at]])
+            starts.append(where[begins[at]] - seeds.offsets[entry])
     if len(index.grams.keys):
         at, entry = index.grams.hits(gram_keys(texts.data))
         row = np.searchsorted(bounds, at, "right") - 1

@@ -221,17 +221,20 @@ def test_decontamination_without_spaces(spark):
     assert next((r.distance, r.start, r.end) for r in leaks if r.doc_id == 1) == (0, 1, 61)
 
 
-@pytest.mark.parametrize("edit", ["substitutions", "any", "third words", "fourth words"])
+@pytest.mark.parametrize("edit", ["substitutions", "any", "third words", "fourth words", "blanks _", "blanks -", "blanks gone", "blanks doubled", "blanks and letters"])
 def test_decontamination_recall(edit):
     """Edited items inside other text: at least nine of ten of those that a brute force over all alignments finds."""
     rng = np.random.default_rng(12)
     letters = "etaoinshrdlu"
-    word = lambda: "".join(rng.choice(list(letters), int(rng.integers(2, 10))))
+    word = lambda: "".join(rng.choice(list(letters), int(rng.integers(*((5, 12) if edit[:6] == "blanks" else (2, 10))))))
     vocabulary = [word() for _ in range(1500)]
     items = [" ".join(rng.choice(vocabulary, int(rng.integers(20, 45)))) for _ in range(50)]
 
     def edited(text):
         c, n = list(text), int(0.14 * len(text))
+        if edit[:6] == "blanks":
+            other = text.replace(" ", {"_": "_", "-": "-", "gone": "", "doubled": "  "}.get(edit[7:], "_"))
+            return other if edit != "blanks and letters" else "".join("q" if rng.random() < 0.03 else x for x in other)
         if edit == "substitutions":
             for p in rng.choice(len(c), n, replace=False):
                 c[p] = "q"
