@@ -5,9 +5,11 @@ symbols run through a keyed Feistel network over their own domain, and the resul
 and letter case of the original; check digits are computed anew. The network is a permutation of the domain, so equal
 values get equal pseudonyms in every document, different ones stay different, and the key owner can invert it. Where a
 domain has invalid members, the network is walked until it meets a valid one, which is a permutation of the valid ones.
-Values that fail validation (a card number whose check digit is wrong, an octet over 255) are left alone. Card numbers and
-IBANs have several lengths, so what follows one may look like more of it: each shorter stretch that ends between two
-groups is tried too, the longest first (an IBAN's own country's length before all).
+Values that fail validation (a card number whose check digit is wrong, an octet over 255) are left alone. What follows a
+value may look like more of it. A card's first digits say which lengths it may have, and its digits stand in one run or in
+known groups; in the order of these lengths the first that has a valid check digit is the card, and a pseudonym is one that
+is read the same way. So a card is found alike whatever stands beside it. A list of numbers is no card: at most
+BESIDE groups may stand beside cards in groups. An IBAN's country says how long it is.
 """
 
 from __future__ import annotations
@@ -28,15 +30,24 @@ ROUNDS = 8
 _EPOCH, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 _HINT = re.compile(r"[0-9@]")
 _CANDIDATES = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+    r"(?P<email>(?<![\w.+-])[^\W_][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?P<secret>(?<=\")[0-9a-fA-F]{32,}(?=\")|(?<![0-9A-Za-z])(?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{40,}(?![0-9A-Za-z]))"
-    r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]){11,30}(?![0-9A-Za-z]))"
-    r"|(?P<date>(?<![\w/-])(?<![0-9]\.)(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-]|\.[0-9]))"
+    r"|(?P<iban>(?<![0-9A-Za-z])(?:[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]){11,30}|[a-z]{2}[0-9]{2}(?: ?[0-9a-z]){11,30})(?![0-9A-Za-z]))"
+    r"|(?P<date>(?<![\w/-])(?<![0-9]\.)(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?:(?=[Tt][0-9]{2}:)|(?![\w/-]|\.[0-9])))"
     r"|(?P<ip>(?<!\w)(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))"
-    r"|(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![\w+(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![\w-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w-]))"
+    r"|(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![\w+(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![\w-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w-])|(?<![\w.-])[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?![\w-]|\.[0-9]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
-    r"|(?P<card>(?<!\w)(?<!\w-)(?<![0-9]\.)[0-9](?:[ -]?[0-9]){12,18}(?!\w|-(?![0-9])|\.[0-9]))"
+    r"|(?P<card>(?<![0-9A-Za-z])(?<![0-9A-Za-z]-)(?<![0-9]\.)(?=[0-9](?:[ -]?[0-9]){12})[0-9]+(?:(?: [0-9]+)+|(?:-[0-9]+)+|)(?![0-9A-Za-z_]|-(?![0-9])|\.[0-9]))"
 )
+#: Which lengths the cards have that begin with these digits, the usual one first.
+CARD_LENGTHS = [
+    ("4", "4", (16, 19, 13)), ("34", "34", (15,)), ("37", "37", (15,)), ("51", "55", (16,)), ("2221", "2720", (16,)), ("6011", "6011", (16, 19)), ("644", "659", (16, 19)), ("62", "62", (16, 17, 18, 19)),
+    ("3528", "3589", (16, 17, 18, 19)), ("36", "36", (14,)), ("38", "39", (14,)), ("300", "305", (14,)), ("50", "50", (16, 18, 19)), ("56", "58", (16, 18, 19)), ("60", "69", (16, 18, 19)),
+]
+#: The groups that a card's digits are written in.
+CARD_GROUPS = {(4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 4, 4, 1), (4, 6, 5), (4, 6, 4)}
+#: Groups of digits that may stand before and after cards in groups, together.
+BESIDE = 2
 #: Lengths of IBANs by country.
 IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20".split()}
 
@@ -95,6 +106,7 @@ class Feistel:
 
 
 _DIGITS, _HEX, _LETTERS = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
+_ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
 
 
 def _refill(pattern: str, symbols: str, belongs: Callable[[str], bool]) -> str:
@@ -116,17 +128,55 @@ def iban_valid(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
-def _card(f: Feistel, text: str) -> str | None:
-    digits = re.sub(r"[ -]", "", text)
-    if not 13 <= len(digits) <= 19 or not luhn_valid(digits) or len(set(digits)) == 1:
-        return None
-    body = f.symbols(digits[:-1], _DIGITS, b"card")
-    return _refill(text, body + luhn_digit(body), str.isdigit)
+def card_lengths(digits: str) -> tuple[int, ...]:
+    """Lengths of cards that begin like these digits; none if no card does."""
+    return next((lengths for low, high, lengths in CARD_LENGTHS if low <= digits[: len(low)] <= high), ())
+
+
+def card_length(digits: str, ends: list[int]) -> int:
+    """Of the lengths ``ends`` the one at which a card ends; 0 if it ends at none."""
+    return next((n for n in card_lengths(digits) if n in ends and luhn_valid(digits[:n]) and len(set(digits[:n])) > 1), 0)
+
+
+def _ends(groups: list[int]) -> list[int]:
+    """Where a card that begins with the first of these groups may end."""
+    return [sum(groups[:k]) for k in range(1, 6) if k == 1 or tuple(groups[:k]) in CARD_GROUPS]
+
+
+def card_spans(text: str) -> list[tuple[int, int]]:
+    """Start and end of the cards in a list of groups of digits."""
+    groups = [m.span() for m in re.finditer("[0-9]+", text)]
+    sizes = [b - a for a, b in groups]
+    single = [(a, b) for a, b in groups if b - a > 12 and card_length(text[a:b], [b - a])]
+    if single or len(groups) < 3:
+        return single
+    for before in range(min(BESIDE, len(groups) - 3) + 1):
+        k, found = before, []
+        while k < len(groups) and (n := card_length("".join(text[a:b] for a, b in groups[k : k + 5]), [e for e in _ends(sizes[k : k + 5]) if e > sizes[k]])):
+            last = k
+            while sum(sizes[k : last + 1]) < n:
+                last += 1
+            found.append((groups[k][0], groups[last][1]))
+            k = last + 1
+        if found and before + len(groups) - k <= BESIDE:
+            return found
+    return []
+
+
+def _card(f: Feistel, text: str) -> str:
+    digits, groups = re.sub(r"[ -]", "", text), [len(x) for x in re.split("[ -]", text)]
+    ends = _ends(groups) if len(groups) > 1 else groups
+    body = digits[:-1]
+    while True:
+        body = f.symbols(body, _DIGITS, b"card")
+        made = body + luhn_digit(body)
+        if card_length(made, ends) == len(made):
+            return _refill(text, made, str.isdigit)
 
 
 def _iban(f: Feistel, text: str) -> str | None:
     bare = text.replace(" ", "")
-    if not 15 <= len(bare) <= 34 or not iban_valid(bare):
+    if not 15 <= len(bare) <= 34 or not iban_valid(bare) or bare[0].islower() and IBAN_LENGTHS.get(bare[:2].upper()) != len(bare):
         return None
     digits, letters = "".join(filter(str.isdigit, bare[4:])), "".join(filter(str.isalpha, bare[4:])).lower()
     body = _refill(_refill(bare[4:], f.symbols(letters, _LETTERS, b"iban"), str.isalpha), f.symbols(digits, _DIGITS, b"iban"), str.isdigit)
@@ -136,16 +186,21 @@ def _iban(f: Feistel, text: str) -> str | None:
 
 
 def _date(f: Feistel, text: str) -> str | None:
-    form = "%Y-%m-%d" if text[4] == "-" else f"%d{text[2]}%m{text[2]}%Y"
+    """A day of 1900 to 2099. What is no date with the day first may be one with the month first; its pseudonym is neither."""
     numbers = [int(x) for x in re.split(r"[-/.]", text)]
-    try:
-        day = date(*(numbers if form[1] == "Y" else reversed(numbers)))
-    except ValueError:
-        return None
-    at = (day - _EPOCH).days
-    if not 0 <= at < _DAYS:
-        return None
-    return (_EPOCH + timedelta(f.number(at, _DAYS, b"date"))).strftime(form)
+    forms = ["%Y-%m-%d"] if text[4] == "-" else [f"%d{text[2]}%m{text[2]}%Y", f"%m{text[2]}%d{text[2]}%Y"]
+    for form in forms:
+        order = dict(zip((x[0] for x in form.split("%")[1:]), numbers, strict=True))
+        try:
+            at = (date(order["Y"], order["m"], order["d"]) - _EPOCH).days
+        except ValueError:
+            continue
+        if not 0 <= at < _DAYS:
+            return None
+        late = form[1] == "m"  # the month first
+        made = _EPOCH + timedelta(f.number(at, _DAYS, b"date", (lambda n: (_EPOCH + timedelta(n)).day > 12) if late else (lambda _: True)))
+        return made.strftime(form)
+    return None
 
 
 def _ip(f: Feistel, text: str) -> str | None:
@@ -177,13 +232,15 @@ def _ssn(f: Feistel, text: str) -> str | None:
 def _email(f: Feistel, text: str) -> str | None:
     local, _, domain = text.rpartition("@")
     lower = local.lower()
-    letters, digits = "".join(c for c in lower if c in _LETTERS), "".join(c for c in lower if c in _DIGITS)
-    if not letters and not digits:
+    letters, accented, digits = ("".join(c for c in lower if c in known) for known in (_LETTERS, _ACCENTED, _DIGITS))
+    if not letters and not digits and not accented:
         return None
     # the letters' permutation depends on the original digits: names that differ in digits alone share no letters
     numbers = f.symbols(digits, _DIGITS, b"email")
     mixed = f.symbols(letters, _LETTERS, b"email" + (numbers if f.back else digits).encode())
-    return _refill(_refill(local, mixed, lambda c: c.lower() in _LETTERS), numbers, lambda c: c in _DIGITS) + "@" + domain
+    others = f.symbols(accented, _ACCENTED, b"email")
+    plain = _refill(_refill(local, mixed, lambda c: c.lower() in _LETTERS), numbers, lambda c: c in _DIGITS)
+    return _refill(plain, others, lambda c: c.lower() in _ACCENTED) + "@" + domain
 
 
 def _secret(f: Feistel, text: str) -> str | None:
@@ -193,37 +250,49 @@ def _secret(f: Feistel, text: str) -> str | None:
 _KINDS = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "phone": _phone, "ssn": _ssn, "card": _card}
 
 
-def _stretches(kind: str, value: str) -> list[str]:
-    """What may be the value at a candidate's start: the candidate, and for cards and IBANs its whole first groups, longest first."""
-    if kind not in ("iban", "card"):
-        return [value]
-    found = [value, *(value[: m.start()] for m in reversed([*re.finditer("[ -]", value)]))]
-    if kind == "iban":
-        usual = IBAN_LENGTHS.get(value[:2])
-        found.sort(key=lambda x: len(x.replace(" ", "")) != usual)
+def _stretches(value: str) -> list[str]:
+    """What may be an IBAN at a candidate's start: its whole first groups, of its country's length before all, then the longest."""
+    found = [value, *(value[: m.start()] for m in reversed([*re.finditer(" ", value)]))]
+    usual = IBAN_LENGTHS.get(value[:2].upper())
+    found.sort(key=lambda x: len(x.replace(" ", "")) != usual)
     return found
 
 
+def _places(kind: str, value: str) -> list[list[tuple[int, int]]]:
+    """Where values may be in a candidate: lists of starts and ends, of which the first that has one counts."""
+    if kind == "card":
+        return [[place] for place in card_spans(value)]
+    return [[(0, len(x)) for x in (_stretches(value) if kind == "iban" else [value])]]
+
+
 def pseudonymised(f: Feistel, text: str) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and kind, start and end (in the original) of each replaced value."""
     if not _HINT.search(text):
         return text, []
     parts, spans, at, search = [], [], 0, 0
     while match := _CANDIDATES.search(text, search):
-        kind = match.lastgroup
-        for value in _stretches(kind, match.group()):
-            if pseudonym := f.known.get((kind, value)) or _KINDS[kind](f, value):
-                break
-        else:
-            search = match.start() + max(1, re.match(r"\w*", match.group()).end())
-            continue
-        if len(f.known) > 200_000:
-            f.known.clear()
-        if len(value) < 100:
-            f.known[kind, value] = pseudonym
-        parts += [text[at : match.start()], pseudonym]
-        at = search = match.start() + len(value)
-        spans.append((kind, match.start(), at))
+        kind, whole, start = match.lastgroup, match.group(), match.start()
+        search = start
+        for choices in _places(kind, whole):
+            for low, high in choices:
+                value = whole[low:high]
+                if pseudonym := f.known.get((kind, value)) or _KINDS[kind](f, value):
+                    break
+            else:
+                continue
+            if len(f.known) > 200_000:
+                f.known.clear()
+            if len(value) < 100:
+                f.known[kind, value] = pseudonym
+            parts += [text[at : start + low], pseudonym]
+            at = search = start + high
+            spans.append((kind, start + low, at))
+        if kind == "card":  # the last group may begin something else
+            search = max(search, start + max(whole.rfind(" "), whole.rfind("-")) + 1, start + 1)
+            if search == start + 1:
+                search = match.end()
+        elif search == start:
+            search = start + max(1, re.match(r"\w*", whole).end())
     return "".join([*parts, text[at:]]), spans
 
 
