@@ -29,7 +29,7 @@ from .shared import map_batches, text_steps
 #: Fixed values of HTML: elements that break a line of text, whose content is raw text, that hold no article text, that have no content, and whose start ends an open one.
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
-SKIPPED = frozenset("noscript template svg math object canvas audio video select button".split())
+SKIPPED = frozenset("noscript template svg object canvas audio video select button annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "option": {"option"}}
 _SCOPES = frozenset("table ul ol dl td th tr div section article body".split())
@@ -185,13 +185,16 @@ class Page:
     def features(self, tag_odds: dict[str, float], token_odds: dict[str, float]) -> np.ndarray:
         n, parent = len(self.nodes), self.parent.tolist()
         chars, links, blocks, paras = [len(x.text) for x in self.nodes], [x.links for x in self.nodes], [1] * n, [int(x.tag == "p" and len(x.text) > 40) for x in self.nodes]
+        # headings that are links lead to other articles
+        heads = [int(x.tag in ("h1", "h2", "h3", "h4") and x.links > 0.8 * len(x.text) > 0) for x in self.nodes]
         for i in range(n - 1, 0, -1):
             p = parent[i]
             chars[p] += chars[i]
             links[p] += links[i]
             blocks[p] += blocks[i]
             paras[p] += paras[i]
-        total, out = max(1, chars[0]), np.zeros((n, 22))
+            heads[p] += heads[i]
+        total, out = max(1, chars[0]), np.zeros((n, 26))
         own = [(tag_odds.get(x.tag, 0.0), [token_odds[t] for t in x.tokens if t in token_odds]) for x in self.nodes]
         path = [(0.0, 0.0, 0.0, 0.0, 0)] * n
         order = [0] * n
@@ -213,6 +216,7 @@ class Page:
                 np.log1p(size), size / total, links[i] / max(1, size), size / blocks[i], np.log1p(paras[i]), np.log1p(blocks[i]),
                 len(siblings), order[i] / max(1, len(siblings) - 1), around / max(1, len(siblings) - 1), size / max(1, size + around),
                 links[p] / max(1, chars[p]) if p >= 0 else 0, np.log1p(paras[p]) if p >= 0 else 0, own[p][0] if p >= 0 else 0,
+                heads[i], heads[p] if p >= 0 else 0, paras[i] / max(1, paras[0]), own[p][1][0] if p >= 0 and own[p][1] else 0.0,
             )
         return out
 
@@ -243,13 +247,19 @@ OTHER_NAMES = {
 _SECTION_TAG = {"nav": ("nav", "div", "ul"), "header": ("header", "div"), "footer": ("footer", "div"), "sidebar": ("aside", "div", "section"), "notice": ("div", "section", "aside", "p"), "ad": ("div", "aside", "section", "p"), "comments": ("section", "div", "aside", "ol"), "form": ("form", "form", "div"), "share": ("div", "ul", "p")}
 
 
+@lru_cache(maxsize=2)
+def _prose(sentences: bool) -> list[str]:
+    """Made-up words in a row; what they are doesn't matter, only their lengths."""
+    rng = random.Random(1)
+    words = ["".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(20_000)]
+    return [w + rng.choice(".,.,.!?") if sentences and rng.random() < 0.09 else w for w in words]
+
+
 def _words(rng: random.Random, n: int, sentence: bool = True) -> str:
-    words = ["".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(n)]
-    if sentence:
-        for i in range(rng.randint(4, 14), n, rng.randint(6, 16)):
-            words[i - 1] += rng.choice(".,.,.!?")
-        return " ".join(words).capitalize() + rng.choice("...!?")
-    return " ".join(words)
+    words = _prose(sentence)
+    at = rng.randrange(len(words) - n)
+    text = " ".join(words[at : at + n])
+    return text.capitalize() + rng.choice("...!?") if sentence else text
 
 
 def _name(rng: random.Random, name: str) -> str:
@@ -258,12 +268,29 @@ def _name(rng: random.Random, name: str) -> str:
     return f' {rng.choice(("class", "class", "id"))}="{name.replace(" ", rng.choice(("-", "-", "_", " ")))}"'
 
 
+def _made_up(rng: random.Random) -> str:
+    """A name that no list has."""
+    return _words(rng, rng.randint(1, 2), False) + rng.choice(("", "", "", "-1", " x2"))
+
+
+def _teasers(rng: random.Random) -> str:
+    """Previews of other articles: headings that are links, each with some text."""
+    tag = rng.choice(("h2", "h3", "h3", "h4"))
+    one = lambda: f"<{tag}>{_link(rng)}</{tag}><p>{_words(rng, rng.randint(4, 40))}</p>" + _link(rng) * (rng.random() < 0.3)
+    wrap = rng.choice(("<div>{}</div>", "<li>{}</li>", "<div>{}</div>", "{}", '<div class="%s">{}</div>' % _made_up(rng)))
+    return "".join(wrap.format(one()) for _ in range(rng.randint(2, 6)))
+
+
 def _link(rng: random.Random) -> str:
     return f'<a href="/x">{_words(rng, rng.randint(1, 4), False)}</a>'
 
 
 def _other(rng: random.Random, kind: str) -> str:
+    if kind == "teasers":
+        return f"<{(tag := rng.choice(('div', 'div', 'section', 'aside', 'ul')))}{_name(rng, rng.choice((_made_up(rng), _made_up(rng), 'related', 'more', 'latest', '')))}>{_teasers(rng)}</{tag}>"
     tag, name = rng.choice(_SECTION_TAG[kind]), rng.choice(OTHER_NAMES[kind])
+    if kind in ("nav", "header", "footer", "comments") and rng.random() < 0.1:
+        name = _made_up(rng)
     text = lambda a, b: _words(rng, rng.randint(a, b))
     links = lambda a, b: "".join(f"<li>{_link(rng)}</li>" for _ in range(rng.randint(a, b)))
     if kind == "nav":
@@ -293,6 +320,8 @@ def _other(rng: random.Random, kind: str) -> str:
         inner = rng.choice((text(3, 50), text(3, 50), f"<p>{text(3, 50)}</p>", f"<div>{text(3, 30)}</div>", f"<p>{text(2, 30)}</p>{_link(rng)}"))
         if tag == "ul":
             inner = f"<li>{inner}</li>"
+        if tag == "p":  # blocks would end it
+            inner = text(3, 50) + rng.choice(("", f" {_link(rng)}"))
     return f"<{tag}{_name(rng, name)}>{inner}</{tag}>"
 
 
@@ -304,10 +333,16 @@ def _article(rng: random.Random) -> str:
     marked = lambda a, b: _MARK + _words(rng, min(rng.randint(a, b), int(600 ** rng.random()) + a) if b > 14 else rng.randint(a, b), rng.random() < 0.85)
     parts = []
     if rng.random() < 0.9:
-        parts.append(f"<h1>{marked(2, 12)}</h1>")
-    for _ in range(rng.choice((1, 1, 1, 2, 2, 3, 4, 5, 8, 12, 20, 40, 100))):
-        kind = rng.random()
-        if kind < 0.72:
+        title = f"<h1>{marked(2, 12)}</h1>"
+        if rng.random() < 0.2:  # title and lead may have a header of their own
+            title = f"<header{_name(rng, rng.choice(('', '', 'entry header', 'article header', 'title')))}>{title}" + f"<p>{marked(4, 40)}</p>" * rng.randint(0, 1) + _other(rng, "share") * (rng.random() < 0.3) + "</header>"
+        parts.append(title)
+    tiny = rng.random() < 0.12
+    for _ in range(1 if tiny else rng.choice((1, 1, 1, 2, 2, 3, 4, 5, 8, 12, 20, 40, 100))):
+        kind = rng.random() if not tiny else 1.0
+        if tiny:
+            parts.append(rng.choice((f"<p>{marked(1, 12)}</p>", f"<p><b>{marked(2, 12)}<br>")))
+        elif kind < 0.72:
             parts.append(rng.choice((f"<p>{marked(1, 400)}</p>", f"<p>{marked(20, 120)}</p>", f"<p>{marked(1, 6)}</p>", f"<p>{marked(1, 14)}</p>", f"<p><b>{marked(10, 60)}<br>", f"<p>{marked(20, 60)} {_link(rng)} {_words(rng, 12)}</p>", f"<div>{marked(20, 90)}</div>")))
         elif kind < 0.78:
             parts.append(f"<h2>{marked(1, 8)}</h2>")
@@ -323,10 +358,17 @@ def _article(rng: random.Random) -> str:
             parts.append(f"<figure><figcaption>{marked(3, 15)}</figcaption></figure>")
         else:
             parts.append(_other(rng, rng.choice(("ad", "share", "notice", "sidebar", "form"))))
+    if rng.random() < 0.1:
+        parts.append(f"<footer>{_words(rng, rng.randint(2, 12))}</footer>")
     inner = "".join(parts)
-    tag, name = rng.choice(("article", "article", "main", "div", "div", "section", "td")), rng.choice(ARTICLE_NAMES)
-    if tag == "td":
-        return f"<table><tr><td{_name(rng, name)}>{inner}</td></tr></table>"
+    if rng.random() < 0.22:  # no container of its own
+        return inner
+    tag, name = rng.choice(("article", "article", "main", "div", "div", "section", "td")), rng.choice(ARTICLE_NAMES) if rng.random() < 0.75 else _made_up(rng)
+    if tag == "td":  # a table that lays the page out, perhaps with a menu beside
+        beside = [f"<td{_name(rng, rng.choice(('', 'left', 'menu', 'side')))}>{rng.choice((' '.join(_link(rng) for _ in range(rng.randint(2, 9))), _other(rng, 'nav'), _other(rng, 'sidebar')))}</td>" for _ in range(rng.choice((0, 1, 1, 2)))]
+        cut = rng.randint(0, len(beside))
+        top = f"<tr><td colspan=2>{_other(rng, 'header')}</td></tr>" * (rng.random() < 0.3)
+        return f"<table{_name(rng, rng.choice(('', '', 'layout')))}>{top}<tr>{''.join(beside[:cut])}<td{_name(rng, name)}>{inner}</td>{''.join(beside[cut:])}</tr></table>"
     return f"<{tag}{_name(rng, name)}>{inner}</{tag}>"
 
 
@@ -334,15 +376,18 @@ def layouts(n: int, seed: int) -> list[Page]:
     """Parsed training pages; ``truth`` of a node says that its subtree holds article text."""
     rng, pages = random.Random(seed), []
     for _ in range(n):
-        before = [_other(rng, k) for k in ("header", "nav", "notice", "ad", "form") if rng.random() < 0.45]
-        after = [_other(rng, k) for k in ("share", "comments", "ad", "sidebar", "nav", "form", "notice") if rng.random() < 0.35] + [_other(rng, "footer")] * (rng.random() < 0.8)
+        before = [_other(rng, k) for k in ("header", "nav", "notice", "ad", "form", "teasers") if rng.random() < (0.45 if k != "teasers" else 0.12)]
+        after = [_other(rng, k) for k in ("share", "comments", "ad", "sidebar", "nav", "form", "notice", "teasers") if rng.random() < 0.35] + [_other(rng, "footer")] * (rng.random() < 0.8)
         rng.shuffle(before)
         middle = _article(rng)
         if rng.random() < 0.35:
-            inside = [_other(rng, k) for k in ("sidebar", "comments", "share", "ad", "nav") if rng.random() < 0.4]
+            inside = [_other(rng, k) for k in ("sidebar", "comments", "share", "ad", "nav", "teasers") if rng.random() < 0.35]
             cut = rng.randint(0, len(inside))
             middle = f"<{(tag := rng.choice(('div', 'main', 'section')))}{_name(rng, rng.choice(('wrapper', 'container', 'page', 'row', 'layout', '')))}>{''.join(inside[:cut])}{middle}{''.join(inside[cut:])}</{tag}>"
-        page = Page(parse("<html><body>" + "".join(before) + middle + "".join(after) + "</body></html>"))
+        body = "".join(before) + middle + "".join(after)
+        if rng.random() < 0.08:  # some frameworks put the whole page into a form
+            body = f"<form{_name(rng, rng.choice(('form1', 'page form', 'aspnet form', '')))}>{body}</form>"
+        page = Page(parse(f"<html><body>{body}</body></html>"))
         for i in range(len(page.nodes) - 1, -1, -1):
             node = page.nodes[i]
             node.truth = node.truth or _MARK in node.text
@@ -366,7 +411,7 @@ def _odds(pages: list[Page], names) -> dict[str, float]:
 
 
 @lru_cache(maxsize=1)
-def model(pages: int = 700, seed: int = 11) -> tuple[dict[str, float], dict[str, float], Trees]:
+def model(pages: int = 1000, seed: int = 11) -> tuple[dict[str, float], dict[str, float], Trees]:
     """Tag odds, attribute-token odds and trees; the odds come from other pages than the trees are fitted on."""
     drawn = layouts(2 * pages, seed)
     tags, tokens = _odds(drawn[:pages], lambda n: (n.tag,)), _odds(drawn[:pages], lambda n: n.tokens)
@@ -374,7 +419,7 @@ def model(pages: int = 700, seed: int = 11) -> tuple[dict[str, float], dict[str,
     x = np.concatenate([p.features(tags, tokens) for p in drawn[pages:]])
     nodes = [n for p in drawn[pages:] for n in p.nodes]
     below_kept = np.array([n.parent is None or n.parent.truth for n in nodes])
-    return tags, tokens, fit_trees(x[below_kept], np.array([n.truth for n in nodes], float)[below_kept])
+    return tags, tokens, fit_trees(x[below_kept], np.array([n.truth for n in nodes], float)[below_kept], rounds=90)
 
 
 def main_texts(pages: list[str | None], fitted) -> list[str]:
