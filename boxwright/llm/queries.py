@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .alignment import aligned
 from .compaction import compacted
 from .decontamination import contaminated
@@ -95,4 +96,4 @@ QUERIES = {
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_minhash_neardup": oracles.NEAR_DUPLICATES, "op11_merkle_manifest": oracles.merkle()}

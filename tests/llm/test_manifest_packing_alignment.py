@@ -5,11 +5,12 @@ from collections import Counter, defaultdict
 from hashlib import sha256
 
 import numpy as np
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
 from boxwright.llm import alignment, encoders, merkle, packing
-from boxwright.llm.queries import QUERIES
+from boxwright.llm.queries import ORACLE_SQL, QUERIES
 from boxwright.llm.tokens import public_path
 
 SF = "/root/testdata/sf0.001"
@@ -91,6 +92,11 @@ def test_proofs_of_many_levels_and_sources(spark):
     same(merkle.merkle_proofs(rows, merkle.lowered_every_fifth()).collect(), expected_proofs(rows.collect()))
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_with_sql(spark, name):
+    oracle.compare(QUERIES[name](spark, SF), oracle.connect(SF), ORACLE_SQL[name])
+
+
 def test_registered_proofs(spark):
     same(QUERIES["op11_merkle_manifest"](spark, SF).collect(), expected_proofs(spark.read.parquet(f"{SF}/documents.parquet").collect()))
 
