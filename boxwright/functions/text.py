@@ -56,3 +56,8 @@ def check_version(version: Column, required: str) -> Column:
 
 def props_value(json: Column, key: str, kind: str) -> Column:
     return F.from_json(json, f"`{key}` {kind}")[key]
+
+
+def date_stamp() -> Column:
+    """Today as year/month/day."""
+    return F.date_format(F.current_date(), "yyyy/MM/dd")

@@ -768,3 +768,69 @@ def coco_masks(spark, sf_dir):
 @query(_CANON + " SELECT image_id AS file, label, count(*) AS n FROM an GROUP BY image_id, label")
 def file_histogram(spark, sf_dir):
     return dataset.file_histogram(_annotations(spark, sf_dir))
+
+
+@query(VIEWS + " SELECT image_id, gt_idx, (x1+x2)/2.0 AS x, (y1+y2)/2.0 AS y FROM gt")
+def box_centers(spark, sf_dir):
+    x, y = B.centers(B.box())
+    return boxes(spark, sf_dir)[0].select("image_id", "gt_idx", x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+@query(ORACLE_SQL["recall_precision_report"].replace("(1,'person'),", "").replace("WHERE kind='P' AND gt=5)", "WHERE kind='P' AND gt=5 AND pred<>1)"))
+def report_without_a_class(spark, sf_dir):
+    """A hidden class has no row and makes no ghosts; what it misses still counts in the background."""
+    classes = spark.createDataFrame(sorted(_CLASS_NAMES.items()), "cls long, name string")
+    rows = confusion.report(confusion_counts(spark, sf_dir), classes, background=5, hidden=(1,))
+    return rows.select("name", "gt_num", "pred_num", _r(F.col("recall")).alias("recall"), _r(F.col("precision")).alias("precision"))
+
+
+@query(_IMAGES + " SELECT image_id, CAST(CASE WHEN image_id%3>0 THEN width WHEN image_id%5>0 THEN height ELSE 1 END AS BIGINT) AS width, CAST(CASE WHEN image_id%3>0 THEN height WHEN image_id%5>0 THEN width ELSE 1 END AS BIGINT) AS height FROM im")
+def image_shapes(spark, sf_dir):
+    """Sizes from a first source that lacks every third image, else from one that has the sides swapped and lacks every fifth, else 1."""
+    im = _images(spark, sf_dir)
+    known = lambda n, w, h: im.select("image_id", F.when(F.col("image_id") % n > 0, F.col(w)).otherwise(0).alias("width"), F.col(h).alias("height"))
+    return _longs(formats.image_sizes(known(3, "width", "height"), known(5, "height", "width")))
+
+
+def _files_of(kind: str, notes: DataFrame, spark) -> DataFrame:
+    """Annotations as label files (path, value) of a format; COCO as one document an image."""
+    named = lambda df, end: df.select(F.concat(F.lit("/l/"), "image_id", F.lit(end)).alias("path"), "value")
+    if kind == "labelme":
+        return named(formats.to_labelme(notes), ".json")
+    if kind == "voc":
+        return named(formats.to_voc(notes), ".xml")
+    if kind == "yolo":
+        return named(formats.to_yolo(notes, _names(spark)), ".txt")
+    images_, annotations, categories = formats.coco_tables(notes, _names(spark), 1)
+    listed = categories.agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("categories"))
+    own = annotations.select(F.col("image_id").alias("iid"), F.struct("id", "image_id", "category_id", F.col("bbox").cast("array<double>").alias("bbox")).alias("a")).groupBy("iid").agg(F.array_sort(F.collect_list("a")).alias("annotations"))
+    docs = images_.join(own, images_["id"] == F.col("iid")).join(F.broadcast(listed))
+    return docs.select(F.concat(F.lit("/annotations/"), "file_name", F.lit(".json")).alias("path"), F.to_json(F.struct(F.array(F.struct("id", "file_name", "height", "width")).alias("images"), "annotations", "categories")).alias("value"))
+
+
+def _read_back(kind: str, files: DataFrame, sizes: DataFrame, spark) -> DataFrame:
+    read = {"labelme": formats.from_labelme, "voc": formats.from_voc, "coco": lambda f: formats.from_coco(f, masks=False), "yolo": lambda f: formats.from_yolo(f, _names(spark), sizes)}[kind]
+    return read(files).withColumn("points", F.transform("points", lambda p: F.array(F.round(p[0], 3), F.round(p[1], 3))))
+
+
+def _conversions(source: str):
+    """The query that turns label files of one format into each other one and reads those again."""
+    targets = [k for k in ("coco", "labelme", "voc", "yolo") if k != source]
+    sql = f"{_CANON} SELECT target, label, count(*) AS n, CAST(sum(x1+y1+x2+y2) AS BIGINT) AS edges FROM an, (SELECT unnest({targets}) AS target) t GROUP BY target, label"
+
+    def run(spark, sf_dir):
+        notes = _annotations(spark, sf_dir)
+        sizes = notes.select("image_id", "width", "height").distinct()
+        first = _read_back(source, _files_of(source, notes, spark), sizes, spark)
+        parts = []
+        for target in targets:
+            rows = formats.match_records(_read_back(target, _files_of(target, first, spark), sizes, spark))
+            parts.append(rows.groupBy("label").agg(F.count("*").alias("n"), F.sum((F.col("x1") + F.col("y1") + F.col("x2") + F.col("y2")).cast("long")).alias("edges")).withColumn("target", F.lit(target)))
+        return dataset.union_all(parts)
+
+    run.__name__ = f"convert_{source}"
+    return query(sql)(run)
+
+
+for _source in ("labelme", "voc", "yolo", "coco"):
+    _conversions(_source)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.boxes import Box, box_points, clip_box, pairs_of, polygon_area, polygon_bbox, yolo_denormalize, yolo_normalize
 from ..functions.masks import polygons_of_masks
-from ..functions.text import stem
+from ..functions.text import date_stamp, stem
 from ..operators.dataset import class_histogram
 from ..operators.saved import checkpointed
 from .images import is_hidden, is_image, list_files, sizes_of, split_key
@@ -273,8 +273,8 @@ def write_coco(annotations: DataFrame, names: DataFrame, path: str, start: int =
     spark, tables = annotations.sparkSession, coco_tables(annotations, names, start)
     least = names.agg(F.min("cls_id")).first()[0]
     first = (start, start, start + (least or 0))
-    marks = [(k, -(1 << 62), ("{" if not k else "], ") + f'"{section}": [') for k, section in enumerate(SECTIONS)] + [(len(SECTIONS), 0, "]}")]
-    rows = spark.createDataFrame(marks, "section int, id long, text string")
+    marks = [(k, -(1 << 62), ('{"info": {"date_created": "<today>"}, ' if not k else "], ") + f'"{section}": [') for k, section in enumerate(SECTIONS)] + [(len(SECTIONS), 0, "]}")]
+    rows = spark.createDataFrame(marks, "section int, id long, text string").withColumn("text", F.replace("text", F.lit("<today>"), date_stamp()))
     for k, (df, low) in enumerate(zip(tables, first, strict=True)):
         text = F.to_json(F.struct("*"))
         rows = rows.unionByName(df.select(F.lit(k).alias("section"), F.col("id").cast("long").alias("id"), F.when(F.col("id") > low, F.concat(F.lit(", "), text)).otherwise(text).alias("text")))

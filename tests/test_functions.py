@@ -81,6 +81,8 @@ def test_registry_and_pipeline(spark, tmp_path):
     plan.to_json(str(tmp_path / "p.json"))
     df = spark.createDataFrame([(0, 0, 10, 10, 5, 5, 15, 15)], ", ".join(f"{p}{c} int" for p in ("a_", "b_") for c in ("x1", "y1", "x2", "y2")))
     assert Pipeline.from_json(str(tmp_path / "p.json")).run(df).first()["ios"] == [0.25, 0.25]
+    twice = Pipeline({"x": "IosOperator"}).run(df, [lambda d: d.withColumn("y", d.ios * 2), lambda d: d.where("y > 0.4")])
+    assert [r.y for r in twice.collect()] == [0.5] and Pipeline({}).run(df, [lambda d: d.limit(0)]).count() == 0
     with pytest.raises(ValueError):
         OPERATORS["IosOperator"]()(df.drop("a_x1"))
     assert guarded(lambda: [][1])()[1] == 15 and not math.isnan(guarded(lambda: 1)()[1])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from boxwright import cli
 from boxwright.functions import masks
 from boxwright.operators import dataset
-from boxwright.sources import formats, images, records
+from boxwright.sources import folders, formats, images, records
 
 
 def png(w, h):
@@ -71,7 +71,8 @@ def test_document_by_many_writers(spark, tmp_path, monkeypatch):
     back = formats.match_records(formats.from_coco(formats.read_coco(spark, f"file://{path}", size=20_000)))
     assert back.count() == 2000 and not list((tmp_path / "deep").glob("*.part"))
     formats.write_coco(notes.where("false"), formats.names_table(spark, {}), path)
-    assert json.loads(open(path).read()) == {"images": [], "annotations": [], "categories": []}
+    body = json.loads(open(path).read())
+    assert len(body.pop("info")["date_created"].split("/")) == 3 and body == {"images": [], "annotations": [], "categories": []}
 
 
 def encoded(mask, text):
@@ -195,3 +196,11 @@ def test_names_to_files(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"imagePath": "a.png", "shapes": [{"label": n, "points": [[0, 0], [1, 1]]} for n in ("b10", "b2", "b2")]}))
     cli.main(["genNames", f"file://{tmp_path}/a.json", ".json", "--out", f"file://{tmp_path}/names"])
     assert (tmp_path / "names/classes.txt").read_text() == "b2\nb10\n" and json.loads((tmp_path / "names/classes.json").read_text()) == {"b2": 2, "b10": 1}
+
+
+def test_numbered_folders(tmp_path):
+    assert folders.as_paths("a") == folders.as_paths(["a"]) == ["a"] and folders.as_paths([tmp_path, "b"]) == [str(tmp_path), "b"]
+    parent = str(tmp_path / "x")
+    assert folders.free_folder(parent) == folders.free_folder(parent) == f"{parent}/results"
+    (tmp_path / "x/results/a").write_text("")
+    assert folders.free_folder(parent) == f"{parent}/results1" == folders.free_folder(f"file://{parent}").removeprefix("file://")
