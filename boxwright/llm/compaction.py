@@ -20,6 +20,7 @@ from functools import reduce
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from py4j.protocol import Py4JJavaError
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -144,16 +145,30 @@ class ShardTable:
         return known[-1] if known else None
 
     def append(self, rows: DataFrame, small: int = SMALL_BYTES) -> int:
-        """Add an arrival as shards of about ``small`` bytes and commit; returns the version."""
+        """Add an arrival as shards of about ``small`` bytes and commit; returns the version.
+
+        Where another writer was first, the shards are listed in the version after it.
+        """
         base, arrival = self._last(), uuid.uuid4().hex
         fresh = fresh_path(self.spark, "appended")
         map_batches(rows, _appending(f"{self.folder}/data", f"{(-1 if base is None else base) + 1:08d}-{arrival}", small), _ROWS).write.parquet(fresh)
-        version = self.commit(self.manifest(base).unionByName(self.spark.read.schema(_ROWS).parquet(fresh)), base, rows.schema)
+        while True:
+            try:
+                version = self.commit(self.manifest(base).unionByName(self.spark.read.schema(_ROWS).parquet(fresh)), base, rows.schema)
+                break
+            except Py4JJavaError:
+                if self._last() == base:  # it was not another writer
+                    raise
+                base = self._last()
         remove(self.spark, fresh)
         return version
 
     def compact(self, target: int = TARGET_BYTES, small: int = SMALL_BYTES, fan_in: int = FAN_IN, live: int = LIVE) -> int | None:
-        """Merge until no size class has a group worth merging; each round is one job and one commit, after which ``live`` versions stay."""
+        """Merge until no size class has a group worth merging; each round is one job and one commit.
+
+        The last ``live`` versions stay readable, and all from the one that was the last when this began, which readers may have open.
+        """
+        rounds = 0
         while True:
             base = self._last()
             if base is None:
@@ -172,13 +187,15 @@ class ShardTable:
             n = plan.count()
             if not n:
                 remove(self.spark, plan_path)
+                if rounds:
+                    self.vacuum(max(live, rounds + 1))
                 return base
             map_batches(plan.coalesce(1).repartition(n), _merging(f"{self.folder}/data"), _ROWS).write.parquet(merged_path)
             gone = plan.select(F.explode("uris").alias("uri"))
             self.commit(shards.join(gone, "uri", "left_anti").unionByName(self.spark.read.schema(_ROWS).parquet(merged_path)), base)
             for path in (plan_path, merged_path):
                 remove(self.spark, path)
-            self.vacuum(live)
+            rounds += 1
 
     def vacuum(self, live: int = LIVE) -> int:
         """Forget all but the last ``live`` versions and delete, on the executors, the shards that only forgotten ones list; returns how many.

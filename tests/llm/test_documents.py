@@ -7,6 +7,8 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 import pytest
 from pyspark.sql import functions as F
 
@@ -462,6 +464,33 @@ def test_compaction(spark, docs, empty):
     assert Counter(map(tuple, several.read().select(*docs.columns).collect())) == Counter(map(tuple, docs.collect()))
 
 
+def test_compaction_beside_readers_and_writers(spark, docs):
+    """A version that is open when several rounds of merges begin stays whole; an arrival that another one overtook is committed after it; places are those in the files."""
+    table = compaction.ShardTable(spark, compaction.fresh_path(spark, "rounds"))
+    for _ in range(9):
+        table.append(docs, small=200)
+    opened = table.read(table.versions()[-1])
+    table.compact(target=60_000, small=200, fan_in=3)
+    assert Counter(map(tuple, opened.select(*docs.columns).collect())) == Counter(r for row in map(tuple, docs.collect()) for r in [row] * 9)
+    first = table._last
+
+    def overtaken():
+        table._last = first
+        table.append(docs)
+        return table.versions()[-2]
+
+    table._last = overtaken
+    table.append(docs)
+    assert table.read().count() == 11 * len(ROWS)
+    expected = []
+    for shard, row in enumerate(sorted(table.manifest().collect(), key=lambda r: (r.arrival, r.seq, r.uri))):
+        files, path = pa.fs.FileSystem.from_uri(row.uri)
+        for k, one in enumerate(pa.parquet.read_table(path, filesystem=files).to_pylist()):
+            expected.append((one["doc_id"], shard, k, None if one["text"] is None else zlib.crc32(one["text"].encode())))
+    key = lambda r: (r[1], r[2])
+    assert sorted(map(tuple, table.located().collect()), key=key) == sorted(expected, key=key)
+
+
 def test_vacuum_spares_uncommitted_arrivals(spark, docs):
     """A vacuum between the writing of an arrival and its commit loses nothing; a sweep removes what stays uncommitted."""
     table = compaction.compacted(docs)
