@@ -172,10 +172,26 @@ def from_coco(files: DataFrame, splits: bool = False, min_area: float = 0.0, mas
 
 
 READERS = {".json": from_labelme, ".xml": from_voc}
-#: All readers by format; yolo also needs names and sizes.
+#: All readers by format; that of yolo also needs names and sizes.
 FORMATS = {"labelme": from_labelme, "voc": from_voc, "yolo": from_yolo, "coco": from_coco}
 
 
+def read_labels(spark: SparkSession, pattern: str | None, kind: str | None = None, names: dict[int, str] | None = None, sizes: DataFrame | None = None, recursive: bool = False) -> DataFrame:
+    """Annotations of label files of a format: labelme, voc, yolo or coco, or what the suffix of ``pattern`` says (.json, .xml, .txt).
+
+    Labels of yolo need ``sizes`` (image_id, width, height). No pattern gives no annotations.
+    """
+    if pattern is None:
+        return from_labelme(spark.createDataFrame([], "path string, value string"))
+    kind = kind or {".json": "labelme", ".xml": "voc", ".txt": "yolo"}.get(Path(pattern).suffix)
+    if kind not in FORMATS:
+        raise ValueError(f"no reader for {pattern}")
+    if kind == "yolo" and sizes is None:
+        raise ValueError("yolo labels are relative: sizes of the images are needed")
+    files = read_coco(spark, pattern, recursive) if kind == "coco" else read_files(spark, pattern, recursive)
+    return from_yolo(files, names_table(spark, names or {}), sizes) if kind == "yolo" else FORMATS[kind](files)
+
+
 def match_records(annotations: DataFrame, clip: bool = False) -> DataFrame:
     """(image_id, idx, label, conf, x1, y1, x2, y2, difficult) of valid enclosing boxes, points cut towards zero; ``clip`` cuts them to the image."""
     rows = annotations.where("ann_idx IS NOT NULL")

@@ -118,3 +118,17 @@ def test_names_that_json_escapes_and_missing_names(spark, tmp_path):
     assert sum(len(p.read_text().splitlines()) for p in (tmp_path / "yolo").glob("*.txt")) == 2
     with pytest.raises(ValueError, match="without a class id"):
         formats.convert(spark, "labelme", "yolo", f"file://{tmp_path}/in/*.json", f"file://{tmp_path}/other", {0: "car"})
+
+
+def test_readers_by_suffix_or_format(spark, notes, tmp_path):
+    names, sizes = formats.names_table(spark, NAMES), notes.select("image_id", "width", "height").distinct()
+    for made, suffix in ((formats.to_labelme(notes), ".json"), (formats.to_voc(notes), ".xml"), (formats.to_yolo(notes, names), ".txt")):
+        formats.write_texts(made, f"file://{tmp_path}/a{suffix}", suffix)
+        back = formats.read_labels(spark, f"file://{tmp_path}/a{suffix}/*{suffix}", names=NAMES, sizes=sizes)
+        assert records(back.withColumn("points", F.transform("points", lambda p: F.array(F.round(p[0], 6), F.round(p[1], 6))))) == EXPECTED
+    formats.write_coco(notes, names, f"{tmp_path}/c.json")
+    assert records(formats.read_labels(spark, f"file://{tmp_path}/c.json", "coco")) == EXPECTED
+    assert formats.read_labels(spark, None).count() == 0
+    for bad in (("x.txt", None), ("x.bin", None), ("x.json", "other")):
+        with pytest.raises(ValueError):
+            formats.read_labels(spark, *bad)
