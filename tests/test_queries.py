@@ -1,7 +1,5 @@
 """Every registered query of the library's own against its SQL on the smallest tables."""
 
-import math
-
 import numpy as np
 import oracle
 import pytest
