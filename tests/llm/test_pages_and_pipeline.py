@@ -171,14 +171,15 @@ def test_pipeline_stages_on_hard_rows(spark):
 
 
 def test_registered_queries(spark):
-    """Every registered corpus query gives a row a document or page."""
+    """Every registered corpus query gives a row a document, piece of one, or page."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name, query in QUERIES.items():
         rows = query(spark, SF).cache()
         if name.startswith("op5"):
             assert 0 < rows.count() < docs
         elif not name.startswith("op1_"):
-            assert rows.count() == rows.select("doc_id").distinct().count() == docs
+            key = ["doc_id", "piece"] if name.startswith("op12") else ["doc_id"]
+            assert rows.count() == rows.select(*key).distinct().count() and rows.select("doc_id").distinct().count() == docs
         if name.startswith("op3"):
             assert rows.where("over_limit <> (n_tokens > 4096)").count() == 0
         rows.unpersist()
