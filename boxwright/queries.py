@@ -243,9 +243,9 @@ def match_status_ios(spark, sf_dir):
     return matching.match_status(*boxes(spark, sf_dir), use_ios=True)
 
 
-@query(MATCHED + ", f AS (SELECT image_id, pred_idx FROM pr EXCEPT SELECT image_id, pred_idx FROM pairs WHERE gcls=pcls) SELECT image_id, count(*) AS n, CAST(sum(pred_idx) AS BIGINT) AS preds FROM f GROUP BY image_id")
+@query(MATCHED + " SELECT image_id, pred_idx FROM pr EXCEPT SELECT image_id, pred_idx FROM pairs WHERE gcls=pcls")
 def fp_antijoin(spark, sf_dir):
-    return matching.false_positives(*boxes(spark, sf_dir)).groupBy("image_id").agg(F.count("*").alias("n"), F.sum("pred_idx").alias("preds"))
+    return matching.false_positives(*boxes(spark, sf_dir)).select("image_id", "pred_idx")
 
 
 @query(MATCHED + " SELECT DISTINCT image_id, pred_idx FROM pairs WHERE gcls=pcls")

@@ -37,6 +37,22 @@ def by_image(df, key, *columns):
     return found
 
 
+def test_fp_antijoin_against_a_loop(spark):
+    """Every prediction without a hit is a row of its own, and with the hits they are all predictions."""
+    gt, pr = boxes(spark, SF)
+    truth, expected, every = by_image(gt, "gt_idx", "cls", "x1", "y1", "x2", "y2"), set(), set()
+    for image, rows in by_image(pr, "pred_idx", "pred_idx", "cls", "x1", "y1", "x2", "y2").items():
+        for idx, cls, *box in rows:
+            every.add((image, idx))
+            area = lambda x: (x[2] - x[0]) * (x[3] - x[1])
+            cut = [(max(0, min(box[2], g[3]) - max(box[0], g[1])) * max(0, min(box[3], g[4]) - max(box[1], g[2])), area(g[1:])) for g in truth.get(image, []) if g[0] == cls]
+            if not any(np.float32(inter / (own + area(box) - inter)) > np.float32(0.5) for inter, own in cut):
+                expected.add((image, idx))
+    got = [(r.image_id, r.pred_idx) for r in QUERIES["fp_antijoin"](spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    assert expected | {(r.image_id, r.pred_idx) for r in QUERIES["tp_semijoin"](spark, SF).collect()} == every
+
+
 def test_nmm_greedy_against_a_loop(spark):
     """Merges of every image, one candidate at a time."""
     expected = set()
