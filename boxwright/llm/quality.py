@@ -42,9 +42,12 @@ def _rest(values: Column | str, first: int, fewer: int) -> Column:
 
 def ngram_buckets(docs: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, target, bucket) of each word and word pair. ``docs`` has doc_id, target and text."""
-    hashed = docs.select("doc_id", "target", F.transform(words_column(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    pairs = F.zip_with(_rest("h", 1, 1), _rest("h", 2, 1), lambda a, b: F.xxhash64(a, b))
-    rows = hashed.select("doc_id", "target", F.explode(F.concat("h", pairs)).alias("gram"))
+    words = docs.select("doc_id", "target", words_column(F.col("text")).alias("w"))
+    # words become rows before they are hashed: expressions on rows are compiled, functions over array elements are not
+    near = words.select("doc_id", "target", F.explode(F.arrays_zip(F.col("w").alias("a"), _rest("w", 2, 1).alias("b"))).alias("z"))
+    first = F.xxhash64("z.a")
+    pair = F.when(F.col("z.b").isNotNull(), F.xxhash64(first, F.xxhash64("z.b")))
+    rows = near.select("doc_id", "target", F.explode(F.array(first, pair)).alias("gram")).where("gram IS NOT NULL")
     return rows.select("doc_id", "target", F.pmod("gram", F.lit(buckets)).cast("int").alias("bucket"))
 
 
@@ -64,15 +67,16 @@ def _base_rules(docs: DataFrame) -> DataFrame:
     hashed = words.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
-        F.aggregate("w", F.lit(0).cast("long"), lambda n, w: n + F.char_length(w)).alias("word_chars"),
+        F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.char_length(F.coalesce("text", F.lit(""))) - F.char_length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.btrim(line, F.lit(_SPACE)) != "").alias("lines"),
         F.transform("w", lambda w: F.xxhash64(w)).alias("h"),
     )
-    windows = F.zip_with(F.zip_with(_rest("h", 1, 2), _rest("h", 2, 2), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), _rest("h", 3, 2), lambda x, c: F.xxhash64(x["a"], x["b"], c))
-    counted = hashed.select("doc_id", "n_words", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), windows.alias("k"))
+    paired = hashed.select("*", F.zip_with(_rest("h", 1, 1), _rest("h", 2, 1), lambda a, b: F.xxhash64(a, b)).alias("p"))
+    windows = F.zip_with(_rest("p", 1, 1), _rest("h", 3, 2), lambda p, c: F.xxhash64(p, c))
+    counted = paired.select("doc_id", "n_words", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), windows.alias("k"))
     found = counted.select("*", (F.size("k") == F.size(F.array_distinct("k"))).alias("all_differ"))
-    ordered = found.select("*", F.when(F.col("all_differ"), None).otherwise(F.array_sort(F.transform("k", lambda x, i: F.struct(x.alias("k"), i.alias("p"))))).alias("s"))
+    ordered = found.select("*", F.when(F.col("all_differ"), None).otherwise(F.sort_array(F.transform("k", lambda x, i: F.struct(x.alias("k"), i.alias("p"))))).alias("s"))
     again = F.zip_with(_rest("s", 1, 1), _rest("s", 2, 1), lambda a, b: F.when(a["k"] == b["k"], F.array(a["p"], a["p"] + 1, a["p"] + 2, b["p"], b["p"] + 1, b["p"] + 2)))
     repeated = F.size(F.array_distinct(F.flatten(F.filter(again, lambda x: x.isNotNull()))))
     return ordered.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.when(F.col("all_differ"), 0).otherwise(repeated).cast("long").alias("n_repeat_words"))

@@ -155,6 +155,17 @@ def test_quality(docs, empty):
     assert quality.quality_verdicts(empty, empty).count() == 0
 
 
+def test_quality_hashes_grams_as_rows(spark, docs):
+    """Grams come without functions over array elements, which Spark does not compile, and are those of the words and neighbours."""
+    grams = quality.ngram_buckets(docs.select("doc_id", F.lit(True).alias("target"), "text"), quality.BUCKETS)
+    assert "lambda" not in grams._jdf.queryExecution().optimizedPlan().toString()
+    expected = 0
+    for r in docs.select("text").collect():
+        n = len([w for w in re.split("[\x20\x09-\x0d]+", r.text or "") if w])
+        expected += max(0, 2 * n - 1)
+    assert grams.count() == expected
+
+
 def test_quality_separates(spark):
     rng = np.random.default_rng(1)
     good = [(i, " ".join(rng.choice(WORDS[:300], 80))) for i in range(60)]
