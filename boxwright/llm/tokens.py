@@ -31,6 +31,7 @@ CACHE_CHARS, LONG, MEMORY = 12_000_000, 48, 200_000
 _UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words of these characters only are cut by _UNIT as the tokenizer cuts them: composed, cased one to one, no spaces.
 _PLAIN = re.compile("[!-;=-~¡-įı-ɏ]+")
+_MARKS = frozenset(".,;:!?")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _RUNS = re.compile(" *[^ ]+| +$")
 
@@ -262,6 +263,16 @@ def tokens_within(counts: Column | str, ends: Column | str, length: Column | int
     return F.when(k > 0, F.element_at(counts, k)).otherwise(0)
 
 
+def _units(word: str) -> list[str] | None:
+    """The units of a word that ``_UNIT`` cuts as the tokenizer does; None for others. Letters alone, and with one mark after them, need no pattern."""
+    if word.isascii():
+        if word.isalpha():
+            return [word.lower()]
+        if word[-1] in _MARKS and word[:-1].isalpha():
+            return [word[:-1].lower(), word[-1]]
+    return _UNIT.findall(word.lower()) if _PLAIN.fullmatch(word) else None
+
+
 class IdCache:
     """Little-endian unsigned 32-bit ids of whole texts with a lower-casing word BPE, without special tokens."""
 
@@ -311,11 +322,17 @@ class IdCache:
             self.old_units, self.units = self.units, {}
         fresh = self._recalled([w for w in words if w not in self.words], self.words, self.old_words)
         self.chars += sum(map(len, fresh))
-        plain = [w for w in fresh if _PLAIN.fullmatch(w)]
-        units = [_UNIT.findall(w.lower()) for w in plain]
+        plain, units = [], []
+        for w in fresh:
+            us = _units(w)
+            if us is not None:
+                plain.append(w)
+                units.append(us)
         wanted = [u for u in {u for us in units for u in us} if u not in self.units]
         self._learn_units(self._recalled(wanted, self.units, self.old_units))
-        self.words.update((w, b"".join(map(self.units.__getitem__, us))) for w, us in zip(plain, units, strict=True))
+        known = self.units
+        for w, us in zip(plain, units, strict=True):
+            self.words[w] = known[us[0]] if len(us) == 1 else b"".join([known[u] for u in us])
         self.words.update((w, self.whole(w)) for w in fresh if w not in self.words)
 
     def encode(self, texts: list[str]) -> list[bytes]:

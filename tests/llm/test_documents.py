@@ -155,6 +155,14 @@ def test_quality(docs, empty):
     assert quality.quality_verdicts(empty, empty).count() == 0
 
 
+def test_units_without_the_pattern():
+    """Words of letters, alone or with one mark after them, skip the pattern; units and ids stay those of the tokenizer."""
+    words = ["Word", "word,", "A.", "b,,", "don't", "it's", "s'.", "x1?", "?", "a.b.", "\u00e9,", "\u017f", "\u0130.", "<s>", "'s."]
+    assert [tokens._units(w) for w in words[:3]] == [["word"], ["word", ","], ["a", "."]] and tokens._units("<s>") is None
+    cache = tokens.IdCache(tokens.public_path(tokens.IDS_MODEL))
+    assert cache.encode(words) == [cache.whole(w) for w in words]
+
+
 def test_quality_hashes_grams_as_rows(spark, docs):
     """Grams come without functions over array elements, which Spark does not compile, and are those of the words and neighbours."""
     grams = quality.ngram_buckets(docs.select("doc_id", F.lit(True).alias("target"), "text"), quality.BUCKETS)
