@@ -23,17 +23,36 @@ from .shared import map_batches, text_steps
 COUNT_MODEL = "piece_bpe_32k.model"
 IDS_MODEL = "word_bpe_49k.json"
 LIMIT = 4096
-#: Distinct pieces that a worker remembers before it starts afresh, and words in each of the two generations that it keeps.
+#: Distinct pieces that a worker remembers before it starts afresh, and units in each of the two generations that it keeps.
 CACHE, GENERATION = 1_000_000, 300_000
 #: Characters of the remembered pieces, at most; length beyond which a piece's prefixes are counted by one pass over it;
 #: how many pairs of tokens are remembered.
 CACHE_CHARS, LONG, MEMORY = 12_000_000, 48, 200_000
+#: Characters of a text that are cut into units at once, at least.
+PART_CHARS = 1 << 20
 _UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words of these characters only are cut by _UNIT as the tokenizer cuts them: composed, cased one to one, no spaces.
 _PLAIN = re.compile("[!-;=-~¡-įı-ɏ]+")
 _MARKS = frozenset(".,;:!?")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _RUNS = re.compile(" *[^ ]+| +$")
+_BLANK = re.compile(r"\s")
+#: Kinds of characters, as ``_UNIT`` tells them apart in words of _PLAIN without apostrophes: runs of letters, single
+#: numbers, runs of others. A word with an odd one is a key of its own. No white space lies beyond _TOP.
+_SPACE, _LETTER, _NUMBER, _OTHER, _ODD = range(5)
+_TOP = 0x3001
+
+
+def _kind(c: str) -> int:
+    if c.isspace():
+        return _SPACE
+    if c == "'" or not _PLAIN.fullmatch(c):
+        return _ODD
+    return _LETTER if regex.match(r"\p{L}", c) else _NUMBER if regex.match(r"\p{N}", c) else _OTHER
+
+
+_KINDS = np.array([*map(_kind, map(chr, range(_TOP))), _ODD], np.uint8)
+_LOWER = np.array([ord(chr(c).lower()) if _KINDS[c] < _ODD else c for c in range(_TOP + 1)], "<u4")
 
 
 def public_path(name: str) -> str:
@@ -273,6 +292,16 @@ def _units(word: str) -> list[str] | None:
     return _UNIT.findall(word.lower()) if _PLAIN.fullmatch(word) else None
 
 
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts of PART_CHARS and up to the next white space."""
+    at = 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + PART_CHARS)
+        stop = blank.start() if blank else len(text)
+        yield text[at:stop]
+        at = stop
+
+
 class IdCache:
     """Little-endian unsigned 32-bit ids of whole texts with a lower-casing word BPE, without special tokens."""
 
@@ -287,9 +316,7 @@ class IdCache:
         for token, i in self.model.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
         self.units: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
         self.old_units: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
         self.chars = 0
 
     def whole(self, text: str) -> bytes:
@@ -315,32 +342,74 @@ class IdCache:
         young.update((k, old[k]) for k in keys if k in old)
         return [k for k in keys if k not in old]
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) > GENERATION or self.chars > CACHE_CHARS:
+    def learn(self, units: list[str], words: list[str]) -> None:
+        """Ids of new ``units`` and of new ``words``, which hold a character of which _KINDS says nothing."""
+        if len(self.units) > GENERATION or self.chars > CACHE_CHARS:
             self.chars = 0
-            self.old_words, self.words = self.words, {}
             self.old_units, self.units = self.units, {}
-        fresh = self._recalled([w for w in words if w not in self.words], self.words, self.old_words)
-        self.chars += sum(map(len, fresh))
-        plain, units = [], []
-        for w in fresh:
-            us = _units(w)
-            if us is not None:
-                plain.append(w)
-                units.append(us)
-        wanted = [u for u in {u for us in units for u in us} if u not in self.units]
-        self._learn_units(self._recalled(wanted, self.units, self.old_units))
+        odd = self._recalled([w for w in words if w not in self.units], self.units, self.old_units)
+        cut = list(map(_units, odd))
+        fresh = self._recalled([u for u in units if u not in self.units], self.units, self.old_units)
+        if odd:
+            inner = {u for us in cut if us is not None for u in us}.difference(fresh)
+            fresh += self._recalled([u for u in inner if u not in self.units], self.units, self.old_units)
+        self.chars += sum(map(len, odd)) + sum(map(len, fresh))
+        self._learn_units(fresh)
         known = self.units
-        for w, us in zip(plain, units, strict=True):
-            self.words[w] = known[us[0]] if len(us) == 1 else b"".join([known[u] for u in us])
-        self.words.update((w, self.whole(w)) for w in fresh if w not in self.words)
+        known.update([(w, self.whole(w) if us is None else b"".join([known[u] for u in us])) for w, us in zip(odd, cut, strict=True)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = {i for i, text in enumerate(texts) if _ODD_SPACE.search(text)}
-        split = [[] if i in odd else text.split() for i, text in enumerate(texts)]
-        self.learn({w for words in split for w in words})
-        get = self.words.__getitem__
-        return [self.whole(texts[i]) if i in odd else b"".join(map(get, words)) for i, words in enumerate(split)]
+        """The ids of each text; those of ASCII and others apart, as the first take a byte a character."""
+        out, kinds = [b""] * len(texts), ([], [])
+        for i, text in enumerate(texts):
+            if _ODD_SPACE.search(text):
+                out[i] = self.whole(text)
+            elif len(text) > PART_CHARS:  # white space separates units, so a long text is cut there
+                out[i] = b"".join(self._joined([part])[0] for part in _parts(text))
+            else:
+                kinds[text.isascii()].append(i)
+        for kind in filter(None, kinds):
+            for i, ids in zip(kind, self._joined([texts[i] for i in kind]), strict=True):
+                out[i] = ids
+        return out
+
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        """Looks up the distinct units of the texts once, and gathers the ids of all by their places."""
+        text = "\n".join(texts)
+        ascii = text.isascii()
+        chars = np.frombuffer(text.encode("ascii" if ascii else "utf-32-le"), np.uint8 if ascii else "<u4")
+        near = chars if ascii else np.minimum(chars, _TOP)
+        kind = _KINDS[near]
+        inside = kind != _SPACE
+        begins = inside.copy()
+        begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
+        lower, strange, whole = _LOWER[near].astype(chars.dtype), kind == _ODD, None
+        if strange.any():
+            head = inside.copy()
+            head[1:] &= ~inside[:-1]
+            word = np.cumsum(head, dtype=np.int32)
+            hit = np.zeros(int(word[-1]) + 1, bool)
+            hit[word[strange]] = True
+            whole = hit[word] & inside
+            begins = np.where(whole, head, begins)
+            lower = np.where(whole, chars, lower)
+        lower, at = lower[inside], np.flatnonzero(begins)
+        bounds, data = np.append(np.flatnonzero(begins[inside]), len(lower)), lower.tobytes()
+        if not ascii:
+            size = (lower > 0x7F).astype(np.uint8) + (lower > 0x7FF) + (lower > 0xFFFF) + 1
+            bounds, data = np.append(0, np.cumsum(size, dtype=np.int64))[bounds], data.decode("utf-32-le").encode()
+        units = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
+        names = units.dictionary.to_numpy(zero_copy_only=False).tolist()
+        words = set() if whole is None else set(np.unique(units.indices.to_numpy()[whole[at]]).tolist())
+        self.learn([u for k, u in enumerate(names) if k not in words] if words else names, [names[k] for k in words])
+        found = list(map(self.units.__getitem__, names))
+        bounds = np.cumsum(np.fromiter(chain((0,), map(len, found)), np.int64, len(found) + 1))
+        ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(bounds), pa.py_buffer(b"".join(found))]).take(units.indices)
+        # a text begins after those before it and the characters between them
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        edges = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[np.searchsorted(at, starts)].tolist()
+        data = ids.buffers()[2].to_pybytes() if edges[-1] else b""
+        return [data[edges[i] : edges[i + 1]] for i in range(len(texts))]
 
 
 _CACHES: dict[str, IdCache] = {}
