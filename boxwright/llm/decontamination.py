@@ -370,16 +370,9 @@ def leaks_of(column: pa.Array, index: Index) -> list[tuple[int, int, int, int, i
     return sorted(best.values())
 
 
-#: The index of the last block of items that this worker was given.
-_LAST: list[tuple[tuple, Index]] = []
-
-
 def _index(ids: list[int], texts: list[str], max_distance: float) -> Index:
-    """Built once a worker for a block of items, whatever the number of its tasks."""
-    key = (max_distance, hash((tuple(ids), tuple(texts))))
-    if not _LAST or _LAST[0][0] != key:
-        _LAST[:] = [(key, Index(ids, texts, max_distance))]
-    return _LAST[0][1]
+    """Built once a worker for a block of items, whatever the number of its tasks in a stage."""
+    return held(("items", max_distance, hash((tuple(ids), tuple(texts)))), lambda: Index(ids, texts, max_distance))
 
 
 def _searching(ids: list[int], texts: list[str], max_distance: float):
@@ -412,7 +405,8 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, max_distance: float = MAX
     """
     spark, kind = docs.sparkSession, "doc_id long, item_id long, distance long, start long, end long"
     usable = Saved(items.where("text IS NOT NULL AND text RLIKE '[^ \\t\\n\\x0B\\f\\r][ \\t\\n\\x0B\\f\\r]+[^ \\t\\n\\x0B\\f\\r]' OR " f"octet_length(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]', '')) >= {LEAST}").select(F.col("item_id").cast("long").alias("item_id"), "text", (F.row_number().over(_by_item()) - 1).alias("place")), "items")
-    found = spark.createDataFrame([], kind)
+    # no rows by range(0): createDataFrame would start a second kind of Python workers, which stay in the executors' memory
+    found = spark.range(0).select(*(F.lit(None).cast("long").alias(c) for c in ("doc_id", "item_id", "distance", "start", "end")))
     for block in range(-(-usable.df.count() // ITEMS)):
         rows = usable.df.where((F.col("place") >= block * ITEMS) & (F.col("place") < (block + 1) * ITEMS)).orderBy("place").collect()
         found = found.unionByName(map_batches(docs.select("doc_id", "text"), _searching([r.item_id for r in rows], [r.text for r in rows], max_distance), kind))

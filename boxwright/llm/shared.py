@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +85,34 @@ class Saved:
         remove(self.spark, self.path)
 
 
+#: What this worker keeps for further tasks of a stage, and the number of that stage.
+_HELD: dict[tuple, object] = {}
+_STAGE = [-1]
+
+
+def held[T](key: tuple, make: Callable[[], T]) -> T:
+    """A large table of a worker, made once for all its tasks of a stage. Workers outlive stages: the next one lets it go."""
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """Clears what the worker keeps from another stage than its task's."""
+    task = TaskContext.get()
+    if task is not None and task.stageId() != _STAGE[0]:
+        _STAGE[0] = task.stageId()
+        _HELD.clear()
+
+
+def _letting_go(function):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()  # by name: this function is sent to the workers with copies of its globals
+        yield from function(batches)
+
+    return run
+
+
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` with batches of ARROW_BYTES at most.
 
@@ -92,7 +121,7 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
     conf = df.sparkSession.conf
     if int(conf.get(_ARROW, None) or 1 << 40) > ARROW_BYTES:
         conf.set(_ARROW, str(ARROW_BYTES))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_letting_go(function), schema)
 
 
 def remove(spark: SparkSession, path: str) -> None:

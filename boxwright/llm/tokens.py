@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_batches, text_steps
+from .shared import held, map_batches, text_steps
 
 COUNT_MODEL = "piece_bpe_32k.model"
 IDS_MODEL = "word_bpe_49k.json"
@@ -412,10 +412,5 @@ class IdCache:
         return [data[edges[i] : edges[i + 1]] for i in range(len(texts))]
 
 
-_CACHES: dict[str, IdCache] = {}
-
-
 def id_cache(path: str) -> IdCache:
-    if path not in _CACHES:
-        _CACHES[path] = IdCache(path)
-    return _CACHES[path]
+    return held(("ids", path), lambda: IdCache(path))
