@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Saved, map_batches, text_steps
+from .shared import Saved, held, map_batches, text_steps
 from .words import lowered, mixed, texts_of, words_of
 
 #: Share of an item's length that may be edited.
