@@ -760,8 +760,9 @@ def coco_masks(spark, sf_dir):
     inside = F.col("y2") - F.col("y1") + 1
     runs = F.concat(F.array(F.col("x1") * high + F.col("y1"), inside), F.flatten(F.transform(F.sequence(F.col("x1") + 1, F.col("x2")), lambda _: F.array(high - inside, inside))))
     text = F.to_json(F.struct(F.array(F.lit(high), F.lit(W)).alias("size"), runs.alias("counts")))
-    polygon = F.get(formats.segmentation_polygons(text), F.lit(0))
-    found = rows.select("image_id", "gt_idx", polygon.alias("p"))
+    polygon = F.get(formats.segmentation_polygons(F.col("text")), F.lit(0))
+    # generators keep the text and the polygon as columns, else each use would write the text anew
+    found = rows.select("image_id", "gt_idx", F.inline(F.array(F.struct(text.alias("text"))))).select("image_id", "gt_idx", F.inline(F.array(F.struct(polygon.alias("p")))))
     return _longs(found.select("image_id", "gt_idx", *B.polygon_bbox(F.col("p")).fields(), F.size("p").alias("corners")))
 
 

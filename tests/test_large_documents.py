@@ -204,3 +204,24 @@ def test_numbered_folders(tmp_path):
     assert folders.free_folder(parent) == folders.free_folder(parent) == f"{parent}/results"
     (tmp_path / "x/results/a").write_text("")
     assert folders.free_folder(parent) == f"{parent}/results1" == folders.free_folder(f"file://{parent}").removeprefix("file://")
+
+
+def test_masks_of_a_batch_as_each_by_itself(monkeypatch):
+    """Borders of many masks are followed at once, in parts of any size, and equal those of each mask alone."""
+    rng, texts = np.random.default_rng(5), []
+    for k in range(600):
+        mask = (rng.random(rng.integers(1, 20, 2)) < rng.random()).astype(int)
+        if k % 2:
+            mask[:] = 0
+            for value in (1, 1, 0, 1):
+                a, b = (sorted(rng.integers(0, n + 1, 2)) for n in mask.shape)
+                mask[a[0] : a[1], b[0] : b[1]] = value
+        texts.append(json.dumps({"size": mask.shape, "counts": encoded(mask, bool(k % 3))}))
+    texts += [None, "", "x", "[]", "{}", '{"size": [0, 3], "counts": [1, 2]}', '{"size": [3, 3], "counts": [9]}', '{"size": [3, 3], "counts": []}']
+    alone = {least: [masks.mask_polygons(t, least) for t in texts] for least in (0.0, 6.0)}
+    monkeypatch.setattr(masks, "contours", None)  # not one mask after the other
+    for together in (1 << 21, 700):
+        monkeypatch.setattr(masks, "TOGETHER", together)
+        for least, expected in alone.items():
+            found = masks.batch_polygons(texts, least)
+            assert [None if f is None else [p.tolist() for p in np.split(f[1], np.cumsum(f[0])[:-1])] if len(f[0]) else [] for f in found] == expected
