@@ -1,12 +1,15 @@
 """Matching predictions to ground truth: status lists, confusion pairs, and one-to-one assignment by threshold.
 
 Ground truth has image_id, gt_idx, cls, x1, y1, x2, y2, difficult; predictions image_id, pred_idx, cls, x1, y1, x2, y2, conf.
-Pairs exist only within an image and only between boxes that share a cell of its grid, so joins go by both.
+Pairs exist only within an image. Images of up to MANY boxes are joined by image alone, so that all steps keep that one
+partitioning and neither boxes nor pairs are shuffled again; larger ones by image and the cells of a grid, which many tasks share.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +17,24 @@ from pyspark.sql import functions as F
 from ..functions.boxes import Box, box, box_valid, ios, iou
 
 THRESHOLDS = tuple(0.5 + k * 0.05 for k in range(10))
+#: Boxes of an image, both sides together, up to which its pairs are those of the whole image.
+MANY = 2000
+Rows = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def by_size(gt: DataFrame, pr: DataFrame, small: Rows, large: Rows) -> DataFrame:
+    """``small`` of the images of up to MANY boxes, with ``large`` of the others, if there are any; those are so few that their names are broadcast."""
+    counts = gt.select("image_id").unionByName(pr.select("image_id")).groupBy("image_id").agg(F.count("*").alias("n"))
+    if (counts.agg(F.max("n")).first()[0] or 0) <= MANY:
+        return small(gt, pr)
+    named = F.broadcast(counts.where(F.col("n") > MANY).select("image_id"))
+    part = lambda how: (df.join(named, "image_id", how) for df in (gt, pr))
+    return small(*part("left_anti")).unionByName(large(*part("left_semi")))
+
+
+def _same(a: Column, b: Column) -> Column:
+    """Equality that does not make joins go by it: rows stay where their image put them."""
+    return (a <= b) & (a >= b)
 
 
 def _sides(gt: DataFrame, pr: DataFrame) -> tuple[DataFrame, DataFrame, Box, Box]:
@@ -89,13 +110,39 @@ def overlaps(gt: DataFrame, pr: DataFrame, threshold: float = 0.5, use_ios: bool
     return pairs.select("image_id", "gt_idx", "pred_idx", F.col("g_cls").alias("gcls"), F.col("p_cls").alias("pcls"), "difficult", "conf")
 
 
+def _status(rows: DataFrame, side: str, hit: Column, kept: tuple[str, ...]) -> DataFrame:
+    missed = F.when(F.col("difficult"), "fnDiff").otherwise("fn") if side == "gt" else F.lit("fp")
+    return rows.select("image_id", F.lit(side).alias("side"), F.col(f"{side}_idx").alias("idx"), "cls", F.when(hit, "tpg" if side == "gt" else "tpp").otherwise(missed).alias("status"), *kept)
+
+
+def status_of_small(gt: DataFrame, pr: DataFrame, threshold: float = 0.5, use_ios: bool = False, kept: tuple[str, ...] = ()) -> DataFrame:
+    """``match_status`` by pairs of whole images."""
+    parts = []
+    for own, others, side in ((gt, pr, "gt"), (pr, gt, "pred")):
+        mine, theirs = box(), box("o_")
+        g, p = (mine, theirs) if side == "gt" else (theirs, mine)
+        score = (ios(g, p) if use_ios else iou(g, p)).cast("float")
+        named = others.select(*(F.col(c).alias(f"o_{c}") for c in ("image_id", "cls", *Box._fields)))
+        near = (F.col("image_id") == F.col("o_image_id")) & _same(F.col("cls"), F.col("o_cls")) & box_valid(g) & box_valid(p) & (score > F.lit(threshold).cast("float"))
+        values = [c for c in ("cls", "difficult", *kept) if c in own.columns]
+        one = own.join(named, near, "left").groupBy("image_id", f"{side}_idx").agg(*(F.first(c).alias(c) for c in values), (F.count("o_image_id") > 0).alias("hit"))
+        parts.append(_status(one, side, F.col("hit"), kept))
+    return parts[0].unionByName(parts[1])
+
+
+def status_of_large(gt: DataFrame, pr: DataFrame, threshold: float = 0.5, use_ios: bool = False, kept: tuple[str, ...] = ()) -> DataFrame:
+    """``match_status`` by cells."""
+    hits = overlaps(gt, pr, threshold, use_ios).where("gcls = pcls")
+    parts = []
+    for df, side in ((gt, "gt"), (pr, "pred")):
+        own = hits.select("image_id", f"{side}_idx").distinct().withColumn("hit", F.lit(True))
+        parts.append(_status(df.join(own, ["image_id", f"{side}_idx"], "left"), side, F.col("hit"), kept))
+    return parts[0].unionByName(parts[1])
+
+
 def match_status(gt: DataFrame, pr: DataFrame, threshold: float = 0.5, use_ios: bool = False) -> DataFrame:
     """(image_id, side, idx, cls, status): tpg, fn, fnDiff for ground truth and tpp, fp for predictions."""
-    hits = overlaps(gt, pr, threshold, use_ios).where("gcls = pcls")
-    g = gt.join(hits.select("image_id", "gt_idx").distinct().withColumn("hit", F.lit(True)), ["image_id", "gt_idx"], "left")
-    g = g.select("image_id", F.lit("gt").alias("side"), F.col("gt_idx").alias("idx"), "cls", F.when(F.col("hit"), "tpg").when(F.col("difficult"), "fnDiff").otherwise("fn").alias("status"))
-    p = pr.join(hits.select("image_id", "pred_idx").distinct().withColumn("hit", F.lit(True)), ["image_id", "pred_idx"], "left")
-    return g.unionByName(p.select("image_id", F.lit("pred").alias("side"), F.col("pred_idx").alias("idx"), "cls", F.when(F.col("hit"), "tpp").otherwise("fp").alias("status")))
+    return by_size(gt, pr, *(partial(f, threshold=threshold, use_ios=use_ios) for f in (status_of_small, status_of_large)))
 
 
 def true_positives(gt: DataFrame, pr: DataFrame, threshold: float = 0.5) -> DataFrame:

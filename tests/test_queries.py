@@ -299,3 +299,39 @@ def test_pairs_of_a_crowded_image(spark):
         for threshold in (0.5, 0.75, 0.3, 0.05):
             got = [(r.gt_idx, r.pred_idx) for r in matching.overlaps(gt, pr, threshold, ios).collect()]
             assert sorted(got) == sorted(map(tuple, np.argwhere(score.astype(np.float32) > np.float32(threshold)).tolist())), (ios, threshold)
+
+
+@pytest.mark.parametrize("name", ["match_status_iou", "match_status_ios", "error_shapes", "ap_tp_assignment", "class_results"])
+def test_images_of_few_and_many_boxes(spark, db, name, monkeypatch):
+    """Images joined as a whole, by cells, and some of both; the rows are those of SQL each time."""
+    from boxwright.operators import matching
+
+    for many in (0, 38):
+        monkeypatch.setattr(matching, "MANY", many)
+        oracle.compare(QUERIES[name](spark, SF), db, ORACLE_SQL[name])
+
+
+@pytest.mark.parametrize("name, most", [("match_status_ios", 4), ("ap_tp_assignment", 2), ("error_shapes", 4)])
+def test_boxes_are_shuffled_by_image_alone(spark, name, most):
+    """Of small images neither the boxes in their cells nor the pairs are shuffled."""
+    shuffled_by_image(spark, lambda: QUERIES[name](spark, SF), most)
+
+
+def test_levels_of_predictions_are_shuffled_by_image_alone(spark):
+    """What results_table and the curves put in order: both sides once."""
+    from boxwright.operators import matching
+
+    shuffled_by_image(spark, lambda: matching.prediction_levels(*boxes(spark, SF)), 2)
+
+
+def shuffled_by_image(spark, made, most):
+    import re
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = made()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    found = re.findall(r"Exchange hashpartitioning\((\w+)#\d+L?, \d+\)", plan)
+    assert len(found) == plan.count("Exchange ") <= most
