@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .matching import confusion_pairs, match_status
+from .matching import by_size, confusion_pairs, match_status, status_of_large, status_of_small
 
 
 def confusion_counts(gt: DataFrame, pr: DataFrame, background: int, threshold: float = 0.5, use_ios: bool = False) -> DataFrame:
@@ -69,15 +69,17 @@ def error_shapes(gt: DataFrame, pr: DataFrame, threshold: float = 0.5) -> DataFr
     class; shape_type and points are carried where both sides have them. The last three columns say what the whole image
     has; difficult misses alone are no error.
     """
-    status = match_status(gt, pr, threshold).where("status <> 'tpp'")
-    corners = ["x1", "y1", "x2", "y2", *(c for c in ("shape_type", "points") if c in gt.columns and c in pr.columns)]
-    every = gt.select("image_id", F.lit("gt").alias("side"), F.col("gt_idx").alias("idx"), *corners).unionByName(pr.select("image_id", F.lit("pred").alias("side"), F.col("pred_idx").alias("idx"), *corners))
-    rows = status.join(every, ["image_id", "side", "idx"])
+    corners = ("x1", "y1", "x2", "y2", *(c for c in ("shape_type", "points") if c in gt.columns and c in pr.columns))
     image = Window.partitionBy("image_id")
     has = lambda *s: F.max(F.col("status").isin(*s)).over(image)
     mark = F.when(F.col("status") == "fp", "-fp").when(F.col("status") == "tpg", "").otherwise("-fn")
-    rows = rows.select("image_id", F.concat(F.col("cls").cast("string"), mark).alias("label"), "status", *corners, has("tpg").alias("have_tp"), has("fp").alias("have_fp"), has("fn").alias("have_fn"))
-    return rows.where("have_fp OR have_fn")
+
+    def shapes(status: DataFrame) -> DataFrame:
+        rows = status.where("status <> 'tpp'")
+        rows = rows.select("image_id", F.concat(F.col("cls").cast("string"), mark).alias("label"), "status", *corners, has("tpg").alias("have_tp"), has("fp").alias("have_fp"), has("fn").alias("have_fn"))
+        return rows.where("have_fp OR have_fn")
+
+    return by_size(gt, pr, *(lambda g, p, of=of: shapes(of(g, p, threshold, kept=corners)) for of in (status_of_small, status_of_large)))
 
 
 def error_annotations(shapes: DataFrame, sizes: DataFrame) -> DataFrame:
