@@ -347,8 +347,10 @@ def _ranked(spark, sf_dir):
 
 @query(_AP.split("nl AS (")[0].rstrip().rstrip(",") + " SELECT image_id, k, cls, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(tp*pred_idx) AS BIGINT) AS preds FROM tp GROUP BY image_id, k, cls")
 def ap_tp_assignment(spark, sf_dir):
-    hits = matching.prediction_hits(matching.prediction_levels(*boxes(spark, sf_dir)))
-    return hits.groupBy("image_id", "k", "cls").agg(F.sum(F.col("tp").cast("long")).alias("tp"), F.sum(F.col("tp") * F.col("pred_idx")).alias("preds"))
+    levels, n = matching.prediction_levels(*boxes(spark, sf_dir)), len(matching.THRESHOLDS)
+    hits = [F.shiftright("levels", k).bitwiseAND(1).cast("long") for k in range(n)]
+    sums = levels.groupBy("image_id", "cls").agg(*(F.sum(h).alias(f"t{k}") for k, h in enumerate(hits)), *(F.sum(h * F.col("pred_idx")).alias(f"p{k}") for k, h in enumerate(hits)))
+    return sums.select("image_id", "cls", F.inline(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"t{k}").alias("tp"), F.col(f"p{k}").alias("preds")) for k in range(n)))))
 
 
 @query(_AP + " SELECT cls, k, i, conf, round(rec,6) AS rec, round(prec,6) AS prec FROM pts")
