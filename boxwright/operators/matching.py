@@ -173,22 +173,40 @@ def confusion_pairs(gt: DataFrame, pr: DataFrame, background: int, threshold: fl
     return recall.unionByName(precision)
 
 
+def _levels_of_best(thresholds: tuple[float, ...]) -> Column:
+    """The thresholds, as bits, that a row of (image_id, pred_idx, best) passes and none of its ground truth's predictions before it."""
+    passed = sum((F.when(F.col("best.iou") > t, 1).otherwise(0) for t in thresholds), F.lit(0))
+    earlier = Window.partitionBy("image_id", "best.gt_idx").orderBy("pred_idx").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.max(passed).over(earlier), F.lit(0))
+    one = F.lit(1)
+    shifted = lambda n: F.call_function("shiftleft", one, n)
+    return F.when(F.col("best.iou").isNotNull() & (passed > before), shifted(passed) - shifted(before)).otherwise(0)
+
+
 def prediction_levels(gt: DataFrame, pr: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """(image_id, pred_idx, cls, conf, levels) of each prediction: bit k is set if it is assigned at threshold k.
 
     Each prediction keeps its best ground truth of its class (the higher index on ties), then each ground truth its
     lowest prediction. So of a ground truth's predictions in order, one has the thresholds that it passes and none before it did.
     """
-    left, right, g, p = _sides(gt, pr)
-    keyed = near_pairs(left.withColumnRenamed("g_cls", "cls"), right.withColumnRenamed("p_cls", "cls"), g, p, thresholds[0], False, ("image_id", "cls"))
-    pairs = keyed.select("image_id", "gt_idx", "pred_idx", iou(g, p, 1e-7).alias("iou")).where(F.col("iou") > thresholds[0])
-    best = pairs.groupBy("image_id", "pred_idx").agg(F.max(F.struct("iou", "gt_idx")).alias("best"))
-    passed = sum((F.when(F.col("best.iou") > t, 1).otherwise(0) for t in thresholds[1:]), F.lit(1))
-    best = best.select("image_id", "pred_idx", F.col("best.gt_idx").alias("gt_idx"), passed.alias("passed"))
-    earlier = Window.partitionBy("image_id", "gt_idx").orderBy("pred_idx").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.max("passed").over(earlier), F.lit(0))
-    bits = best.select("image_id", "pred_idx", "passed", before.alias("before")).where("passed > before").select("image_id", "pred_idx", F.expr("shiftleft(1, passed) - shiftleft(1, before)").alias("levels"))
-    return pr.select("image_id", "pred_idx", "cls", "conf").join(bits, ["image_id", "pred_idx"], "left").withColumn("levels", F.coalesce("levels", F.lit(0)))
+    best_of = F.max(F.when(F.col("iou") > thresholds[0], F.struct("iou", "gt_idx"))).alias("best")
+
+    def small(gt: DataFrame, pr: DataFrame) -> DataFrame:
+        left, right, g, p = _sides(gt, pr)
+        left = left.withColumnRenamed("image_id", "g_image_id")
+        near = (F.col("image_id") == F.col("g_image_id")) & _same(F.col("g_cls"), F.col("p_cls")) & box_valid(g) & box_valid(p) & (iou(g, p, 1e-7) > thresholds[0])
+        best = right.join(left, near, "left").withColumn("iou", iou(g, p, 1e-7)).groupBy("image_id", "pred_idx", F.col("p_cls").alias("cls"), "conf").agg(best_of)
+        return best.select("image_id", "pred_idx", "cls", "conf", _levels_of_best(thresholds).alias("levels"))
+
+    def large(gt: DataFrame, pr: DataFrame) -> DataFrame:
+        left, right, g, p = _sides(gt, pr)
+        keyed = near_pairs(left.withColumnRenamed("g_cls", "cls"), right.withColumnRenamed("p_cls", "cls"), g, p, thresholds[0], False, ("image_id", "cls"))
+        pairs = keyed.select("image_id", "gt_idx", "pred_idx", iou(g, p, 1e-7).alias("iou")).where(F.col("iou") > thresholds[0])
+        best = pairs.groupBy("image_id", "pred_idx").agg(best_of)
+        bits = best.select("image_id", "pred_idx", _levels_of_best(thresholds).alias("levels"))
+        return pr.select("image_id", "pred_idx", "cls", "conf").join(bits, ["image_id", "pred_idx"], "left").withColumn("levels", F.coalesce("levels", F.lit(0)))
+
+    return by_size(gt, pr, small, large)
 
 
 def prediction_hits(levels: DataFrame, n: int = len(THRESHOLDS)) -> DataFrame:
