@@ -1,7 +1,8 @@
 """Merging of overlapping detections, window clusters and crops: order-dependent work, done per image in tasks.
 
 Each image (and class) is a group that Spark shuffles; the kernels are numpy over the group's columns. Which boxes match is
-found by a sweep over their left edges, so memory goes with the matches, not with the square of the boxes.
+found by a sweep over their left edges, so memory goes with the matches, not with the square of the boxes. Greedy merges of
+all groups of a batch are found at once.
 """
 
 from __future__ import annotations
@@ -19,43 +20,54 @@ from .tiling import padded_crop
 CORNERS = ("x1", "y1", "x2", "y2")
 #: Candidate pairs that the sweep looks at together.
 SWEPT = 1 << 20
+#: Rounds in which all groups of a batch merge together; what chains of matches leave is done box by box.
+ROUNDS = 30
 Group = dict[str, np.ndarray]
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[Group, np.ndarray]]:
+    """The columns of many groups of neighbouring rows, and where each group begins; only the last group of a batch is carried over."""
+    carried: list[Group] = []  # parts of the open group
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names}
+        change = np.zeros(batch.num_rows, bool)
+        change[0] = bool(carried) and any(carried[0][k][0] != columns[k][0] for k in keys)
+        for key in keys:
+            change[1:] |= columns[key][1:] != columns[key][:-1]
+        starts = np.flatnonzero(change)
+        if len(starts):
+            last, before = int(starts[-1]), sum(len(part[keys[0]]) for part in carried)
+            done = [*carried, {name: values[:last] for name, values in columns.items()}]
+            yield _whole(done), np.concatenate(([0], starts[:-1] + before))
+            carried, columns = [], {name: values[last:] for name, values in columns.items()}
+        carried.append(columns)
+    if carried:
+        yield _whole(carried), np.zeros(1, np.int64)
+
+
+def _target(df: DataFrame, schema: str) -> tuple[str, pa.Schema]:
+    """``schema`` with the image before it, for Spark and for Arrow."""
+    schema = f"image_id {dict(df.dtypes)['image_id']}, {schema}"
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "long": pa.int64(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+    return schema, pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in schema.split(", "))])
+
+
 def grouped_map(df: DataFrame, keys: list[str], order: list[str], kernel: Callable[[Group], list[tuple]], schema: str) -> DataFrame:
-    """``kernel`` over the columns of each group of neighbouring rows, many groups a batch; only the last group of a batch is carried over.
+    """``kernel`` over the columns of each group of neighbouring rows, many groups a batch.
 
     The kernel's rows begin with the image; ``schema`` has the columns after it.
     """
-    schema = f"image_id {dict(df.dtypes)['image_id']}, {schema}"
-    parts = [part.split() for part in schema.split(", ")]
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "long": pa.int64(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
-    target = pa.schema([(name, kinds[kind]) for name, kind in parts])
+    schema, target = _target(df, schema)
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)] if rows else [pa.array([], f.type) for f in target], schema=target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried: list[Group] = []  # parts of the open group
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names}
-            change = np.zeros(batch.num_rows - 1, bool)
-            for key in keys:
-                change |= columns[key][1:] != columns[key][:-1]
-            starts = np.concatenate(([0], np.flatnonzero(change) + 1, [batch.num_rows]))
-            out = []
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                group = {name: values[a:b] for name, values in columns.items()}
-                if carried and any(carried[0][k][0] != group[k][0] for k in keys):
-                    out += kernel(_whole(carried))
-                    carried = []
-                carried.append(group)
-            if out:
-                yield made(out)
-        if carried:
-            yield made(kernel(_whole(carried)))
+        for columns, starts in whole_groups(batches, keys):
+            ends = [*starts[1:].tolist(), len(columns[keys[0]])]
+            yield made([row for a, b in zip(starts.tolist(), ends, strict=True) for row in kernel({name: values[a:b] for name, values in columns.items()})])
 
     return df.repartition(keys[0]).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
@@ -73,6 +85,32 @@ def _score(a: np.ndarray, b: np.ndarray, mode: str) -> np.ndarray:
         return inter / (np.minimum(area_a, area_b) if mode == "ios" else area_a + area_b - inter)
 
 
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Whole numbers of 32 bits in the order of numbers in single precision."""
+    bits = (x + np.float32(0)).view(np.uint32).astype(np.int64)
+    return np.where(bits >> 31 == 1, 0xFFFFFFFF - bits, bits | 0x80000000)
+
+
+def _swept(b: np.ndarray, which: np.ndarray, group: np.ndarray, limit: np.float32, mode: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of boxes with an area that match within their group, each once."""
+    order = which[np.lexsort((b[which, 0], group[which]))]
+    # those after a box in the sweep that begin before it ends
+    low_key, high_key = ((group[order] << 32) | _ordered(b[order, k]) for k in (0, 2))
+    wide = np.maximum(0, np.searchsorted(low_key, high_key, "left") - np.arange(len(order)) - 1)
+    total = np.concatenate(([0], np.cumsum(wide)))
+    low = 0
+    while low < len(order):
+        high = max(low + 1, int(np.searchsorted(total, total[low] + SWEPT, "right")) - 1)
+        here = np.repeat(np.arange(low, high), wide[low:high])
+        there = here + 1 + np.arange(len(here)) - np.repeat(total[low:high] - total[low], wide[low:high])
+        i, j = order[here], order[there]
+        meet = (b[i, 1] < b[j, 3]) & (b[j, 1] < b[i, 3])
+        i, j = i[meet], j[meet]
+        hit = ~(_score(b[i], b[j], mode) < limit)
+        yield i[hit], j[hit]
+        low = high
+
+
 def matches(boxes: np.ndarray, threshold: float, mode: str = "ios") -> tuple[np.ndarray, np.ndarray]:
     """For each box the others that match it, ascending: bounds by box, and their indexes.
 
@@ -87,24 +125,9 @@ def matches(boxes: np.ndarray, threshold: float, mode: str = "ios") -> tuple[np.
         met = met[met != i]
         left += [np.full(len(met), i), met[plain[met]]]  # among themselves both rows are made
         right += [met, np.full(int(plain[met].sum()), i)]
-    order = np.flatnonzero(plain)
-    order = order[np.argsort(b[order, 0], kind="stable")]
-    # those after a box in the sweep that begin before it ends
-    upto = np.searchsorted(b[order, 0], b[order, 2], "left")
-    wide = np.maximum(0, upto - np.arange(len(order)) - 1)
-    total = np.concatenate(([0], np.cumsum(wide)))
-    low = 0
-    while low < len(order):
-        high = max(low + 1, int(np.searchsorted(total, total[low] + SWEPT, "right")) - 1)
-        here = np.repeat(np.arange(low, high), wide[low:high])
-        there = here + 1 + np.arange(len(here)) - np.repeat(total[low:high] - total[low], wide[low:high])
-        i, j = order[here], order[there]
-        meet = (b[i, 1] < b[j, 3]) & (b[j, 1] < b[i, 3])
-        i, j = i[meet], j[meet]
-        hit = ~(_score(b[i], b[j], mode) < limit)
-        left += [i[hit], j[hit]]
-        right += [j[hit], i[hit]]
-        low = high
+    for i, j in _swept(b, np.flatnonzero(plain), np.zeros(n, np.int64), limit, mode):
+        left += [i, j]
+        right += [j, i]
     a, c = np.concatenate(left), np.concatenate(right)
     at = np.lexsort((c, a))
     return np.searchsorted(a[at], np.arange(n + 1)), c[at]
@@ -128,6 +151,61 @@ def greedy_groups(boxes: np.ndarray, conf: np.ndarray, threshold: float, mode: s
     return groups
 
 
+def greedy_owners(boxes: np.ndarray, conf: np.ndarray, starts: np.ndarray, threshold: float, mode: str = "ios", highest_first: bool = False) -> np.ndarray:
+    """The keeper of each box, itself or another, by the merges of ``greedy_groups`` in each of the groups that begin at ``starts``.
+
+    A box that comes before all its matches that are left keeps them. Boxes of all groups do so in the same round.
+    """
+    n, b, limit = len(conf), boxes.astype(np.float32), np.float32(threshold)
+    ends = np.concatenate((starts[1:], [n]))
+    group = np.repeat(np.arange(len(starts)), ends - starts)
+    owner = np.arange(n)
+    plain = (b[:, 2] > b[:, 0]) & (b[:, 3] > b[:, 1]) & bool(limit > 0)
+    odd = np.unique(group[~plain])  # boxes with no area may match any
+    for k in odd.tolist():
+        a, z = int(starts[k]), int(ends[k])
+        for members in greedy_groups(boxes[a:z], conf[a:z], threshold, mode, highest_first):
+            owner[np.array(members) + a] = members[0] + a
+    turn = np.empty(n, np.int64)
+    order = np.lexsort((np.arange(n), conf, group))
+    turn[order] = np.arange(n) * 2  # the highest is first
+    if not highest_first:
+        turn[order[starts]] = ends * 2 - 1
+    pairs = list(_swept(b, np.flatnonzero(~np.isin(group, odd)), group, limit, mode))
+    i, j = (np.concatenate([p[k] for p in pairs] or [owner[:0]]) for k in (0, 1))
+    first = turn[i] > turn[j]
+    early, late = np.where(first, i, j), np.where(first, j, i)
+    open_, keeps, e, f = np.ones(n, bool), np.zeros(n, bool), early, late
+    for _ in range(ROUNDS):
+        waits = np.zeros(n, bool)
+        waits[f] = True
+        now = open_ & ~waits
+        keeps |= now
+        open_ &= waits
+        open_[f[now[e]]] = False
+        both = open_[e] & open_[f]
+        e, f = e[both], f[both]
+        if not len(e):
+            break
+    if len(e):
+        at = np.argsort(e, kind="stable")
+        e, f = e[at], f[at]
+        left = np.flatnonzero(open_)
+        for k in left[np.argsort(-turn[left])].tolist():
+            if open_[k]:
+                open_[k], keeps[k] = False, True
+                open_[f[slice(*np.searchsorted(e, (k, k + 1)))]] = False
+    keeps |= open_
+    claimed = np.where(keeps, turn, -1)
+    by = keeps[early] & ~keeps[late]
+    np.maximum.at(claimed, late[by], turn[early[by]])
+    of = np.zeros(2 * n + 1, np.int64)
+    of[turn] = np.arange(n)
+    even = ~np.isin(group, odd)
+    owner[even] = of[claimed[even]]
+    return owner
+
+
 def one_hop_groups(boxes: np.ndarray, conf: np.ndarray, threshold: float, mode: str = "ios") -> list[list[int]]:
     """In index order: an unclaimed box keeps and claims its unclaimed overlaps; a claimed one passes its own to its keeper."""
     bounds, others = matches(boxes, threshold, mode)
@@ -157,14 +235,29 @@ def merge_detections(detections: DataFrame, threshold: float = 0.5, mode: str =
     def merge(group: Group) -> list[tuple]:
         boxes, conf, index = np.stack([group[c] for c in CORNERS], 1), group["conf"], group["pred_idx"]
         image, code = group["image_id"][0], int(group["code"][0])
-        if code in apart:
-            groups = [[i] for i in range(len(index))]
-        else:
-            groups = greedy_groups(boxes, conf, threshold, mode, highest_first) if greedy else one_hop_groups(boxes, conf, threshold, mode)
+        groups = [[i] for i in range(len(index))] if code in apart else one_hop_groups(boxes, conf, threshold, mode)
         return [(image, code, int(index[g[0]]), len(g), *boxes[g, :2].min(0).tolist(), *boxes[g, 2:].max(0).tolist(), float(conf[g[0]])) for g in groups]
 
+    keys = ["image_id", "code"]
     keyed = detections.select("image_id", "pred_idx", F.coalesce("code", F.lit(-1)).cast("long").alias("code"), *(F.col(c).cast("double").alias(c) for c in CORNERS), F.coalesce("conf", F.lit(0.4)).cast("double").alias("conf"))
-    merged = grouped_map(keyed, ["image_id", "code"], ["pred_idx"], merge, MERGED)
+    if greedy:
+        schema, target = _target(keyed, MERGED)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for columns, starts in whole_groups(batches, keys):
+                boxes, conf, code = np.stack([columns[c] for c in CORNERS], 1), columns["conf"], columns["code"]
+                owner = greedy_owners(boxes, conf, starts, threshold, mode, highest_first)
+                owner = np.where(np.isin(code, apart), np.arange(len(code)), owner)
+                order = np.argsort(owner, kind="stable")
+                first = np.flatnonzero(np.diff(owner[order], prepend=-1))
+                keeper, boxes = owner[order[first]], boxes[order]
+                low, high = np.minimum.reduceat(boxes[:, :2], first), np.maximum.reduceat(boxes[:, 2:], first)
+                values = [columns["image_id"][keeper], code[keeper], columns["pred_idx"][keeper], np.diff(first, append=len(order)), *low.T, *high.T, conf[keeper]]
+                yield pa.record_batch([pa.array(v, f.type) for v, f in zip(values, target, strict=True)], schema=target)
+
+        merged = keyed.repartition("image_id").sortWithinPartitions(*keys, "pred_idx").mapInArrow(run, schema)
+    else:
+        merged = grouped_map(keyed, keys, ["pred_idx"], merge, MERGED)
     more = [c for c in ("name", "segment") if c in detections.columns]
     if not more:
         return merged

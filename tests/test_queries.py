@@ -335,3 +335,26 @@ def shuffled_by_image(spark, made, most):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     found = re.findall(r"Exchange hashpartitioning\((\w+)#\d+L?, \d+\)", plan)
     assert len(found) == plan.count("Exchange ") <= most
+
+
+@pytest.mark.parametrize("rounds", [30, 1])
+def test_greedy_merges_of_a_batch_as_each_group_by_itself(monkeypatch, rounds):
+    """Boxes of no area too, with few rounds before boxes are taken one by one."""
+    from boxwright.operators import merging
+
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(merging, "ROUNDS", rounds)
+    for k in range(40):
+        n = int(rng.integers(1, 150))
+        low = rng.uniform(-50, [30, 100, 400][k % 3], (n, 2)).round(1)
+        b = np.concatenate((low, low + rng.uniform(1, 60, (n, 2)).round()), 1)
+        if k % 5 == 0:
+            b[::7, 2:] = b[::7, :2]
+        conf = rng.integers(0, 20, n) / 20
+        starts = np.unique(np.concatenate(([0], rng.integers(0, n, 8))))
+        for threshold, mode, highest_first in ((0.0, "iou", True), (0.1, "ios", False), (0.5, "iou", False), (1.0, "iou", True)):
+            expected = np.empty(n, int)
+            for a, z in zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True):
+                for group in merging.greedy_groups(b[a:z], conf[a:z], threshold, mode, highest_first):
+                    expected[np.array(group) + a] = group[0] + a
+            assert (merging.greedy_owners(b, conf, starts, threshold, mode, highest_first) == expected).all()
