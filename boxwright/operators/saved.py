@@ -1,23 +1,37 @@
-"""Checkpoints for plans that are read more than once and must be the same each time."""
+"""Checkpoints and stored tables for plans that are read more than once and must be the same each time."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder: spark.checkpoint.dir, or a temporary one where that is unset and all tasks run in the driver's process."""
-    context = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    """The checkpoint folder: spark.checkpoint.dir, or a temporary one where that is unset and all tasks run in the driver's process."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if context.master.split("[")[0] != "local":
                 raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="boxwright-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder."""
+    _folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the checkpoint folder, whose readers take the columns that they need."""
+    path = f"{_folder(df.sparkSession)}/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import boxes as B
 from .functions import text as X
 from .operators import confusion, dataset, matching, merging, precision, tiling
+from .operators.saved import stored
 from .plans.detection import DETECTORS
 from .plans.pipeline import Pipeline
 from .sources import formats, images
@@ -813,7 +814,9 @@ def _files_of(kind: str, notes: DataFrame, spark) -> DataFrame:
 
 def _read_back(kind: str, files: DataFrame, sizes: DataFrame, spark) -> DataFrame:
     read = {"labelme": formats.from_labelme, "voc": formats.from_voc, "coco": lambda f: formats.from_coco(f, masks=False), "yolo": lambda f: formats.from_yolo(f, _names(spark), sizes)}[kind]
-    return read(files).withColumn("points", F.transform("points", lambda p: F.array(F.round(p[0], 3), F.round(p[1], 3))))
+    rows = read(files)
+    # only shares of the image are not what was written
+    return rows.withColumn("points", F.transform("points", lambda p: F.array(F.round(p[0], 3), F.round(p[1], 3)))) if kind == "yolo" else rows
 
 
 def _conversions(source: str):
@@ -824,10 +827,12 @@ def _conversions(source: str):
     def run(spark, sf_dir):
         notes = _annotations(spark, sf_dir)
         sizes = notes.select("image_id", "width", "height").distinct()
-        first = _read_back(source, _files_of(source, notes, spark), sizes, spark)
+        # read once, and grouped once for all targets
+        first = stored(formats.by_image(_read_back(source, _files_of(source, notes, spark), sizes, spark)))
         parts = []
         for target in targets:
-            rows = formats.match_records(_read_back(target, _files_of(target, first, spark), sizes, spark))
+            given = formats.annotations_of(first) if target == "coco" else first
+            rows = formats.match_records(_read_back(target, _files_of(target, given, spark), sizes, spark))
             parts.append(rows.groupBy("label").agg(F.count("*").alias("n"), F.sum((F.col("x1") + F.col("y1") + F.col("x2") + F.col("y2")).cast("long")).alias("edges")).withColumn("target", F.lit(target)))
         return dataset.union_all(parts)
 

@@ -64,11 +64,21 @@ def coco_records(files: DataFrame) -> DataFrame:
     """
     if "section" in files.columns:
         return files.select("path", "section", "place", F.from_json("value", _COCO).alias("d"))
-    row = ", ".join(f"{part.split()[0]}:{part.split()[1]}" for part in _COCO.split(", "))
+    return _coco_documents(files).select("path", F.inline(F.concat(*(_members(F.col(s), F.lit(s)) for s in SECTIONS))))
+
+
+_RECORD = f"struct<{', '.join(':'.join(part.split()) for part in _COCO.split(', '))}>"
+
+
+def _coco_documents(files: DataFrame) -> DataFrame:
+    """(path, images, annotations, categories) of whole documents, arrays of records."""
     # the generator keeps the parsed arrays as columns, else each use would parse the document anew
-    doc = files.select("path", F.inline_outer(F.array(F.from_json("value", ", ".join(f"{s} array<struct<{row.replace(' ', '')}>>" for s in SECTIONS)))))
-    listed = lambda s: F.transform(F.coalesce(s, F.array().cast(f"array<struct<{row.replace(' ', '')}>>")), lambda x, i: F.struct(F.lit(s).alias("section"), i.cast("long").alias("place"), x.alias("d")))
-    return doc.select("path", F.inline(F.concat(*map(listed, SECTIONS))))
+    doc = files.select("path", F.inline_outer(F.array(F.from_json("value", ", ".join(f"{s} array<{_RECORD}>" for s in SECTIONS)))))
+    return doc.select("path", *(F.coalesce(s, F.array().cast(f"array<{_RECORD}>")).alias(s) for s in SECTIONS))
+
+
+def _members(listed: Column, section: Column, more: Callable[[Column], dict[str, Column]] = lambda _: {}) -> Column:
+    return F.transform(listed, lambda x, i: F.struct(section.alias("section"), i.cast("long").alias("place"), x.alias("d"), *(c.alias(n) for n, c in more(x).items())))
 
 
 def coco_names(files: DataFrame) -> dict[int, str]:
@@ -86,6 +96,11 @@ def _whole(text: Column) -> Column:
     return F.trim(text).try_cast("double").cast("int")
 
 
+def _parsed(files: DataFrame, doc: Column) -> DataFrame:
+    """(path, d): a generator keeps the parsed document as a column, else filters and each use would parse it anew."""
+    return files.select("path", F.inline(F.array(F.struct(doc.alias("d")))))
+
+
 def from_labelme(files: DataFrame, key: Callable[[Column], Column] | None = None) -> DataFrame:
     """The image is named by imagePath, or by ``key`` of the file's own path."""
     doc = files.select("path", F.from_json("value", _LABELME).alias("d")).where("d.shapes IS NOT NULL OR d.imagePath IS NOT NULL")
@@ -153,16 +168,24 @@ def from_coco(files: DataFrame, splits: bool = False, min_area: float = 0.0, mas
     ``files`` has whole documents (path, value) or what ``read_coco`` gives. With ``splits`` an image is named <split>/<stem>,
     its split being its document's name without ``instances_``. Annotations of unknown images are left out.
     """
-    records = coco_records(files)
-    rows = records.where("section <> 'categories'").select("path", "section", "place", F.when(F.col("section") == "images", F.col("d.id")).otherwise(F.col("d.image_id")).alias("id"), "d").where("id IS NOT NULL")
+    whole = "section" not in files.columns
+    if whole:
+        # rows of a document stay in its task, as it is one row before: it is shuffled, and categories are looked up in it
+        name = lambda x: F.get(F.filter("categories", lambda c: c["id"] == x["category_id"]), F.lit(0))["name"]
+        images, notes = _members(F.col("images"), F.lit("images"), lambda _: {"label": F.lit(None).cast("string")}), _members(F.col("annotations"), F.lit("annotations"), lambda x: {"label": name(x)})
+        records = _coco_documents(files.select("path", "value").repartition("path")).select("path", F.inline(F.concat(images, notes)))
+    else:
+        records = coco_records(files).withColumn("label", F.lit(None).cast("string"))
+    rows = records.where("section <> 'categories'").select("path", "section", "place", "label", F.when(F.col("section") == "images", F.col("d.id")).otherwise(F.col("d.image_id")).alias("id"), "d").where("id IS NOT NULL")
     own = Window.partitionBy("path", "id")  # an image and its annotations
     image = F.max(F.when(F.col("section") == "images", F.struct("d.file_name", "d.width", "d.height"))).over(own)
     notes = F.count(F.when(F.col("section") == "annotations", 1)).over(own)
     number = F.row_number().over(own.orderBy("section", "place")) - 1
-    rows = rows.select("path", "section", image.alias("image"), notes.alias("notes"), number.alias("number"), F.col("d.category_id").alias("category"), F.col("d.bbox").alias("bbox"), F.col("d.segmentation").alias("segmentation"))
+    rows = rows.select("path", "section", "label", image.alias("image"), notes.alias("notes"), number.alias("number"), F.col("d.category_id").alias("category"), F.col("d.bbox").alias("bbox"), F.col("d.segmentation").alias("segmentation"))
     rows = rows.where("image IS NOT NULL AND (section = 'annotations' OR notes = 0)").withColumn("polygon", _largest(segmentation_polygons(F.col("segmentation"), min_area, masks)))
-    categories = records.where("section = 'categories'").groupBy("path", F.col("d.id").alias("category")).agg(F.first("d.name").alias("label"))
-    rows = rows.join(categories, ["path", "category"], "left")
+    if not whole:
+        categories = records.where("section = 'categories'").groupBy("path", F.col("d.id").alias("category")).agg(F.first("d.name").alias("label"))
+        rows = rows.drop("label").join(categories, ["path", "category"], "left")
     name = stem(F.col("image.file_name"))
     if splits:
         name = F.concat(F.regexp_replace(stem(F.col("path")), "^instances_", ""), F.lit("/"), name)
@@ -196,10 +219,12 @@ def match_records(annotations: DataFrame, clip: bool = False) -> DataFrame:
     """(image_id, idx, label, conf, x1, y1, x2, y2, difficult) of valid enclosing boxes, points cut towards zero; ``clip`` cuts them to the image."""
     rows = annotations.where("ann_idx IS NOT NULL")
     inside = (lambda c, most: F.least(F.greatest(c, F.lit(0)), F.col(most))) if clip else (lambda c, most: c)
-    whole = F.transform("points", lambda p: F.array(inside(p[0].cast("int"), "width"), inside(p[1].cast("int"), "height")))
-    rows = rows.select("image_id", "ann_idx", "label", "score", "flags", F.inline_outer(F.array(F.struct(whole.alias("points")))))
-    b = polygon_bbox(F.col("points"))
-    rows = rows.select("image_id", F.col("ann_idx").cast("long").alias("idx"), "label", F.least(F.col("score"), F.lit(1.0)).alias("conf"), *b.fields(), F.coalesce(F.try_element_at("flags", F.lit("difficult")), F.lit(False)).alias("difficult"))
+    along = lambda i, most: F.transform("points", lambda p: inside(p[i].cast("int"), most))
+    edges = F.struct(along(0, "width").alias("xs"), along(1, "height").alias("ys"))
+    # a generator keeps the box as columns, else the filter and each use would look at the points anew
+    box = F.inline(F.transform(F.array(edges), lambda e: F.struct(F.array_min(e["xs"]).alias("x1"), F.array_min(e["ys"]).alias("y1"), F.array_max(e["xs"]).alias("x2"), F.array_max(e["ys"]).alias("y2"))))
+    difficult = F.coalesce(F.try_element_at("flags", F.lit("difficult")), F.lit(False)).alias("difficult")
+    rows = rows.select("image_id", F.col("ann_idx").cast("long").alias("idx"), "label", F.least(F.col("score"), F.lit(1.0)).alias("conf"), box, difficult)
     return rows.where("x1 < x2 AND y1 < y2")
 
 
@@ -212,10 +237,33 @@ def image_sizes(*sources: DataFrame) -> DataFrame:
     return out.groupBy("image_id").agg(F.min("s").alias("s")).select("image_id", "s.width", "s.height")
 
 
-def _shapes(annotations: DataFrame, value: Column, name: str) -> DataFrame:
-    """(image_id, width, height, <name>): values of an image's annotations in order."""
-    listed = F.array_sort(F.collect_list(F.when(F.col("ann_idx").isNotNull(), F.struct("ann_idx", value.alias("v")))))
-    return annotations.groupBy("image_id", "width", "height").agg(F.transform(listed, lambda x: x["v"]).alias(name), *(F.first(c).alias(c) for c in ("image_flags",) if c in annotations.columns))
+Value = Callable[[Callable[[str], Column]], Column]
+
+
+def by_image(annotations: DataFrame) -> DataFrame:
+    """(image_id, width, height, bare, shapes): an image's annotations as an array, in any order; bare if it also has a row without one.
+
+    ``to_labelme``, ``to_yolo`` and ``to_voc`` take these too, so that several targets need the grouping once.
+    """
+    rest = [c for c in annotations.columns if c not in ("image_id", "width", "height", "image_flags")]
+    there = F.col("ann_idx").isNotNull()
+    more = [F.first(c).alias(c) for c in ("image_flags",) if c in annotations.columns]
+    return annotations.groupBy("image_id", "width", "height").agg(F.max(~there).alias("bare"), F.collect_list(F.when(there, F.struct(*rest))).alias("shapes"), *more)
+
+
+def annotations_of(images: DataFrame) -> DataFrame:
+    """The annotations that ``by_image`` grouped; an image without any has a row with a null ann_idx."""
+    return images.select("image_id", "width", "height", *(c for c in ("image_flags",) if c in images.columns), F.inline_outer("shapes"))
+
+
+def _shapes(annotations: DataFrame, value: Value, name: str) -> DataFrame:
+    """(image_id, width, height, <name>): values of an image's annotations in order; ``value`` makes one of a function that gives its columns."""
+    own = [c for c in ("image_flags",) if c in annotations.columns]
+    if "shapes" in annotations.columns:
+        listed = F.array_sort(F.transform("shapes", lambda s: F.struct(s["ann_idx"].alias("ann_idx"), value(lambda c: s[c]).alias("v"))))
+        return annotations.select("image_id", "width", "height", F.transform(listed, lambda x: x["v"]).alias(name), *own)
+    listed = F.array_sort(F.collect_list(F.when(F.col("ann_idx").isNotNull(), F.struct("ann_idx", value(F.col).alias("v")))))
+    return annotations.groupBy("image_id", "width", "height").agg(F.transform(listed, lambda x: x["v"]).alias(name), *(F.first(c).alias(c) for c in own))
 
 
 def _json_text(text: Column) -> Column:
@@ -226,7 +274,7 @@ def _json_text(text: Column) -> Column:
 
 def to_labelme(annotations: DataFrame, suffix: str = ".jpg") -> DataFrame:
     """(image_id, value): a LabelMe document an image; its own flags from image_flags, if the annotations have that map."""
-    shape = F.to_json(F.struct("label", "points", F.lit(None).cast("string").alias("group_id"), "shape_type", "score", "flags"), {"ignoreNullFields": "false"})
+    shape = lambda s: F.to_json(F.struct(s("label").alias("label"), s("points").alias("points"), F.lit(None).cast("string").alias("group_id"), s("shape_type").alias("shape_type"), s("score").alias("score"), s("flags").alias("flags")), {"ignoreNullFields": "false"})
     rows = _shapes(annotations, shape, "shapes")
     own = F.coalesce(F.to_json("image_flags"), F.lit("{}")) if "image_flags" in rows.columns else F.lit("{}")
     head = F.concat(F.lit('{"version":"4.5.6","flags":'), own, F.lit(',"shapes":['), F.array_join("shapes", ","), F.lit('],"imagePath":'), _json_text(F.concat("image_id", F.lit(suffix))))
@@ -235,11 +283,20 @@ def to_labelme(annotations: DataFrame, suffix: str = ".jpg") -> DataFrame:
 
 def to_yolo(annotations: DataFrame, names: DataFrame) -> DataFrame:
     """(image_id, value): a line a shape; rectangles as class, centre, size and score, polygons as class and all points."""
+
+    def line(s: Callable[[str], Column], cls_id: Column) -> Column:
+        corners = F.array(F.struct(*polygon_bbox(s("points")).fields()))  # computed once a shape and not at each use
+        box = F.get(F.transform(corners, lambda b: F.array(*yolo_normalize(Box(*(b[n] for n in Box._fields)), F.col("width"), F.col("height")), s("score"))), F.lit(0))
+        numbers = F.when(s("shape_type") == "rectangle", box).otherwise(F.flatten(F.transform(s("points"), lambda p: F.array(p[0] / F.col("width"), p[1] / F.col("height")))))
+        return F.concat_ws(" ", cls_id.cast("string"), F.array_join(numbers, " "))
+
+    if "shapes" in annotations.columns:
+        known = names.where("cls_id IS NOT NULL").agg(F.collect_list(F.struct("label", "cls_id")).alias("known"))  # a row a class
+        ids = lambda s: F.transform(F.filter("known", lambda n: n["label"] == s["label"]), lambda n: F.struct(*(s[c].alias(c) for c in ("ann_idx", "points", "shape_type", "score")), n["cls_id"].alias("cls_id")))
+        rows = annotations.join(F.broadcast(known)).withColumn("shapes", F.flatten(F.transform("shapes", ids))).where("bare OR size(shapes) > 0")
+        return _shapes(rows, lambda s: line(s, s("cls_id")), "lines").select("image_id", F.array_join("lines", "\n").alias("value"))
     rows = annotations.join(F.broadcast(names), "label", "left").where("ann_idx IS NULL OR cls_id IS NOT NULL")
-    box = yolo_normalize(polygon_bbox(F.col("points")), F.col("width"), F.col("height"))
-    numbers = F.when(F.col("shape_type") == "rectangle", F.array(*box, F.col("score"))).otherwise(F.flatten(F.transform("points", lambda p: F.array(p[0] / F.col("width"), p[1] / F.col("height")))))
-    line = F.concat_ws(" ", F.col("cls_id").cast("string"), F.array_join(numbers, " "))
-    return _shapes(rows, line, "lines").select("image_id", F.array_join("lines", "\n").alias("value"))
+    return _shapes(rows, lambda s: line(s, s("cls_id")), "lines").select("image_id", F.array_join("lines", "\n").alias("value"))
 
 
 def _escaped(text: Column) -> Column:
@@ -248,11 +305,14 @@ def _escaped(text: Column) -> Column:
 
 def to_voc(annotations: DataFrame, folder: str = "images", suffix: str = ".jpg") -> DataFrame:
     """(image_id, value): a Pascal VOC document an image; polygons by their enclosing box, difficult as it was."""
-    b = polygon_bbox(F.col("points")).map(lambda c: c.cast("int").cast("string"))
     tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
-    corners = tag("bndbox", F.concat(*(tag(n, c) for n, c in zip(("xmin", "ymin", "xmax", "ymax"), b, strict=True))))
-    difficult = F.coalesce(F.try_element_at("flags", F.lit("difficult")), F.lit(False)).cast("int").cast("string")
-    item = tag("object", F.concat(tag("name", _escaped(F.col("label"))), F.lit("<pose>Unspecified</pose><truncated>0</truncated>"), tag("difficult", difficult), corners))
+
+    def item(s: Callable[[str], Column]) -> Column:
+        b = polygon_bbox(s("points")).map(lambda c: c.cast("int").cast("string"))
+        corners = tag("bndbox", F.concat(*(tag(n, c) for n, c in zip(("xmin", "ymin", "xmax", "ymax"), b, strict=True))))
+        difficult = F.coalesce(F.try_element_at(s("flags"), F.lit("difficult")), F.lit(False)).cast("int").cast("string")
+        return tag("object", F.concat(tag("name", _escaped(s("label"))), F.lit("<pose>Unspecified</pose><truncated>0</truncated>"), tag("difficult", difficult), corners))
+
     rows = _shapes(annotations, item, "objects")
     name = _escaped(F.concat("image_id", F.lit(suffix)))
     size = tag("size", F.concat(tag("width", F.col("width").cast("string")), tag("height", F.col("height").cast("string")), F.lit("<depth>3</depth>")))

@@ -132,3 +132,15 @@ def test_readers_by_suffix_or_format(spark, notes, tmp_path):
     for bad in (("x.txt", None), ("x.bin", None), ("x.json", "other")):
         with pytest.raises(ValueError):
             formats.read_labels(spark, *bad)
+
+
+def test_targets_of_grouped_annotations(spark):
+    """Annotations that are grouped once give the same documents: unknown labels, two sizes, bare rows, polygons and double names too."""
+    rows = [("a", 100, 50, 1, "x", "rectangle", [[0.0, 0.0], [10.0, 5.0]], 0.5, {"difficult": True}), ("a", 100, 50, 0, "y", "polygon", [[0.0, 0.0], [10.0, 5.0], [3.0, 9.0]], 1.0, {}), ("a", 90, 50, 0, "x", "rectangle", [[1.0, 1.0], [2.0, 2.0]], 1.0, None), ("b", 10, 10, None, None, None, None, None, None), ("c", 10, 10, 0, "unknown", "rectangle", [[1.0, 1.0], [2.0, 2.0]], 1.0, {}), ("d", 10, 10, 0, "unknown", "rectangle", [[1.0, 1.0], [2.0, 2.0]], 1.0, {}), ("d", 10, 10, None, None, None, None, None, None)]
+    notes = spark.createDataFrame(rows, "image_id string, width int, height int, ann_idx int, label string, shape_type string, points array<array<double>>, score double, flags map<string,boolean>")
+    names = spark.createDataFrame([(0, "x"), (1, "y"), (2, "y")], "cls_id long, label string")
+    grouped = formats.by_image(notes)
+    for write in (formats.to_labelme, formats.to_voc, lambda df: formats.to_yolo(df, names)):
+        assert sorted(map(tuple, write(grouped).collect())) == sorted(map(tuple, write(notes).collect()))
+    back = formats.annotations_of(grouped).where("ann_idx IS NOT NULL").drop("flags")
+    assert sorted(map(str, back.collect())) == sorted(map(str, notes.where("ann_idx IS NOT NULL").drop("flags").select(back.columns).collect()))
