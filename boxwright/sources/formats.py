@@ -134,8 +134,8 @@ def from_yolo(files: DataFrame, names: DataFrame, sizes: DataFrame, key: Callabl
 
 def from_voc(files: DataFrame, key: Callable[[Column], Column] = stem, extra_keys: tuple[str, ...] | None = None) -> DataFrame:
     """With ``extra_keys`` also database, pose, truncated and those tags of each object, as text."""
-    extra = tuple(dict.fromkeys(("pose", "truncated", *(extra_keys or ()))))
-    doc = files.select("path", F.from_xml("value", _VOC % "".join(f",{k}:string" for k in extra if k not in ("name", "difficult", "conf")), {"rowTag": "annotation"}).alias("d")).where("d IS NOT NULL")
+    extra = () if extra_keys is None else tuple(dict.fromkeys(("pose", "truncated", *extra_keys)))
+    doc = _parsed(files, F.from_xml("value", _VOC % "".join(f",{k}:string" for k in extra if k not in ("name", "difficult", "conf")), {"rowTag": "annotation"})).where("d IS NOT NULL")
     size = doc.select(F.coalesce(key(F.col("path")), stem(F.col("d.filename"))).alias("image_id"), F.coalesce(_whole(F.col("d.size.width")), F.lit(0)).alias("width"), F.coalesce(_whole(F.col("d.size.height")), F.lit(0)).alias("height"), F.coalesce(F.trim("d.source.database"), F.lit("Unknown")).alias("database"), F.posexplode_outer("d.object").alias("ann_idx", "o"))
     raw = Box(*(F.coalesce(_whole(F.col(f"o.bndbox.{c}")), F.lit(0)) for c in ("xmin", "ymin", "xmax", "ymax")))
     b = clip_box(raw, F.when(F.col("width") > 0, F.col("width")).otherwise(1 << 30), F.when(F.col("height") > 0, F.col("height")).otherwise(1 << 30))
