@@ -117,14 +117,14 @@ def from_yolo(files: DataFrame, names: DataFrame, sizes: DataFrame, key: Callabl
 
     An id without a name is its own label.
     """
-    lines = files.select(key(F.col("path")).alias("image_id"), F.posexplode_outer(F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(F.translate(x, "\r\t", "  "))), lambda x: x != "")).alias("ann_idx", "line"))
+    texts = sizes.select("image_id", "width", "height").join(files.select(key(F.col("path")).alias("image_id"), "value"), "image_id", "left")  # a row a file
+    lines = texts.select("image_id", "width", "height", F.posexplode_outer(F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(F.translate(x, "\r\t", "  "))), lambda x: x != "")).alias("ann_idx", "line"))
     # generators keep the parsed numbers as columns, else each later use would split and cast the line anew
     numbers = F.transform(F.split("line", r"\s+"), lambda x: x.cast("double"))
-    parts = lines.select("image_id", "ann_idx", F.inline_outer(F.array(F.struct(numbers.alias("v")))))
+    parts = lines.select("image_id", "width", "height", "ann_idx", F.inline_outer(F.array(F.struct(numbers.alias("v")))))
     odd = F.size("v") % 2 == 0
     kept = F.struct(F.col("v")[0].cast("long").alias("cls_id"), F.slice("v", 2, F.size("v") - F.when(odd, 2).otherwise(1)).alias("n"), F.when(odd, F.element_at("v", -1)).otherwise(1.0).alias("score"))
-    rows = parts.select("image_id", "ann_idx", F.inline_outer(F.array(F.when(F.col("v").isNotNull(), kept))))
-    rows = sizes.select("image_id", "width", "height").join(rows, "image_id", "left").join(F.broadcast(names), "cls_id", "left")
+    rows = parts.select("image_id", "width", "height", "ann_idx", F.inline_outer(F.array(F.when(F.col("v").isNotNull(), kept)))).join(F.broadcast(names), "cls_id", "left")
     n, rectangle = F.col("n"), F.size("n") == 4
     flat = box_points(yolo_denormalize(n[0], n[1], n[2], n[3], F.col("width"), F.col("height")))
     polygon = F.transform(pairs_of(n), lambda p: F.array(p[0] * F.col("width"), p[1] * F.col("height")))
