@@ -103,7 +103,7 @@ def _parsed(files: DataFrame, doc: Column) -> DataFrame:
 
 def from_labelme(files: DataFrame, key: Callable[[Column], Column] | None = None) -> DataFrame:
     """The image is named by imagePath, or by ``key`` of the file's own path."""
-    doc = files.select("path", F.from_json("value", _LABELME).alias("d")).where("d.shapes IS NOT NULL OR d.imagePath IS NOT NULL")
+    doc = _parsed(files, F.from_json("value", _LABELME)).where("d.shapes IS NOT NULL OR d.imagePath IS NOT NULL")
     name = key(F.col("path")) if key else stem(F.coalesce("d.imagePath", "path"))
     rows = doc.select(name.alias("image_id"), F.col("d.imageWidth").alias("width"), F.col("d.imageHeight").alias("height"), F.posexplode_outer("d.shapes").alias("ann_idx", "s"))
     score = F.when(F.col("s").isNotNull(), F.coalesce("s.score", "s.conf", F.lit(1.0)))

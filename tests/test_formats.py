@@ -144,3 +144,10 @@ def test_targets_of_grouped_annotations(spark):
         assert sorted(map(tuple, write(grouped).collect())) == sorted(map(tuple, write(notes).collect()))
     back = formats.annotations_of(grouped).where("ann_idx IS NOT NULL").drop("flags")
     assert sorted(map(str, back.collect())) == sorted(map(str, notes.where("ann_idx IS NOT NULL").drop("flags").select(back.columns).collect()))
+
+
+def test_documents_are_parsed_once(spark):
+    """Neither filters nor the columns of labels parse a document again, and conversions read their source once."""
+    files = spark.createDataFrame([("/l/a.json", "{}")], "path string, value string")
+    for read, parser in ((formats.from_labelme, "from_json"), (formats.from_voc, "from_xml"), (lambda f: formats.from_coco(f, masks=False), "from_json(StructField(images")):
+        assert read(files)._jdf.queryExecution().optimizedPlan().toString().count(parser) == 1
